@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, shared_path, shuffle_partitions, small_batches
+from .token_counts import byte_letters
 
 BLOCK = 64 << 10
 RESTART = 16
@@ -187,34 +188,42 @@ class TableReader:
         return None
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    a = np.array(ids, np.uint32)
-    return b"\x04" + a.astype("<u4").tobytes() if len(a) and int(a.max()) > 0xFFFF else b"\x02" + a.astype("<u2").tobytes()
-
-
 def unpack_ids(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, "<u4" if value[0] == 4 else "<u2", offset=1).astype("<u4")
+    """A value is its ids' width (2 or 4) and the ids."""
+    return np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4")
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids by the tokenizers library, word by word.
+    """(text -> packed ids, ids -> packed ids, width) by the tokenizers library, word by word.
 
-    The file's rule drops white space and never joins what stands on its two sides, so the library
-    is asked once for each word between blanks and line ends; words that recur are remembered.
+    The file's rules drop white space and never join what stands on its two sides, so the library
+    is asked once for each word between blanks and line ends, and words that recur are remembered. Its
+    rules also lower-case, and part letters from a following full stop or comma; Latin-1 words are
+    brought to that form first, and those of letters alone go straight to the library's model.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    word = Memo(lambda w: tokenizer.encode(w, add_special_tokens=False).ids, 600_000)
+    tokenizer, letters = Tokenizer.from_file(path), byte_letters()
+    model = tokenizer.model
+    width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for ids in map(word.__getitem__, text.replace("\n", " ").split(" ")):
-            out += ids
-        return out
+    def compute(w: str) -> bytes:
+        if w and max(w) <= "\xff":
+            low = w.lower()
+            if low != w:
+                return word[low]
+            if w[-1] in ".," and w[:-1].isalpha():
+                return word[w[:-1]] + word[w[-1]]
+            if w.isalpha():  # one piece for the model, in byte letters
+                return packed([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))])
+        return packed(tokenizer.encode(w, add_special_tokens=False).ids)
 
-    return encode
+    word = Memo(compute, 600_000)
+    return lambda text: b"".join(map(word.__getitem__, text.replace("\n", " ").split(" "))), packed, width
 
 
 def write_tables(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
@@ -232,7 +241,9 @@ def write_tables(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, last, repeat = encoder(tokenizer), None, None, 0
+        encode, packed, width = encoder(tokenizer)
+        writer, last, repeat = None, None, 0
+        head, tail = bytes([width]), b"" if end_id is None else packed([end_id])
         for batch in batches:
             for doc_id, text, shard in zip(batch.column(0), batch.column(1), batch.column(2)):
                 doc_id, text = doc_id.as_py(), text.as_py()
@@ -240,10 +251,8 @@ def write_tables(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
                     writer, last = TableWriter(shard.as_py()), ()
                 repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
-                ids = encode(text or "")
-                if end_id is not None:
-                    ids = [*ids, end_id]
-                done = writer.add(key_of(doc_id, repeat), pack_ids(ids), len(ids))
+                value = head + encode(text or "") + tail
+                done = writer.add(key_of(doc_id, repeat), value, len(value) // width)
                 if done:
                     yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], schema=schema)
         if writer is not None:
