@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, packing, pii, simhash, token_counts
+from quire.llm import exact_dedup, language_id, packing, pii, simhash
 from quire.llm.common import documents, materialize
 
 
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's bucket, batch and slot."""
     import public_tokenizers
 
-    return packing.pack(token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("language", identify), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("pii", pseudonymize), ("packing", pack)]

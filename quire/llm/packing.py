@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, number_rows
+from .common import documents, map_columns, materialize, number_rows
+from .sstable import encoder
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -85,9 +86,17 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias(length_col), "bucket", "width", F.floor(F.col("rank_no") / F.col("_rows")).alias("batch"), (F.col("rank_no") % F.col("_rows")).alias("slot"), (F.col("width") - F.col("_n")).alias("padding"))
 
 
+def token_lengths(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and n_tokens: how many ids the token-id shards would hold for each whole text (null: 0)."""
+
+    def start():
+        encode, _, width = encoder(tokenizer)
+        return lambda ids, texts: [ids, [len(encode(t or "")) // width for t in texts]]
+
+    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long", start)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .token_counts import with_token_counts
-
-    return pack(with_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    return pack(token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
