@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.core import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "structural_candidates"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
