@@ -27,7 +27,7 @@ from .common import Memo, documents, map_columns
 from .merges import Machine
 
 #: White space as the splitting rule sees it; a word never goes on after white space begins.
-SPACE = " \t-\r\x85\xa0  -     　"
+SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BLOCK = 4096
 WARM_UP = 64
