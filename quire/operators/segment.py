@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .lines import BY_LINE
+from .lines import by_line
 
 HEADING = "^.{1,29}$"
 TAIL, TITLE, FAKE = 20, 100, 100
@@ -25,7 +25,7 @@ def flagged(lines: DataFrame, pattern: str, titles: DataFrame | None = None) ->
 def chapters(flags: DataFrame, min_body: int = 1) -> DataFrame:
     """doc_id, cid, title, body, length, line_num: text before the first boundary is left out, and so
     are chapters whose body is shorter than min_body; cid counts those that stay."""
-    seg = F.sum(F.col("is_boundary").cast("int")).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0))
+    seg = F.sum(F.col("is_boundary").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     numbered = flags.withColumn("seg", seg).filter("seg > 0")
     parts = F.array_sort(F.collect_list(F.struct("line_num", "line", "is_boundary")))
     grouped = numbered.groupBy("doc_id", "seg").agg(parts.alias("p"))
@@ -47,7 +47,7 @@ def split_at(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def _spans(flags: DataFrame) -> DataFrame:
-    seg = F.sum(F.col("is_boundary").cast("int")).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0))
+    seg = F.sum(F.col("is_boundary").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     grouped = flags.withColumn("seg", seg).filter("seg > 0").groupBy("doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct("line_num", "line"))).alias("p"))
     return grouped.select("doc_id", (F.col("seg") - 1).cast("int").alias("cid"), F.col("p")[0]["line_num"].alias("line_num"), strip(F.col("p")[0]["line"]).alias("title"), F.array_join(F.transform(F.slice("p", 2, 1 << 30), lambda x: x["line"]), "\n").alias("body"), (F.element_at("p", -1)["line_num"] + 1).alias("end_line"))
 

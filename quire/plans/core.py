@@ -152,7 +152,7 @@ def chapter_spans(spark, d):
     f = segment.flagged(doc_lines(spark, d), segment.HEADING)
     size = F.max("line_num").over(Window.partitionBy("doc_id")) + 1
     marks = f.withColumn("n", size).filter("is_boundary")
-    return marks.select("doc_id", "line_num", F.coalesce(F.lead("line_num").over(lines.BY_LINE), F.col("n")).alias("end_line"))
+    return marks.select("doc_id", "line_num", F.coalesce(F.lead("line_num").over(lines.by_line()), F.col("n")).alias("end_line"))
 
 
 @query(f"""WITH RECURSIVE {SCORED}, T AS (SELECT * FROM (SELECT *, row_number() OVER {W} AS r FROM C WHERE confidence > 0.3::DOUBLE) WHERE r <= 500), {_fold('T', 10)}, M AS (SELECT doc_id, line_num FROM R WHERE kept),
