@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, shared_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; files take the space they need (no allocation ahead), and changes are logged.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 LOCATOR = "_content_locator"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def sha256(text: Column) -> Column:
@@ -36,8 +40,9 @@ def stream_state(arrivals: DataFrame, path: str, checkpoint: str, files_per_batc
     group_size. Run again after more files have come, it takes these alone and carries on.
     """
     spark = arrivals.sparkSession
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(arrivals.schema)
         if files_per_batch:
@@ -52,7 +57,8 @@ def stream_state(arrivals: DataFrame, path: str, checkpoint: str, files_per_batc
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if old is None else spark.conf.set(PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = f"digest string, best struct<id:{dict(arrivals.dtypes)['id']},locator:string>, group_size long"
     changes = spark.read.schema(schema + ", batch long").parquet(f"{out}/batch=*") if _any(spark, out) else spark.createDataFrame([], schema + ", batch long")
     # a group only grows, so its latest state is its largest
