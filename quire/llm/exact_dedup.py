@@ -76,6 +76,8 @@ def located(df: DataFrame) -> DataFrame:
 
     A frame that does not come straight from files is written as a table first.
     """
+    if LOCATOR in df.columns:
+        return df
     at = F.concat_ws(":", F.col("_metadata.file_path"), F.format_string("%012d", F.col("_metadata.row_index"))).alias(LOCATOR)
     try:
         return df.select("*", at)
@@ -115,7 +117,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with the columns of df."""
     table = located(df)
-    gone = exact_duplicates(df, id_col, text_col).filter("not kept").select(F.col("locator").alias(LOCATOR))
+    gone = exact_duplicates(table, id_col, text_col).filter("not kept").select(F.col("locator").alias(LOCATOR))
     return table.join(gone, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
