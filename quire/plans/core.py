@@ -41,6 +41,7 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
 S = SPACE
 STRIP = f"regexp_replace({{}}, '^[{S}]+|[{S}]+$', '', 'g')"
 L = "L AS (SELECT doc_id, unnest(range(len(a)))::INT AS line_num, unnest(a) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS a FROM documents WHERE text <> ''))"
+TABLE_SQL = L
 LB = f"{L}, B AS (SELECT *, {STRIP.format('line')} AS body FROM L)"
 W = "(PARTITION BY doc_id ORDER BY line_num)"
 WB = "(PARTITION BY doc_id ORDER BY line_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
