@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_columns, materialize, shuffle_partitions
+from .exact_dedup import LOCATOR, located
 
 SHINGLE = 3
 RADIUS = 3
@@ -215,10 +216,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those near a row of a lesser id (directly or through others)."""
-    found = near_duplicates(df, id_col, text_col)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """Of each component one row of df: that with the least id, and of several with it the first by locator.
+
+    A null id comes after all others. Rows are told apart by their place in their file, so repeated rows and
+    rows without an id are near copies like any other.
+    """
+    table = located(df)
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(LOCATOR).alias("at")).alias("_key")
+    found = near_duplicates(table.select(key, F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
+    gone = found.filter(F.col("_key") != F.col("component_id")).select(F.col("_key.at").alias(LOCATOR))
+    return table.join(gone, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,20 @@ def test_simhash(spark, docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_simhash_keeps_one(spark, docs, empty):
+    rows = docs.collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    groups = {}
+    for r, c in zip(rows, plain_components(fps)):
+        groups.setdefault(c, []).append(r.doc_id)
+    want = [min((i is None, i or 0) for i in ids) for ids in groups.values()]
+    got = [(r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got) == sorted(want) and len(got) < len(rows)
+    lost = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, None), (7, "")], "doc_id long, text string")
+    assert sorted(simhash.keep_one(lost).collect(), key=str) == [(7, ""), (None, "a b c d")]
+    assert simhash.keep_one(empty).count() == 0
+
+
 def test_tiles_and_components(spark):
     rng = random.Random(2)
     centres = [rng.getrandbits(64) for _ in range(6)]
