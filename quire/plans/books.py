@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
-from ..operators import boundaries, headings, hierarchy, lines, patterns, quality, reports, structure, toc
+from ..operators import boundaries, headings, hierarchy, patterns, quality, reports, toc
 from .core import CJK, SCORED, STRIP, TABLE_SQL, doc_lines, docs, query, table
 
 S, NL = SPACE, "\n"
@@ -231,7 +231,7 @@ def pattern_refinement(spark, d):
     return patterns.refined(_best(spark, d))
 
 
-_AUTO = r"^\[\d+\]$|^(?:Chapter )?\d+$"
+_AUTO = r"^[A-Z][a-z]+ \d+"
 
 
 def _clean(name: str, pattern: str) -> str:
