@@ -5,7 +5,9 @@ fingerprints are merged first. Two different ones within `radius` bits agree in
 radius + 1 bands, so each band's value sends a fingerprint to one bucket; no link is lost. In a
 bucket, fingerprints are sorted by their population count and cut into tiles; tile pairs whose counts
 differ by more than the radius are skipped, the others compared whole with exclusive-or and bit counts.
-A bucket returns only links that join its parts (fewer than its fingerprints), and the links'
+A bucket of more than BLOCK fingerprints is dealt to parts by hash and every two parts meet in a task of
+their own, so that no task holds more than about 2 * BLOCK fingerprints of a bucket and no pair is lost.
+A bucket (or two parts) returns only links that join its parts (fewer than its fingerprints), and the links'
 components are found by rounds of star contraction over tables in the shared folder.
 """
 
@@ -24,6 +26,7 @@ from .exact_dedup import LOCATOR, located
 SHINGLE = 3
 RADIUS = 3
 TILE = 1024
+BLOCK = 1 << 15
 SEED = 42
 STEP = 1 << 15
 
@@ -135,31 +138,46 @@ def bucket_links(values: np.ndarray, first: np.ndarray, radius: int = RADIUS, ti
     return np.concatenate([a for a, _ in found] or [empty]), np.concatenate([b for _, b in found] or [empty])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """a, b: for distinct values of fp, pairs whose components are those of all links."""
+def dealt_bands(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """fp, band, value, cell: each fingerprint once in every band, in cell 0; in a bucket of more than
+    `block` fingerprints, once in the cell of its part and each other part."""
     bits = 64 // (radius + 1)
     bands = F.array(*[F.shiftrightunsigned("fp", k * bits).bitwiseAND((1 << bits) - 1 if k < radius else -1) for k in range(radius + 1)])
+    rows = fps.select("fp", F.posexplode(bands).alias("band", "value"))
+    hot = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    # a written table has a known size, by which Spark chooses between a broadcast and a shuffle
+    hot = materialize(hot.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-buckets")
+    own, parts = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.col("parts").cast("long")
+    meets = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: other != own)
+    cells = F.transform(meets, lambda other: F.least(own, other) * parts + F.greatest(own, other))
+    cells = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)
+    return rows.join(hot, ["band", "value"], "left").select("fp", "band", "value", F.explode(cells).alias("cell"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """a, b: for distinct values of fp, pairs whose components are those of all links."""
     n = shuffle_partitions(fps.sparkSession)
-    dealt = fps.select("fp", F.posexplode(bands).alias("band", "value")).repartition(n, "band", "value").sortWithinPartitions("band", "value")
+    bucket = ["band", "value", "cell"]
+    dealt = dealt_bands(fps, radius, block).repartition(n, *bucket).sortWithinPartitions(*bucket)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def compared(done) -> pa.RecordBatch:
-            fp, band, value = done
-            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(value) != 0)) + 1
+            fp, *keys = done
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
             first = np.concatenate(([0], cuts, [len(fp)]))
             a, b = bucket_links(fp.view(np.uint64), first, radius, tile)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
         for batch in batches:
-            part = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            part = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(part[0]):
                 continue
-            differs = np.flatnonzero((part[1] != part[1][-1]) | (part[2] != part[2][-1]))
+            differs = np.flatnonzero(np.any([k != k[-1] for k in part[1:]], axis=0))
             cut = differs[-1] + 1 if len(differs) else 0  # the last bucket may go on in the next batch
-            if held and (cut or (held[-1][1][-1], held[-1][2][-1]) != (part[1][0], part[2][0])):
+            if held and (cut or any(h[-1] != k[0] for h, k in zip(held[-1][1:], part[1:]))):
                 before = [np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in part))]
                 held = []
                 yield compared(before)

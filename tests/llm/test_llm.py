@@ -150,8 +150,11 @@ def test_tiles_and_components(spark):
     a, b = simhash.bucket_links(arr, np.array([0, len(arr)]), small=10_000)
     assert groups(zip(a.tolist(), b.tolist())) == want and len(a) < len(values)
     frame = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    found = simhash.components(simhash.links(frame)).collect()
-    assert groups([(r.node % (1 << 64), r.component % (1 << 64)) for r in found]) == want
+    for block in (simhash.BLOCK, 7):  # with 7, buckets are dealt to parts that meet two by two
+        found = simhash.components(simhash.links(frame, block=block)).collect()
+        assert groups([(r.node % (1 << 64), r.component % (1 << 64)) for r in found]) == want
+    cells = simhash.dealt_bands(frame, block=7).groupBy("band", "value", "cell").count()
+    assert cells.filter("cell > 0").count() > 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.component for r in simhash.components(chain).collect()} == {0}
 
@@ -293,6 +296,18 @@ def test_language_id(spark, empty):
     assert language_id.with_language(empty, parser).count() == 0 and language_id.fit(empty).load().predict("x") == ("und", 0.0)
     a = language_id.SuffixAutomaton(" abcab")
     assert [a.phrases(w) for w in (" ab", "cabx", "xx", "bcb", "")] == [1, 2, 2, 2, 0]
+    sample = " der hund und die katze"
+    b, text = language_id.SuffixAutomaton(sample), " und die katze der hu nd"
+    at = n = 0
+    while at < len(text):  # brute force: the longest piece of the sample at each place
+        at += max((k for k in range(1, len(text) - at + 1) if text[at : at + k] in sample), default=1)
+        n += 1
+    assert b.phrases(text) == n == 4
+    odd = spark.createDataFrame([(1, "the cat sat", "en"), (None, "le chat noir", "fr"), (3, None, "en"), (4, "sans label", None), (1, "the cat sat", "en")], "doc_id long, text string, lang string")
+    small = language_id.fit(odd)
+    assert small.languages == ["en", "fr"]
+    got = sorted((r.doc_id or 0, r.lang_pred) for r in language_id.with_language(odd, small).collect())
+    assert got[:3] == [(0, "fr"), (1, "en"), (1, "en")] and got[3] == (3, "und")
 
 
 def luhn(d):
