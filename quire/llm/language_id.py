@@ -1,12 +1,17 @@
 """Language identification by cross-parsing.
 
-Each language's labelled text becomes a suffix automaton. A text is parsed with it into phrases, each
-the longest match in the labelled text (one letter at least). The language needing the fewest phrases
-a letter wins; ties go to the first name. Words are parsed one by one (labelled text is a list of
-words, and matches may cover the space before a word), so a word's phrase counts are memoised.
+Each language's labelled text becomes a suffix automaton. A whole text's letters, lower-cased and with
+one space before each word, are parsed with it from left to right into phrases, each the longest match
+in the labelled text (one letter at least). The language needing the fewest phrases a letter wins;
+ties go to the first name.
 
 The labelled text is a bounded sample: SAMPLE_DOCS documents a language at most, SAMPLE_CHARS letters
-of them together, taken by a hash of the id. Predictions read whole texts.
+of them together, taken by a hash of the id; of a longer document, a window at a place that is drawn
+by the hash as well. Predictions read whole texts.
+
+Null texts and texts without a letter are `und` with score 0; repeated rows get a result each; rows
+with a null id or a null label are predicted, and those with a null label are not learned from; an
+empty table gives an empty result, and a parser learned from none answers `und`.
 """
 
 from __future__ import annotations
@@ -17,14 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, map_columns, small_batches
+from .common import documents, map_columns, small_batches
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
 MAX_LANGUAGES = 64
 WORDS = re.compile(r"[^\W\d_]+")
-FIELD = 40  # bits for one language's phrase count in a packed sum
 
 
 class SuffixAutomaton:
@@ -57,20 +61,25 @@ class SuffixAutomaton:
             last = cur
         self.moves = moves
 
-    def phrases(self, word: str) -> int:
+    def phrases(self, text: str) -> int:
         """Phrases of the greedy longest-match parse; a letter that is nowhere is a phrase."""
-        moves, state, n = self.moves, 0, 1
-        for c in word:
+        moves, state, n = self.moves, 0, 0
+        root = moves[0]
+        for c in text:
             to = moves[state].get(c)
             if to is None:
                 n += state != 0
-                to = moves[0].get(c)
+                to = root.get(c)
                 if to is None:
                     n += 1
                     state = 0
                     continue
             state = to
-        return n - (state == 0)
+        return n + (state != 0)
+
+
+def joined(words: list[str]) -> str:
+    return (" " + " ".join(words)).lower()
 
 
 class CrossParser:
@@ -85,27 +94,16 @@ class CrossParser:
     def load(self) -> CrossParser:
         if self.automata is None:
             self.automata = [SuffixAutomaton(t) for t in self.samples.values()]
-            self.memo = Memo(self.word, 600_000)
         return self
 
-    def word(self, word: str) -> int:
-        """All languages' phrase counts of a word and, lowest, its letters, packed in one number."""
-        low, packed = " " + word.lower(), 0
-        for a in reversed(self.automata):
-            packed = packed << FIELD | a.phrases(low)
-        return packed << FIELD | len(word)
-
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the share by which the winner needs fewer phrases than the
         next language, between 0 and 1; (und, 0.0) for a text that is null or has no letter."""
         words = WORDS.findall(text) if text else []
         if not words or not self.languages:
             return UNDETERMINED, 0.0
-        total = sum(map(self.memo.__getitem__, words))
-        mask, counts = (1 << FIELD) - 1, []
-        for _ in self.languages:
-            total >>= FIELD
-            counts.append(total & mask)
+        letters = joined(words)
+        counts = [a.phrases(letters) for a in self.automata]
         order = sorted(range(len(counts)), key=lambda i: (counts[i], i))
         best, second = counts[order[0]], counts[order[1]] if len(counts) > 1 else 2 * counts[order[0]]
         return self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0
@@ -117,26 +115,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return CrossParser({})
-    each = max(1, chars // min(docs, max(sizes.values()))) * 2
+    each = max(400, 2 * chars // min(docs, max(sizes.values())))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs / n)))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(F.col("lang").isin(list(sizes))).filter((draw < F.element_at(share, F.col("lang")) * 1.5)).select("lang", "id", F.substring("text", 1, max(each, 400)).alias("text"))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("id")), F.greatest(F.lit(1), F.length("text") - each + 1)) + 1
+    window = F.substr("text", place.cast("int"), F.lit(each)).alias("text")
+    picked = rows.filter(F.col("lang").isin(list(sizes))).filter((draw < F.element_at(share, F.col("lang")) * 1.5)).select("lang", "id", window)
     got: dict[str, list] = {}
     for r in picked.collect():
-        got.setdefault(r["lang"], []).append((r["id"], r["text"]))
+        got.setdefault(r["lang"], []).append((r["id"] or "", r["text"]))
     samples = {}
     for lang, found in got.items():
-        words = (w.lower() for _, t in sorted(found)[:docs] for w in WORDS.findall(t))
-        text = ""
         kept, n = [], 0
-        for w in words:
+        for w in (w for _, t in sorted(found)[:docs] for w in WORDS.findall(t)):
             if n > chars:
                 break
             kept.append(w)
             n += len(w) + 1
-        text = " " + " ".join(kept) if kept else ""
-        if text:
-            samples[lang] = text
+        if kept:
+            samples[lang] = joined(kept)
     return CrossParser(samples)
 
 
