@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ UNDETERMINED = "und"
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
 MAX_LANGUAGES = 64
+FEW = 8  # so few texts are parsed one by one, more of them side by side
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,9 +63,10 @@ class SuffixAutomaton:
             last = cur
         self.moves = moves
 
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy longest-match parse; a letter that is nowhere is a phrase."""
-        moves, state, n = self.moves, 0, 0
+    def phrases(self, text: str, state: int = 0) -> int:
+        """Phrases of the greedy longest-match parse, from the state of a phrase begun before (counted
+        here, where it ends); a letter that is nowhere is a phrase."""
+        moves, n = self.moves, 0
         root = moves[0]
         for c in text:
             to = moves[state].get(c)
@@ -78,6 +81,81 @@ class SuffixAutomaton:
         return n + (state != 0)
 
 
+class SideBySide:
+    """Parses many texts with several automata at once.
+
+    The automata's transitions lie in one double array: state s goes by letter code c to to[i], with
+    i = base[s] + c, if owner[i] is s. A step moves all texts' states of all languages by one letter.
+    """
+
+    def __init__(self, automata: list[SuffixAutomaton]):
+        self.automata = automata
+        letters = sorted({c for a in automata for m in a.moves for c in m})
+        self.code = np.zeros(0x110000, np.int32)  # 0: a letter that is nowhere
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        code, width = {c: k for k, c in enumerate(letters, 1)}, len(letters) + 1
+        self.first = np.cumsum([0] + [len(a.moves) for a in automata])
+        self.roots = self.first[:-1].astype(np.int32)
+        base = np.zeros(self.first[-1], np.int32)
+        moves = [(int(f) + s, sorted((code[c], int(f) + t) for c, t in m.items())) for a, f in zip(automata, self.first) for s, m in enumerate(a.moves) if m]
+        moves.sort(key=lambda m: -len(m[1]))
+        used = bytearray(width + 2 * sum(len(m) for _, m in moves) + 2 * width)
+        owner, to = {}, {}
+        free, single = width, False
+        for s, out in moves:
+            if len(out) == 1 and not single:
+                free, single = width, True  # states of one transition fill the gaps
+            at, tries = used.find(0, free), 0
+            shifts = [c - out[0][0] for c, _ in out[1:]]
+            while True:
+                if at < 0 or at + width >= len(used):
+                    used.extend(bytes(len(used)))
+                    at = used.find(0, free) if at < 0 else at
+                if not any(used[at + d] for d in shifts):
+                    break
+                at, tries = used.find(0, at + 1), tries + 1
+            if tries > 16 or single:
+                free = at
+            base[s] = at - out[0][0]
+            for c, t in out:
+                i = base[s] + c
+                used[i], owner[int(i)], to[int(i)] = 1, s, t
+        size = max(owner, default=0) + 2 * width + 1
+        self.base, self.owner, self.to = base, np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        self.owner[list(owner)], self.to[list(to)] = list(owner.values()), list(to.values())
+        self.starts = np.tile(self.roots, (width, 1))  # where a letter leads from each root; the root: nowhere
+        for k, a in enumerate(automata):
+            for c, t in a.moves[0].items():
+                self.starts[code[c], k] = self.first[k] + t
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """A row for each text with its number of phrases in each language."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        sizes = np.array([len(texts[i]) for i in order], np.int64)
+        found = np.zeros((len(texts), len(self.automata)), np.int64)
+        at, count = 0, np.zeros_like(found)
+        state = np.tile(self.roots, (len(texts), 1))
+        if len(texts) > FEW:
+            flat = self.code[np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            begin = np.cumsum(sizes) - sizes
+            active = np.searchsorted(-sizes, -np.arange(int(sizes[FEW])), side="left")  # texts longer than each place
+            for at, k in enumerate(active.tolist()):
+                letter, s = flat[begin[:k] + at], state[:k]
+                i = self.base[s] + letter[:, None]
+                missed = self.owner[i] != s
+                start = self.starts[letter]
+                count[:k] += missed & (s != self.roots)
+                count[:k] += missed & (start == self.roots)
+                state[:k] = np.where(missed, start, self.to[i])
+            at = len(active)
+        for row, i in enumerate(order):
+            for k, a in enumerate(self.automata):
+                open_state = int(state[row, k] - self.first[k])
+                rest = a.phrases(texts[i][at:], open_state) if sizes[row] > at else open_state != 0
+                found[i, k] = count[row, k] + rest
+        return found
+
+
 def joined(words: list[str]) -> str:
     return (" " + " ".join(words)).lower()
 
@@ -93,20 +171,22 @@ class CrossParser:
 
     def load(self) -> CrossParser:
         if self.automata is None:
-            self.automata = [SuffixAutomaton(t) for t in self.samples.values()]
+            self.automata = SideBySide([SuffixAutomaton(t) for t in self.samples.values()])
         return self
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the share by which the winner needs fewer phrases than the
-        next language, between 0 and 1; (und, 0.0) for a text that is null or has no letter."""
-        words = WORDS.findall(text) if text else []
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        letters = joined(words)
-        counts = [a.phrases(letters) for a in self.automata]
-        order = sorted(range(len(counts)), key=lambda i: (counts[i], i))
-        best, second = counts[order[0]], counts[order[1]] if len(counts) > 1 else 2 * counts[order[0]]
-        return self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text: the score is the share by which the winner needs fewer phrases
+        than the next language, between 0 and 1; (und, 0.0) for a text that is null or has no letter."""
+        found = [(UNDETERMINED, 0.0)] * len(texts)
+        if not self.languages:
+            return found
+        words = [WORDS.findall(t) if t else [] for t in texts]
+        some = [i for i, w in enumerate(words) if w]
+        for i, counts in zip(some, self.automata.phrases([joined(words[i]) for i in some]).tolist()):
+            order = sorted(range(len(counts)), key=lambda k: (counts[k], k))
+            best, second = counts[order[0]], counts[order[1]] if len(counts) > 1 else 2 * counts[order[0]]
+            found[i] = self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0
+        return found
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
@@ -148,7 +228,7 @@ def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", te
         model = shared.value.load()
 
         def each(*values):
-            got = [model.predict(t) for t in values[-1]]
+            got = model.predict(values[-1])
             return [*values[:-1], [g[0] for g in got], [g[1] for g in got]]
 
         return each
@@ -165,7 +245,7 @@ def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text")
     @F.pandas_udf("string")
     def language(texts: pd.Series) -> pd.Series:
         model = shared.value.load()
-        return texts.map(lambda t: model.predict(t)[0])
+        return pd.Series([found for found, _ in model.predict(list(texts))], dtype=object)
 
     return df.filter(language(F.col(f"`{text_col}`")) != UNDETERMINED)
 

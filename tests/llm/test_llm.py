@@ -292,8 +292,8 @@ def test_language_id(spark, empty):
     got = language_id.with_language(t.filter("held_out"), parser, keep=["lang"])
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
     parser.load()
-    assert [parser.predict(x) for x in (None, "", "12 ...")] == [("und", 0.0)] * 3
-    assert language_id.with_language(empty, parser).count() == 0 and language_id.fit(empty).load().predict("x") == ("und", 0.0)
+    assert parser.predict([None, "", "12 ..."]) == [("und", 0.0)] * 3
+    assert language_id.with_language(empty, parser).count() == 0 and language_id.fit(empty).load().predict(["x"]) == [("und", 0.0)]
     a = language_id.SuffixAutomaton(" abcab")
     assert [a.phrases(w) for w in (" ab", "cabx", "xx", "bcb", "")] == [1, 2, 2, 2, 0]
     sample = " der hund und die katze"
@@ -303,6 +303,10 @@ def test_language_id(spark, empty):
         at += max((k for k in range(1, len(text) - at + 1) if text[at : at + k] in sample), default=1)
         n += 1
     assert b.phrases(text) == n == 4
+    many = language_id.SideBySide([a, b])
+    texts = [" hund", "", "x", text, " ab und cab", text * 3, "日 x"] * 4 + [text * 50]
+    assert many.phrases(texts).tolist() == [[m.phrases(t) for m in (a, b)] for t in texts]
+    assert many.phrases(texts[:3]).tolist() == [[m.phrases(t) for m in (a, b)] for t in texts[:3]]
     odd = spark.createDataFrame([(1, "the cat sat", "en"), (None, "le chat noir", "fr"), (3, None, "en"), (4, "sans label", None), (1, "the cat sat", "en")], "doc_id long, text string, lang string")
     small = language_id.fit(odd)
     assert small.languages == ["en", "fr"]
