@@ -30,6 +30,7 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
 MAX_LANGUAGES = 64
 FEW = 8  # so few texts are parsed one by one, more of them side by side
+GROUP_LETTERS = 2 << 20  # texts held as letters at a time, unless a single one has more
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -99,16 +100,17 @@ class SideBySide:
         base = np.zeros(self.first[-1], np.int32)
         moves = [(int(f) + s, sorted((code[c], int(f) + t) for c, t in m.items())) for a, f in zip(automata, self.first) for s, m in enumerate(a.moves) if m]
         moves.sort(key=lambda m: -len(m[1]))
-        used = bytearray(width + 2 * sum(len(m) for _, m in moves) + 2 * width)
-        owner, to = {}, {}
-        free, single = width, False
+        used = bytearray(2 * sum(len(m) for _, m in moves) + 3 * width)
+        owner, to = np.full(len(used), -1, np.int32), np.zeros(len(used), np.int32)
+        free, single, size = width, False, 0
         for s, out in moves:
             if len(out) == 1 and not single:
                 free, single = width, True  # states of one transition fill the gaps
             at, tries = used.find(0, free), 0
             shifts = [c - out[0][0] for c, _ in out[1:]]
             while True:
-                if at < 0 or at + width >= len(used):
+                if at < 0 or at + 2 * width >= len(used):
+                    owner, to = np.append(owner, np.full(len(used), -1, np.int32)), np.append(to, np.zeros(len(used), np.int32))
                     used.extend(bytes(len(used)))
                     at = used.find(0, free) if at < 0 else at
                 if not any(used[at + d] for d in shifts):
@@ -118,11 +120,11 @@ class SideBySide:
                 free = at
             base[s] = at - out[0][0]
             for c, t in out:
-                i = base[s] + c
-                used[i], owner[int(i)], to[int(i)] = 1, s, t
-        size = max(owner, default=0) + 2 * width + 1
-        self.base, self.owner, self.to = base, np.full(size, -1, np.int32), np.zeros(size, np.int32)
-        self.owner[list(owner)], self.to[list(to)] = list(owner.values()), list(to.values())
+                i = at - out[0][0] + c
+                used[i], owner[i], to[i], size = 1, s, t, max(size, i)
+        del moves
+        size += width + 1
+        self.base, self.owner, self.to = base, owner[:size].copy(), to[:size].copy()
         self.starts = np.tile(self.roots, (width, 1))  # where a letter leads from each root; the root: nowhere
         for k, a in enumerate(automata):
             for c, t in a.moves[0].items():
@@ -180,13 +182,24 @@ class CrossParser:
         found = [(UNDETERMINED, 0.0)] * len(texts)
         if not self.languages:
             return found
-        words = [WORDS.findall(t) if t else [] for t in texts]
-        some = [i for i, w in enumerate(words) if w]
-        for i, counts in zip(some, self.automata.phrases([joined(words[i]) for i in some]).tolist()):
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            words = WORDS.findall(text) if text else []
+            if words:
+                held.append((i, joined(words)))
+                size += len(held[-1][1])
+            if size > GROUP_LETTERS:
+                self.decide(held, found)
+                held, size = [], 0
+        if held:
+            self.decide(held, found)
+        return found
+
+    def decide(self, held: list[tuple[int, str]], found: list[tuple[str, float]]) -> None:
+        for (i, _), counts in zip(held, self.automata.phrases([letters for _, letters in held]).tolist()):
             order = sorted(range(len(counts)), key=lambda k: (counts[k], k))
             best, second = counts[order[0]], counts[order[1]] if len(counts) > 1 else 2 * counts[order[0]]
             found[i] = self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0
-        return found
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
