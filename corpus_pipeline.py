@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, language_id, packing, pii, simhash
+from quire.llm import exact_dedup, language_id, near_copies, packing, pii
 from quire.llm.common import documents, materialize
 
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more), the row with the least doc_id stays."""
+    return near_copies.keep_one(docs)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
