@@ -200,12 +200,14 @@ def encoder(path: str):
     The file's rules drop white space and never join what stands on its two sides, so the library
     is asked once for each word between blanks and line ends, and words that recur are remembered. Its
     rules also lower-case, and part letters from a following full stop or comma; Latin-1 words are
-    brought to that form first, and those of letters alone go straight to the library's model.
+    brought to that form first, and those of letters alone go straight to the library's model. Added
+    tokens are matched in the raw text, so a word that would hold one in lower case stays as it is.
     """
     from tokenizers import Tokenizer
 
     tokenizer, letters = Tokenizer.from_file(path), byte_letters()
     model = tokenizer.model
+    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def packed(ids: list[int]) -> bytes:
@@ -214,7 +216,7 @@ def encoder(path: str):
     def compute(w: str) -> bytes:
         if w and max(w) <= "\xff":
             low = w.lower()
-            if low != w:
+            if low != w and not any(t in low for t in added):
                 return word[low]
             if w[-1] in ".," and w[:-1].isalpha():
                 return word[w[:-1]] + word[w[-1]]
