@@ -7,7 +7,8 @@ ties go to the first name.
 
 The labelled text is a bounded sample: SAMPLE_DOCS documents a language at most, SAMPLE_CHARS letters
 of them together, taken by a hash of the id; of a longer document, a window at a place that is drawn
-by the hash as well. Predictions read whole texts.
+by the hash as well. Every label is learned: with more than FULL_LANGUAGES of them, they share the
+letters of so many, MIN_CHARS each at least. Predictions read whole texts.
 
 Null texts and texts without a letter are `und` with score 0; repeated rows get a result each; rows
 with a null id or a null label are predicted, and those with a null label are not learned from; an
@@ -28,7 +29,8 @@ from .common import documents, map_columns, small_batches
 UNDETERMINED = "und"
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
-MAX_LANGUAGES = 64
+FULL_LANGUAGES = 64
+MIN_DOCS, MIN_CHARS = 16, 400  # a language, however many there are
 FEW = 8  # so few texts are parsed one by one, more of them side by side
 GROUP_LETTERS = 2 << 20  # texts held as letters at a time, unless a single one has more
 WORDS = re.compile(r"[^\W\d_]+")
@@ -205,22 +207,24 @@ class CrossParser:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
     """Learns from rows with a text and a label; what reaches the driver is bounded by docs and chars."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not sizes:
         return CrossParser({})
+    if len(sizes) > FULL_LANGUAGES:
+        docs, chars = max(MIN_DOCS, docs * FULL_LANGUAGES // len(sizes)), max(MIN_CHARS, chars * FULL_LANGUAGES // len(sizes))
     each = max(400, 2 * chars // min(docs, max(sizes.values())))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs / n)))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     place = F.pmod(F.xxhash64(F.lit("place"), F.col("id")), F.greatest(F.lit(1), F.length("text") - each + 1)) + 1
     window = F.substr("text", place.cast("int"), F.lit(each)).alias("text")
-    picked = rows.filter(F.col("lang").isin(list(sizes))).filter((draw < F.element_at(share, F.col("lang")) * 1.5)).select("lang", "id", window)
+    picked = rows.filter((draw < F.element_at(share, F.col("lang")) * 1.5)).select("lang", draw.alias("draw"), "id", window)
     got: dict[str, list] = {}
     for r in picked.collect():
-        got.setdefault(r["lang"], []).append((r["id"] or "", r["text"]))
+        got.setdefault(r["lang"], []).append((-1.0 if r["draw"] is None else r["draw"], r["id"] or "", r["text"]))
     samples = {}
     for lang, found in got.items():
         kept, n = [], 0
-        for w in (w for _, t in sorted(found)[:docs] for w in WORDS.findall(t)):
+        for w in (w for _, _, t in sorted(found)[:docs] for w in WORDS.findall(t)):
             if n > chars:
                 break
             kept.append(w)
@@ -232,7 +236,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col, the columns `keep`, lang_pred and score of each row; reads the text alone."""
-    shared = df.sparkSession.sparkContext.broadcast(parser)  # MAX_LANGUAGES * SAMPLE_CHARS letters at most
+    shared = df.sparkSession.sparkContext.broadcast(parser)  # FULL_LANGUAGES * SAMPLE_CHARS letters at most, unless so many labels need MIN_CHARS each
     keep = keep or []
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     columns = list(dict.fromkeys([id_col, *keep]))
