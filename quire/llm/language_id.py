@@ -255,12 +255,15 @@ def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", te
 
 
 def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
-    """The rows of df whose text has a language: null texts and texts without a letter go."""
+    """The rows of df whose text has a language: null texts and texts without a letter go. The parse rejects
+    no other, and a parser that learned no language goes by the letters alone."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("string")
     def language(texts: pd.Series) -> pd.Series:
+        if not shared.value.languages:
+            return pd.Series(["" if t and WORDS.search(t) else UNDETERMINED for t in texts], dtype=object)
         model = shared.value.load()
         return pd.Series([found for found, _ in model.predict(list(texts))], dtype=object)
 

@@ -19,3 +19,9 @@ def test_sample_is_not_a_prefix_by_id(spark):
     seen = {w for w in re.findall("[a-j]{4}", parser.samples["en"])} & {word(i) for i in range(1000, 1400)}
     late = {word(i) for i in range(1200, 1400)}
     assert len(seen) < 300 and 0.3 < len(seen & late) / len(seen) < 0.7
+
+
+def test_no_label_keeps_texts_with_letters(spark):
+    rows = [(1, "words", None), (2, "12 !", None), (3, None, None), (4, "语", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(docs, language_id.fit(docs)).collect()} == {1, 4}
