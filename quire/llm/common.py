@@ -4,32 +4,53 @@ Rules kept by every operator of this package:
 
 * a null text counts as an empty text, a null id is an ordinary value that sorts first;
 * repeated rows are kept, each gets its own result row;
-* operators take the columns they need by name, so further columns (whatever their names) never clash;
+* operators take the columns they need by name, quoted, and use names of their own only where no column of
+  the table has them, so further columns (whatever their names) never clash;
 * an empty table gives an empty result with the same schema.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Python step holds as objects at a time; very long texts are further split by SLICE_BYTES.
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
+#: What the memos of one Python worker may hold each, and the longest key that they keep.
+MEMO_BYTES, MEMO_KEY = 32 << 20, 256
+#: Rows of one key beyond which a join deals them to several tasks.
+HOT_ROWS = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this very name, whatever dots, blanks or back-ticks it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(columns: Iterable[str], base: str) -> str:
+    """A name like `base` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests) one of our own is set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its
+    own; on a cluster it is an error, since executors would not see the driver's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"/tmp/quire-shared-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -37,7 +58,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/quire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all tables that this application put into the shared folder; frames that read them end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/quire-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -62,7 +89,7 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[..., li
     """Maps lists of column values to lists of output columns, Arrow batch by batch.
 
     start() runs once a task and returns the function that gets one Python list for each
-    column of df and returns one list for each column of schema.
+    column of df and returns one list for each column of schema, or yields such lists again and again.
     """
     small_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -79,8 +106,9 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[..., li
                 while n > 1 and batch.slice(at, n).get_total_buffer_size() and _bytes(batch, at, n) > SLICE_BYTES:
                     n = (n + 1) // 2
                 part = batch.slice(at, n)
-                got = each(*[c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(got, arrow, strict=True)], schema=arrow)
+                made = each(*[c.to_pylist() for c in part.columns])
+                for got in [made] if isinstance(made, list) else made:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(got, arrow, strict=True)], schema=arrow)
                 at += n
 
     return df.mapInArrow(run, schema)
@@ -91,45 +119,73 @@ def _bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
 
 
 class Memo(dict):
-    """A bounded memo: computes what it misses, and starts anew when it holds `cap` entries."""
+    """A memo bounded by bytes: computes what it misses, and does not keep keys longer than `longest`.
 
-    def __init__(self, compute: Callable, cap: int = 400_000):
+    An entry counts as `base` bytes and `each` for every letter (member) of its key; values must not take
+    more. When the entries hold half of `limit`, they become the older generation, from which entries that
+    are asked for again come back; the generation before is dropped.
+    """
+
+    def __init__(self, compute: Callable, limit: int = MEMO_BYTES, base: int = 180, each: int = 6, longest: int = MEMO_KEY):
         super().__init__()
-        self.compute, self.cap = compute, cap
+        self.compute, self.limit, self.base, self.each, self.longest, self.held, self.older = compute, limit // 2, base, each, longest, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.cap:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        self.held += self.base + self.each * len(key)
+        if self.held > self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
-def number_rows(df: DataFrame, order: list[str], within: str | None = None, label: str = "numbered") -> DataFrame:
-    """Adds `row_no`: the global 0-based position of each row by `order`, and with `within` (the
-    first of `order`) also `rank_no`, the position inside its group.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: Column, share: int = HOT_ROWS) -> DataFrame:
+    """rows joined with table (one row a key, of known size: a written table) on key.
+
+    weight: how many of `rows` have the table's key. The rows of a key of more than `share` are dealt to
+    several tasks, each with a copy of the key's row in table; there are at most one such key for each
+    `share` rows.
+    """
+    salt, parts = fresh([*rows.columns, *table.columns], "_salt"), fresh([*rows.columns, *table.columns], "_parts")
+    hot = materialize(table.filter(weight > share).select(named(key), F.ceil(weight / share).cast("int").alias(parts)), "hot-keys")
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    copies = table.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copies, [key, salt]).drop(salt)
+
+
+def number_rows(df: DataFrame, order: list[str], within: str | None = None, label: str = "numbered") -> tuple[DataFrame, int]:
+    """df with `row_no`: the global 0-based position of each row by `order`, and with `within` (the
+    first of `order`) also `rank_no`, the position inside its group; and the number of rows.
 
     Rows are range-partitioned and sorted; each knows its place in its partition, and the
-    partitions' counts (one row each, per group) give the offsets. No group meets in one task:
-    ties are told apart by the place in the input.
+    partitions' counts (one row each, per group of a fixed number of them) give the offsets. No group meets
+    in one task: ties are told apart by the place in the input. Columns of df with these two names are
+    replaced; no other name clashes, since columns go by their position in between.
     """
     spark = df.sparkSession
-    keys = [*order, "_src"]
-    placed = df.withColumn("_src", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialize(placed.drop("_src"), label)
-    pid, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    group = [F.col(within).alias("_g")] if within else [F.lit(0).alias("_g")]
-    counts = placed.groupBy(pid.alias("_p"), *group).agg(F.count("*").alias("n"), F.min(local).alias("first")).collect()
-    counts.sort(key=lambda r: (r["_p"], r["first"]))
+    names = [c for c in df.columns if c not in ("row_no", "rank_no")]
+    by = [f"c{names.index(c)}" for c in order]
+    plain = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
+    group = F.col(f"c{names.index(within)}") if within else F.lit(0)
+    placed = plain.withColumn("src", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *by, "src").sortWithinPartitions(*by, "src").withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed.drop("src"), label)
+    pid, local = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(pid.alias("p"), group.alias("g")).agg(F.count("*").alias("n"), F.min(local).alias("first")).collect()
+    counts.sort(key=lambda r: (r["p"], r["first"]))
     total, before, rows = 0, {}, []
     for r in counts:
-        rows.append((r["_p"], r["_g"], total - r["first"], before.get(r["_g"], 0) - r["first"]))
-        before[r["_g"]] = before.get(r["_g"], 0) + r["n"]
+        rows.append((r["p"], r["g"], total - r["first"], before.get(r["g"], 0) - r["first"]))
+        before[r["g"]] = before.get(r["g"], 0) + r["n"]
         total += r["n"]
-    kind = dict(placed.dtypes)[within] if within else "int"
-    offsets = spark.createDataFrame(rows, f"_p long, _g {kind}, _all long, _own long")
-    on = (pid == F.col("_p")) & ((F.col(within) if within else F.lit(0)).eqNullSafe(F.col("_g")))
-    # as many rows as partitions plus groups, which are buckets of a fixed number: small enough to broadcast
-    joined = placed.join(F.broadcast(offsets), on, "left").withColumn("row_no", F.col("_all") + local)
-    if within:
-        joined = joined.withColumn("rank_no", F.col("_own") + local)
-    return joined.drop("_at", "_p", "_g", "_all", "_own")
+    kind = df.schema[within].dataType.simpleString() if within else "int"
+    # Spark knows the size of these rows and chooses the join by it
+    offsets = spark.createDataFrame(rows, f"p long, g {kind}, whole long, own long")
+    joined = placed.join(offsets, (pid == F.col("p")) & group.eqNullSafe(F.col("g")), "left")
+    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)] + [(F.col("whole") + local).alias("row_no")]
+    return joined.select(*out, *([(F.col("own") + local).alias("rank_no")] if within else [])), total

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from .common import Memo
 
+MACHINE_BYTES = 48 << 20
+
 Rank = Callable[[str, str], float | None]
 
 
@@ -34,14 +36,14 @@ def simulate(text: str, rank: Rank) -> list[str]:
             ranks[at - 1] = rank(parts[at - 1], parts[at])
 
 
-def compatibility(rank: Rank, cap: int = 500_000) -> Memo:
+def compatibility(rank: Rank) -> Memo:
     """(last piece, next piece) -> whether both stay; a last piece of None or '' is the start."""
 
     def test(pair: tuple[str | None, str]) -> bool:
         before, piece = pair
         return simulate((before or "") + piece, rank) == ([before, piece] if before else [piece])
 
-    return Memo(test, cap)
+    return Memo(test, 16 << 20, 280)
 
 
 class Moves(dict):
@@ -60,17 +62,22 @@ class Machine:
     """A deterministic machine whose states are compiled as texts ask for them.
 
     A state lists the suffixes of the text so far that begin some piece, each with what a subclass
-    must remember of the text before it; state 0 is the start.
+    must remember of the text before it; state 0 is the start. Between texts the machine starts anew when
+    its states hold more than `limit` bytes.
     """
 
-    def __init__(self, vocab, rank: Rank, start: tuple, max_states: int = 150_000):
-        self.vocab, self.start, self.max_states = vocab, start, max_states
+    def __init__(self, vocab, rank: Rank, start: tuple, limit: int = MACHINE_BYTES):
+        self.vocab, self.start, self.limit = vocab, start, limit
         self.begins = {t[:k] for t in vocab for k in range(1, len(t))}
         self.compatible = compatibility(rank)
         self.reset()
 
     def reset(self) -> None:
-        self.ids, self.live, self.moves = {self.start: 0}, [self.start], [Moves(self, 0)]
+        self.ids, self.live, self.moves, self.held = {self.start: 0}, [self.start], [Moves(self, 0)], 0
+
+    def relieve(self) -> None:
+        if self.held > self.limit:
+            self.reset()
 
     def compile(self, state: int, letter: str) -> tuple:
         raise NotImplementedError
@@ -80,5 +87,7 @@ class Machine:
         if to == len(self.live):
             self.live.append(live)
             self.moves.append(Moves(self, to))
+            self.held += 700 + 200 * len(live)  # about what a state takes
+        self.held += 100
         move = self.moves[state][letter] = (to, emitted)
         return move

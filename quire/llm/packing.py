@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialize, number_rows
+from .common import documents, map_columns, materialize, named, number_rows
 from .sstable import encoder
 
 BUCKETS = 16
@@ -70,16 +70,17 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     """id_col, length_col, bucket, width (padded length), batch (0.. in its bucket), slot (0.. in its
     batch) and padding of each row.
 
-    A null or negative length counts as 0. Repeated rows are packed each. The driver holds the distinct
-    lengths, no more than the longest text has tokens.
+    A null or negative length counts as 0. Repeated rows are packed each, rows whose hashes tie by id and
+    then by place; an empty table gives none. The driver holds the distinct lengths, no more than the
+    longest text has tokens.
     """
-    slim = materialize(lengths.select(F.col(id_col).alias("_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long").alias("_n")), "lengths")
+    slim = materialize(lengths.select(named(id_col).alias("_id"), F.greatest(F.coalesce(named(length_col), F.lit(0)), F.lit(0)).cast("long").alias("_n")), "lengths")
     histogram = [(r["_n"], r["count"]) for r in slim.groupBy("_n").count().orderBy("_n").collect()]
     bounds = bucket_bounds(histogram, buckets) or [0]
     widths = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(widths, lambda b: b < F.col("_n")))
     placed = slim.withColumn("bucket", bucket.cast("int")).withColumn("_h", F.xxhash64("_id"))
-    ranked = number_rows(placed, ["bucket", "_h", "_id"], within="bucket", label="packed")
+    ranked, _ = number_rows(placed, ["bucket", "_h", "_id"], within="bucket", label="packed")
     width = F.element_at(widths, F.col("bucket") + 1)
     rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(width, F.lit(1))))
     out = ranked.withColumn("width", width).withColumn("_rows", rows)
@@ -93,10 +94,13 @@ def token_lengths(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         encode, _, width = encoder(tokenizer)
         return lambda ids, texts: [ids, [len(encode(t or "")) // width for t in texts]]
 
-    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return map_columns(rows, f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long", start).toDF(id_col, "n_tokens")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, bucket, width, batch, slot and padding of every document; nulls, repeats, ties and
+    empty tables as in pack."""
     import public_tokenizers
 
     return pack(token_lengths(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, documents, map_columns
+from .common import MEMO_BYTES, Memo, documents, map_columns, named
 from .merges import Machine
 
 MARK = "▁"
@@ -44,7 +44,7 @@ class Matches(Machine):
 class PieceModel:
     """A BPE model with byte fallback, identity normalisation and a dummy prefix."""
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -60,7 +60,7 @@ class PieceModel:
         score = {p: -model.pieces[i].score for p, i in self.ids.items()}
         self.matches = Matches(self.ids, lambda a, b: score.get(a + b), (("", None),))
         self.units = self.cutter()
-        self.memo = Memo(self.unit, cap)
+        self.memo = Memo(self.unit, 4 * MEMO_BYTES, 380, 8)  # ids, their text and the decoded text of a unit
 
     def cutter(self) -> re.Pattern:
         together = {pair for p in self.ids for pair in zip(p, p[1:])}
@@ -72,8 +72,7 @@ class PieceModel:
 
     def prefix_table(self, text: str) -> list[str]:
         """The last piece of each prefix; a letter of no piece stands for itself."""
-        if len(self.matches.live) > self.matches.max_states:
-            self.matches.reset()
+        self.matches.relieve()
         moves, state, last = self.matches.moves, 0, []
         for letter in text:
             state, piece = moves[state][letter]
@@ -129,7 +128,8 @@ def piece_model(path: str) -> PieceModel:
 
 
 def with_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids (array<int>) and decoded text of each row; a null text is an empty one (no ids)."""
+    """id_col, ids (array<int>) and decoded text of each row; a null text is an empty one (no ids). Repeated
+    rows get a result each, an empty table gives none, and a text of any length is encoded whole."""
 
     def start():
         model = piece_model(path)
@@ -140,11 +140,12 @@ def with_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         return each
 
-    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, ids array<int>, decoded string", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return map_columns(rows, f"id {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string", start).toDF(id_col, "ids", "decoded")
 
 
 def piece_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As with_pieces, but digests of both instead of the ids and the text."""
+    """As with_pieces, but the number of ids and digests of both instead of the ids and the text."""
 
     def start():
         model = piece_model(path)
@@ -161,10 +162,12 @@ def piece_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         return each
 
-    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return map_columns(rows, f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", start).toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; nulls, repeats and empty tables as in with_pieces."""
     import public_tokenizers
 
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialize, number_rows
+from .common import documents, map_columns, materialize, named, number_rows
 
 ROUNDS = 6
 
@@ -50,14 +50,16 @@ def permute(numbers: np.ndarray, n: int, key: int = 0, inverse: bool = False) ->
 def with_shards(df: DataFrame, order: list[str], shards: int = 16, key: int = 0) -> DataFrame:
     """The columns of df (narrow: no texts) with row_no, permuted, shard and slot.
 
-    Equal rows of a table are told apart by their place in the input; nulls come first.
+    Equal rows of a table are told apart by their place in the input; nulls come first. Columns of df called
+    row_no, permuted, shard or slot are replaced; an empty table gives an empty result.
     """
-    numbered = number_rows(df, order, label="row-numbers")
-    n = df.count()
-    kinds = [(f.name, f.dataType.simpleString()) for f in numbered.schema]
+    numbered, n = number_rows(df, order, label="row-numbers")
+    names = [c for c in numbered.columns if c not in ("permuted", "shard", "slot")]
+    plain = numbered.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
+    kinds = [(f.name, f.dataType.simpleString()) for f in plain.schema]
 
     def start():
-        at = [k for k, _ in kinds].index("row_no")
+        at = names.index("row_no")
 
         def each(*values):
             p = permute(np.array(values[at], np.uint64), n, key)
@@ -65,11 +67,14 @@ def with_shards(df: DataFrame, order: list[str], shards: int = 16, key: int = 0)
 
         return each
 
-    return map_columns(numbered, ", ".join(f"`{k}` {v}" for k, v in kinds) + ", permuted long, shard int, slot long", start)
+    out = map_columns(plain, ", ".join(f"{k} {v}" for k, v in kinds) + ", permuted long, shard int, slot long", start)
+    return out.toDF(*names, "permuted", "shard", "slot")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (`rows`), shard and slot of every document. A null text has no bytes
+    (size 1); repeated rows get a slot each; an empty table gives none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = materialize(documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")), "sizes")
-    got = with_shards(slim, ["doc_id", "size", "text_crc32"])
+    slim = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    got = with_shards(materialize(slim, "sizes"), ["doc_id", "size", "text_crc32"])
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,51 +1,64 @@
 """Token-id shards as sorted-string tables.
 
-One file a shard, its documents in ascending id order:
+A shard is a range of ids; its documents lie, in ascending id order, in one or more tables of about
+TABLE_BYTES, each a file of its own:
 
     data blocks     entries whose keys share prefixes: shared, unshared and value lengths as varints,
                     the key's unshared bytes, the value; every RESTART-th key is stored whole; a
                     trailer of restart offsets; blocks are compressed with zlib
     index block     for each data block: last key, offset, stored length
-    filter block    Bloom filter over the keys
-    footer          offsets and lengths of index and filter, shard number, documents, tokens, bits
-                    and hashes of the filter, magic; the file ends with a line end
-
-A key is the id as 8 bytes big-endian with the sign flipped (so that bytes sort as numbers), then 4
-bytes that count repeats of the id. A value holds the token ids as little-endian unsigned 16-bit (32-bit
-if one needs it). Spark's writer commits the files, so they survive lost tasks and reach any store.
+    filter block    Bloom filter over the ids
+    footer          offsets and lengths of index and filter, shard and table number, documents, tokens,
+                    blocks, hashes of the filter, magic; the file ends with a line end
+
+A key is the id as 8 bytes big-endian with the sign flipped (so that bytes sort as numbers; a null id has
+the least), then the row's place in the input as 8 bytes, which tells repeats of an id apart. A value
+holds the width of its ids and the token ids as little-endian unsigned 16-bit (32-bit if one needs it).
+Spark's writer commits the files, so they survive lost tasks and reach any store. Numbers in file names rise as the
+keys do: a lookup searches the files, then the index, then the block's restarts by halves, and reads
+only footers, indexes, one filter and the blocks of that id.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, shared_path, shuffle_partitions, small_batches
+from .common import MEMO_BYTES, Memo, documents, materialize, named, shared_path, shuffle_partitions, small_batches
 from .token_counts import byte_letters
 
 BLOCK = 64 << 10
+TABLE_BYTES = 16 << 20
 RESTART = 16
-FOOTER = struct.Struct("<QQQQqQQQI8s")
-MAGIC = b"QSSTBL01"
+FOOTER = struct.Struct("<QQQQqqQQQI8s")
+MAGIC = b"QSSTBL02"
 BITS_PER_KEY = 10
 NULL_KEY = -(1 << 63)
+KEY = 16
+ENTRY = KEY + 12
+
+
+def prefix_of(doc_id: int | None) -> bytes:
+    return struct.pack(">Q", (NULL_KEY if doc_id is None else doc_id) + (1 << 63))
 
 
-def key_of(doc_id: int | None, repeat: int = 0) -> bytes:
-    """A null id has the least key."""
-    return struct.pack(">QI", ((NULL_KEY if doc_id is None else doc_id) + (1 << 63)), repeat)
+def key_of(doc_id: int | None, place: int = 0) -> bytes:
+    return prefix_of(doc_id) + struct.pack(">Q", place)
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">QI", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    doc_id = struct.unpack_from(">Q", key)[0] - (1 << 63)
+    return None if doc_id == NULL_KEY else doc_id
 
 
 def varint(n: int) -> bytes:
@@ -85,67 +98,74 @@ class Bloom:
 
 
 class TableWriter:
-    """add() in key order returns what is to be written so far; finish() returns the rest."""
+    """add() in key order; finish() returns the table."""
 
-    def __init__(self, shard: int):
-        self.shard, self.offset, self.docs, self.tokens = shard, 0, 0, 0
-        self.index, self.keys = [], []
+    def __init__(self, shard: int, part: int):
+        self.shard, self.part, self.offset, self.docs, self.tokens = shard, part, 0, 0, 0
+        self.stored, self.index, self.ids = [], [], []
         self.begin()
 
     def begin(self) -> None:
         self.block, self.restarts, self.last, self.count = bytearray(), [], b"", 0
 
-    def add(self, key: bytes, value: bytes, tokens: int) -> bytes:
+    def add(self, key: bytes, value: bytes, tokens: int) -> None:
         shared = 0
         if self.count % RESTART:
-            while shared < len(key) and key[shared] == self.last[shared]:
+            while shared < KEY and key[shared] == self.last[shared]:
                 shared += 1
         else:
             self.restarts.append(len(self.block))
-        self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
+        self.block += varint(shared) + varint(KEY - shared) + varint(len(value)) + key[shared:] + value
         self.last = key
         self.count += 1
         self.docs += 1
         self.tokens += tokens
-        self.keys.append(key)
-        return self.flush() if len(self.block) >= BLOCK else b""
-
-    def flush(self) -> bytes:
-        if not self.count:
-            return b""
-        raw = bytes(self.block) + struct.pack(f"<{len(self.restarts)}II", *self.restarts, len(self.restarts))
-        stored = zlib.compress(raw, 1)
-        self.index.append((self.last, self.offset, len(stored)))
-        self.offset += len(stored) + 1  # the writer ends each row with a line end
-        self.begin()
-        return stored
+        self.ids.append(key[:8])
+        if len(self.block) >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.count:
+            raw = bytes(self.block) + struct.pack(f"<{len(self.restarts)}II", *self.restarts, len(self.restarts))
+            stored = zlib.compress(raw, 1)
+            self.index.append((self.last, self.offset, len(stored)))
+            self.stored.append(stored)
+            self.offset += len(stored)
+            self.begin()
 
     def finish(self) -> bytes:
-        """Index, filter and footer, to be written as one row after flush()'s."""
-        index = b"".join(struct.pack("<QI", o, n) + k for k, o, n in self.index)
-        bloom = Bloom(bytearray(max(8, len(self.keys) * BITS_PER_KEY // 8 + 1)), 7)
-        for k in self.keys:
+        self.flush()
+        index = b"".join(k + struct.pack("<QI", o, n) for k, o, n in self.index)
+        bloom = Bloom(bytearray(max(8, len(self.ids) * BITS_PER_KEY // 8 + 1)), 7)
+        for k in set(self.ids):
             bloom.add(k)
         at = self.offset
-        return index + bytes(bloom.bits) + FOOTER.pack(at, len(index), at + len(index), len(bloom.bits), self.shard, self.docs, self.tokens, len(self.index), bloom.hashes, MAGIC)
+        footer = FOOTER.pack(at, len(index), at + len(index), len(bloom.bits), self.shard, self.part, self.docs, self.tokens, len(self.index), bloom.hashes, MAGIC)
+        return b"".join([*self.stored, index, bytes(bloom.bits), footer])
 
 
 class TableReader:
-    def __init__(self, data: bytes):
-        self.data = data
-        end = len(data) - 1  # the last line end
-        at, n, filter_at, filter_n, self.shard, self.docs, self.tokens, blocks, hashes, magic = FOOTER.unpack(data[end - FOOTER.size : end])
+    """fetch(offset, length) reads from a file of `size` bytes; the footer and the index are read at once,
+    filter and blocks when they are asked for."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes], size: int):
+        self.fetch = fetch
+        # the last byte is a line end
+        at, n, self.filter_at, self.filter_n, self.shard, self.part, self.docs, self.tokens, blocks, self.hashes, magic = FOOTER.unpack(fetch(size - 1 - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a table of this format")
-        self.bloom = Bloom(data[filter_at : filter_at + filter_n], hashes)
-        self.index = [(data[i + 12 : i + 24], *struct.unpack_from("<QI", data, i)) for i in range(at, at + n, 24)]
-        self.last_keys = [k for k, _, _ in self.index]
+        index = fetch(at, n)
+        self.index = [struct.unpack_from("<QI", index, i + KEY) for i in range(0, n, ENTRY)]
+        self.last_keys = [index[i : i + KEY] for i in range(0, n, ENTRY)]
         if len(self.index) != blocks:
             raise ValueError("the index is damaged")
 
+    @classmethod
+    def of(cls, data: bytes) -> TableReader:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
     def block(self, k: int) -> tuple[bytes, list[int]]:
-        _, offset, n = self.index[k]
-        raw = zlib.decompress(self.data[offset : offset + n])
+        raw = zlib.decompress(self.fetch(*self.index[k]))
         (count,) = struct.unpack_from("<I", raw, len(raw) - 4)
         end = len(raw) - 4 - 4 * count
         return raw[:end], list(struct.unpack_from(f"<{count}I", raw, end))
@@ -166,26 +186,28 @@ class TableReader:
         for k in range(len(self.index)):
             yield from self.entries(self.block(k)[0])
 
-    def get(self, doc_id: int | None, repeat: int = 0) -> bytes | None:
-        """Filter, then the index by halves, then the block's restarts by halves."""
-        key = key_of(doc_id, repeat)
-        if key not in self.bloom:
-            return None
-        k = bisect_left(self.last_keys, key)
-        if k == len(self.index):
-            return None
-        raw, restarts = self.block(k)
-        low, high = 0, len(restarts) - 1
-        while low < high:
-            middle = (low + high + 1) // 2
-            if next(self.entries(raw, restarts[middle]))[0] <= key:
-                low = middle
-            else:
-                high = middle - 1
-        for found, value in self.entries(raw, restarts[low]):
-            if found >= key:
-                return value if found == key else None
-        return None
+    def get(self, doc_id: int | None) -> list[bytes]:
+        """The values of all rows with this id: filter, then the index by halves, then the block's restarts by halves."""
+        prefix = prefix_of(doc_id)
+        if prefix not in Bloom(self.fetch(self.filter_at, self.filter_n), self.hashes):
+            return []
+        found: list[bytes] = []
+        first = bisect_left(self.last_keys, prefix)
+        for k in range(first, len(self.index)):
+            raw, restarts = self.block(k)
+            low, high = 0, len(restarts) - 1
+            while low < high:
+                middle = (low + high + 1) // 2
+                if next(self.entries(raw, restarts[middle]))[0] < prefix:
+                    low = middle
+                else:
+                    high = middle - 1
+            for key, value in self.entries(raw, restarts[low]):
+                if key[:8] > prefix:
+                    return found
+                if key[:8] == prefix:
+                    found.append(value)
+        return found
 
 
 def unpack_ids(value: bytes) -> np.ndarray:
@@ -193,115 +215,194 @@ def unpack_ids(value: bytes) -> np.ndarray:
     return np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4")
 
 
+#: The rules of the tokenizer file for which words can be encoded apart: fixed values of its format.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters, numerals and white space of lower-case Latin-1 as SPLIT sees them, and SPLIT for such texts.
+LETTERS, NUMERALS, BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", " \t-\r\x85\xa0"
+PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMERALS}]|[^{BLANKS}{LETTERS}{NUMERALS}]+")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """(text -> packed ids, ids -> packed ids, width) by the tokenizers library, word by word.
+    """(text -> packed ids, ids -> packed ids, width) by the tokenizers library.
 
-    The file's rules drop white space and never join what stands on its two sides, so the library
-    is asked once for each word between blanks and line ends, and words that recur are remembered. Its
-    rules also lower-case, and part letters from a following full stop or comma; Latin-1 words are
-    brought to that form first, and those of letters alone go straight to the library's model. Added
-    tokens are matched in the raw text, so a word that would hold one in lower case stays as it is.
+    The file's rules drop white space and never join what stands on its two sides, so texts can be
+    encoded word by word. A Latin-1 text is its own canonical form: it is lower-cased and split as the rules
+    say, and each piece goes to the library's model; pieces that recur are remembered. Other words, and
+    words that could hold an added token (matched in the raw text), go to the library as they are. A file
+    with other rules gets whole texts.
     """
     from tokenizers import Tokenizer
 
     tokenizer, letters = Tokenizer.from_file(path), byte_letters()
     model = tokenizer.model
-    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+    letter = "H" if width == 2 else "I"
+
+    shapes = [struct.Struct(f"<{n}{letter}") for n in range(32)]
 
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
+        n = len(ids)
+        return shapes[n].pack(*ids) if n < 32 else struct.pack(f"<{n}{letter}", *ids)
+
+    def whole(text: str) -> bytes:
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = spec.get("normalizer") == NORMALIZER and steps[0].get("pattern") == {"Regex": SPLIT} and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+    mark = "<|"
+    if not known or any(t["normalized"] or not t["content"].startswith(mark) for t in spec["added_tokens"]):
+        return whole, packed, width
 
-    def compute(w: str) -> bytes:
-        if w and max(w) <= "\xff":
-            low = w.lower()
-            if low != w and not any(t in low for t in added):
-                return word[low]
-            if w[-1] in ".," and w[:-1].isalpha():
-                return word[w[:-1]] + word[w[-1]]
-            if w.isalpha():  # one piece for the model, in byte letters
-                return packed([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))])
-        return packed(tokenizer.encode(w, add_special_tokens=False).ids)
+    def latin(text: str) -> bool:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return True
 
-    word = Memo(compute, 600_000)
-    return lambda text: b"".join(map(word.__getitem__, text.replace("\n", " ").split(" "))), packed, width
+    def compute(p: str) -> bytes:
+        if not (p.isascii() and p.isalpha()):
+            p = p.encode().decode("latin-1").translate(letters)
+        return packed([t.id for t in model.tokenize(p)])
 
+    piece = Memo(compute)
 
-def write_tables(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Encodes each whole text (null: empty), appends end_id and writes one table a shard.
+    def compute_word(w: str) -> bytes:
+        if w.isalpha():
+            return compute(w)
+        return b"".join(map(piece.__getitem__, PIECES.findall(w)))
 
-    Shards are ranges of ids. Rows of one id are told apart by place in the input, and a range may end
-    between them. An empty table writes no shard.
+    word = Memo(compute_word, 3 * MEMO_BYTES)  # of lower-case Latin-1 words
+    other = Memo(lambda w: encode(w) if mark not in w and latin(w) else whole(w))
+
+    def encode(text: str) -> bytes:
+        if mark not in text and latin(text):
+            return b"".join(map(word.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        return b"".join(map(other.__getitem__, text.replace("\n", " ").split(" ")))
+
+    return encode, packed, width
+
+
+def write_tables(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, table_bytes: int = TABLE_BYTES) -> None:
+    """Encodes each whole text (null: empty), appends end_id and writes the tables.
+
+    Shards are ranges of ids; tables end after the document with which they reach table_bytes. Rows of one
+    id are told apart by place in the input, and a shard may end between them. An empty table of
+    documents writes no table. A task holds one table at a time.
     """
     spark = df.sparkSession
-    n = shards or shuffle_partitions(spark)
-    keys = ["_id", "_src"]
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_src", F.monotonically_increasing_id())
-    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("_id", "_text", F.spark_partition_id().alias("_shard"))
+    keys = ["id", "place"]
+    rows = df.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).select("id", "place", "text", F.spark_partition_id().alias("shard"))
     schema = pa.schema([("value", pa.binary())])
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packed, width = encoder(tokenizer)
-        writer, last, repeat = None, None, 0
+        writer, part = None, 0
         head, tail = bytes([width]), b"" if end_id is None else packed([end_id])
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], schema=schema)
+
         for batch in batches:
-            for doc_id, text, shard in zip(batch.column(0), batch.column(1), batch.column(2)):
-                doc_id, text = doc_id.as_py(), text.as_py()
-                if writer is None:
-                    writer, last = TableWriter(shard.as_py()), ()
-                repeat = repeat + 1 if doc_id == last else 0
-                last = doc_id
-                value = head + encode(text or "") + tail
-                done = writer.add(key_of(doc_id, repeat), value, len(value) // width)
-                if done:
-                    yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], schema=schema)
+            for doc_id, place, text, shard in zip(*batch.columns):
+                writer = writer or TableWriter(shard.as_py(), part)
+                ids = encode(text.as_py() or "") + tail
+                writer.add(key_of(doc_id.as_py(), place.as_py()), head + ids, len(ids) // width)
+                if writer.offset >= table_bytes:
+                    yield done()
+                    writer, part = None, part + 1
         if writer is not None:
-            rest = [x for x in (writer.flush(), writer.finish()) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(rest, pa.binary())], schema=schema)
+            yield done()
 
-    # a binary value cast to string is written by the text sink byte for byte
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    # a row is a table, a table is a file; a binary value cast to string is written by the text sink byte for byte
+    tables = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    tables.write.option("maxRecordsPerFile", 1).text(path)
 
 
-def read_tables(spark: SparkSession, path: str, summary: bool = False) -> DataFrame:
-    """summary: shard, docs, tokens of each file, from its footer; else shard, doc_id, local_start,
-    n_tokens and ids_crc32 of each document, in file order."""
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """shard, part (table of the shard), doc_id, local_start (ids before it in its table), n_tokens and
+    ids_crc32 of each document. A task holds one table at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
-    schema = "shard long, docs long, tokens long" if summary else "shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = ["shard", "part", "doc_id", "local_start", "n_tokens", "ids_crc32"]
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                table = TableReader(content.as_py())
-                if summary:
-                    rows = [(table.shard, table.docs, table.tokens)]
-                else:
-                    rows, at = [], 0
-                    for key, value in table:
-                        ids, doc_id = unpack_ids(value), id_of(key)
-                        rows.append((table.shard, None if doc_id == NULL_KEY else doc_id, at, len(ids), zlib.crc32(ids)))
-                        at += len(ids)
+                table, rows, at = TableReader.of(content.as_py()), [], 0
+                for key, value in table:
+                    ids = unpack_ids(value)
+                    rows.append((table.shard, table.part, id_of(key), at, len(ids), zlib.crc32(ids)))
+                    at += len(ids)
+                if (len(rows), at) != (table.docs, table.tokens):
+                    raise ValueError("a table does not hold what its footer says")
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the files."""
-    footers = [tuple(r) for r in read_tables(spark, path, summary=True).select("shard", "tokens").collect()]  # one row a file
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the files.
+
+    The driver gets one row a shard; tables inside a shard are summed up there.
+    """
+    rows = materialize(read_tables(spark, path), "token-rows")
+    tables = rows.groupBy("shard", "part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("tokens"))
+    before = F.sum("tokens").over(Window.partitionBy("shard").orderBy("part")) - F.col("tokens")
+    tables = materialize(tables.withColumn("in_shard", before), "token-tables")
     starts, at = [], 0
-    for shard, tokens in sorted(footers):
-        starts.append((shard, at))
-        at += tokens
-    offsets = spark.createDataFrame(starts, "shard long, shard_start long")
-    return read_tables(spark, path).join(F.broadcast(offsets), "shard").select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    for r in sorted(tables.groupBy("shard").agg(F.sum("tokens").alias("n")).collect()):
+        starts.append((r["shard"], at))
+        at += r["n"]
+    offsets = tables.join(spark.createDataFrame(starts, "shard long, first long"), "shard").select("shard", "part", (F.col("first") + F.col("in_shard")).alias("first"))
+    return rows.join(offsets, ["shard", "part"]).select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def lookup(spark: SparkSession, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The token ids of every row with this id (none: an empty list), by ranged reads from the driver."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # one entry a table
+    files = sorted((*map(int, m.groups()), f.getLen(), f.getPath()) for f in store.listStatus(folder) if f.getLen() and (m := re.match(r"part-(\d+)-.*-c(\d+)", f.getPath().getName())))
+
+    def table(k: int) -> TableReader:
+        def fetch(at: int, n: int) -> bytes:
+            stream = store.open(files[k][3])
+            try:
+                stream.seek(at)
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+            finally:
+                stream.close()
+
+        return TableReader(fetch, files[k][2])
+
+    low, high, prefix = 0, len(files), prefix_of(doc_id)
+    while low < high:
+        middle = (low + high) // 2
+        if table(middle).last_keys[-1] < prefix:
+            low = middle + 1
+        else:
+            high = middle
+    found: list[np.ndarray] = []
+    for k in range(low, len(files)):
+        values = table(k).get(doc_id)
+        if not values:
+            break
+        found += map(unpack_ids, values)
+    return found
 
 
 def op5_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document (null and empty texts have the end id alone,
+    repeated rows a place each; no documents, no rows), read back from the tables just written."""
     import public_tokenizers
 
     path = shared_path(spark, "token-tables")

@@ -7,10 +7,15 @@ carries the number of tokens that it emits (it can be 0 or negative when pieces
 count is the sum along its path.
 
 A chunk of text acts on states as a map: entry state -> (exit state, emitted tokens). Maps compose,
-and composition is associative, so chunks are run apart and put together with a prefix scan. A chunk
-that ends where the tokenizer's splitting rule always ends a word has the start state as exit; the
-maps of such chunks are memoised by their text. Runs without such a place are cut into blocks that
-are run from a guessed entry state (warmed up on the text before them); a wrong guess is run again.
+and composition is associative, so chunks are run apart and put together with a prefix scan:
+
+* Texts are cut where the tokenizer's splitting rule always ends a word. The map of such a chunk takes the
+  start state to itself, so it is kept as its number of tokens alone, memoised by the chunk's text. All
+  chunks of many texts are composed at once by one scan (cumulative sums in numpy), and each text's
+  count is the difference of the scan at its two ends.
+* A word of more than BLOCK letters has no such place inside. It is cut into blocks that are run from a
+  guessed entry state (warmed up on the text before them) and composed by a scan over their maps; a map
+  that is asked for another entry state is run from that as well.
 """
 
 from __future__ import annotations
@@ -19,17 +24,17 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import Memo, documents, map_columns
+from .common import MEMO_BYTES, Memo, documents, map_columns, named
 from .merges import Machine
 
 #: White space as the splitting rule sees it; a word never goes on after white space begins.
 SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-BLOCK = 4096
+BLOCK = 512
 WARM_UP = 64
 
 
@@ -42,9 +47,9 @@ def byte_letters() -> dict[int, str]:
 class Transducer(Machine):
     """Deterministic, over byte letters; state 0 is the start of a word."""
 
-    def __init__(self, merges: list[tuple[str, str]], vocab: set[str], max_states: int = 150_000):
+    def __init__(self, merges: list[tuple[str, str]], vocab: set[str]):
         ranks = {tuple(p): i for i, p in enumerate(merges)}
-        super().__init__(vocab, lambda a, b: ranks.get((a, b)), (("", None, 0),), max_states)
+        super().__init__(vocab, lambda a, b: ranks.get((a, b)), (("", None, 0),))
 
     def compile(self, state: int, letter: str) -> tuple[int, int]:
         """The transition by letter: (next state, tokens emitted)."""
@@ -66,9 +71,8 @@ class Transducer(Machine):
 
     def count(self, letters: str) -> int:
         """Tokens of one word."""
-        if len(self.live) > self.max_states:
-            self.reset()
-        if len(letters) <= 2 * BLOCK:
+        self.relieve()
+        if len(letters) <= BLOCK:
             return self.run(0, letters)[1]
         cuts = range(0, len(letters), BLOCK)
         blocks = [StateMap(self, [letters[i : i + BLOCK]], {self.run(0, letters[max(0, i - WARM_UP) : i])[0]}) for i in cuts]
@@ -108,43 +112,55 @@ def prefix_scan(maps: list[StateMap]) -> list[StateMap]:
     return maps
 
 
+class TokenCounter:
+    """Counts for a byte-level BPE file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        machine, letters = Transducer(merges, set(model["vocab"])), byte_letters()
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        word = Memo(lambda w: machine.count(w.encode().decode("latin-1").translate(letters)), MEMO_BYTES // 2, 150, 4)
+
+        def chunk(u: str) -> int:
+            ends = u[-1] in ".,"
+            body = u[1:-1] if ends else u[1:]
+            if u[0] == " " and body.isalpha():  # the commonest kinds: one word, or one word and a mark
+                return word[" " + body] + (word[u[-1]] if ends else 0)
+            return sum(map(word.__getitem__, words.findall(u)))
+
+        self.chunk = Memo(chunk, 3 * MEMO_BYTES, 150, 4)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text: one scan over the maps of all texts' chunks."""
+        emitted, ends, extra, chunk = [], np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), np.int64), self.chunk.__getitem__
+        for k, text in enumerate(texts):
+            if self.special is not None and self.special.search(text):
+                parts = self.special.split(text)
+                extra[k] = len(parts) - 1
+                for part in parts:
+                    emitted += map(chunk, UNITS.findall(part))
+            else:
+                emitted += map(chunk, UNITS.findall(text))
+            ends[k + 1] = len(emitted)
+        scan = np.concatenate(([0], np.cumsum(np.array(emitted, np.int64))))
+        return np.diff(scan[ends]) + extra
+
+
 @lru_cache(maxsize=2)
-def counter(path: str):
-    """text -> tokens, for a byte-level BPE file of the tokenizers library."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model = spec["model"]
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    machine = Transducer(merges, set(model["vocab"]))
-    letters = byte_letters()
-    table = {b: letters[b] for b in range(256)}
-    special = [t["content"] for t in spec["added_tokens"]]
-    split = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    word = Memo(lambda w: machine.count(w.encode().decode("latin-1").translate(table)), 200_000)
-
-    def count_unit(u: str) -> int:
-        ends = u[-1] in ".,"
-        body = u[1:-1] if ends else u[1:]
-        if u[0] == " " and body.isalpha():  # the commonest kinds: one word, or one word and a mark
-            return word[" " + body] + (word[u[-1]] if ends else 0)
-        return sum(map(word.__getitem__, words.findall(u)))
-
-    unit = Memo(count_unit, 800_000)
-
-    def count(text: str) -> int:
-        if split is None or not split.search(text):
-            return sum(map(unit.__getitem__, UNITS.findall(text)))
-        parts = split.split(text)
-        return len(parts) - 1 + sum(unit[u] for p in parts for u in UNITS.findall(p))
-
-    return count
+def counter(path: str) -> TokenCounter:
+    return TokenCounter(path)
 
 
 def with_token_counts(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit of each row's whole text.
 
-    Null and empty texts have 0 tokens. Rows are not shuffled; a text of any length is counted.
+    Null and empty texts have 0 tokens; repeated rows get a result each; an empty table gives none. Rows
+    are not shuffled; a text of any length is counted.
     """
 
     def start():
@@ -152,16 +168,18 @@ def with_token_counts(df: DataFrame, path: str, limit: int = 1024, id_col: str =
 
         def each(ids, texts):
             texts = [t or "" for t in texts]
-            n = [count(t) for t in texts]
-            return [ids, [len(t.encode()) for t in texts], n, [x > limit for x in n]]
+            n = count.counts(texts)
+            return [ids, [len(t.encode()) for t in texts], n, n > limit]
 
         return each
 
-    kind = dict(df.dtypes)[id_col]
-    return map_columns(df.select(id_col, text_col), f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_columns(rows, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean", start).toDF(id_col, "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document; null texts and empty tables as above."""
     import public_tokenizers
 
-    return with_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", F.col("n_bytes"), "n_tokens", "over_limit")
+    return with_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
