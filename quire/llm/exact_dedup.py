@@ -1,13 +1,14 @@
 """Exact deduplication by a stateful streaming query.
 
-Arrivals (digest, id and content locator of each row, no texts) are streamed through a keyed
-aggregation whose state lives in RocksDB files under the shared folder and never expires. The state of
-a digest holds the id to keep, the locator of its content and the number of arrivals; each
+Arrivals (digest, id and content locator of each row, no texts) are streamed in several micro-batches
+through a keyed aggregation whose state lives in RocksDB files under the shared folder and never expires. The
+state of a digest holds the id to keep, the locator of its content and the number of arrivals; each
 micro-batch combines its arrivals before they are sent to a key's state, so a digest that a third of
 all rows have reaches it as one row from each task.
 
-A digest that arrived more than once is a hit. The texts of hits are compared in full: rows are grouped
-by the text itself. Where one digest stands for different texts, their rows are classed by text.
+A digest that arrived more than once is a hit. The content that the state's locator names is fetched for
+each hit and compared, full bytes, with every other arrival of it. Where one digest stands for different
+texts, its rows are classed by text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shared_path
+from .common import documents, fresh, join_hot, materialize, named, shared_path
 
 #: State on disk; files take the space they need (no allocation ahead), and changes are logged.
 STORE = {
@@ -26,7 +27,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-LOCATOR = "_content_locator"
+#: A stream over a table takes so many micro-batches at least, and more where one would read more bytes of arrivals.
+BATCHES, BATCH_BYTES = 4, 1 << 30
 
 
 def sha256(text: Column) -> Column:
@@ -40,13 +42,15 @@ def stream_state(arrivals: DataFrame, path: str, checkpoint: str, files_per_batc
     group_size. Run again after more files have come, it takes these alone and carries on.
     """
     spark = arrivals.sparkSession
+    if not files_per_batch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+        files_per_batch = max(1, held.getFileCount() // max(BATCHES, -(-held.getLength() // BATCH_BYTES)))
     old = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(arrivals.schema)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        reader = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch)
         best = F.max(F.struct(F.col("id"), F.col("locator"))).alias("best")
         state = reader.parquet(path).groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
         out = f"{checkpoint}/changes"
@@ -71,57 +75,75 @@ def _any(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def located(df: DataFrame) -> DataFrame:
-    """df with LOCATOR: file and row number of each row, the same whenever and wherever it is read.
+def located(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a column of locators, and that column's name (one that df has not): file and row number
+    of each row, the same whenever and wherever it is read.
 
     A frame that does not come straight from files is written as a table first.
     """
-    if LOCATOR in df.columns:
-        return df
-    at = F.concat_ws(":", F.col("_metadata.file_path"), F.format_string("%012d", F.col("_metadata.row_index"))).alias(LOCATOR)
-    try:
-        return df.select("*", at)
-    except AnalysisException:
-        return materialize(df, "located").select("*", at)
+    name = fresh(df.columns, "_content_locator")
+    at = F.concat_ws(":", F.col("_metadata.file_path"), F.format_string("%012d", F.col("_metadata.row_index"))).alias(name)
+    if fresh(df.columns, "_metadata") == "_metadata":  # else a column hides where rows come from
+        try:
+            return df.select("*", at), name
+        except AnalysisException:
+            pass
+    plain = materialize(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "located")
+    return plain.select("*", at).toDF(*df.columns, name), name
+
+
+def _classes(placed: DataFrame, digest: Callable[[Column], Column], files_per_batch: int | None) -> DataFrame:
+    """placed: id, text and locator; id, keep_id, group_size, kept, digest and locator of each row."""
+    spark = placed.sparkSession
+    path = shared_path(spark, "arrivals")
+    digested = placed.withColumn("digest", digest(F.col("text")))
+    digested.select("id", "digest", "locator").write.parquet(path)
+    arrivals = spark.read.schema(digested.select("id", "digest", "locator").schema).parquet(path)
+    state = stream_state(arrivals, path, shared_path(spark, "dedup-state"), files_per_batch)
+    state = materialize(state.withColumnRenamed("locator", "keep_locator"), "dedup-classes")
+
+    # full bytes: the content kept for each hit, and all arrivals of it
+    hits = materialize(state.filter("group_size > 1").select("digest", "keep_locator", "group_size"), "hits")
+    members = join_hot(digested, hits, "digest", F.col("group_size"))
+    contents = materialize(members.filter(F.col("locator") == F.col("keep_locator")).select("digest", F.col("text").alias("content"), "group_size"), "hit-contents")
+    compared = join_hot(members.drop("group_size"), contents, "digest", F.col("group_size"))
+    mixed = materialize(compared.filter(F.col("text") != F.col("content")).select("digest").distinct(), "mixed-digests")
+
+    rows = join_hot(arrivals, state, "digest", F.col("group_size"))
+    got = rows.select("id", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), "digest", "locator")
+    if mixed.isEmpty():
+        return got
+    # different texts with one digest: classed by their bytes; each task sends a text once
+    apart = digested.join(mixed, "digest")
+    texts = materialize(apart.groupBy("text").agg(F.max(F.struct("id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size")), "mixed-texts")
+    apart = apart.join(texts, "text")
+    apart = apart.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("best.locator")).alias("kept"), "digest", "locator")
+    return got.join(mixed, "digest", "left_anti").select(*apart.columns).unionByName(apart)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
     """One row for each row of df: id_col, keep_id, group_size, kept, digest and locator.
 
     Of equal texts (null counts as empty) the row with the largest id is kept; among rows of the same
-    id and text one is kept, the last by locator. A null id is below all others.
+    id and text one is kept, the last by locator. A null id is below all others. An empty table gives an
+    empty result; texts of any length are compared whole.
     """
-    spark = df.sparkSession
-    placed = located(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), LOCATOR)
-    locator = F.col(LOCATOR).alias("locator")
-    path = shared_path(spark, "arrivals")
-    placed.select("id", digest(F.col("_text")).alias("digest"), locator).write.parquet(path)
-    arrivals = spark.read.schema(f"id {dict(placed.dtypes)['id']}, digest string, locator string").parquet(path)
-    state = materialize(stream_state(arrivals, path, shared_path(spark, "dedup-state"), files_per_batch), "dedup-classes")
-    hits = state.filter("group_size > 1").select("digest")
-
-    # full bytes: the hits' texts, grouped by the text; each task sends a text once
-    members = placed.select("id", "_text", digest(F.col("_text")).alias("digest"), locator).join(hits, "digest")
-    texts = materialize(members.groupBy("_text").agg(F.first("digest").alias("digest"), F.max(F.struct("id", "locator")).alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "_text", "best", "n"), "hit-texts")
-    mixed = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows")).filter("k > 1").select("digest")
-
-    rows = arrivals.join(state.withColumnRenamed("locator", "keep_locator"), "digest")
-    got = rows.select("id", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), "digest", "locator")
-    if not mixed.isEmpty():  # different texts with one digest: classed by their bytes
-        sure = got.join(mixed, "digest", "left_anti")
-        apart = members.join(mixed, "digest").join(texts.select("_text", "best", F.col("n").alias("group_size")), "_text")
-        got = sure.select("id", "keep_id", "group_size", "kept", "digest", "locator").unionByName(apart.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("best.locator")).alias("kept"), "digest", "locator"))
-    return got.withColumnRenamed("id", id_col)
+    table, at = located(df)
+    placed = table.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.col(at).alias("locator"))
+    return _classes(placed, digest, files_per_batch).toDF(id_col, "keep_id", "group_size", "kept", "digest", "locator")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with the columns of df."""
-    table = located(df)
-    gone = exact_duplicates(table, id_col, text_col).filter("not kept").select(F.col("locator").alias(LOCATOR))
-    return table.join(gone, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that stay, with the columns of df; rules as in exact_duplicates."""
+    table, at = located(df)
+    placed = table.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.col(at).alias("locator"))
+    gone = _classes(placed, sha256, None).filter("not kept").select(F.col("locator").alias(at))
+    return table.join(gone, at, "left_anti").select(*map(named, df.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document; nulls, repeats, ties and empty
+    tables as in exact_duplicates."""
     got = exact_duplicates(documents(spark, sf_dir))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 

@@ -1,8 +1,10 @@
 """GIF media columns.
 
-decode() reads any GIF: LZW code streams (deferred clears included), global and local palettes,
-interlacing, disposal methods and transparency, and returns timed frames as they are shown.
-encode() stores 8-bit samples without loss, as palette indices of a grey palette.
+frames_of() reads any GIF: LZW code streams (deferred clears included), global and local palettes,
+interlacing, disposal methods and transparency, and gives timed frames as they are shown, one by one: a
+task holds one screen at a time. encode() stores 8-bit samples without loss, as palette indices of a
+grey palette. The frame table has a row for each frame: its time, place, pixels (one sample a pixel where
+the screen is grey, three otherwise), where it is painted, and a colour histogram in three columns.
 
 Damaged files: frames before the damage are returned, with the reason in `error`.
 """
@@ -12,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialize
+from .common import SLICE_BYTES, documents, map_columns, materialize, named
 
 CLEAR, END, TOP = 256, 257, 4096
 WIDTH, MOST_ROWS = 64, 65_535
@@ -120,13 +124,14 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode(payload: bytes, delay: int = 10) -> bytes:
-    """A GIF of 64 samples a row; more rows than a frame can have go on in further frames."""
+    """A GIF of 64 samples a row; more rows than a frame can have go on in further frames (each is cleared
+    before the next)."""
     rows = [payload[i : i + WIDTH * MOST_ROWS] for i in range(0, len(payload), WIDTH * MOST_ROWS)]
     high = len(rows[0]) // WIDTH
     grey = bytes(v for i in range(256) for v in (i, i, i))
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, high, 0xF7, 0, 0), grey]
     for part in rows:
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -139,31 +144,26 @@ class Frame:
     delay: int  # hundredths of a second
     disposal: int
     transparent: int | None
-    shown: np.ndarray  # the whole screen: height x width x 3
+    shown: np.ndarray  # the whole screen: height x width x 3; valid until the next frame is asked for
     covered: np.ndarray  # where the screen has been painted: height x width
 
 
-@dataclass
-class Image:
-    width: int = 0
-    height: int = 0
-    frames: list[Frame] = field(default_factory=list)
-    error: str | None = None
+class Damaged(ValueError):
+    pass
 
 
-def decode(data: bytes) -> Image:
-    image = Image()
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames one by one; Damaged is raised after the frames before the damage."""
     try:
-        _decode(data, image)
+        yield from _frames(data)
     except (ValueError, IndexError, struct.error) as e:
-        image.error = str(e) or type(e).__name__
-    return image
+        raise Damaged(str(e) or type(e).__name__) from e
 
 
-def _decode(data: bytes, image: Image) -> None:
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
-    image.width, image.height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    screen_width, screen_height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
 
     def palette(flags: int, at: int) -> tuple[np.ndarray, int]:
@@ -182,8 +182,8 @@ def _decode(data: bytes, image: Image) -> None:
     common = None
     if flags & 0x80:
         common, at = palette(flags, at)
-    screen = np.zeros((image.height, image.width, 3), np.uint8)
-    covered = np.zeros((image.height, image.width), bool)
+    screen = np.zeros((screen_height, screen_width, 3), np.uint8)
+    covered = np.zeros((screen_height, screen_width), bool)
     delay, disposal, transparent = 0, 0, None
     while True:
         kind = data[at]
@@ -221,13 +221,13 @@ def _decode(data: bytes, image: Image) -> None:
             index = straight
         if int(index.max(initial=0)) >= len(colours):
             raise ValueError("a sample beyond the palette")
-        w, h = max(0, min(width, image.width - left)), max(0, min(height, image.height - top))
+        w, h = max(0, min(width, screen_width - left)), max(0, min(height, screen_height - top))
         area = (slice(top, top + h), slice(left, left + w))
         painted = index[:h, :w] != transparent if transparent is not None else np.ones((h, w), bool)
         kept = (screen[area].copy(), covered[area].copy())
         screen[area][painted] = colours[index[:h, :w][painted]]
         covered[area] |= painted
-        image.frames.append(Frame(left, top, width, height, delay, disposal, transparent, screen.copy(), covered.copy()))
+        yield Frame(left, top, width, height, delay, disposal, transparent, screen, covered)
         if disposal == 2:
             screen[area], covered[area] = 0, False
         elif disposal == 3:
@@ -241,29 +241,75 @@ def histogram(frame: Frame, bins: int = BINS) -> list[int]:
     return np.concatenate([np.bincount(seen[:, k], minlength=bins) for k in range(3)]).tolist() if len(seen) else [0] * (3 * bins)
 
 
-def gif_frames(df: DataFrame, id_col: str = "doc_id", gif_col: str = "gif") -> DataFrame:
-    """One row a frame: id_col, frame, at (hundredths of a second from the start), delay, disposal,
-    width, height (of the screen), rgb (binary), covered (bits) and histogram, and error of the file.
+FRAME = "frame int, at int, delay int, disposal int, `left` int, top int, width int, height int, screen_width int, screen_height int, mode string, pixels binary, covered binary, red array<long>, green array<long>, blue array<long>"
+TOTALS = "frames int, own_bytes long, own_sha256 string, own_tail_crc32 long, reds array<long>"
+
+
+def gif_frames(df: DataFrame, keep: list[str], gif_col: str = "gif", pixels: bool = True) -> DataFrame:
+    """One row a frame: the columns `keep`, then
+
+    * frame, at (hundredths of a second from the start), delay, disposal, left, top, width, height (of the
+      frame), screen_width, screen_height, mode (L: a sample a pixel, RGB: three), pixels (of the whole screen
+      as shown) and covered (a bit for each pixel that is painted; null if all are); without `pixels` these two
+      are null;
+    * red, green and blue: painted pixels in BINS equal ranges;
+    * in the file's last row, else null: frames, and own_bytes, own_sha256, own_tail_crc32 (of the last 64)
+      of all frames' own rectangles put together, and reds, the sum of the red histograms;
+    * error.
 
     A null, empty or damaged file gives a row with frame null and its error, after the frames before
-    the damage.
+    the damage. Repeated rows get frames each; an empty table gives none. A task holds one file and one
+    screen at a time, and up to SLICE_BYTES of finished rows.
     """
+    kinds = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = f"{kinds}, {FRAME}, {TOTALS}, error string"
+    n_frame, n_totals = FRAME.count(", ") + 1, TOTALS.count(", ") + 1
 
     def start():
-        def each(ids, files):
-            rows = []
-            for key, data in zip(ids, files):
-                image, at = decode(data or b""), 0
-                for k, f in enumerate(image.frames):
-                    rows.append((key, k, at, f.delay, f.disposal, image.width, image.height, f.shown.tobytes(), np.packbits(f.covered).tobytes(), histogram(f), None))
+        def rows_of(data: bytes) -> Iterator[list]:
+            digest, total, tail, reds, at, number, row = hashlib.sha256(), 0, 0, np.zeros(BINS, np.int64), 0, 0, None
+            try:
+                for f in frames_of(data):
+                    if row:
+                        yield [*row, *[None] * n_totals, None]
+                    grey = bool((f.shown == f.shown[..., :1]).all())
+                    shown = f.shown[..., 0] if grey else f.shown
+                    own = shown[f.top : f.top + f.height, f.left : f.left + f.width].tobytes()
+                    bins = histogram(f)
+                    red = bins[:BINS]
+                    digest.update(own)
+                    total, tail, reds = total + len(own), zlib.crc32(own[-WIDTH:]), reds + red
+                    covered = np.packbits(f.covered).tobytes() if pixels and not f.covered.all() else None
+                    row = [number, at, f.delay, f.disposal, f.left, f.top, f.width, f.height, f.shown.shape[1], f.shown.shape[0], "L" if grey else "RGB", shown.tobytes() if pixels else None, covered, red, bins[BINS : 2 * BINS], bins[2 * BINS :]]
                     at += f.delay
-                if image.error:
-                    rows.append((key, *[None] * 9, image.error))
-            return [list(c) for c in zip(*rows)] or [[] for _ in range(11)]
+                    number += 1
+                if row:
+                    yield [*row, number, total, digest.hexdigest(), tail, reds.tolist(), None]
+                else:
+                    yield [*[None] * (n_frame + n_totals), "no frame"]
+            except Damaged as e:
+                if row:
+                    yield [*row, number, total, digest.hexdigest(), tail, reds.tolist(), None]
+                yield [*[None] * (n_frame + n_totals), str(e)]
+
+        def each(*values):
+            *keys, files = values
+            done, size = [], 0
+            for key, data in zip(zip(*keys), files):
+                for row in rows_of(data or b""):
+                    done.append((*key, *row))
+                    size += 600 + (len(row[11] or b"") if pixels else 0)
+                    if size > SLICE_BYTES:
+                        yield [list(c) for c in zip(*done)]
+                        done, size = [], 0
+            if done:
+                yield [list(c) for c in zip(*done)]
 
         return each
 
-    return map_columns(df.select(id_col, gif_col), f"{id_col} {dict(df.dtypes)[id_col]}, frame int, at int, delay int, disposal int, width int, height int, rgb binary, covered binary, histogram array<long>, error string", start)
+    rows = df.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], named(gif_col).alias("gif"))
+    out = map_columns(rows, schema, start)
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def pad(data: bytes) -> bytes:
@@ -271,7 +317,8 @@ def pad(data: bytes) -> bytes:
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes and gif: the text's UTF-8 (null: none), padded with 0 to rows of 64 samples."""
+    """id_col, n_bytes and gif: the text's UTF-8 (null: none), padded with 0 to rows of 64 samples. Repeated
+    rows are stored each; an empty table gives none; long texts go on in further frames."""
 
     def start():
         def each(ids, texts):
@@ -280,28 +327,24 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         return each
 
-    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, n_bytes long, gif binary", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return map_columns(rows, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, gif binary", start).toDF(id_col, "n_bytes", "gif")
 
 
 def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads stored GIFs: digests of the samples and of the file, and the frames' colour histograms."""
-
-    def start():
-        def each(ids, sizes, files):
-            out = []
-            for data in files:
-                image = decode(data)
-                if image.error:
-                    raise ValueError(f"a stored GIF is damaged: {image.error}")
-                payload = b"".join(f.shown[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in image.frames)
-                bins = np.sum([histogram(f)[:BINS] for f in image.frames], axis=0).tolist()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), f"gif;{image.width}x{image.height};frames={len(image.frames)};hist=" + ",".join(map(str, bins))))
-            return [ids, sizes, *[list(c) for c in zip(*out)]]
-
-        return each
-
-    return map_columns(media.select(id_col, "n_bytes", "gif"), f"{id_col} {dict(media.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", start)
+    """Reads stored GIFs into a frame table (timed frames with histograms; their pixels stay in the stored
+    file), and from it one row a file: digests of the samples and of the file, and the frames' colour
+    histogram. Repeated rows get a result each; an empty table gives none; a damaged file is an error."""
+    files = media.select(named(id_col).alias("id"), "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), "gif")
+    table = materialize(gif_frames(files, ["id", "n_bytes", "media_bytes", "media_sha256"], pixels=False).drop("pixels", "covered"), "gif-frames")
+    last = table.filter("frames is not null or error is not null")
+    sound = F.when(F.col("error").isNull(), F.col("frames")).otherwise(F.raise_error(F.concat(F.lit("a stored GIF is damaged: "), F.col("error"))))
+    bins = F.concat_ws(",", F.transform("reds", lambda b: b.cast("string")))
+    feature = F.concat(F.lit("gif;"), "screen_width", F.lit("x"), "screen_height", F.lit(";frames="), sound, F.lit(";hist="), bins)
+    return last.select(F.col("id").alias(id_col), "n_bytes", F.col("own_bytes").alias("payload_bytes"), F.col("own_sha256").alias("payload_sha256"), F.col("own_tail_crc32").alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every
+    document: stored, read back and decoded; nulls, repeats and empty tables as in store."""
     return payload_features(materialize(store(documents(spark, sf_dir)), "gifs"))

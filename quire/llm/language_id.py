@@ -2,8 +2,13 @@
 
 Each language's labelled text becomes a suffix automaton. A whole text's letters, lower-cased and with
 one space before each word, are parsed with it from left to right into phrases, each the longest match
-in the labelled text (one letter at least). The language needing the fewest phrases a letter wins;
-ties go to the first name.
+in the labelled text (one letter at least). A phrase is a place in the labelled text, so it costs the
+logarithm of that text's length: phrases are normalised by it, and languages with much and with little
+labelled text compare. The language needing the fewest normalised phrases wins; ties go to the first name.
+
+What a text needs a letter is an estimate of its cross entropy. A text of FEWEST letters or more that needs
+over STRANGE times what the winner's own held-back text needs is in none of the languages; the pipeline
+rejects it.
 
 The labelled text is a bounded sample: SAMPLE_DOCS documents a language at most, SAMPLE_CHARS letters
 of them together, taken by a hash of the id; of a longer document, a window at a place that is drawn
@@ -17,14 +22,16 @@ empty table gives an empty result, and a parser learned from none answers `und`.
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, small_batches
+from .common import documents, fresh, map_columns, named, small_batches
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 400
@@ -33,7 +40,23 @@ FULL_LANGUAGES = 64
 MIN_DOCS, MIN_CHARS = 16, 400  # a language, however many there are
 FEW = 8  # so few texts are parsed one by one, more of them side by side
 GROUP_LETTERS = 2 << 20  # texts held as letters at a time, unless a single one has more
-WORDS = re.compile(r"[^\W\d_]+")
+STRANGE, FEWEST = 2.5, 100
+
+
+def _numerals() -> str:
+    """A character class's inside: numerals that are not decimal digits, which are word characters but no letters."""
+    found, start = [], None
+    for c in range(0x110001):
+        here = c <= 0x10FFFF and unicodedata.category(chr(c)) in ("Nl", "No")
+        if here and start is None:
+            start = c
+        elif not here and start is not None:
+            found.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(found)
+
+
+WORDS = re.compile(rf"[^\W\d_{_numerals()}]+")
 
 
 class SuffixAutomaton:
@@ -169,19 +192,28 @@ class CrossParser:
         self.samples = dict(sorted(samples.items()))
         self.languages = list(self.samples)
         self.automata = None
+        self.weight = [math.log2(len(t) + 1) for t in self.samples.values()]
+        self.own = [self.held_back(t) for t in self.samples.values()]
+
+    @staticmethod
+    def held_back(sample: str) -> float:
+        """Bits a letter that the last tenth of a sample needs, parsed with the rest (one at least)."""
+        n = len(sample) - max(1, len(sample) // 10)
+        return max(1.0, SuffixAutomaton(sample[:n]).phrases(sample[n:]) * math.log2(n + 1) / (len(sample) - n))
 
     def __getstate__(self):
-        return {"samples": self.samples, "languages": self.languages, "automata": None}
+        return self.__dict__ | {"automata": None}
 
     def load(self) -> CrossParser:
         if self.automata is None:
             self.automata = SideBySide([SuffixAutomaton(t) for t in self.samples.values()])
         return self
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text: the score is the share by which the winner needs fewer phrases
-        than the next language, between 0 and 1; (und, 0.0) for a text that is null or has no letter."""
-        found = [(UNDETERMINED, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text is in none of the languages) of each text: the score is the
+        share by which the winner needs less than the next language, between 0 and 1; (und, 0.0, True) for a
+        text that is null or has no letter."""
+        found = [(UNDETERMINED, 0.0, True)] * len(texts)
         if not self.languages:
             return found
         held, size = [], 0
@@ -197,16 +229,18 @@ class CrossParser:
             self.decide(held, found)
         return found
 
-    def decide(self, held: list[tuple[int, str]], found: list[tuple[str, float]]) -> None:
-        for (i, _), counts in zip(held, self.automata.phrases([letters for _, letters in held]).tolist()):
-            order = sorted(range(len(counts)), key=lambda k: (counts[k], k))
-            best, second = counts[order[0]], counts[order[1]] if len(counts) > 1 else 2 * counts[order[0]]
-            found[i] = self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0
+    def decide(self, held: list[tuple[int, str]], found: list[tuple[str, float, bool]]) -> None:
+        for (i, letters), counts in zip(held, self.automata.phrases([letters for _, letters in held]).tolist()):
+            bits = [n * w for n, w in zip(counts, self.weight)]
+            order = sorted(range(len(bits)), key=lambda k: (bits[k], k))
+            best, second = bits[order[0]], bits[order[1]] if len(bits) > 1 else 2 * bits[order[0]]
+            strange = len(letters) >= FEWEST and best > STRANGE * self.own[order[0]] * len(letters)
+            found[i] = self.languages[order[0]], min(1.0, max(0.0, 1 - best / second)) if second else 0.0, strange
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> CrossParser:
     """Learns from rows with a text and a label; what reaches the driver is bounded by docs and chars."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.select(named(id_col).cast("string").alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not sizes:
         return CrossParser({})
@@ -235,11 +269,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns `keep`, lang_pred and score of each row; reads the text alone."""
+    """id_col, the columns `keep`, lang_pred and score of each row; reads the text alone. Columns other than
+    these are not kept, whatever their names."""
     shared = df.sparkSession.sparkContext.broadcast(parser)  # FULL_LANGUAGES * SAMPLE_CHARS letters at most, unless so many labels need MIN_CHARS each
-    keep = keep or []
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    columns = list(dict.fromkeys([id_col, *keep]))
+    columns = list(dict.fromkeys([id_col, *(keep or [])]))
+    inputs = df.select(*[named(c).alias(f"k{i}") for i, c in enumerate(columns)], named(text_col).alias("text"))
+    kinds = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
 
     def start():
         model = shared.value.load()
@@ -250,13 +285,13 @@ def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", te
 
         return each
 
-    inputs = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("_parsed_text"))
-    return map_columns(inputs, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double", start)
+    return map_columns(inputs, f"{kinds}, lang_pred string, score double", start).toDF(*columns, "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
-    """The rows of df whose text has a language: null texts and texts without a letter go. The parse rejects
-    no other, and a parser that learned no language goes by the letters alone."""
+def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose text is in one of the languages, with lang_col set to it: null texts, texts without
+    a letter and texts that are in none of the languages go. A parser that learned no language keeps
+    every text with a letter, and its label."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(parser)
 
@@ -265,16 +300,20 @@ def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text")
         if not shared.value.languages:
             return pd.Series(["" if t and WORDS.search(t) else UNDETERMINED for t in texts], dtype=object)
         model = shared.value.load()
-        return pd.Series([found for found, _ in model.predict(list(texts))], dtype=object)
+        return pd.Series([UNDETERMINED if strange else found for found, _, strange in model.predict(list(texts))], dtype=object)
 
-    return df.filter(language(F.col(f"`{text_col}`")) != UNDETERMINED)
+    name = fresh(df.columns, "_language")
+    # not deterministic: evaluated once, before the filter
+    found = df.withColumn(name, language.asNondeterministic()(named(text_col))).filter(F.col(name) != UNDETERMINED)
+    return found.select(*[F.coalesce(F.nullif(F.col(name), F.lit("")), named(c)).alias(c) if c == lang_col else named(c) for c in df.columns])
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1
+    return F.pmod(F.crc32(named(id_col).cast("string")), F.lit(3)) == 1
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; a null id is not held out."""
     docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     parser = fit(docs.filter(~F.col("held_out")))
     return with_language(docs, parser, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")

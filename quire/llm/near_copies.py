@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, shuffle_partitions, small_batches
-from .exact_dedup import LOCATOR, located
-from .simhash import SEED, STEP, TILE, Parts, components
+from .common import map_columns, materialize, named, shuffle_partitions, small_batches
+from .exact_dedup import located
+from .simhash import SEED, STEP, Parts, components
 
 SHINGLE = 5
 RADIUS, HALF = 36, 22  # of 128 bits, and of the first 64
 BAND = 1.26
+TILE = 1024
 BLOCK = 1 << 16
 BLOCK_BYTES = 16 << 20
 
@@ -232,8 +233,8 @@ def near_copies(table: DataFrame, key_col: str, text_col: str, block: int | None
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near copies one row of df: that with the least id (a null id comes last), and of
     several with it the first by locator."""
-    table = located(df)
-    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(LOCATOR).alias("at")).alias("_key")
-    found = near_copies(table.select(key, F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
-    gone = found.filter(F.col("_key") != F.col("component_id")).select(F.col("_key.at").alias(LOCATOR))
-    return table.join(gone, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    table, at = located(df)
+    key = F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id"), F.col(at).alias("at")).alias("key")
+    found = near_copies(table.select(key, named(text_col).alias("text")), "key", "text")
+    gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.at").alias(at))
+    return table.join(gone, at, "left_anti").select(*map(named, df.columns))

@@ -10,19 +10,25 @@ permute in an e-mail address; it gets a keyed digest as local part, and example.
 The network over Z_a x Z_b (a * b = the format's size) adds in turn a keyed hash of one half to the
 other, so no cycle walking is needed. Each value is permuted; a value can by chance (1 in the size) be its
 own pseudonym.
+
+Found are e-mail and IPv4 addresses, account numbers (IBAN), card numbers, social security numbers,
+international phone numbers with + and North American ones, and dates of digits with two-digit months
+and days. Not found: IPv6, other national phone numbers, dates with month names or one-digit parts, names.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh, named
 
 ROUNDS = 8
-KEY = "quire-pseudonyms"
+#: Where a session names its key; pseudonyms can be undone by whoever has it, so none is in the code.
+KEY_SETTING = "spark.quire.pseudonym.key"
 
 BEFORE, AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 KINDS = {
@@ -214,7 +220,7 @@ def _email(m: Column, key: str) -> Column:
 MAKERS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; the value itself if it is not valid.
 
     A match may have the form of several kinds; the first that validates it counts.
@@ -227,22 +233,35 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return F.coalesce(made, m)
 
 
-def with_pseudonyms(df: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """df with text_col pseudonymised, and n_pii: how many values were replaced.
+def session_key(spark: SparkSession) -> str:
+    """The session's key (KEY_SETTING); where none is set, a random one, set for the rest of the session, so
+    that equal values are linked within it."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def with_pseudonyms(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pii") -> DataFrame:
+    """df with text_col pseudonymised, and count_col: how many values were replaced (None: no such column).
 
-    All other columns and all rows are kept (a column called n_pii is replaced); a null text stays null
-    with n_pii 0. One pass, no shuffle.
+    All other columns and all rows are kept, whatever the columns' names (one called count_col is
+    replaced); a null text stays null with count 0; repeated rows and an empty table stay as they are. One
+    pass, no shuffle; texts of any length.
     """
-    text, found, new = F.col(f"`{text_col}`"), F.col("_pii_found"), F.col("_pii_new")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (text_col, "n_pii")]
+    names = [c for c in df.columns if c != count_col]
+    found_name, new_name = fresh(df.columns, "_pii_found"), fresh(df.columns, "_pii_new")
+    text, found, new = named(text_col), F.col(found_name), F.col(new_name)
     matches = F.when(text.rlike(MARKS), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    made = df.withColumn("_pii_found", matches).withColumn("_pii_new", F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    made = df.withColumn(found_name, matches).withColumn(new_name, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
     parts = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-    out = made.select(*kept, F.when(new.isNull(), text).otherwise(joined).alias(text_col), F.when(new.isNull(), 0).otherwise(changed).alias("n_pii"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != "n_pii"], "n_pii")
+    out = [F.when(new.isNull(), text).otherwise(joined).alias(c) if c == text_col else named(c) for c in names]
+    return made.select(*out, *([F.when(new.isNull(), 0).otherwise(changed).alias(count_col)] if count_col else []))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_pseudonyms(documents(spark, sf_dir)).select("doc_id", "text", "n_pii")
+    """doc_id, text and n_pii of every document, under the session's key; rules as in with_pseudonyms."""
+    return with_pseudonyms(documents(spark, sf_dir), session_key(spark)).select("doc_id", "text", "n_pii")

@@ -1,14 +1,19 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints: 64 bits from the XXH64 values (seed 42) of word shingles, repeats included. Equal
-fingerprints are merged first. Two different ones within `radius` bits agree in at least one of
-radius + 1 bands, so each band's value sends a fingerprint to one bucket; no link is lost. In a
-bucket, fingerprints are sorted by their population count and cut into tiles; tile pairs whose counts
-differ by more than the radius are skipped, the others compared whole with exclusive-or and bit counts.
-A bucket of more than BLOCK fingerprints is dealt to parts by hash and every two parts meet in a task of
-their own, so that no task holds more than about 2 * BLOCK fingerprints of a bucket and no pair is lost.
-A bucket (or two parts) returns only links that join its parts (fewer than its fingerprints), and the links'
-components are found by rounds of star contraction over tables in the shared folder.
+fingerprints are merged first. Comparison is by tiles: fingerprints lie sorted by population count, a tile is
+compared whole with another by exclusive-or and bit counts, and tile pairs whose counts differ by more than
+the radius are skipped. Every pair that is compared, is compared so.
+
+What is compared with what is first divided, exactly: two fingerprints within `radius` bits agree in at
+least one of radius + 1 bands of their bits, so each band's value sends a fingerprint to one bucket and
+tiles meet only inside buckets. A bucket of more than BLOCK fingerprints is divided again by bands of the
+bits that its own band leaves, LEVELS times in all. What is still larger is dealt to parts by hash and every
+two parts meet in a task of their own. So no pair is lost, and no task holds more than about 2 * BLOCK
+fingerprints of a bucket.
+
+A bucket returns only links that join its parts (fewer than its fingerprints). Up to FEW_LINKS links are
+joined by one task; more of them by rounds of star contraction over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialize, shuffle_partitions
-from .exact_dedup import LOCATOR, located
+from .common import documents, join_hot, map_columns, materialize, named, shuffle_partitions
+from .exact_dedup import located
 
 SHINGLE = 3
 RADIUS = 3
-TILE = 1024
+TILE = 256
 BLOCK = 1 << 15
+LEVELS = 3
+FEW_LINKS = 1 << 20  # 16 MB
 SEED = 42
 STEP = 1 << 15
 
@@ -60,7 +67,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return each
 
-    return map_columns(df.select(id_col, text_col), f"{id_col} {dict(df.dtypes)[id_col]}, fp long", start)
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return map_columns(rows, f"id {df.schema[id_col].dataType.simpleString()}, fp long", start).toDF(id_col, "fp")
 
 
 class Parts:
@@ -97,109 +105,182 @@ class Parts:
         return values[to != values], to[to != values]
 
 
-def tile_links(values: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct uint64 values: (value, least value) pairs that join exactly the values reachable
-    from each other by links of at most `radius` bits."""
-    n = len(values)
-    counts = np.bitwise_count(values)
-    order = np.argsort(counts, kind="stable")
-    values, counts, parts = values[order], counts[order], Parts(n)
+def tile_pairs(values: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, tile: int = TILE, seen: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs within the radius, each pair once. values: distinct uint64 in a bucket, sorted
+    by bucket and then by population count; bucket: the bucket's number, rising.
+
+    seen counts the tile pairs that are compared and those that are skipped by their counts.
+    """
+    n, counts = len(values), np.bitwise_count(values)
+    ends = np.searchsorted(bucket, bucket, side="right")  # where each place's bucket ends
+    seen = {} if seen is None else seen
     for a in range(0, n, tile):
-        left, most = values[a : a + tile, None], int(counts[min(n, a + tile) - 1]) + radius
-        for b in range(a, n, tile):
-            if counts[b] > most:
+        last = min(n, a + tile) - 1
+        left, rooms, most = values[a : last + 1, None], bucket[a : last + 1, None], int(counts[last]) + radius
+        for b in range(a, int(ends[last]), tile):
+            # beyond the first tile only the bucket of the last place goes on, in rising counts
+            if b > a and counts[b] > most:
+                seen["skipped"] = seen.get("skipped", 0) + -(-(int(ends[last]) - b) // tile)
                 break
+            seen["compared"] = seen.get("compared", 0) + 1
             near = np.bitwise_count(left ^ values[None, b : b + tile]) <= radius
-            if a == b:
-                near = np.triu(near, 1)
-            for i in np.flatnonzero(near.any(axis=1)).tolist():
-                parts.join(a + i, np.flatnonzero(near[i]) + b)
+            near &= rooms == bucket[None, b : b + tile]
+            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+            if len(i):
+                yield i + a, j + b
+
+
+def bucket_links(values: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """(value, least value) pairs that join, in each bucket, exactly the values reachable from each other by
+    links of at most `radius` bits."""
+    order = np.lexsort((values, np.bitwise_count(values), bucket))
+    values, bucket = values[order], bucket[order]
+    once = np.concatenate(([True], (values[1:] != values[:-1]) | (bucket[1:] != bucket[:-1])))[: len(values)]
+    values, bucket = values[once], bucket[once]  # a value can be in a bucket twice
+    parts = Parts(len(values))
+    for i, j in tile_pairs(values, bucket, radius, tile):
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
+            parts.join(int(i[s]), j[s:e])
     return parts.stars(values)
 
 
-def bucket_links(values: np.ndarray, first: np.ndarray, radius: int = RADIUS, tile: int = TILE, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """tile_links of every bucket values[first[k]:first[k + 1]]; the small ones are compared together,
-    each value with the next of its bucket, then the one after, and so on."""
-    size = np.diff(first)
-    end = np.where(np.repeat(size, size) <= small, np.repeat(first[1:], size), 0)
-    at, step, pairs = np.arange(len(values)), 1, []
-    while len(at):
-        at = at[at + step < end[at]]
-        near = at[np.bitwise_count(values[at] ^ values[at + step]) <= radius]
-        pairs += zip(near.tolist(), (near + step).tolist())
-        step += 1
-    touched = sorted({i for p in pairs for i in p})
-    place, parts = {i: k for k, i in enumerate(touched)}, Parts(len(touched))
-    for i, j in pairs:
-        parts.join(place[i], np.array([place[j]]))
-    found = [parts.stars(values[touched])] if touched else []
-    found += [tile_links(values[first[k] : first[k + 1]], radius, tile) for k in np.flatnonzero(size > small)]
-    empty = np.empty(0, np.uint64)
-    return np.concatenate([a for a, _ in found] or [empty]), np.concatenate([b for _, b in found] or [empty])
-
-
-def dealt_bands(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """fp, band, value, cell: each fingerprint once in every band, in cell 0; in a bucket of more than
-    `block` fingerprints, once in the cell of its part and each other part."""
-    bits = 64 // (radius + 1)
-    bands = F.array(*[F.shiftrightunsigned("fp", k * bits).bitwiseAND((1 << bits) - 1 if k < radius else -1) for k in range(radius + 1)])
-    rows = fps.select("fp", F.posexplode(bands).alias("band", "value"))
-    hot = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    # a written table has a known size, by which Spark chooses between a broadcast and a shuffle
-    hot = materialize(hot.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-buckets")
-    own, parts = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.col("parts").cast("long")
-    meets = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: other != own)
+def _bands(radius: int, width: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + 1 bands of `width` bits."""
+    cuts = [width * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _divided(rows: DataFrame, radius: int, width: int) -> DataFrame:
+    """fp, path, rest of `width` bits -> a row for each band: path is joined by the band and its value, and
+    rest is what the band leaves (bits - width holds how much that is)."""
+
+    def bits(at: int, n: int) -> Column:
+        whole = F.shiftrightunsigned("rest", at) if at else F.col("rest")
+        return whole if at + n >= 64 else whole.bitwiseAND((1 << n) - 1)
+
+    made = []
+    for k, (at, n) in enumerate(_bands(radius, width)):
+        above = width - at - n
+        rest = bits(0, at) if at else F.lit(0).cast("long")
+        if above:
+            rest = F.shiftleft(bits(at + n, above), at).bitwiseOR(rest)
+        # buckets that share a path by chance are compared together, which adds true links only
+        path = F.xxhash64("path", F.lit(k), bits(at, n))
+        made.append(F.struct(path.alias("path"), rest.alias("rest"), F.lit(width - n).alias("width")))
+    return rows.select("fp", F.explode(F.array(*made)).alias("e")).select("fp", "e.*")
+
+
+def dealt_bands(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """fp, path, cell: each fingerprint once in every bucket where its near ones may be, in cell 0; where the
+    last level's buckets are of more than `block` fingerprints, once in the cell of its part and each other part."""
+
+    def hot_of(rows: DataFrame) -> DataFrame:
+        # a written table has a known size, by which Spark chooses between a broadcast and a shuffle
+        hot = rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+        return materialize(hot.select("path", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-buckets")
+
+    rows = _divided(fps.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest")), radius, 64)
+    hot = hot_of(rows)
+    done = None
+    for _ in range(levels - 1):
+        if hot.isEmpty():
+            break
+        cool = rows.join(hot, "path", "left_anti").select("fp", "path")
+        done = cool if done is None else done.unionByName(cool)
+        warm = rows.join(hot, "path", "left_semi")
+        parted = [_divided(warm.filter(F.col("width") == w), radius, w) for w in _widths(warm)]
+        rows = parted[0]
+        for p in parted[1:]:
+            rows = rows.unionByName(p)
+        hot = hot_of(rows)
+    parts = F.col("parts").cast("long")
+    own = F.pmod(F.xxhash64("fp"), parts)
+    meets = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda other: other != own)
     cells = F.transform(meets, lambda other: F.least(own, other) * parts + F.greatest(own, other))
     cells = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)
-    return rows.join(hot, ["band", "value"], "left").select("fp", "band", "value", F.explode(cells).alias("cell"))
+    last = rows.join(hot, "path", "left").select("fp", "path", F.explode(cells).alias("cell"))
+    return last if done is None else last.unionByName(done.withColumn("cell", F.lit(0).cast("long")))
+
+
+def _widths(rows: DataFrame) -> list[int]:
+    """The few numbers of bits that the bands leave."""
+    return sorted(r["width"] for r in rows.select("width").distinct().collect())
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """a, b: for distinct values of fp, pairs whose components are those of all links."""
     n = shuffle_partitions(fps.sparkSession)
-    bucket = ["band", "value", "cell"]
-    dealt = dealt_bands(fps, radius, block).repartition(n, *bucket).sortWithinPartitions(*bucket)
+    keyed = dealt_bands(fps, radius, block, levels).select("fp", F.xxhash64("path", "cell").alias("room"))
+    dealt = keyed.repartition(n, "room").sortWithinPartitions("room")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def compared(done) -> pa.RecordBatch:
-            fp, *keys = done
-            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            first = np.concatenate(([0], cuts, [len(fp)]))
-            a, b = bucket_links(fp.view(np.uint64), first, radius, tile)
+        def compared(fp: np.ndarray, room: np.ndarray) -> pa.RecordBatch:
+            number = np.cumsum(np.concatenate(([0], np.diff(room) != 0)))
+            a, b = bucket_links(fp.view(np.uint64), number, radius, tile)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
         for batch in batches:
-            part = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(part[0]):
+            if not batch.num_rows:
                 continue
-            differs = np.flatnonzero(np.any([k != k[-1] for k in part[1:]], axis=0))
-            cut = differs[-1] + 1 if len(differs) else 0  # the last bucket may go on in the next batch
-            if held and (cut or any(h[-1] != k[0] for h, k in zip(held[-1][1:], part[1:]))):
-                before = [np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in part))]
+            fp, room = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            differs = np.flatnonzero(room != room[-1])
+            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last bucket may go on in the next batch
+            if held and (cut or held[-1][1][-1] != room[0]):
+                before = [np.concatenate(x) for x in zip(*held, (fp[:cut], room[:cut]))]
                 held = []
-                yield compared(before)
+                yield compared(*before)
             elif cut:
-                yield compared(tuple(c[:cut] for c in part))
-            held.append(tuple(c[cut:] for c in part))
+                yield compared(fp[:cut], room[:cut])
+            held.append((fp[cut:], room[cut:]))
         if held:
-            yield compared([np.concatenate(x) for x in zip(*held)])
+            yield compared(*[np.concatenate(x) for x in zip(*held)])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
+def _joined_by_one(now: DataFrame) -> DataFrame:
+    """node, component by one task: for at most FEW_LINKS links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = np.arange(len(nodes))
+        x, y = at[: len(a)], at[len(a) :]
+        while True:  # least neighbours, then pointer jumping, until nothing changes
+            low = np.minimum(root[x], root[y])
+            was = root.copy()
+            for k in (x, y):
+                np.minimum.at(root, was[k], low)
+                np.minimum.at(root, k, low)
+            while (root != root[root]).any():
+                root = root[root]
+            if (root == was).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+    return now.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, label: str = "components", few: int = FEW_LINKS) -> DataFrame:
     """node, component (the least node reachable) for every node of the links a, b.
 
-    Each round points a node's larger neighbours at its least one, then its smaller ones (large and
-    small stars); links only shrink towards the least node, and it ends when nothing changes.
+    Up to `few` links are joined by one task. Else, each round points a node's larger neighbours at its
+    least one, then its smaller ones (large and small stars); links only shrink towards the least node, and
+    it ends when nothing changes, after about the logarithm of the longest chain in rounds.
     A hot node's links are combined before the shuffle: only minima are gathered, no neighbour lists.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), label)
+    if now.count() <= few:
+        return _joined_by_one(now)
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = now.join(least, now["b"] == least["n"]).select("a", F.col("m").alias("b"))
@@ -212,8 +293,6 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     node = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return node.unionByName(node.select(F.col("component").alias("node"), "component").distinct())
 
@@ -222,15 +301,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, fp, component_id: the least id among the rows reachable by links, itself included.
 
     Null, empty and wordless texts have fingerprint 0 and are linked like any other; rows with a null
-    id take part, and have a null component_id only if no row of their component has an id.
+    id take part, and have a null component_id only if no row of their component has an id. Repeated rows
+    get a result each; an empty table gives none.
     """
-    docs = materialize(fingerprints(df, id_col, text_col, words), "fingerprints")
-    least = materialize(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct-fingerprints")
+    docs = materialize(fingerprints(df, id_col, text_col, words).toDF("id", "fp"), "fingerprints")
+    least = materialize(docs.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     comps = materialize(components(links(least.select("fp"), radius)), "fingerprint-components")
-    owner = least.join(comps, least["fp"] == comps["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("c"))
+    owner = least.join(comps, least["fp"] == comps["node"], "left").select("fp", "least_id", "rows", F.coalesce("component", "fp").alias("c"))
     ids = owner.groupBy("c").agg(F.min("least_id").alias("component_id"))
-    named = owner.join(ids, "c").select("fp", "component_id")
-    return docs.join(named, "fp")
+    classes = materialize(owner.join(ids, "c").select("fp", "component_id", "rows"), "fingerprint-classes")
+    return join_hot(docs, classes, "fp", F.col("rows")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,13 +319,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null id comes after all others. Rows are told apart by their place in their file, so repeated rows and
     rows without an id are near copies like any other.
     """
-    table = located(df)
-    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(LOCATOR).alias("at")).alias("_key")
-    found = near_duplicates(table.select(key, F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
-    gone = found.filter(F.col("_key") != F.col("component_id")).select(F.col("_key.at").alias(LOCATOR))
-    return table.join(gone, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    table, at = located(df)
+    key = F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id"), F.col(at).alias("at")).alias("key")
+    found = near_duplicates(table.select(key, named(text_col).alias("text")), "key")
+    gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.at").alias(at))
+    return table.join(gone, at, "left_anti").select(*map(named, df.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; nulls, repeats and empty tables as in near_duplicates."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,5 +1,6 @@
 """What op10 learns from: every label, and rows in the order of the draw."""
 
+import random
 import re
 
 from quire.llm import language_id
@@ -9,7 +10,7 @@ def test_every_label_is_learned(spark):
     rows = [(i, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} " * 5, f"l{k:02d}") for k in range(70) for i in (2 * k, 2 * k + 1)]
     parser = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert parser.languages == sorted({r[2] for r in rows})
-    assert [p for p, _ in parser.load().predict([r[1] for r in rows])] == [r[2] for r in rows]
+    assert [p for p, *_ in parser.load().predict([r[1] for r in rows])] == [r[2] for r in rows]
 
 
 def test_sample_is_not_a_prefix_by_id(spark):
@@ -25,3 +26,31 @@ def test_no_label_keeps_texts_with_letters(spark):
     rows = [(1, "words", None), (2, "12 !", None), (3, None, None), (4, "语", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in language_id.keep_identified(docs, language_id.fit(docs)).collect()} == {1, 4}
+
+
+def test_unequal_samples():
+    """A language with little labelled text wins its own texts, and no others."""
+    rng = random.Random(8)
+    syllables = {"x": ["ba", "ko", "ti", "mu", "sel"], "y": ["ra", "ko", "shi", "len", "mu"], "z": ["gro", "ti", "ump", "ak", "sel"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(n))
+    for small in syllables:
+        parser = language_id.CrossParser({lang: language_id.joined(text(lang, 60 if lang == small else 8000).split()) for lang in syllables}).load()
+        for lang in syllables:
+            assert {p for p, *_ in parser.predict([text(lang, 60) for _ in range(20)])} == {lang}
+
+
+def test_ties_go_to_the_first_name():
+    parser = language_id.CrossParser({"b": " one two", "a": " one two"}).load()
+    assert parser.predict(["one two"])[0][:2] == ("a", 0.0)
+
+
+def test_texts_in_no_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parser = language_id.fit(docs)
+    noise = " ".join("".join(random.Random(i).choices("qxzjkvw", k=6)) for i in range(60))
+    odd = spark.createDataFrame([(10**6, noise, "en", "s", 1), (10**6 + 1, "12 ²", "en", "s", 1), (10**6 + 2, None, None, None, None)], docs.schema)
+    got = language_id.keep_identified(docs.unionByName(odd), parser)
+    rows = {r.doc_id: r for r in got.collect()}
+    with_letters = {r.doc_id: r for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert rows.keys() == with_letters.keys() and got.columns == docs.columns
+    assert sum(rows[i].lang == r.lang for i, r in with_letters.items()) > 0.99 * len(rows)

@@ -13,7 +13,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quire.llm import exact_dedup, gif, language_id, packing, pii, sentencepiece_bpe, shards, simhash, sstable, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, _text string, digest string"
@@ -144,19 +143,32 @@ def test_tiles_and_components(spark):
         return {frozenset(s) for s in out.values()}
 
     arr = np.array(values, np.uint64)
-    for tile in (16, 1024):
-        a, b = simhash.tile_links(arr, 3, tile)
-        assert groups(zip(a.tolist(), b.tolist())) == want
-    a, b = simhash.bucket_links(arr, np.array([0, len(arr)]), small=10_000)
-    assert groups(zip(a.tolist(), b.tolist())) == want and len(a) < len(values)
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 3}
+    order = np.argsort(np.bitwise_count(arr), kind="stable")
+    for tile in (4, 16, 1024):
+        a, b = simhash.bucket_links(arr, np.zeros(len(arr), int), 3, tile)
+        assert groups(zip(a.tolist(), b.tolist())) == want and len(a) < len(values)
+        seen = {}
+        found = [(int(order[x]), int(order[y])) for i, j in simhash.tile_pairs(arr[order], np.zeros(len(arr), int), 3, tile, seen) for x, y in zip(i, j)]
+        assert len(found) == len(pairs) and {tuple(sorted(p)) for p in found} == pairs
+        assert (seen.get("skipped", 0) > 0) == (tile < 1024) and seen["compared"] > 0
+    rooms = np.array(sorted(rng.randrange(40) for _ in values))
+    order = np.lexsort((np.bitwise_count(arr), rooms))
+    for tile in (4, 16):  # several buckets in a tile, and buckets of several tiles
+        found = {tuple(sorted((int(order[x]), int(order[y])))) for i, j in simhash.tile_pairs(arr[order], rooms[order], 3, tile) for x, y in zip(i, j)}
+        assert found == {(a, b) for a, b in pairs if rooms[a] == rooms[b]}
     frame = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    for block in (simhash.BLOCK, 7):  # with 7, buckets are dealt to parts that meet two by two
-        found = simhash.components(simhash.links(frame, block=block)).collect()
-        assert groups([(r.node % (1 << 64), r.component % (1 << 64)) for r in found]) == want
-    cells = simhash.dealt_bands(frame, block=7).groupBy("band", "value", "cell").count()
+    # with blocks of 7, buckets are divided by further bands and dealt to parts that meet two by two
+    for block, levels in ((simhash.BLOCK, simhash.LEVELS), (7, 3), (7, 1), (1, 2)):
+        found = simhash.links(frame, block=block, levels=levels)
+        for few in (simhash.FEW_LINKS, 0):
+            assert groups([(r.node % (1 << 64), r.component % (1 << 64)) for r in simhash.components(found, few=few).collect()]) == want
+    cells = simhash.dealt_bands(frame, block=7, levels=1).groupBy("path", "cell").count()
     assert cells.filter("cell > 0").count() > 0
+    assert simhash.dealt_bands(frame, block=7).count() > 4 * len(values)
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
-    assert {r.component for r in simhash.components(chain).collect()} == {0}
+    for few in (simhash.FEW_LINKS, 0):
+        assert {r.component for r in simhash.components(chain, few=few).collect()} == {0}
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.md5(t), 1, 1)])
@@ -193,25 +205,32 @@ def test_sstables(spark, docs, empty, tmp_path):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
         assert (g.start, g.n_tokens, g.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    files = [sstable.TableReader(bytes(r.content)) for r in spark.read.format("binaryFile").load(out + "/part-*").collect() if r.length]
-    for doc in (0, 5, 59):
-        values = [v for f in files if (v := f.get(doc)) is not None]
-        assert len(values) == 1 and sstable.unpack_ids(values[0]).tolist()[:-1] == t.encode(rows[doc + 1].text or "", add_special_tokens=False).ids or doc > 3
-    assert all(f.get(10**9) is None for f in files)
+    small = f"{tmp_path}/small"
+    sstable.write_tables(docs, small, path, shards=2, table_bytes=4096)  # several tables a shard
+    assert sorted(map(tuple, sstable.token_table(spark, small).collect()), key=str) == sorted(map(tuple, got), key=str)
+    for where in (out, small):
+        for doc in (None, 0, 3, 59, rows[-1].doc_id):
+            found = sstable.lookup(spark, where, doc)
+            assert [f.tolist()[:-1] for f in found] == [t.encode(r.text or "", add_special_tokens=False).ids for r in rows if r.doc_id == doc]
+        assert sstable.lookup(spark, where, 10**9) == sstable.lookup(spark, where, -1) == []
     sstable.write_tables(empty, f"{tmp_path}/none", path)
     assert sstable.token_table(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_table_search():
-    w, out = sstable.TableWriter(0), b""
+    w = sstable.TableWriter(3, 1)
     keys = [(k * 7, r) for k in range(5000) for r in range(1 + (k % 50 == 0))]
     for k, r in keys:
-        done = w.add(sstable.key_of(k, r), b"\x02" + bytes([k % 251, r]) * (k % 40), k % 40)
-        out += done + b"\n" if done else b""
-    out += w.flush() + b"\n" + w.finish() + b"\n"
-    t = sstable.TableReader(out)
-    assert len(t.index) > 1 and all(t.get(k * 1, r) == b"\x02" + bytes([k // 7 * 7 % 251, r]) * (k % 40) for k, r in keys)
-    assert all(t.get(k) is None for k in (1, -5, 34999, 10**12))
+        w.add(sstable.key_of(k, r), b"\x02" + bytes([k % 251, r]) * (k % 40), k % 40)
+    out, asked = w.finish() + b"\n", []
+    t = sstable.TableReader(lambda at, n: asked.append(n) or out[at : at + n], len(out))
+    assert len(t.index) > 1 and (t.shard, t.part, t.docs) == (3, 1, len(keys))
+    for k in range(5000):
+        assert t.get(k * 7) == [b"\x02" + bytes([k * 7 % 251, r]) * (k * 7 % 40) for r in range(1 + (k % 50 == 0))]
+    assert all(t.get(k) == [] for k in (1, -5, 34999, 10**12))
+    asked.clear()
+    t.get(700)
+    assert sum(asked) < len(out) // 2
 
 
 def test_packing(spark, docs, empty):
@@ -275,15 +294,34 @@ def test_gif_rules(spark):
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9]) + bytes(3 * 252)
     start = b"GIF89a" + bytes([2, 0, 2, 0, 0xF7, 0, 0]) + palette
     data = start + frame([0, 0, 0, 0], 2, 2, 0, 0, 1) + frame([1, 3], 2, 1, 0, 0, 3, clear=3) + frame([2], 1, 1, 1, 1, 2) + frame([1], 1, 1, 0, 0, 0) + b"\x3b"
-    im = gif.decode(data)
-    seen = [f.shown.reshape(-1, 3).argmax(1).tolist() for f in im.frames]
-    assert im.error is None and seen == [[0, 0, 0, 0], [1, 0, 0, 0], [0, 0, 0, 2], [1, 0, 0, 0]]
-    assert not im.frames[3].covered[1, 1] and [f.delay for f in im.frames] == [5] * 4
-    woven = gif.decode(b"GIF89a" + bytes([1, 0, 8, 0, 0xF7, 0, 0]) + palette + frame([0, 1, 2, 2, 1, 1, 0, 0], 1, 8, 0, 0, 0, lines=True) + b"\x3b")
-    assert woven.frames[0].shown[:, 0].argmax(1).tolist() == [0, 1, 2, 1, 1, 0, 2, 0]
-    rows = gif.gif_frames(spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(data[:-9]))], "doc_id long, gif binary")).collect()
+    seen, painted = [], []
+    for f in gif.frames_of(data):  # a frame's screen is valid until the next one
+        seen.append(f.shown.reshape(-1, 3).argmax(1).tolist())
+        painted.append(bool(f.covered[1, 1]))
+        assert f.delay == 5
+    assert seen == [[0, 0, 0, 0], [1, 0, 0, 0], [0, 0, 0, 2], [1, 0, 0, 0]] and painted == [True, True, True, False]
+    (woven,) = gif.frames_of(b"GIF89a" + bytes([1, 0, 8, 0, 0xF7, 0, 0]) + palette + frame([0, 1, 2, 2, 1, 1, 0, 0], 1, 8, 0, 0, 0, lines=True) + b"\x3b")
+    assert woven.shown[:, 0].argmax(1).tolist() == [0, 1, 2, 1, 1, 0, 2, 0]
+    rows = gif.gif_frames(spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(data[:-9]))], "doc_id long, gif binary"), ["doc_id"]).collect()
     assert sum(r.frame is not None for r in rows if r.doc_id == 1) == 4 and {r.doc_id for r in rows if r.error} == {2, 3}
-    assert [r.at for r in rows if r.doc_id == 1] == [0, 5, 10, 15] and rows[0].histogram[7] == 4
+    assert [r.at for r in rows if r.doc_id == 1] == [0, 5, 10, 15] and rows[0].red[7] == 4
+    assert rows[0].mode == "RGB" and rows[0].pixels == bytes([255, 0, 0] * 4) and rows[0].covered is None
+    assert [r.frames for r in rows if r.doc_id == 1] == [None, None, None, 4]
+
+
+def test_gif_of_several_frames(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["a", "b", "word ", "é", "中"]) for _ in range(2_600_000)) + "end"
+    raw = text.encode()
+    assert len(raw) > gif.WIDTH * gif.MOST_ROWS
+    media = gif.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    (r,) = gif.payload_features(media).collect()
+    payload = gif.pad(raw)
+    assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    bins = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8).tolist()
+    assert r.feature == f"gif;64x65535;frames=2;hist={','.join(map(str, bins))}"
+    frames = gif.gif_frames(media, ["doc_id"]).orderBy("frame").collect()
+    assert b"".join(bytes(f.pixels)[: 64 * f.height] for f in frames) == payload and [f.at for f in frames] == [0, 10]
 
 
 def test_language_id(spark, empty):
@@ -292,8 +330,9 @@ def test_language_id(spark, empty):
     got = language_id.with_language(t.filter("held_out"), parser, keep=["lang"])
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
     parser.load()
-    assert parser.predict([None, "", "12 ..."]) == [("und", 0.0)] * 3
-    assert language_id.with_language(empty, parser).count() == 0 and language_id.fit(empty).load().predict(["x"]) == [("und", 0.0)]
+    assert parser.predict([None, "", "12 ..."]) == [("und", 0.0, True)] * 3
+    assert [p[0] for p in parser.predict(["½ ²", "Ⅷ", "x²", "\u0301", "二"])][:2] == ["und", "und"] and parser.predict(["x²", "二"])[1][0] != "und"
+    assert language_id.with_language(empty, parser).count() == 0 and language_id.fit(empty).load().predict(["x"]) == [("und", 0.0, True)]
     a = language_id.SuffixAutomaton(" abcab")
     assert [a.phrases(w) for w in (" ab", "cabx", "xx", "bcb", "")] == [1, 2, 2, 2, 0]
     sample = " der hund und die katze"
@@ -321,7 +360,7 @@ def luhn(d):
 def test_pii(spark, empty):
     rows = ["4984250489669609 x", "4984-2504-8966-9609", "4984250489669608", "at 2024-02-29. or 2024-02-30", "31/12/1999 12/31/1999", "1.2.3.4 and 256.1.1.1", "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "a.b@c.example.com,", "+1 (988) 555-2485", "123-45-6789 000-11-2222", "", None, "4984250489669609" + " y" * 50_000]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = [r for r in pii.with_pseudonyms(df).orderBy("doc_id").collect()]
+    got = [r for r in pii.with_pseudonyms(df, "k").orderBy("doc_id").collect()]
     out = [r.text for r in got]
     assert [r.n_pii for r in got] == [1, 1, 0, 1, 2, 1, 1, 0, 1, 1, 1, 0, 0, 1]
     card = out[0].split()[0]
@@ -332,18 +371,4 @@ def test_pii(spark, empty):
     assert out[2] == rows[2] and out[7] == rows[7] and out[12] is None and "@example.invalid" in out[8] and out[9].startswith("+1 (")
     few = spark.range(99).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("d"))
     assert few.select(pii._digit_string(F.col("d"), "k", F.lit("t"))).distinct().count() == 99
-    assert pii.with_pseudonyms(empty).count() == 0
-
-
-def test_pipeline(spark):
-    folder = "/root/testdata/sf0.001"
-    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
-    kept = [r for r in rows if any(c.isalpha() for c in r.text or "")]
-    last = {}
-    for r in kept:
-        last[r.text] = max(last.get(r.text, -1), r.doc_id)
-    kept = sorted((r for r in kept if last[r.text] == r.doc_id), key=lambda r: r.doc_id)
-    comp = plain_components([plain_fingerprint(r.text) for r in kept])
-    want = {r.doc_id for i, r in enumerate(kept) if comp[i] == i}
-    got = corpus_pipeline.run(spark, folder).collect()
-    assert {r.doc_id for r in got} == want and len(got) == len(want)
+    assert pii.with_pseudonyms(empty, "k").count() == 0
