@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, language_id, near_copies, packing, pii
-from quire.llm.common import documents, materialize
+from quire.llm.common import documents, materialize, named
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go."""
+    """Documents in none of the learned languages (no text, no letter, or far from all of them) go; lang is
+    the language found."""
     parser = language_id.fit(docs.filter(~F.coalesce(language_id.held_out(), F.lit(False))))
     return language_id.keep_identified(docs, parser)
 
@@ -31,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values get pseudonyms; n_chars counts the new text."""
-    return pii.with_pseudonyms(docs).drop("n_pii").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = pii.with_pseudonyms(docs, pii.session_key(spark), count_col=None)
+    return new.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
