@@ -154,9 +154,18 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: Column, share:
     """
     salt, parts = fresh([*rows.columns, *table.columns], "_salt"), fresh([*rows.columns, *table.columns], "_parts")
     hot = materialize(table.filter(weight > share).select(named(key), F.ceil(weight / share).cast("int").alias(parts)), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key)
     dealt = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
     copies = table.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
-    return dealt.join(copies, [key, salt]).drop(salt)
+    # written, so that Spark knows its size and chooses the join by it
+    return dealt.join(materialize(copies, "salted"), [key, salt]).drop(salt)
+
+
+def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of table whose key is not in gone; gone is written first, so that a small one is broadcast and
+    the table's texts are not shuffled."""
+    return table.join(materialize(gone, "gone"), key, "left_anti")
 
 
 def number_rows(df: DataFrame, order: list[str], within: str | None = None, label: str = "numbered") -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, join_hot, materialize, named, shared_path
+from .common import documents, fresh, join_hot, materialize, named, shared_path, without
 
 #: State on disk; files take the space they need (no allocation ahead), and changes are logged.
 STORE = {
@@ -104,7 +104,7 @@ def _classes(placed: DataFrame, digest: Callable[[Column], Column], files_per_ba
 
     # full bytes: the content kept for each hit, and all arrivals of it
     hits = materialize(state.filter("group_size > 1").select("digest", "keep_locator", "group_size"), "hits")
-    members = join_hot(digested, hits, "digest", F.col("group_size"))
+    members = materialize(join_hot(digested, hits, "digest", F.col("group_size")), "hit-texts")
     contents = materialize(members.filter(F.col("locator") == F.col("keep_locator")).select("digest", F.col("text").alias("content"), "group_size"), "hit-contents")
     compared = join_hot(members.drop("group_size"), contents, "digest", F.col("group_size"))
     mixed = materialize(compared.filter(F.col("text") != F.col("content")).select("digest").distinct(), "mixed-digests")
@@ -138,7 +138,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     table, at = located(df)
     placed = table.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.col(at).alias("locator"))
     gone = _classes(placed, sha256, None).filter("not kept").select(F.col("locator").alias(at))
-    return table.join(gone, at, "left_anti").select(*map(named, df.columns))
+    return without(table, gone, at).select(*map(named, df.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

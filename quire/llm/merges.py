@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from .common import Memo
 
-MACHINE_BYTES = 48 << 20
+MACHINE_BYTES = 256 << 20
 
 Rank = Callable[[str, str], float | None]
 
@@ -43,7 +43,7 @@ def compatibility(rank: Rank) -> Memo:
         before, piece = pair
         return simulate((before or "") + piece, rank) == ([before, piece] if before else [piece])
 
-    return Memo(test, 16 << 20, 280)
+    return Memo(test, 128 << 20, 280)
 
 
 class Moves(dict):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, named, shuffle_partitions, small_batches
+from .common import map_columns, materialize, named, shuffle_partitions, small_batches, without
 from .exact_dedup import located
 from .simhash import SEED, STEP, Parts, components
 
@@ -220,7 +220,9 @@ def near_copies(table: DataFrame, key_col: str, text_col: str, block: int | None
     one = pa.schema([("digest", pa.int64())])
     found = by_meeting(meetings(sets.drop("least_key"), sets, block), one, "digest long", _with_candidate).distinct()
     near = materialize(sets.join(materialize(found, "sets-with-candidates"), "digest"), "candidates")
-    texts = table.join(near, table[f"{key_col}.at"] == near["least_key.at"]).select("digest", "n", "f0", "f1", text_col)
+    # a narrow table of its own, so that a small one is broadcast and texts are not shuffled
+    wanted = materialize(near.select("digest", "n", "f0", "f1", F.col("least_key.at").alias("_wanted_at")), "wanted")
+    texts = table.join(wanted, table[f"{key_col}.at"] == wanted["_wanted_at"]).select("digest", "n", "f0", "f1", text_col)
     near_sets = map_columns(texts, "digest long, n long, f0 long, f1 long, shingles binary", again)
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     links = by_meeting(meetings(near_sets, near, block), two, "a long, b long", _links).distinct()
@@ -237,4 +239,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key = F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id"), F.col(at).alias("at")).alias("key")
     found = near_copies(table.select(key, named(text_col).alias("text")), "key", "text")
     gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.at").alias(at))
-    return table.join(gone, at, "left_anti").select(*map(named, df.columns))
+    return without(table, gone, at).select(*map(named, df.columns))

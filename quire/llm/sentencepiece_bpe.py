@@ -60,7 +60,7 @@ class PieceModel:
         score = {p: -model.pieces[i].score for p, i in self.ids.items()}
         self.matches = Matches(self.ids, lambda a, b: score.get(a + b), (("", None),))
         self.units = self.cutter()
-        self.memo = Memo(self.unit, 4 * MEMO_BYTES, 380, 8)  # ids, their text and the decoded text of a unit
+        self.memo = Memo(self.unit, 6 * MEMO_BYTES, 380, 8)  # ids, their text and the decoded text of a unit
 
     def cutter(self) -> re.Pattern:
         together = {pair for p in self.ids for pair in zip(p, p[1:])}

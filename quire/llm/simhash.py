@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_hot, map_columns, materialize, named, shuffle_partitions
+from .common import documents, join_hot, map_columns, materialize, named, shuffle_partitions, without
 from .exact_dedup import located
 
 SHINGLE = 3
@@ -323,7 +323,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key = F.struct(named(id_col).isNull().alias("none"), named(id_col).alias("id"), F.col(at).alias("at")).alias("key")
     found = near_duplicates(table.select(key, named(text_col).alias("text")), "key")
     gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.at").alias(at))
-    return table.join(gone, at, "left_anti").select(*map(named, df.columns))
+    return without(table, gone, at).select(*map(named, df.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ class TokenCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        word = Memo(lambda w: machine.count(w.encode().decode("latin-1").translate(letters)), MEMO_BYTES // 2, 150, 4)
+        word = Memo(lambda w: machine.count(w.encode().decode("latin-1").translate(letters)), MEMO_BYTES, 150, 4)
 
         def chunk(u: str) -> int:
             ends = u[-1] in ".,"
@@ -133,7 +133,7 @@ class TokenCounter:
                 return word[" " + body] + (word[u[-1]] if ends else 0)
             return sum(map(word.__getitem__, words.findall(u)))
 
-        self.chunk = Memo(chunk, 3 * MEMO_BYTES, 150, 4)
+        self.chunk = Memo(chunk, 4 * MEMO_BYTES, 150, 4)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text: one scan over the maps of all texts' chunks."""
