@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, strip
+
 AI_WEIGHT, CUE_WEIGHT = 0.7, 0.3
 MIN_DISTANCE, DISTANCE_SHARE, RELAX, LAST_DISTANCE = 1000, 0.3, 0.5, 500
 
@@ -81,6 +83,20 @@ def topic_windows(docs: DataFrame, window: int = 2000, stride: int = 1500, most:
     return at.select("doc_id", "window_no", (F.col("window_no") * F.col("_step")).alias("char_pos"), F.substr("text", (F.col("window_no") * F.col("_step") + 1).cast("int"), F.lit(window)).alias("text"))
 
 
+def window_boundary(text: Column) -> Column:
+    """Characters before a window's boundary: its first blank line, or else the first short line (under 50
+    characters, neither the first nor the last), or else 0."""
+    gap = F.regexp_substr(text, F.lit(f"\n[{SPACE}]*\n"))
+    cut = F.split(text, "\n")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(-1).alias("found"))
+
+    def step(a: Column, line: Column) -> Column:
+        short = (a["found"] < 0) & (a["i"] > 0) & (a["i"] < F.size(cut) - 1) & (F.length(strip(line)) < 50)
+        return F.struct((a["at"] + F.length(line) + 1).alias("at"), (a["i"] + 1).alias("i"), F.when(short, a["at"]).otherwise(a["found"]).alias("found"))
+
+    return F.when(gap.isNotNull(), F.instr(text, gap) - 1).otherwise(F.greatest(F.lit(0), F.aggregate(cut, start, step, lambda a: a["found"])))
+
+
 def stagnant(counts: Column, threshold: int = 3, spread: int = 2) -> Column:
     last = F.slice(counts, -threshold, threshold)
     return F.when(F.size(counts) < threshold, F.lit(False)).otherwise(F.array_max(last) - F.array_min(last) <= spread)

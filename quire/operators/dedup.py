@@ -24,6 +24,17 @@ def ordered_distinct(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(order).alias(order))
 
 
-def collision_suffix(names: DataFrame, name: str = "name", order: str = "id") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return names.withColumn("final_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.lpad(n.cast("string"), 2, "0"))))
+def collision_suffix(names: DataFrame, name: str = "name", order: str = "id", span: int = 1 << 16) -> DataFrame:
+    """final_name: the name, with -01, -02, ... from its second row by `order` (a whole number) on.
+
+    A name's rows are ranked inside spans of `order`, and spans are counted before they are put in order, so
+    that a name that many rows have is ranked by many tasks.
+    """
+    cut = F.floor(F.col(order) / span)
+    counts = names.groupBy(name, cut.alias("_span")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(name).orderBy("_span")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(name, "_span").orderBy(order)) - 1
+    ranked = names.withColumn("_span", cut).withColumn("_place", place).join(before, [name, "_span"])
+    n = F.col("_before") + F.col("_place")
+    digits = F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    return ranked.select(*names.columns, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), digits)).alias("final_name"))

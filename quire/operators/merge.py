@@ -44,29 +44,36 @@ def merge_metadata(pairs: DataFrame) -> DataFrame:
     cover_url, platform, last_updated, official_url); all rules read the records before the merge."""
     b, e = F.col("base"), F.col("extra")
     better = platform_priority(e["platform"]) < platform_priority(b["platform"])
-    newer = F.coalesce(e["last_updated"] > b["last_updated"], e["last_updated"].isNotNull() & b["last_updated"].isNull())
+    dated = lambda r: F.nullif(r["last_updated"], F.lit(""))
+    newer = dated(e).isNotNull() & F.coalesce(dated(e) > dated(b), F.lit(True))
     empty = lambda f: F.coalesce(b[f], F.lit("")) == ""
     given = lambda f: F.coalesce(e[f], F.lit("")) != ""
     pick = lambda f, when: F.when(given(f) & when, e[f]).otherwise(b[f]).alias(f)
-    br, er = episode_range_numeric(b["episode_range"]), episode_range_numeric(e["episode_range"])
+    number = lambda r: F.nullif(episode_range_numeric(r["episode_range"]), F.lit(0).cast("long"))
+    br, er = number(b), number(e)
     wider = F.when(br.isNotNull() & er.isNotNull(), (er > br) | ((er == br) & newer)).otherwise(empty("episode_range") | newer)
-    tags = tag_union(b["tags"], e["tags"])
-    genre = genre_union(b["genre"], e["genre"])
-    adult = F.exists(tags, lambda t: t.rlike("|".join(ADULT))) & ~F.contains(genre, F.lit("성인물"))
+    genre = F.when(given("genre") & empty("genre"), e["genre"]).when(given("genre") & (b["genre"] != e["genre"]), genre_union(b["genre"], e["genre"])).otherwise(b["genre"])
+    tagged = F.coalesce(F.size(e["tags"]), F.lit(0)) > 0
+    every_tag = F.array_union(F.coalesce(b["tags"], F.array().cast("array<string>")), e["tags"])
+    adult = tagged & F.exists(every_tag, lambda t: t.rlike("|".join(ADULT)))
+    none = F.coalesce(genre, F.lit("")) == ""
+    rated = F.when(adult & none, F.lit("성인물")).when(adult & ~F.contains(genre, F.lit("성인물")), F.concat(F.lit("성인물, "), genre)).otherwise(genre)
     done = F.lit("완결")
-    status = F.when(F.contains(F.coalesce(b["status"], F.lit("")), done) | F.contains(F.coalesce(e["status"], F.lit("")), done), done).otherwise(F.when(given("status") & (empty("status") | newer), e["status"]).otherwise(b["status"]))
-    rating = F.when(e["rating"].isNotNull() & (b["rating"].isNull() | (e["rating"] > b["rating"]) | (newer & (F.abs(e["rating"] - b["rating"]) <= 0.1))), e["rating"]).otherwise(b["rating"])
+    ended = F.contains(e["status"], done) | F.contains(F.coalesce(b["status"], F.lit("")), done)
+    status = F.when(given("status") & ended, done).when(given("status") & (empty("status") | newer), e["status"]).otherwise(b["status"])
+    unrated = F.coalesce(b["rating"], F.lit(0.0)) == 0
+    rating = F.when((e["rating"] > 0) & (unrated | (e["rating"] > b["rating"]) | (newer & (F.abs(e["rating"] - b["rating"]) < 0.1))), e["rating"]).otherwise(b["rating"])
     return pairs.select(
         *[c for c in pairs.columns if c not in ("base", "extra")],
-        pick("title", better | newer | b["title"].startswith("#")),
+        pick("title", better | newer | F.coalesce(b["title"].startswith("#"), F.lit(False))),
         pick("author", empty("author") | better | newer),
-        F.when(adult, F.concat_ws(", ", F.lit("성인물"), F.nullif(genre, F.lit("")))).otherwise(genre).alias("genre"),
+        rated.alias("genre"),
         status.alias("status"),
         pick("episode_range", wider),
-        pick("last_updated", newer),
-        pick("platform", better),
+        F.when(newer, e["last_updated"]).otherwise(b["last_updated"]).alias("last_updated"),
+        F.when(better, e["platform"]).otherwise(b["platform"]).alias("platform"),
         rating.alias("rating"),
-        pick("cover_url", empty("cover_url") | better),
-        tags.alias("tags"),
+        pick("cover_url", empty("cover_url") | better | newer),
+        F.when(tagged, tag_union(b["tags"], e["tags"])).otherwise(b["tags"]).alias("tags"),
         pick("official_url", empty("official_url")),
     )

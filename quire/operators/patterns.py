@@ -37,24 +37,6 @@ def without_end_markers(pattern: str) -> str:
     return f"(?!.*(?:{'|'.join(map(re.escape, END_WORDS))})\\s*[>】\\])]*\\s*$){pattern}"
 
 
-def sanitized(answer: str | None) -> str | None:
-    """A usable expression out of free text: fenced, or quoted, or its first line; None if there is none."""
-    if not answer or not answer.strip():
-        return None
-    fenced = re.search(r"```(?:python|regex|re)?\s*(.*?)\s*```", answer, re.DOTALL)
-    quoted = re.search(r"r?['\"](.*?)['\"]", answer)
-    found = fenced or quoted
-    text = (found.group(1) if found else answer.strip().splitlines()[0]).strip()
-    if "NO_PATTERN_FOUND" in text or len(text) > 200:
-        return None
-    text = text.lstrip("r").strip("'\"")
-    try:
-        re.compile(text)
-    except re.error:
-        return None
-    return text or None
-
-
 def pattern_of(title: Column) -> Column:
     """An expression for titles of the same shape: literal but for its numbers."""
     return F.regexp_replace(F.regexp_replace(title, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), "[0-9]+", r"\\d+")
@@ -155,9 +137,9 @@ def refined(best: DataFrame, library: list[str] = LIBRARY) -> DataFrame:
     return out.select("doc_id", "expected", "chosen", matches(m, F.col("chosen")).alias("found"))
 
 
-def line_chunks(lines: DataFrame, size: int = CHUNK, most: int = CHUNKS) -> DataFrame:
+def line_chunks(lines: DataFrame, size: int = CHUNK, most: int | None = CHUNKS) -> DataFrame:
     """doc_id, chunk_no, first, upto (line numbers, upto not inside), chars: whole lines filled up to `size`
-    characters a chunk, the first `most` chunks of a document (a longer line is a chunk of its own)."""
+    characters a chunk, the first `most` chunks of a document, or all (a longer line is a chunk of its own)."""
     n = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_num", (F.length("line") + 1).alias("n")))), lambda x: x["n"]).alias("n"))
     kind = "struct<done:array<struct<first:int,upto:int,chars:int>>,first:int,at:int,chars:int>"
     start = F.struct(F.array().cast("array<struct<first:int,upto:int,chars:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("chars")).cast(kind)
@@ -167,9 +149,10 @@ def line_chunks(lines: DataFrame, size: int = CHUNK, most: int = CHUNKS) -> Data
 
     def step(a: Column, x: Column) -> Column:
         full = (a["chars"] > 0) & (a["chars"] + x > size)
-        return F.when(F.size(a["done"]) >= most, a).when(full, F.struct(closed(a).alias("done"), a["at"].alias("first"), (a["at"] + 1).alias("at"), x.alias("chars")).cast(kind)).otherwise(F.struct(a["done"].alias("done"), a["first"].alias("first"), (a["at"] + 1).alias("at"), (a["chars"] + x).alias("chars")).cast(kind))
+        over = F.size(a["done"]) >= most if most else F.lit(False)
+        return F.when(over, a).when(full, F.struct(closed(a).alias("done"), a["at"].alias("first"), (a["at"] + 1).alias("at"), x.alias("chars")).cast(kind)).otherwise(F.struct(a["done"].alias("done"), a["first"].alias("first"), (a["at"] + 1).alias("at"), (a["chars"] + x).alias("chars")).cast(kind))
 
-    cut = F.aggregate("n", start, step, lambda a: F.slice(F.when(F.size(a["done"]) < most, closed(a)).otherwise(a["done"]), 1, most))
+    cut = F.aggregate("n", start, step, lambda a: F.slice(F.when(F.size(a["done"]) < most, closed(a)).otherwise(a["done"]), 1, most) if most else closed(a))
     return n.select("doc_id", F.posexplode(cut).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
 
 

@@ -9,7 +9,7 @@ from ..functions.text import strip
 from .lines import by_line
 
 HEADING = "^.{1,29}$"
-TAIL, TITLE, FAKE = 20, 100, 100
+TITLE = 100
 
 
 def flagged(lines: DataFrame, pattern: str, titles: DataFrame | None = None) -> DataFrame:

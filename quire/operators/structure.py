@@ -73,7 +73,7 @@ def spaced(rows: DataFrame, position: str, distance: int, keys: tuple[str, ...]
     return rows.groupBy(*keys).agg(kept.alias("_kept")).select(*keys, F.explode("_kept").alias(position))
 
 
-def candidates(lines: DataFrame, most: int = 500, threshold: float = THRESHOLD, distance: int = MIN_LINES) -> DataFrame:
+def candidates(lines: DataFrame, most: int = 1000, threshold: float = THRESHOLD, distance: int = MIN_LINES) -> DataFrame:
     """The first `most` lines of a document above the threshold, thinned to `distance` lines apart."""
     found = scored_lines(lines).filter(F.col("confidence") > threshold)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_num"))

@@ -120,11 +120,3 @@ def postprocess_name(name: Column) -> Column:
 
 def is_end_marker(line: Column) -> Column:
     return line.rlike(f"(?:{'|'.join(END_WORDS)})[{SPACE}]*[>】\\])]*[{SPACE}]*$")
-
-
-def simple_title(title: Column) -> Column:
-    return strip(title).rlike(r"(?i)^(?:chapter|section|part)?\s*[0-9]+\.?$")
-
-
-def beautify(title: Column) -> Column:
-    return F.regexp_replace(title, "([가-힣a-zA-Z])-?([0-9]+화)", "$1 - $2")

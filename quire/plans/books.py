@@ -245,10 +245,10 @@ def auto_validate_fix(spark, d):
     return patterns.auto_fixed(_marked(spark, d), _expected(spark, d), _AUTO)
 
 
-@query(f"""WITH RECURSIVE {TABLE_SQL}, R AS (SELECT doc_id, 0 AS line_num, 0 AS chunk_no, length(line) + 1 AS chars FROM L WHERE line_num = 0 UNION ALL SELECT L.doc_id, L.line_num, CASE WHEN R.chars + length(line) + 1 > 2000 THEN R.chunk_no + 1 ELSE R.chunk_no END, CASE WHEN R.chars + length(line) + 1 > 2000 THEN length(line) + 1 ELSE R.chars + length(line) + 1 END FROM R JOIN L ON L.doc_id = R.doc_id AND L.line_num = R.line_num + 1)
-  SELECT doc_id, chunk_no, min(line_num) AS first, max(line_num) + 1 AS upto, max(chars)::INT AS chars FROM R WHERE chunk_no < 5 GROUP BY doc_id, chunk_no""")
+@query(f"""WITH RECURSIVE {TABLE_SQL}, R AS (SELECT doc_id, 0 AS line_num, 0 AS chunk_no, length(line) + 1 AS chars FROM L WHERE line_num = 0 UNION ALL SELECT L.doc_id, L.line_num, CASE WHEN R.chars + length(line) + 1 > 20000 THEN R.chunk_no + 1 ELSE R.chunk_no END, CASE WHEN R.chars + length(line) + 1 > 20000 THEN length(line) + 1 ELSE R.chars + length(line) + 1 END FROM R JOIN L ON L.doc_id = R.doc_id AND L.line_num = R.line_num + 1)
+  SELECT doc_id, chunk_no, min(line_num) AS first, max(line_num) + 1 AS upto, max(chars)::INT AS chars FROM R GROUP BY doc_id, chunk_no""")
 def title_search_chunks(spark, d):
-    return patterns.line_chunks(doc_lines(spark, d), 2000)
+    return patterns.line_chunks(doc_lines(spark, d), most=None)
 
 
 @query(f"""WITH {MARKED}, SH AS (SELECT regexp_replace(regexp_replace({STRIP.format('line')}, '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g'), '[0-9]+', '\\\\d+', 'g') AS pattern FROM MP WHERE length({STRIP.format('line')}) BETWEEN 1 AND 20) SELECT pattern, count(*) AS examples FROM SH GROUP BY pattern""")

@@ -115,7 +115,7 @@ def structural_confidence(spark, d):
     return structure.scored_lines(doc_lines(spark, d)).select("doc_id", "line_num", "text", "confidence")
 
 
-@query(f"""WITH RECURSIVE {SCORED}, T AS (SELECT * FROM (SELECT *, row_number() OVER {W} AS r FROM C WHERE confidence > 0.3::DOUBLE) WHERE r <= 500), {_fold('T', 10)}
+@query(f"""WITH RECURSIVE {SCORED}, T AS (SELECT * FROM (SELECT *, row_number() OVER {W} AS r FROM C WHERE confidence > 0.3::DOUBLE) WHERE r <= 1000), {_fold('T', 10)}
   SELECT T.doc_id, T.line_num, T.text, T.confidence FROM T JOIN R USING (doc_id, line_num) WHERE R.kept""")
 def structural_candidates(spark, d):
     return structure.candidates(doc_lines(spark, d)).select("doc_id", "line_num", "text", "confidence")
@@ -156,7 +156,7 @@ def chapter_spans(spark, d):
     return marks.select("doc_id", "line_num", F.coalesce(F.lead("line_num").over(lines.by_line()), F.col("n")).alias("end_line"))
 
 
-@query(f"""WITH RECURSIVE {SCORED}, T AS (SELECT * FROM (SELECT *, row_number() OVER {W} AS r FROM C WHERE confidence > 0.3::DOUBLE) WHERE r <= 500), {_fold('T', 10)}, M AS (SELECT doc_id, line_num FROM R WHERE kept),
+@query(f"""WITH RECURSIVE {SCORED}, T AS (SELECT * FROM (SELECT *, row_number() OVER {W} AS r FROM C WHERE confidence > 0.3::DOUBLE) WHERE r <= 1000), {_fold('T', 10)}, M AS (SELECT doc_id, line_num FROM R WHERE kept),
   Q2 AS (SELECT B.*, M.line_num IS NOT NULL AS b, sum((M.line_num IS NOT NULL)::INT) OVER (PARTITION BY B.doc_id ORDER BY B.line_num ROWS UNBOUNDED PRECEDING) AS seg FROM B LEFT JOIN M ON M.doc_id = B.doc_id AND M.line_num = B.line_num)
   SELECT doc_id, (seg - 1)::INT AS cid, min(line_num) AS line_num, arg_min(body, line_num) AS title, coalesce(string_agg(line, chr(10) ORDER BY line_num) FILTER (WHERE NOT b), '') AS body, max(line_num) + 1 AS end_line FROM Q2 WHERE seg > 0 GROUP BY doc_id, seg""")
 def boundary_split(spark, d):
@@ -282,16 +282,22 @@ def topic_windows(spark, d):
     return boundaries.topic_windows(docs(spark, d))
 
 
-@query(f"WITH {TOPIC}, X AS (SELECT doc_id, window_no, substring(text, window_no * step + 1, 2000) AS t FROM TW) SELECT doc_id, window_no, instr(t, chr(10))::INT AS first_break, (len(string_split(t, chr(10))) - 1)::INT AS breaks FROM X")
+@query(f"""WITH {TOPIC}, X AS (SELECT doc_id, window_no, window_no * step AS begin_at, substring(text, window_no * step + 1, 2000) AS t FROM TW), Y AS (SELECT *, string_split(t, chr(10)) AS a, nullif(regexp_extract(t, '\\n[{S}]*\\n'), '') AS gap FROM X),
+  Z AS (SELECT *, list_min(list_filter(range(2, len(a)), lambda i: length({STRIP.format('a[i]')}) < 50)) AS short FROM Y)
+  SELECT doc_id, window_no, begin_at + CASE WHEN gap IS NOT NULL THEN instr(t, gap) - 1 WHEN short IS NOT NULL THEN length(array_to_string(a[1:short - 1], chr(10))) + 1 ELSE 0 END AS boundary FROM Z""")
 def topic_boundary_point(spark, d):
     w = boundaries.topic_windows(docs(spark, d))
-    return w.select("doc_id", "window_no", F.instr("text", "\n").alias("first_break"), (F.size(F.split("text", "\n")) - 1).alias("breaks"))
+    return w.select("doc_id", "window_no", (F.col("char_pos") + boundaries.window_boundary(F.col("text"))).alias("boundary"))
 
 
 @query("""WITH C AS (SELECT user_id, count(*) AS n, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, n, CASE WHEN len(v) < 3 THEN false ELSE list_max(v[-3:]) - list_min(v[-3:]) <= 2 END AS stagnant FROM C""")
 def stagnation(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return e.select("user_id", "n", boundaries.stagnant(F.col("v")).alias("stagnant"))
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    # no more than the last three of a user are gathered
+    last = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("r <= 3")
+    v = last.groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    n = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.join(v, "user_id").select("user_id", "n", boundaries.stagnant(F.col("v")).alias("stagnant"))
 
 
 @query("SELECT source, lang, count(*) AS votes FROM documents GROUP BY source, lang HAVING count(*) >= 2")
@@ -352,13 +358,13 @@ def purge_duplicates(spark, d):
     return flagged_files(spark, d).filter("is_duplicate = 0").select("id", "file_hash")
 
 
-@query(f"WITH {LB} SELECT body, min(doc_id * 1000000 + line_num) AS place FROM B WHERE body <> '' GROUP BY body")
+@query(f"WITH {LB} SELECT body, doc_id, line_num FROM B WHERE body <> '' QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, line_num) = 1")
 def ordered_distinct(spark, d):
-    rows = doc_lines(spark, d).select(strip(F.col("line")).alias("body"), (F.col("doc_id") * 1_000_000 + F.col("line_num")).alias("place")).filter("body <> ''")
-    return dedup.ordered_distinct(rows, "body", "place")
+    rows = doc_lines(spark, d).select(strip(F.col("line")).alias("body"), F.struct("doc_id", "line_num").alias("place")).filter("body <> ''")
+    return dedup.ordered_distinct(rows, "body", "place").select("body", "place.doc_id", "place.line_num")
 
 
-@query("SELECT doc_id AS id, concat(source, '_', lang) AS name, CASE WHEN n = 0 THEN concat(source, '_', lang) ELSE concat(source, '_', lang, '-', CASE WHEN n < 10 THEN '0' ELSE '' END, substr(n::VARCHAR, 1, 2)) END AS final_name FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)")
+@query("SELECT doc_id AS id, concat(source, '_', lang) AS name, CASE WHEN n = 0 THEN concat(source, '_', lang) ELSE concat(source, '_', lang, '-', CASE WHEN n < 10 THEN '0' ELSE '' END, n) END AS final_name FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)")
 def name_collision_suffix(spark, d):
     return dedup.collision_suffix(docs(spark, d).select(F.col("doc_id").alias("id"), F.concat_ws("_", "source", "lang").alias("name")))
 
@@ -444,14 +450,21 @@ def postprocess_name(spark, d):
     return table(spark, d, "part").select("p_partkey", titles.postprocess_name(F.concat("p_name", F.lit(", 에필로그"))).alias("name"))
 
 
-@query(f"WITH {LB} SELECT doc_id, line_num FROM B WHERE regexp_matches(body, '(?:끝|완|END|end|fin|Fin|종료|끗|完)[{S}]*[>】\\])]*[{S}]*$')")
+_ENDS = ["'끝'", "' (完)'", "'의 시작'", "' - fin>'", "''"]
+
+
+@query(f"WITH {L}, E AS (SELECT doc_id, line_num, concat(line, CASE line_num % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_ENDS)) + f" END) AS line FROM L) SELECT doc_id, line_num FROM E WHERE regexp_matches({STRIP.format('line')}, '(?:끝|완|END|end|fin|Fin|종료|끗|完)[{S}]*[>】\\])]*[{S}]*$')")
 def end_markers(spark, d):
-    return doc_lines(spark, d).filter(titles.is_end_marker(strip(F.col("line")))).select("doc_id", "line_num")
+    """Lines of documents, of which every fifth gets each of five endings (three of them end marks)."""
+    ending = F.expr("case line_num % 5 " + " ".join(f"when {k} then {x}" for k, x in enumerate(_ENDS)) + " end")
+    return doc_lines(spark, d).withColumn("line", F.concat("line", ending)).filter(titles.is_end_marker(strip(F.col("line")))).select("doc_id", "line_num")
 
 
-@query("SELECT doc_id, left(text, 10) AS head FROM documents WHERE lang = 'en' AND strlen(left(text, 10)) = 10")
+@query("WITH X AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('é中', left(text, 3), '🎉ß', text) ELSE concat(left(text, 2), '한글', text) END AS t FROM documents) SELECT doc_id, left(t, list_max(list_filter(range(13), lambda k: strlen(left(t, k)) <= 12))) AS head FROM X")
 def byte_safe_truncate(spark, d):
-    return docs(spark, d).filter("lang = 'en' and octet_length(substring(text, 1, 10)) = 10").select("doc_id", byte_truncate(F.col("text"), 10).alias("head"))
+    """12 bytes of every text; two thirds of them begin with letters of two to four bytes that the limit cuts."""
+    given = F.expr("case doc_id % 3 when 0 then text when 1 then concat('é中', substring(text, 1, 3), '🎉ß', text) else concat(substring(text, 1, 2), '한글', text) end")
+    return docs(spark, d).select("doc_id", byte_truncate(given, 12).alias("head"))
 
 
 # --- merge ---------------------------------------------------------------------------------------
@@ -467,16 +480,50 @@ def platform_priority(spark, d):
     return table(spark, d, "orders").select("o_orderkey", merge.platform_priority(F.expr(_platform("o_custkey"))).alias("priority"))
 
 
-@query(f"""WITH X AS (SELECT o_orderkey, o_custkey % 4 AS a, o_orderkey % 4 AS b, o_custkey % 100 AS m, o_orderkey % 100 AS n, strftime(o_orderdate, '%Y-%m-%d') AS d1, strftime(o_orderdate + to_days((o_orderkey % 5 - 2)::INT), '%Y-%m-%d') AS d2, {PRIORITY.format('o_custkey')} AS p1, {PRIORITY.format('o_orderkey')} AS p2 FROM orders)
-  SELECT o_orderkey, CASE WHEN p2 < p1 OR d2 > d1 THEN concat('e', n) ELSE concat('b', m) END AS title, CASE WHEN a = b THEN concat('g', a) WHEN a < b THEN concat('g', a, ', g', b) ELSE concat('g', b, ', g', a) END AS genre,
-  CASE WHEN n > m OR (n = m AND d2 > d1) THEN concat('1~', n, '화') ELSE concat('1~', m, '화') END AS episode_range, greatest(d1, d2) AS last_updated FROM X""")
+def _record(k: str, day: str, letter: str) -> dict[str, str]:
+    """A varied record from a number and a date, in SQL that Spark and DuckDB share."""
+    return {
+        "title": f"CASE {k} % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('#{letter}', {k}) ELSE concat('{letter}', {k}) END",
+        "author": f"CASE {k} % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('작가', {k} % 3) END",
+        "genre": f"CASE {k} % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'g2,g1 , g2' WHEN 3 THEN '성인물' ELSE concat('g', {k} % 4) END",
+        "status": f"CASE {k} % 5 WHEN 0 THEN NULL WHEN 1 THEN '완결(외전)' WHEN 2 THEN '' ELSE '연재' END",
+        "episode_range": f"CASE {k} % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '외전' WHEN 3 THEN '0화' ELSE concat('1~', {k} % 10, '화') END",
+        "platform": f"CASE {k} % 8 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE {_platform(k)} END",
+        "rating": f"CASE {k} % 6 WHEN 0 THEN NULL WHEN 1 THEN 0e0 WHEN 2 THEN -1e0 ELSE ({k} % 20) / 16e0 END",
+        "cover_url": f"CASE {k} % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('http://{letter}/', {k}) END",
+        "last_updated": f"CASE {k} % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE {day} END",
+        "official_url": f"CASE {k} % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('http://{letter}.org/', {k}) END",
+    }
+
+
+_TAGS = "CASE {0} % 6 WHEN 0 THEN NULL WHEN 1 THEN {1}() WHEN 2 THEN {1}('19금', 'a') WHEN 3 THEN {1}('b', '성인소설') ELSE {1}(concat('t', {0} % 5), 'a') END"
+_MERGE = ("SELECT o_orderkey, " + ", ".join(f"{v} AS {p}_{f}" for p, k, day in (("b", "(o_custkey % 1000)", "strftime(o_orderdate, '%Y-%m-%d')"), ("e", "(o_orderkey % 1000)", "strftime(o_orderdate + to_days((o_orderkey % 5 - 2)::INT), '%Y-%m-%d')")) for f, v in (_record(k, day, p) | {"tags": _TAGS.format(k, "list_value")}).items()) + " FROM orders")
+_NUM = "nullif(coalesce(try_cast(nullif(regexp_extract({0}, '([0-9]+)[~-]([0-9]+)', 2), '') AS BIGINT), try_cast(nullif(regexp_extract({0}, '([0-9]+)', 1), '') AS BIGINT)), 0)"
+_PRIO = "CASE WHEN coalesce({0}, '') = '' THEN 999 " + " ".join(f"WHEN contains({{0}}, '{p}') THEN {i}" for i, p in enumerate(merge.PLATFORMS)) + " ELSE 900 END"
+_FLAT = "array_to_string(list_sort({0}), ',')"
+
+
+@query(f"""WITH X AS ({_MERGE}), Y AS (SELECT *, {_PRIO.format('e_platform')} < {_PRIO.format('b_platform')} AS better, coalesce(e_last_updated, '') <> '' AND (coalesce(b_last_updated, '') = '' OR e_last_updated > b_last_updated) AS newer, {_NUM.format('b_episode_range')} AS br, {_NUM.format('e_episode_range')} AS er,
+  CASE WHEN coalesce(e_genre, '') = '' OR b_genre = e_genre THEN b_genre WHEN coalesce(b_genre, '') = '' THEN e_genre ELSE array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(concat(b_genre, ',', e_genre), ','), lambda x: trim(x)), lambda x: x <> ''))), ', ') END AS genre0,
+  coalesce(len(e_tags), 0) > 0 AS tagged, list_distinct(list_concat(coalesce(b_tags, list_value()), coalesce(e_tags, list_value()))) AS all_tags FROM X),
+  Z AS (SELECT *, tagged AND regexp_matches(array_to_string(all_tags, ' '), '{"|".join(merge.ADULT)}') AS adult FROM Y)
+  SELECT o_orderkey, CASE WHEN coalesce(e_title, '') <> '' AND (better OR newer OR coalesce(starts_with(b_title, '#'), false)) THEN e_title ELSE b_title END AS title,
+  CASE WHEN coalesce(e_author, '') <> '' AND (coalesce(b_author, '') = '' OR better OR newer) THEN e_author ELSE b_author END AS author,
+  CASE WHEN NOT adult THEN genre0 WHEN coalesce(genre0, '') = '' THEN '성인물' WHEN contains(genre0, '성인물') THEN genre0 ELSE concat('성인물, ', genre0) END AS genre,
+  CASE WHEN coalesce(e_status, '') = '' THEN b_status WHEN contains(e_status, '완결') OR coalesce(contains(b_status, '완결'), false) THEN '완결' WHEN coalesce(b_status, '') = '' OR newer THEN e_status ELSE b_status END AS status,
+  CASE WHEN coalesce(e_episode_range, '') = '' THEN b_episode_range WHEN br IS NOT NULL AND er IS NOT NULL THEN CASE WHEN er > br OR (er = br AND newer) THEN e_episode_range ELSE b_episode_range END WHEN coalesce(b_episode_range, '') = '' OR newer THEN e_episode_range ELSE b_episode_range END AS episode_range,
+  CASE WHEN newer THEN e_last_updated ELSE b_last_updated END AS last_updated, CASE WHEN better THEN e_platform ELSE b_platform END AS platform,
+  CASE WHEN e_rating > 0 AND (coalesce(b_rating, 0) = 0 OR e_rating > b_rating OR (newer AND abs(e_rating - b_rating) < 0.1::DOUBLE)) THEN e_rating ELSE b_rating END AS rating,
+  CASE WHEN coalesce(e_cover_url, '') <> '' AND (coalesce(b_cover_url, '') = '' OR better OR newer) THEN e_cover_url ELSE b_cover_url END AS cover_url,
+  CASE WHEN tagged THEN {_FLAT.format('all_tags')} ELSE {_FLAT.format('b_tags')} END AS tags,
+  CASE WHEN coalesce(e_official_url, '') <> '' AND coalesce(b_official_url, '') = '' THEN e_official_url ELSE b_official_url END AS official_url FROM Z""")
 def merge_metadata(spark, d):
     def record(k: str, day: str, letter: str) -> str:
-        none = "cast(null as string)"
-        return f"named_struct('title', concat('{letter}', {k} % 100), 'author', {none}, 'genre', concat('g', {k} % 4), 'tags', cast(array() as array<string>), 'status', {none}, 'episode_range', concat('1~', {k} % 100, '화'), 'rating', cast(null as double), 'cover_url', {none}, 'platform', {_platform(k)}, 'last_updated', date_format({day}, 'yyyy-MM-dd'), 'official_url', {none})"
+        fields = _record(k, day, letter) | {"tags": f"cast({_TAGS.format(k, 'array')} as array<string>)"}
+        return "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in fields.items()) + ")"
 
-    o = table(spark, d, "orders").selectExpr("o_orderkey", record("o_custkey", "o_orderdate", "b") + " as base", record("o_orderkey", "date_add(o_orderdate, cast(o_orderkey % 5 - 2 as int))", "e") + " as extra")
-    return merge.merge_metadata(o).select("o_orderkey", "title", "genre", "episode_range", "last_updated")
+    o = table(spark, d, "orders").selectExpr("o_orderkey", record("(o_custkey % 1000)", "date_format(o_orderdate, 'yyyy-MM-dd')", "b") + " as base", record("(o_orderkey % 1000)", "date_format(date_add(o_orderdate, cast(o_orderkey % 5 - 2 as int)), 'yyyy-MM-dd')", "e") + " as extra")
+    return merge.merge_metadata(o).withColumn("tags", F.array_join(F.array_sort("tags"), ","))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct([lang, source, 'x']))[1:15], ',') AS tags FROM documents")
@@ -559,9 +606,13 @@ def isbn_extract(spark, d):
     return table(spark, d, "part").select("p_partkey", quality.isbn(raw).alias("isbn"))
 
 
-@query("""WITH X AS (SELECT doc_id, text, floor(length(text) / 4::DOUBLE)::INT AS step FROM documents) SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE array_to_string(list_transform(range(4), lambda i: CASE WHEN i = 0 THEN substring(text, 1, 500) ELSE regexp_replace(substring(text, i * step + 1, 500), '(?s)^[^\\n]*\\n', '') END), concat(chr(10), '[...SAMPLE_SKIP...]', chr(10))) END AS sample FROM X""")
+def sample_sql(source: str, chunk: int, parts: int) -> str:
+    return f"""WITH X AS (SELECT doc_id, text, floor(length(text) / {parts}::DOUBLE)::INT AS step FROM {source}) SELECT doc_id, CASE WHEN length(text) <= {chunk * parts} THEN text ELSE array_to_string(list_transform(range({parts}), lambda i: CASE WHEN i = 0 THEN substring(text, 1, {chunk}) ELSE regexp_replace(substring(text, i * step + 1, {chunk}), '(?s)^[^\\n]*\\n', '') END), concat(chr(10), '[...SAMPLE_SKIP...]', chr(10))) END AS sample FROM X"""
+
+
+@query(sample_sql("documents", 32_768, 30))
 def sample_chunks(spark, d):
-    return docs(spark, d).select("doc_id", readers.sample_chunks(F.col("text"), 500, 4).alias("sample"))
+    return docs(spark, d).select("doc_id", readers.sample_chunks(F.col("text")).alias("sample"))
 
 
 @query()

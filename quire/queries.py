@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import books  # noqa: F401  (adds its queries)
+from .plans import books, catalogue  # noqa: F401  (they add their queries)
 from .plans.core import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "structural_candidates"

@@ -38,14 +38,6 @@ def test_toc(spark):
     assert all(got[i].text == t and got[i].toc_start is None for i, t, _ in rows[1:])
 
 
-@pytest.mark.parametrize(
-    "answer, want",
-    [("```regex\n\\d+화\n```", "\\d+화"), ("use r'^\\[\\d+\\]' here", "^\\[\\d+\\]"), ("Chapter \\d+\nmore", "Chapter \\d+"), ("NO_PATTERN_FOUND", None), ("(", None), ("", None), (None, None), ("x" * 201, None)],
-)
-def test_sanitized(answer, want):
-    assert patterns.sanitized(answer) == want
-
-
 def test_pattern_strings(spark):
     assert patterns.relaxed(r"Chapter \d+") == r"Chapter \d*"
     assert patterns.relaxed(r"제목\(\d+\)") == r"제목(?:\(\d*\))?"

@@ -131,3 +131,20 @@ def test_encodings():
     assert readers.decode_text("한글".encode("cp949")) == ("한글", "cp949")
     assert readers.decode_text("한글".encode()) == ("한글", "utf-8")
     assert readers.decode_text(None) == (None, None)
+
+
+def test_sample_chunks_of_small_pieces(spark, con):
+    """With small pieces, so that texts are cut; the query has the operator's own, larger ones."""
+    from quire.plans.core import docs, sample_sql
+
+    got = docs(spark, FOLDER).select("doc_id", readers.sample_chunks(F.col("text"), 500, 4).alias("sample")).collect()
+    want = con.sql(sample_sql("documents", 500, 4)).fetchall()
+    assert key(got) == key(want) and any("SAMPLE_SKIP" in (r.sample or "") for r in got)
+
+
+def test_collision_suffix_of_many(spark):
+    from quire.operators import dedup
+
+    names = spark.createDataFrame([(i, "a") for i in range(103)] + [(7, "b")], "id long, name string")
+    got = {(r.name, r.id): r.final_name for r in dedup.collision_suffix(names, span=10).collect()}
+    assert got == {("a", i): "a" if not i else f"a-{i:02d}" for i in range(103)} | {("b", 7): "b"}
