@@ -104,7 +104,7 @@ def _classes(placed: DataFrame, digest: Callable[[Column], Column], files_per_ba
 
     # full bytes: the content kept for each hit, and all arrivals of it
     hits = materialize(state.filter("group_size > 1").select("digest", "keep_locator", "group_size"), "hits")
-    members = materialize(join_hot(digested, hits, "digest", F.col("group_size")), "hit-texts")
+    members = materialize(join_hot(digested, hits, "digest", F.col("group_size"), narrow=True), "hit-texts")
     contents = materialize(members.filter(F.col("locator") == F.col("keep_locator")).select("digest", F.col("text").alias("content"), "group_size"), "hit-contents")
     compared = join_hot(members.drop("group_size"), contents, "digest", F.col("group_size"))
     mixed = materialize(compared.filter(F.col("text") != F.col("content")).select("digest").distinct(), "mixed-digests")

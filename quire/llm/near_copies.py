@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, named, shuffle_partitions, small_batches, without
+from .common import map_columns, materialize, named, shuffle_partitions, sized, small_batches, without
 from .exact_dedup import located
 from .simhash import SEED, STEP, Parts, components
 
@@ -222,7 +222,7 @@ def near_copies(table: DataFrame, key_col: str, text_col: str, block: int | None
     near = materialize(sets.join(materialize(found, "sets-with-candidates"), "digest"), "candidates")
     # a narrow table of its own, so that a small one is broadcast and texts are not shuffled
     wanted = materialize(near.select("digest", "n", "f0", "f1", F.col("least_key.at").alias("_wanted_at")), "wanted")
-    texts = table.join(wanted, table[f"{key_col}.at"] == wanted["_wanted_at"]).select("digest", "n", "f0", "f1", text_col)
+    texts = table.join(sized(wanted), F.col(f"{key_col}.at") == F.col("_wanted_at")).select("digest", "n", "f0", "f1", text_col)
     near_sets = map_columns(texts, "digest long, n long, f0 long, f1 long, shingles binary", again)
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     links = by_meeting(meetings(near_sets, near, block), two, "a long, b long", _links).distinct()
