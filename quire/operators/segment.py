@@ -10,6 +10,11 @@ from .lines import by_line
 
 HEADING = "^.{1,29}$"
 TITLE = 100
+TAIL, SHORT = 20, 100
+PROLOGUE = "Prologue (Pre-Match)"
+# patterns that match any line, and what ends a line inside a text: fixed values
+PERMISSIVE = (".+", ".", ".*")
+LINE_ENDS = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def flagged(lines: DataFrame, pattern: str, titles: DataFrame | None = None) -> DataFrame:
@@ -40,6 +45,76 @@ def chapter_type(title: Column) -> Column:
     return F.when(t.rlike("작가의 말|작가 후기|후기"), "작가의 말").when(t.rlike("에필로그|epilogue|후일담"), "에필로그").when(t.rlike("외전|번외|특별편|side story"), "외전").otherwise("본편")
 
 
+def _without(pattern: str) -> Column:
+    """The body without the pieces that match."""
+    return strip(F.array_join(F.filter(F.split("body", LINE_ENDS), lambda x: ~strip(x).rlike(pattern)), "\n"))
+
+
+def chapters_by_rules(lines: DataFrame, pattern: str, titles: DataFrame | None = None) -> DataFrame:
+    """doc_id, cid, title, body, length, line_num: chapters by a pattern and, with `titles` (doc_id, title),
+    by the titles given for the document, which any line that holds one of them begins.
+
+    A heading followed by more than TAIL letters is cut where the match ends, and what follows begins the
+    body. A heading with [..] in its first 50 letters and the heading on the very next line are one title,
+    joined by " | ". In bodies but a document's last, pieces that match the pattern go, and a chapter of
+    fewer than SHORT letters whose title has no digit goes with its text. Given titles are taken whole; with
+    a pattern that matches any line they alone count, and nothing is taken out. Text before the first
+    heading is left out, as are chapters without text; null and empty texts have no chapters, repeated
+    titles count once.
+    """
+    given, any_line = titles is not None, pattern in PERMISSIVE
+    body = strip(F.col("line"))
+    found, listed = body.rlike(pattern), F.lit(False)
+    rows = lines.select("doc_id", "line_num", "line")
+    if given:
+        known = titles.filter("title is not null").groupBy("doc_id").agg(F.collect_set("title").alias("_titles"))
+        rows = rows.join(known, "doc_id", "left")
+        listed = F.coalesce(F.exists("_titles", lambda t: F.contains(body, t)), F.lit(False))
+    mark = rows.select("doc_id", "line_num", "line", body.alias("own"), ((body != "") & (listed if given and any_line else found | listed)).alias("b"))
+    short_title = strip(F.substring("own", 1, TITLE))
+    head = F.when(F.col("b") & F.lit(not given), F.regexp_extract("own", f"^(?s:.*?)(?:{pattern})", 0))
+    tail = F.when(head.isNotNull(), strip(F.substr("own", F.length(head) + 1)))
+    cut = F.coalesce(F.length(tail) > TAIL, F.lit(False))
+    opens = F.col("b") & F.lit(not given) & ~cut & F.substring("own", 1, 50).rlike(r"\[.*?\]")
+    seen = mark.select("doc_id", "line_num", "line", "b", opens.alias("opens"), F.when(cut, strip(head)).otherwise(short_title).alias("name"), F.when(cut, tail).alias("tail"))
+    # of a run of headings that open, each second one was joined to the one before
+    run = F.col("line_num") - 1 - F.coalesce(F.last(F.when(~F.col("opens"), F.col("line_num")), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    joined = seen.withColumn("joined", F.col("b") & (run % 2 == 1))
+    begins = F.sum((F.col("b") & ~F.col("joined")).cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
+    second = F.when(F.lead("joined").over(by_line()), F.lead("name").over(by_line()))
+    second_title = F.concat_ws(" | ", "name", second)
+    parts = joined.withColumns({"seg": begins, "name": F.when(F.col("b") & ~F.col("joined"), F.when(second.isNull(), F.col("name")).otherwise(second_title))}).filter("seg > 0")
+    piece = F.struct("line_num", F.when(F.col("b"), F.col("tail")).otherwise(F.col("line")).alias("t"))
+    made = parts.groupBy("doc_id", "seg").agg(F.min("line_num").alias("line_num"), F.max("name").alias("title"), F.array_sort(F.collect_list(piece)).alias("p"))
+    whole = strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n"))  # headings without a tail are null and not joined
+    made = made.select("doc_id", "seg", "line_num", "title", whole.alias("body"), (F.col("seg") == F.max("seg").over(Window.partitionBy("doc_id"))).alias("last"))
+    if not (given and any_line):
+        made = made.withColumn("body", F.when(F.col("last"), F.col("body")).otherwise(_without(pattern)))
+        made = made.filter(F.col("last") | (F.length("body") >= SHORT) | F.col("title").rlike(r"\p{Nd}"))
+    cid = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1
+    return made.filter("body <> ''").select("doc_id", cid.alias("cid"), "title", "body", F.length("body").cast("long").alias("length"), "line_num")
+
+
+def chapters_with_prologue(lines: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, cid, title, body, length, line_num: what comes before the first heading is chapter 0, even
+    without text; later chapters of fewer than SHORT letters go with their text, but for a document's last
+    (which stays if a line follows its heading). Pieces that match the pattern go from all bodies but the
+    last. A title is its whole line. Null and empty texts have no chapters."""
+    own = strip(F.col("line"))
+    mark = lines.select("doc_id", "line_num", "line", own.alias("own"), own.rlike(pattern).alias("b"))
+    mark = mark.withColumn("seg", F.sum(F.col("b").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
+    piece = F.struct("line_num", F.when(~F.col("b"), F.col("line")).alias("t"))
+    made = mark.groupBy("doc_id", "seg").agg(F.min("line_num").alias("line_num"), F.max(F.when(F.col("b"), F.col("own"))).alias("title"), F.array_sort(F.collect_list(piece)).alias("p"))
+    last = F.col("seg") == F.max("seg").over(Window.partitionBy("doc_id"))
+    made = made.select("doc_id", "seg", "line_num", F.coalesce("title", F.lit(PROLOGUE)).alias("title"), strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("body"), F.exists("p", lambda x: x["t"].isNotNull()).alias("any"), last.alias("last"))
+    made = made.withColumn("body", F.when(F.col("last"), F.col("body")).otherwise(_without(pattern)))
+    own_row = F.when(F.when(F.col("last"), F.col("any")).otherwise((F.col("seg") == 0) | (F.length("body") >= SHORT)), F.struct("seg", "line_num", "title", "body"))
+    none_before = F.when((F.col("seg") == 1) & (F.col("line_num") == 0), F.struct(F.lit(0).cast("long").alias("seg"), F.lit(0).alias("line_num"), F.lit(PROLOGUE).alias("title"), F.lit("").alias("body")))
+    kept = made.select("doc_id", F.inline(F.array_compact(F.array(none_before, own_row))))
+    cid = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1
+    return kept.select("doc_id", cid.alias("cid"), "title", "body", F.length("body").cast("long").alias("length"), "line_num")
+
+
 def split_at(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
     """A chapter for each boundary (doc_id, line_num), empty bodies too; body lines lie strictly between."""
     marks = boundaries.select("doc_id", "line_num", F.lit(True).alias("is_boundary")).distinct()

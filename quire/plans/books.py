@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
-from ..operators import boundaries, headings, hierarchy, patterns, quality, reports, toc
-from .core import CJK, SCORED, STRIP, TABLE_SQL, doc_lines, docs, query, table
+from ..operators import boundaries, headings, hierarchy, lines, patterns, quality, reports, segment, toc
+from .core import CJK, SCORED, STRIP, TABLE_SQL, W, doc_lines, docs, query, table
 
 S, NL = SPACE, "\n"
 
@@ -42,6 +42,62 @@ def books(spark, d):
     return text.withColumn("language", quality.language_by_cues(F.col("text")))
 
 
+# --- chapters by rules, over documents with numbered headings of several forms ---------------------
+RULED = "(?:제 )?[0-9]+화|^외전"
+_FORMS = f"""CASE i % 12 WHEN 0 THEN concat(i, '화 시작{NL}') WHEN 3 THEN concat('[책 - ', i, '화]{NL}제 ', i, '화 재회{NL}') WHEN 6 THEN concat(i, '화 ') WHEN 8 THEN concat('외전 막간{NL}짧은 글{NL}', i, '화 뒤{NL}') WHEN 10 THEN concat('[가 - ', i, '화]{NL}[나 - ', i, '화]{NL}[다 - ', i, '화]{NL}') ELSE '' END"""
+RULED_LINES = f"""SP AS (SELECT doc_id, string_split(replace(replace(text, chr(10), ' '), '. ', concat('.', chr(10))), chr(10)) AS p FROM documents WHERE text <> ''),
+  SA AS (SELECT doc_id, string_split(regexp_replace(array_to_string(list_transform(range(len(p)), lambda i: concat({_FORMS}, p[i + 1])), chr(10)), '\\n$', ''), chr(10)) AS a FROM SP),
+  SL AS (SELECT doc_id, unnest(range(len(a)))::INT AS line_num, unnest(a) AS line, {STRIP.format("unnest(a)")} AS own FROM SA)"""
+
+
+def _ruled_lines(spark, d):
+    cut = docs(spark, d).filter("text <> ''").selectExpr("doc_id", r"split(replace(replace(text, '\n', ' '), '. ', '.\n'), '\n') AS p")
+    return lines.explode_lines(cut.selectExpr("doc_id", f"array_join(transform(p, (s, i) -> concat({_FORMS}, s)), '\\n') AS text".replace(NL, "\\n")))
+
+
+def _ends(body: str) -> str:
+    return STRIP.format(f"array_to_string(list_filter(string_split_regex({body}, '{segment.LINE_ENDS}'), lambda x: NOT regexp_matches({STRIP.format('x')}, '{RULED}')), chr(10))")
+
+
+# the joined headings one by one, in order: a heading that follows an open one is joined and opens nothing
+@query(f"""WITH RECURSIVE {RULED_LINES}, SM AS (SELECT *, own <> '' AND regexp_matches(own, '{RULED}') AS b, regexp_extract(own, '^(?s:.*?)(?:{RULED})') AS head FROM SL),
+  ST AS (SELECT *, {STRIP.format("substr(own, length(head) + 1)")} AS rest FROM SM WHERE b),
+  SH AS (SELECT doc_id, line_num, CASE WHEN length(rest) > 20 THEN {STRIP.format('head')} ELSE {STRIP.format('left(own, 100)')} END AS name, CASE WHEN length(rest) > 20 THEN rest END AS tail,
+    length(rest) <= 20 AND regexp_matches(left(own, 50), '\\[.*?\\]') AS opens, row_number() OVER {W} AS k FROM ST),
+  SR AS (SELECT doc_id, k, line_num, name, tail, opens, false AS joined FROM SH WHERE k = 1 UNION ALL
+    SELECT SH.doc_id, SH.k, SH.line_num, SH.name, SH.tail, SH.opens AND NOT (SR.opens AND SH.line_num = SR.line_num + 1), SR.opens AND SH.line_num = SR.line_num + 1 FROM SR JOIN SH ON SH.doc_id = SR.doc_id AND SH.k = SR.k + 1),
+  SS AS (SELECT SL.doc_id, SL.line_num, CASE WHEN SR.k IS NULL THEN SL.line ELSE SR.tail END AS t, SR.name, sum(CASE WHEN NOT SR.joined THEN 1 ELSE 0 END) OVER (PARTITION BY SL.doc_id ORDER BY SL.line_num) AS seg FROM SL LEFT JOIN SR ON SR.doc_id = SL.doc_id AND SR.line_num = SL.line_num),
+  SC AS (SELECT doc_id, seg, min(line_num) AS line_num, string_agg(name, ' | ' ORDER BY line_num) AS title, coalesce(string_agg(t, chr(10) ORDER BY line_num), '') AS body, seg = max(seg) OVER (PARTITION BY doc_id) AS final FROM SS WHERE seg > 0 GROUP BY doc_id, seg),
+  SB AS (SELECT doc_id, seg, line_num, title, final, CASE WHEN final THEN {STRIP.format('body')} ELSE {_ends(STRIP.format('body'))} END AS body FROM SC)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1)::INT AS cid, title, body, length(body)::BIGINT AS length, line_num FROM SB WHERE body <> '' AND (final OR length(body) >= 100 OR regexp_matches(title, '[0-9]'))""")
+def rule_segment_chapters(spark, d):
+    return segment.chapters_by_rules(_ruled_lines(spark, d), RULED)
+
+
+# every document's own titles: its lines that end in these words
+_GIVEN = "(?:시작|막간)$"
+
+
+@query(f"""WITH {RULED_LINES}, GT AS (SELECT DISTINCT doc_id, own AS title FROM SL WHERE regexp_matches(own, '{_GIVEN}')),
+  GM AS (SELECT *, own <> '' AND EXISTS (SELECT 1 FROM GT WHERE GT.doc_id = SL.doc_id AND contains(SL.own, GT.title)) AS b FROM SL),
+  GS AS (SELECT *, sum(b::INT) OVER {W} AS seg FROM GM),
+  GC AS (SELECT doc_id, seg, min(line_num) AS line_num, {STRIP.format('left(arg_min(own, line_num), 100)')} AS title, {STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY line_num) FILTER (WHERE NOT b), '')")} AS body FROM GS WHERE seg > 0 GROUP BY doc_id, seg)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1)::INT AS cid, title, body, length(body)::BIGINT AS length, line_num FROM GC WHERE body <> ''""")
+def title_segment_chapters(spark, d):
+    rows = _ruled_lines(spark, d)
+    own = strip(F.col("line"))
+    return segment.chapters_by_rules(rows, ".+", rows.filter(own.rlike(_GIVEN)).select("doc_id", own.alias("title")))
+
+
+@query(f"""WITH {RULED_LINES}, PM AS (SELECT *, regexp_matches(own, '{RULED}') AS b FROM SL), PS AS (SELECT *, sum(b::INT) OVER {W} AS seg FROM PM),
+  PG AS (SELECT doc_id, seg, min(line_num) AS line_num, coalesce(arg_min(own, line_num) FILTER (WHERE b), '{segment.PROLOGUE}') AS title, {STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY line_num) FILTER (WHERE NOT b), '')")} AS body, count(*) FILTER (WHERE NOT b) AS n, seg = max(seg) OVER (PARTITION BY doc_id) AS final FROM PS GROUP BY doc_id, seg),
+  PB AS (SELECT doc_id, seg, line_num, title, CASE WHEN final THEN body ELSE {_ends('body')} END AS body, n, final FROM PG),
+  PK AS (SELECT doc_id, seg, line_num, title, body FROM PB WHERE CASE WHEN final THEN n > 0 ELSE seg = 0 OR length(body) >= 100 END UNION ALL SELECT doc_id, 0, 0, '{segment.PROLOGUE}', '' FROM SL WHERE line_num = 0 AND regexp_matches(own, '{RULED}'))
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1)::INT AS cid, title, body, length(body)::BIGINT AS length, line_num FROM PK""")
+def prologue_segment_chapters(spark, d):
+    return segment.chapters_with_prologue(_ruled_lines(spark, d), RULED)
+
+
 # --- shared SQL ----------------------------------------------------------------------------------
 def _by(zh: str, en: str) -> str:
     return f"(CASE WHEN language = 'chinese' THEN {zh} ELSE {en} END)"

@@ -148,3 +148,38 @@ def test_collision_suffix_of_many(spark):
     names = spark.createDataFrame([(i, "a") for i in range(103)] + [(7, "b")], "id long, name string")
     got = {(r.name, r.id): r.final_name for r in dedup.collision_suffix(names, span=10).collect()}
     assert got == {("a", i): "a" if not i else f"a-{i:02d}" for i in range(103)} | {("b", 7): "b"}
+
+
+RULE_TEXT = "앞글\n1화 시작\n본문 가\n\n[책 - 2화]\n제 2화 재회\n본문 나\n3화 여기에 제목이 아니라 긴 본문이 바로 이어져 나옵니다 참으로\n외전 막간\n짧은 글\n[가 - 4화]\n[나 - 5화]\n[다 - 6화]\n[라 - 7화]\n끝 글\n[마 - 8화]\n\n제 8화 따로\n글\n외전 끝\n짧다"
+RULE_PATTERN = "(?:제 )?[0-9]+화|^외전"
+
+
+def test_chapters_by_rules(spark):
+    rows = lines.explode_lines(spark.createDataFrame([(1, RULE_TEXT), (2, ""), (3, None), (4, "글"), (5, "1화 시작"), (6, "막간\n\n")], "doc_id long, text string"))
+    got = [(r.doc_id, r.cid, r.title, r.body, r.line_num) for r in segment.chapters_by_rules(rows, RULE_PATTERN).orderBy("doc_id", "cid").collect()]
+    assert got == [
+        (1, 0, "1화 시작", "본문 가", 1),
+        (1, 1, "[책 - 2화] | 제 2화 재회", "본문 나", 4),
+        (1, 2, "3화", "여기에 제목이 아니라 긴 본문이 바로 이어져 나옵니다 참으로", 7),
+        (1, 3, "[다 - 6화] | [라 - 7화]", "끝 글", 12),
+        (1, 4, "제 8화 따로", "글", 17),
+        (1, 5, "외전 끝", "짧다", 19),
+    ]
+    titles_of = spark.createDataFrame([(1, "시작"), (1, "막간"), (1, "막간"), (1, None), (4, "1화"), (6, "막간")], "doc_id long, title string")
+    got = [(r.cid, r.title, r.line_num) for r in segment.chapters_by_rules(rows, ".+", titles_of).orderBy("doc_id", "cid").collect()]
+    assert got == [(0, "1화 시작", 1), (1, "외전 막간", 8)]
+    got = [(r.doc_id, r.cid, r.title, r.body) for r in segment.chapters_by_rules(rows, "[0-9]+화", titles_of).orderBy("doc_id", "cid").collect()]
+    assert got == [(1, 0, "1화 시작", "본문 가"), (1, 1, "제 2화 재회", "본문 나"), (1, 2, "[라 - 7화]", "끝 글"), (1, 3, "제 8화 따로", "글\n외전 끝\n짧다")]
+
+
+def test_chapters_with_prologue(spark):
+    long = "긴 본문. " * 20
+    rows = lines.explode_lines(spark.createDataFrame([(1, f"1화\n{long}\n2화\n짧다\n3화\n4화\n{long}\n5화\n"), (2, ""), (3, None), (4, "글\n1화\n끝"), (5, "글")], "doc_id long, text string"))
+    got = [(r.doc_id, r.cid, r.title, r.body, r.line_num) for r in segment.chapters_with_prologue(rows, "[0-9]화").orderBy("doc_id", "cid").collect()]
+    assert got == [(1, 0, segment.PROLOGUE, "", 0), (1, 1, "1화", long.strip(), 0), (1, 2, "4화", long.strip(), 5), (4, 0, segment.PROLOGUE, "글", 0), (4, 1, "1화", "끝", 1), (5, 0, segment.PROLOGUE, "글", 0)]
+
+
+def test_rules_meet_their_cases(spark):
+    got = QUERIES["rule_segment_chapters"](spark, FOLDER).cache()
+    assert got.filter("title like '% | %'").count() and got.filter("title rlike '^[0-9]+화$'").count()
+    assert not got.filter("title = '외전 막간'").count()
