@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
-from ..operators import boundaries, headings, hierarchy, lines, patterns, quality, reports, segment, toc
-from .core import CJK, SCORED, STRIP, TABLE_SQL, W, doc_lines, docs, query, table
+from ..operators import boundaries, escalate, headings, hierarchy, lines, patterns, quality, reports, segment, toc
+from .core import CJK, SCORED, STRIP, TABLE_SQL, W, WB, _fold, doc_lines, docs, query, table
 
 S, NL = SPACE, "\n"
 
@@ -98,6 +98,26 @@ def prologue_segment_chapters(spark, d):
     return segment.chapters_with_prologue(_ruled_lines(spark, d), RULED)
 
 
+# --- known numbers of chapters: one for each 7,500 bytes -------------------------------------------
+@query(f"""WITH RECURSIVE {SCORED}, EP AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER {WB}, 0)::BIGINT AS byte_pos FROM B), EZ AS (SELECT * FROM (SELECT doc_id, max(byte_pos + strlen(line)) AS size, floor(max(byte_pos + strlen(line)) / 7500::DOUBLE)::BIGINT AS k FROM EP GROUP BY doc_id) WHERE k > 0),
+  T AS (SELECT * FROM (SELECT C.*, k, row_number() OVER (PARTITION BY C.doc_id ORDER BY line_num) AS r FROM C JOIN EZ USING (doc_id) WHERE confidence > 0.3::DOUBLE) WHERE r <= 5 * k), {_fold('T', 10)},
+  EM AS (SELECT * FROM (SELECT R.doc_id, R.line_num, C.confidence, row_number() OVER (PARTITION BY R.doc_id ORDER BY C.confidence DESC, R.line_num) AS best FROM R JOIN C ON C.doc_id = R.doc_id AND C.line_num = R.line_num WHERE kept) WHERE best <= 300),
+  EO AS (SELECT EM.doc_id, byte_pos, k, row_number() OVER (PARTITION BY EM.doc_id ORDER BY 0.5::DOUBLE * 0.7::DOUBLE + confidence * 0.3::DOUBLE DESC, byte_pos) AS rn, greatest(1000, floor(size / k::DOUBLE * 0.3::DOUBLE))::BIGINT AS d FROM EM JOIN EP ON EP.doc_id = EM.doc_id AND EP.line_num = EM.line_num JOIN EZ ON EZ.doc_id = EM.doc_id),
+  EH AS (SELECT doc_id, k, ph, CASE ph WHEN 1 THEN d WHEN 2 THEN floor(d * 0.5::DOUBLE)::BIGINT ELSE 500 END AS dd FROM (SELECT DISTINCT doc_id, k, d FROM EO), (VALUES (1), (2), (3)) v(ph)),
+  ER AS (SELECT doc_id, ph, 0::BIGINT AS rn, []::BIGINT[] AS got FROM EH UNION ALL
+    SELECT ER.doc_id, ER.ph, EO.rn, CASE WHEN len(got) < EH.k AND len(list_filter(got, lambda q: abs(q - EO.byte_pos) < EH.dd)) = 0 THEN list_append(got, EO.byte_pos) ELSE got END FROM ER JOIN EH ON EH.doc_id = ER.doc_id AND EH.ph = ER.ph JOIN EO ON EO.doc_id = ER.doc_id AND EO.rn = ER.rn + 1),
+  EG AS (SELECT doc_id, ph, arg_max(got, rn) AS got FROM ER GROUP BY doc_id, ph),
+  EB AS (SELECT EG.doc_id, unnest(arg_min(got, EG.ph)) AS byte_pos FROM EG JOIN EZ ON EZ.doc_id = EG.doc_id WHERE len(got) = k GROUP BY EG.doc_id),
+  ES AS (SELECT EP.doc_id, EP.line_num, EP.line, EP.body AS own, EB.byte_pos IS NOT NULL AS b, sum((EB.byte_pos IS NOT NULL)::INT) OVER (PARTITION BY EP.doc_id ORDER BY EP.line_num) AS seg FROM EP LEFT JOIN EB ON EB.doc_id = EP.doc_id AND EB.byte_pos = EP.byte_pos),
+  EC AS (SELECT doc_id, (seg - 1)::INT AS cid, arg_min(own, line_num) AS title, {STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY line_num) FILTER (WHERE NOT b), '')")} AS body, min(line_num) AS line_num FROM ES WHERE seg > 0 GROUP BY doc_id, seg),
+  EQ AS (SELECT doc_id FROM EC GROUP BY doc_id HAVING avg((length(body) < 100)::INT) <= 0.1::DOUBLE AND avg(length(body)) >= 500)
+  SELECT doc_id, cid, title, body, length(body)::BIGINT AS length, line_num FROM EC JOIN EQ USING (doc_id)""")
+def escalated_chapters(spark, d):
+    rows = lines.with_offsets(doc_lines(spark, d))
+    size = rows.groupBy("doc_id").agg(F.max(F.col("byte_pos") + F.octet_length("line")).alias("size"))
+    return escalate.escalated(docs(spark, d), size.select("doc_id", F.floor(F.col("size") / 7500).alias("k")))
+
+
 # --- shared SQL ----------------------------------------------------------------------------------
 def _by(zh: str, en: str) -> str:
     return f"(CASE WHEN language = 'chinese' THEN {zh} ELSE {en} END)"

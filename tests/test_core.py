@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import boundaries, lines, merge, segment, structure, titles
+from quire.operators import boundaries, escalate, lines, merge, segment, structure, titles
 from quire.queries import ORACLE_SQL, QUERIES
 from quire.sources import epub_sink, readers
 
@@ -183,3 +183,25 @@ def test_rules_meet_their_cases(spark):
     got = QUERIES["rule_segment_chapters"](spark, FOLDER).cache()
     assert got.filter("title like '% | %'").count() and got.filter("title rlike '^[0-9]+화$'").count()
     assert not got.filter("title = '외전 막간'").count()
+
+
+def test_escalated(spark):
+    body = "이 문장은 본문이며 길게 이어지는 이야기의 한 부분이다. " * 30
+    text = "\n\n".join(f"제{i}화 만남\n\n" + "\n".join([body] * 25) for i in range(1, 5))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, ""), (4, None), (5, "짧은 글")], "doc_id long, text string")
+    expected = spark.createDataFrame([(1, 4), (2, 9), (3, 1), (4, 1), (5, 1), (6, None)], "doc_id long, k long")
+    heads = [i * 28 for i in range(4)]
+    # the first line of a text is no candidate: an anchor gives it
+    anchors = spark.createDataFrame([(1, 0), (1, 0), (2, 0)], "doc_id long, line_num int")
+    got = escalate.escalated(docs, expected, anchors=anchors).orderBy("doc_id", "cid").collect()
+    assert [(r.doc_id, r.cid, r.title, r.line_num) for r in got] == [(1, i, f"제{i + 1}화 만남", heads[i]) for i in range(4)]
+    assert all(r.length == len(r.body) and r.body.startswith("이 문장은") for r in got)
+    # three candidates only: a change of topic is the fourth, where no anchor is given
+    turns = spark.createDataFrame([(1, 7, 0.9), (1, 7, 0.9), (5, 0, 0.9)], "doc_id long, line_num int, ai_score double")
+    got = escalate.escalated(docs, expected, topics=turns).orderBy("doc_id", "cid").collect()
+    assert [(r.doc_id, r.line_num) for r in got] == [(1, 7), (1, 28), (1, 56), (1, 84)]
+
+
+def test_escalation_meets_its_case(spark):
+    got = QUERIES["escalated_chapters"](spark, FOLDER).groupBy("doc_id").count().collect()
+    assert got and max(r["count"] for r in got) > 1
