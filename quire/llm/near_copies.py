@@ -8,8 +8,8 @@ then checked on the two sets.
 Similar sets have sizes within a factor of 5/4. Sizes are cut into bands by a factor of 1.26, and bands
 into blocks by hash; each block meets itself and the blocks of its own and the two adjoining bands, each
 two in a group of their own, so no pair within the radius is lost. The first round has only
-fingerprints and finds the sets that have a candidate; the second has these sets' shingles as well, and returns links that
-join its parts (fewer than its sets).
+fingerprints and finds, for each set, the blocks where it has a candidate; in the second a set's shingles
+go to these blocks alone, and links come back that join a group's parts (fewer than its sets).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ RADIUS, HALF = 36, 22  # of 128 bits, and of the first 64
 BAND = 1.26
 TILE = 1024
 BLOCK = 1 << 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -102,12 +102,11 @@ def meetings(rows: DataFrame, sizes: DataFrame, block: int | None = None) -> Dat
     band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")
     # a row for each band of sizes
     found = {r["band"]: (r["rows"], r["bytes"]) for r in sizes.groupBy(band.alias("band")).agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes")).collect()}
-    block = block or min(BLOCK, max(1024, sum(k for k, _ in found.values()) // 64))
-    weigh = "shingles" in rows.columns
+    block = block or min(BLOCK, max(1024, sum(k for k, _ in found.values()) // 16))
     first = [0]
     for k in range(max(found, default=0) + 1):
         count, size = found.get(k, (0, 0))
-        first.append(first[-1] + max(-(-count // block), -(-size // BLOCK_BYTES) if weigh else 0))
+        first.append(first[-1] + max(-(-count // block), -(-size // BLOCK_BYTES)))
 
     def at(places: list[int]) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in places]), band + 1)
@@ -115,7 +114,11 @@ def meetings(rows: DataFrame, sizes: DataFrame, block: int | None = None) -> Dat
     n = len(first) - 1
     own = at(first[:-1]) + F.pmod(F.xxhash64("digest"), F.greatest(F.lit(1), at([first[k + 1] - first[k] for k in range(n)]))).cast("int")
     partners = F.sequence(at([first[max(0, k - 1)] for k in range(n)]), at([first[min(n, k + 2)] - 1 for k in range(n)]))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(partners))
+    return met(rows.withColumn("own", own).withColumn("other", F.explode(partners)))
+
+
+def met(dealt: DataFrame) -> DataFrame:
+    """low and high of the blocks own and other."""
     return dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
 
 
@@ -175,7 +178,7 @@ def _with_candidate(got: dict, same: bool) -> list[np.ndarray]:
     near = np.zeros(len(got["digest"]), bool)
     for i, j in candidates(a, b):
         near[left[i]] = near[right[j]] = True
-    return [got["digest"][near]]
+    return [got["digest"][near], got["own"][near], (got["low"] + got["high"] - got["own"])[near]]
 
 
 def _links(got: dict, same: bool) -> list[np.ndarray]:
@@ -208,8 +211,8 @@ def near_copies(table: DataFrame, key_col: str, text_col: str, block: int | None
         return each
 
     def again():
-        def each(digests, n, f0, f1, texts):
-            return [digests, n, f0, f1, [shingle_set(t).tobytes() for t in texts]]
+        def each(digests, n, f0, f1, own, others, texts):
+            return [digests, n, f0, f1, own, others, [shingle_set(t).tobytes() for t in texts]]
 
         return each
 
@@ -217,15 +220,18 @@ def near_copies(table: DataFrame, key_col: str, text_col: str, block: int | None
     docs = materialize(map_columns(table.select(key_col, text_col), f"{key_col} {kind}, digest long, n long, f0 long, f1 long", start), "shingle-sketches")
     least = materialize(docs.groupBy("digest").agg(F.min(key_col).alias("least_key"), *[F.min(c).alias(c) for c in ("n", "f0", "f1")]), "distinct-sets")
     sets = least.filter("n > 0")
-    one = pa.schema([("digest", pa.int64())])
-    found = by_meeting(meetings(sets.drop("least_key"), sets, block), one, "digest long", _with_candidate).distinct()
-    near = materialize(sets.join(materialize(found, "sets-with-candidates"), "digest"), "candidates")
+    one = pa.schema([("digest", pa.int64()), ("own", pa.int32()), ("other", pa.int32())])
+    found = by_meeting(meetings(sets.drop("least_key"), sets, block), one, "digest long, own int, other int", _with_candidate)
+    # a set's own block, and the few blocks where it has a candidate
+    blocks = found.groupBy("digest").agg(F.min("own").alias("own"), F.array_join(F.collect_set(F.col("other").cast("string")), ",").alias("others"))
+    near = sets.join(materialize(blocks, "sets-with-candidates"), "digest")
     # a narrow table of its own, so that a small one is broadcast and texts are not shuffled
-    wanted = materialize(near.select("digest", "n", "f0", "f1", F.col("least_key.at").alias("_wanted_at")), "wanted")
-    texts = table.join(sized(wanted), F.col(f"{key_col}.at") == F.col("_wanted_at")).select("digest", "n", "f0", "f1", text_col)
-    near_sets = map_columns(texts, "digest long, n long, f0 long, f1 long, shingles binary", again)
+    wanted = materialize(near.select("digest", "n", "f0", "f1", "own", "others", F.col("least_key.at").alias("_wanted_at")), "wanted")
+    texts = table.join(sized(wanted), F.col(f"{key_col}.at") == F.col("_wanted_at")).select("digest", "n", "f0", "f1", "own", "others", text_col)
+    near_sets = map_columns(texts, "digest long, n long, f0 long, f1 long, own int, others string, shingles binary", again)
+    dealt = met(near_sets.withColumn("other", F.explode(F.split("others", ",").cast("array<int>"))).drop("others"))
     two = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    links = by_meeting(meetings(near_sets, near, block), two, "a long, b long", _links).distinct()
+    links = by_meeting(dealt, two, "a long, b long", _links).distinct()
     comps = materialize(components(links), "near-copy-components")
     owner = least.join(comps, least["digest"] == comps["node"], "left").select("digest", "least_key", F.coalesce("component", "digest").alias("c"))
     ids = owner.groupBy("c").agg(F.min("least_key").alias("component_id"))
