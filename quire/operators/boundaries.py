@@ -47,6 +47,16 @@ def gaps(matches: DataFrame, sizes: DataFrame, inner: Column, edge: Column, most
     return kept.withColumn("r", r).filter(F.col("r") <= most).select("doc_id", F.col("pos").alias("start"), "end", F.col("len").alias("size"))
 
 
+def large_gaps(matches: DataFrame, sizes: DataFrame, expected: Column, least: int = 50_000, most: int = 10) -> DataFrame:
+    """gaps of over `least` bytes and half as much again as a chapter; priority tells them in chapters.
+
+    expected: the number of chapters, 1 at least, from the columns of sizes.
+    """
+    known = sizes.withColumn("expected", expected)
+    found = gaps(matches, sizes, F.lit(least), F.lit(least), most).join(known.select("doc_id", (F.col("size") / F.col("expected")).alias("_mean")), "doc_id")
+    return found.filter(F.col("size") > 1.5 * F.col("_mean")).select("doc_id", "start", "end", "size", (F.col("size") / F.col("_mean")).alias("priority"))
+
+
 def _greedy(points: Column, k: Column, distance: Column) -> Column:
     """Positions taken from points (in order of preference) until k, each at least `distance` from all taken."""
     return F.aggregate(points, F.array().cast("array<long>"), lambda a, p: F.when((F.size(a) < k) & F.forall(a, lambda q: F.abs(q - p) >= distance), F.concat(a, F.array(p))).otherwise(a))

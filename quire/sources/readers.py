@@ -81,6 +81,38 @@ def epub_items(files: DataFrame) -> DataFrame:
     return files.filter("file_ext = '.epub'").select("path", "content").mapInArrow(run, "path string, spine_pos int, name string, html string")
 
 
+METADATA = "path string, title string, creator string, publisher string, language string, description string, subjects array<string>"
+
+
+def package_metadata(data: bytes) -> tuple:
+    """(title, creator, publisher, language, description, subjects) of an e-book's package; None where not given."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        opf = ET.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
+        package = ET.fromstring(z.read(opf))
+    dc = "{http://purl.org/dc/elements/1.1/}"
+    first = [package.find(f".//{dc}{name}") for name in ("title", "creator", "publisher", "language", "description")]
+    return (*[None if x is None else (x.text or "").strip() for x in first], [(x.text or "").strip() for x in package.iterfind(f".//{dc}subject")])
+
+
+def epub_metadata(files: DataFrame) -> DataFrame:
+    """One row for each e-book of files (path, content, file_ext); a damaged one has nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 6 + [pa.list_(pa.string())]
+        names = [x.split()[0] for x in METADATA.split(", ")]
+        for b in batches:
+            rows = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
+                try:
+                    rows.append((path, *package_metadata(data.as_py())))
+                except (zipfile.BadZipFile, KeyError, AttributeError, TypeError, ET.ParseError):
+                    rows.append((path, *[None] * 6))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return files.filter("file_ext = '.epub'").select("path", "content").mapInArrow(run, METADATA)
+
+
 def chapters_only(items: DataFrame, least: int = 50) -> DataFrame:
     """Without covers, tables of contents and pages of little text (unless they hold an image)."""
     text = F.trim(F.regexp_replace("html", "<[^>]*>", ""))
