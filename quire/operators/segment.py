@@ -39,12 +39,24 @@ def chapters(flags: DataFrame, min_body: int = 1) -> DataFrame:
     return kept.withColumn("cid", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1).select("doc_id", "cid", "title", "body", "length", "line_num")
 
 
+TYPES = ["본편", "외전", "에필로그", "작가의 말", "기타"]
+
+
 def chapter_type(title: Column) -> Column:
     # fixed values, first hit wins
     t = F.lower(title)
     return F.when(t.rlike("작가의 말|작가 후기|후기"), "작가의 말").when(t.rlike("에필로그|epilogue|후일담"), "에필로그").when(t.rlike("외전|번외|특별편|side story"), "외전").otherwise("본편")
 
 
+def type_summary(chapters: DataFrame) -> DataFrame:
+    """chapters: doc_id, cid, title. A row for each document and type, types without chapters included: n, and
+    its first and last chapter from 1 on (0 without any); total counts all chapters of the document."""
+    kind = chapter_type(F.col("title"))
+    aggs = [F.struct(F.lit(t).alias("chapter_type"), F.count_if(kind == t).alias("n"), F.coalesce(F.min(F.when(kind == t, F.col("cid"))) + 1, F.lit(0)).cast("long").alias("first"), F.coalesce(F.max(F.when(kind == t, F.col("cid"))) + 1, F.lit(0)).cast("long").alias("last")) for t in TYPES]
+    all_types = chapters.groupBy("doc_id").agg(F.count("*").alias("total"), F.array(*aggs).alias("t"))
+    return all_types.select("doc_id", "total", F.explode("t").alias("t")).select("doc_id", "total", "t.*")
+
+
 def _without(pattern: str) -> Column:
     """The body without the pieces that match."""
     return strip(F.array_join(F.filter(F.split("body", LINE_ENDS), lambda x: ~strip(x).rlike(pattern)), "\n"))

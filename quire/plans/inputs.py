@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boundaries, inputs, lines
+from ..operators import boundaries, inputs, lines, segment, titles
 from ..sources import epub_sink, readers
 from .catalogue import FILES2, files2
 from .core import CHAP, MATCH, STATE, _chapters, _matches, docs, query, state, table
@@ -101,3 +101,21 @@ def epub_metadata(spark, d):
     made = epub_sink.epubs(_chapters(spark, d)).select(F.col("doc_id").cast("string").alias("path"), F.col("epub").alias("content"), F.lit(".epub").alias("file_ext"))
     return readers.epub_metadata(made).select(F.col("path").cast("long").alias("doc_id"), "title", "creator", "language", "publisher", F.array_join("subjects", "|").alias("subjects"))
 
+
+
+@query(f"""WITH {CHAP}, TY AS (SELECT unnest(['본편', '외전', '에필로그', '작가의 말', '기타']) AS chapter_type), BB AS (SELECT doc_id, cid, CASE cid % 4 WHEN 0 THEN title WHEN 1 THEN concat(title, ' 외전') WHEN 2 THEN concat('Epilogue ', title) ELSE concat(title, ' 작가 후기') END AS title FROM CH),
+  EE AS (SELECT doc_id, cid, CASE WHEN regexp_matches(lower(title), '작가의 말|작가 후기|후기') THEN '작가의 말' WHEN regexp_matches(lower(title), '에필로그|epilogue|후일담') THEN '에필로그' WHEN regexp_matches(lower(title), '외전|번외|특별편|side story') THEN '외전' ELSE '본편' END AS t FROM BB),
+  DD AS (SELECT doc_id, count(*) AS total FROM EE GROUP BY doc_id), GG AS (SELECT doc_id, t, count(*) AS n, min(cid) + 1 AS a, max(cid) + 1 AS z FROM EE GROUP BY doc_id, t)
+  SELECT DD.doc_id, total, TY.chapter_type, coalesce(n, 0)::BIGINT AS n, coalesce(a, 0)::BIGINT AS first, coalesce(z, 0)::BIGINT AS last FROM DD CROSS JOIN TY LEFT JOIN GG ON GG.doc_id = DD.doc_id AND GG.t = TY.chapter_type""")
+def chapter_type_table(spark, d):
+    c, t = F.col("cid") % 4, F.col("title")
+    other = F.when(c == 0, t).when(c == 1, F.concat(t, F.lit(" 외전"))).when(c == 2, F.concat(F.lit("Epilogue "), t)).otherwise(F.concat(t, F.lit(" 작가 후기")))
+    return segment.type_summary(_chapters(spark, d).select("doc_id", "cid", other.alias("title")))
+
+
+_RANGE = "CASE event_id % 5 WHEN 0 THEN concat('1~', event_id, '화') WHEN 1 THEN concat(event_id, '화') WHEN 2 THEN '완결' WHEN 3 THEN concat('총 5-', event_id, ' (2)') END"
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 3 THEN event_id - 4 ELSE 0 END AS n FROM events")
+def expected_of_range(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(titles.expected_count_of_range(F.expr(_RANGE)), F.lit(0)).alias("n"))

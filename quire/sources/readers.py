@@ -19,7 +19,24 @@ SKIPPED = ("cover", "nav", "toc", "titlepage", "metadata")
 
 def scan_folder(spark: SparkSession, path: str, least: int = LEAST_BYTES) -> DataFrame:
     """path, file_name, file_ext, length and content of the text and e-book files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return _book_files(spark, [path], least)
+
+
+def scan_folders(spark: SparkSession, folders: list[str | None], least: int = LEAST_BYTES) -> DataFrame:
+    """scan_folder of several folders; empty names and folders that are not there are passed over."""
+
+    def there(folder: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    found = [f for f in dict.fromkeys(folders) if f and there(f)]
+    if not found:
+        return spark.createDataFrame([], "path string, file_name string, file_ext string, length long, content binary")
+    return _book_files(spark, found, least)
+
+
+def _book_files(spark: SparkSession, paths: list[str], least: int) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     return files.select("path", name.alias("file_name"), ext.alias("file_ext"), "length", "content").filter(F.col("file_ext").isin(EXTENSIONS) & (F.col("length") >= least))

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def run_new_files(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id") -> None:
-    """Applies `work` to rows of files not seen before and writes results to `out`, without rows whose key is there."""
+    """Applies `work` to rows of files not seen before and writes results to `out`, without rows whose key is there.
+
+    A batch that is run again (its results were written, but not that it ended) replaces its own results, so
+    it looks at those of the other batches only.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*")
 
     def batch(df: DataFrame, number: int) -> None:
-        fs = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-            df = df.join(spark.read.parquet(f"{out}/batch=*").select(key).distinct(), key, "left_anti")
+        found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+        others = [p for p in (f.getPath().toString() for f in found) if int(p.rpartition("=")[2]) != number]
+        if others:
+            df = df.join(spark.read.parquet(*others).select(key).distinct(), key, "left_anti")
         work(df).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
     stream = spark.readStream.schema(schema).parquet(source)

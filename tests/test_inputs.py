@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import boundaries, inputs
 from quire.sources import epub_sink, readers
+from quire.streaming import incremental
 
 
 def test_bytes_of_texts(spark):
@@ -60,3 +61,35 @@ def test_empty_inputs(spark):
     wanted = spark.createDataFrame([("x",)], "genre string")
     assert inputs.prompt_for(wanted, spark.createDataFrame([], "name string, value string")).collect() == [("x", "")]
     assert inputs.completion(spark.createDataFrame([], "stage0 int"), ["stage0"]).first() == (0.0,)
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "a" / "deep" / "x.TXT").write_bytes("한글".encode("cp949") * 300)
+    (tmp_path / "a" / "small.txt").write_bytes(b"x" * 511)
+    (tmp_path / "a" / "enough.txt").write_bytes(b"x" * 512)
+    (tmp_path / "a" / "other.pdf").write_bytes(b"x" * 900)
+    got = readers.scan_folders(spark, [None, "", str(tmp_path / "none"), str(tmp_path / "a"), str(tmp_path / "a")])
+    assert sorted(r.file_name for r in got.collect()) == ["enough.txt", "x.TXT"]
+    assert {r.encoding: len(r.text) for r in readers.with_text(got).collect()} == {"utf-8": 512, "cp949": 600}
+    assert readers.scan_folders(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_incremental_runs(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def add(*keys):
+        spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        incremental.run_new_files(spark, source, "doc_id long, text string", lambda df: df.withColumn("n", F.length("text")), out, checkpoint)
+        return sorted(r.doc_id for r in spark.read.parquet(f"{out}/batch=*").collect())
+
+    add(1, 2)
+    assert run() == [1, 2]
+    add(2, 3)
+    assert run() == [1, 2, 3] and run() == [1, 2, 3]
+    # the last batch's results are there, but not that it ended: it runs again
+    for f in (tmp_path / "state" / "commits").glob("*1*"):
+        f.unlink()
+    assert run() == [1, 2, 3]
