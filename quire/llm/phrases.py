@@ -2,13 +2,13 @@
 
 Three passes over the texts, none of which shuffles them:
 
-1. Words and word pairs are hashed to SLOTS slots each; every mapper counts with numpy's bincount, counts stop
+1. Words and word pairs are hashed to a fixed number of slots each; every mapper counts with numpy's bincount, counts stop
    at 255, and the arrays are summed by a tree. A slot's count is no less than that of any phrase in it.
 2. Runs of three and four words whose pairs may all be frequent are counted likewise.
 3. Phrases whose slot, and the slots of all phrases inside them, reach the threshold are candidates (Apriori:
    nothing else can be frequent). Mappers count them exactly, by bincount and unique over word numbers.
 
-The filters have a fixed size (SLOTS bits a level), whatever the input; they spare work and decide nothing.
+The filters have a fixed size (a bit a slot: 1 MB a level), whatever the input; they spare work and decide nothing.
 
 Candidates are dealt to shards of about KEYS, and each shard gets a table: a minimal perfect hash, and the keys
 in the order of their slots, by which every look-up is verified. The mappers' counts go to their shard's
@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,22 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, named, shuffle_partitions, small_batches
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-SLOTS = 1 << 23
-CHUNK = 1 << 15
 FAN_IN = 64
 KEYS = 1 << 16
 SHARE = 1 << 20
-#: A mapper's words, and distinct words, between two rounds of counting; and the bytes that it splits at a time.
-FLUSH_WORDS, FLUSH_DISTINCT, SLICE = 1 << 22, 1 << 19, 4 << 20
+
+
+class Sizes(NamedTuple):
+    """What mappers hold: slots of a filter, slots in a row of its counts, words and distinct words between two
+    rounds of counting, and the bytes that are split at a time."""
+
+    slots: int = 1 << 23
+    chunk: int = 1 << 15
+    words: int = 1 << 22
+    distinct: int = 1 << 19
+    slice: int = 4 << 20
+
+
 #: One byte for every mark that ends a piece; A-Z in lower case; blanks alike.
 BREAK = b"."
 FORM = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"......... ")
@@ -49,12 +59,12 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def split_words(text: str) -> Iterator[list[bytes]]:
+def split_words(text: str, slice_bytes: int) -> Iterator[list[bytes]]:
     """The words of a text, and BREAK between pieces; a long text in several lists."""
     data = text.encode().translate(FORM).replace(BREAK, b" . ")
     at = 0
     while at < len(data):
-        cut = data.find(b" ", at + SLICE)
+        cut = data.find(b" ", at + slice_bytes)
         cut = len(data) if cut < 0 else cut
         yield data[at:cut].split()
         at = cut
@@ -75,9 +85,9 @@ class Words(dict):
         self.hashes.append(self.hashed(word, self.seed))
         return number
 
-    def add(self, text: str) -> int:
+    def add(self, text: str, slice_bytes: int) -> int:
         n = 0
-        for words in split_words(text):
+        for words in split_words(text, slice_bytes):
             self.parts.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
             n += len(words)
         self.parts.append(np.zeros(1, np.int32))
@@ -87,12 +97,12 @@ class Words(dict):
 class Runs:
     """The runs of 1 to 4 words of one language's numbers: slots by level, and which runs are whole."""
 
-    def __init__(self, words: Words):
+    def __init__(self, words: Words, slots: int):
         self.ids = np.concatenate(words.parts)
         self.hashes = np.array(words.hashes, np.uint64)
         self.level = [self.hashes[self.ids]]
         self.whole = [self.ids != 0]
-        self.shift = np.uint64(64 - SLOTS.bit_length() + 1)
+        self.shift = np.uint64(65 - slots.bit_length())
 
     def grow(self, k: int) -> None:
         while len(self.level) < k:
@@ -119,17 +129,7 @@ class Runs:
         return masks
 
 
-def by_language(langs: list, texts: list, held: dict[str, Words]) -> int:
-    n = 0
-    for lang, text in zip(langs, texts):
-        lang = "und" if lang is None else lang
-        if lang not in held:
-            held[lang] = Words(lang)
-        n += held[lang].add(text or "")
-    return n
-
-
-def mapped(docs: DataFrame, schema: str, start: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+def mapped(docs: DataFrame, schema: str, sizes: Sizes, start: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
     """docs: lang, text. start() gives, for each task, count(held) and last(), which give record batches; count gets
     the words by language whenever there are many, and in the end."""
     small_batches(docs.sparkSession)
@@ -137,16 +137,18 @@ def mapped(docs: DataFrame, schema: str, start: Callable[[], tuple[Callable, Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, last = start()
         held: dict[str, Words] = {}
-        n = 0
+        n = distinct = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                langs, texts = (c.to_pylist() for c in part.columns)
-                for lang, text in zip(langs, texts):
-                    n += by_language([lang], [text], held)
-                    if n > FLUSH_WORDS or (n > FLUSH_DISTINCT and sum(len(w.hashes) for w in held.values()) > FLUSH_DISTINCT):
-                        yield from count(held)
-                        held, n = {}, 0
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                lang, text = lang.as_py(), text.as_py()
+                lang = "und" if lang is None else lang
+                words = held.get(lang) or held.setdefault(lang, Words(lang))
+                before = len(words)
+                n += words.add(text or "", sizes.slice)
+                distinct += len(words) - before
+                if n > sizes.words or distinct > sizes.distinct:
+                    yield from count(held)
+                    held, n, distinct = {}, 0, 0
         if held:
             yield from count(held)
         yield from last()
@@ -194,19 +196,19 @@ def tree_sum(rows: DataFrame, keys: list[str], most: int | None = None, fan_in:
 COUNTED = "level int, chunk int, counts binary, lang string, n long"
 
 
-def slot_counts(docs: DataFrame, levels: tuple[int, ...], filters: list, totals: bool) -> DataFrame:
+def slot_counts(docs: DataFrame, levels: tuple[int, ...], filters: list, totals: bool, sizes: Sizes = Sizes()) -> DataFrame:
     """Rows of a task's counts by level and chunk of slots, and with totals its number of words of each language."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS bits a level
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed size
 
     def start():
         bits = [np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for f in sent.value]
-        arrays = {k: np.zeros(SLOTS, np.uint8) for k in levels}
+        arrays = {k: np.zeros(sizes.slots, np.uint8) for k in levels}
         words: dict[str, int] = {}
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             found: dict[int, list] = {k: [] for k in levels}
             for lang, w in held.items():
-                runs = Runs(w)
+                runs = Runs(w, sizes.slots)
                 words[lang] = words.get(lang, 0) + int(np.count_nonzero(runs.ids))
                 masks = runs.candidates(bits)
                 for k in levels:
@@ -216,14 +218,14 @@ def slot_counts(docs: DataFrame, levels: tuple[int, ...], filters: list, totals:
                         where = reduce(np.logical_and, [masks[-1][i : len(where) + i] for i in range(k - len(masks) + 1)], where)
                     found[k].append(runs.slots(k, where))
             for k, slots in found.items():
-                new = np.bincount(np.concatenate(slots), minlength=SLOTS)
+                new = np.bincount(np.concatenate(slots), minlength=sizes.slots)
                 new += arrays[k]
                 arrays[k] = np.minimum(new, 255, out=new).astype(np.uint8)
             yield from ()
 
         def last() -> Iterator[pa.RecordBatch]:
             for k, array in arrays.items():
-                chunks = array.reshape(-1, min(CHUNK, SLOTS))
+                chunks = array.reshape(-1, min(sizes.chunk, sizes.slots))
                 some = np.flatnonzero(chunks.any(axis=1)).tolist()
                 for at in range(0, len(some), 64):
                     here = some[at : at + 64]
@@ -238,13 +240,13 @@ def slot_counts(docs: DataFrame, levels: tuple[int, ...], filters: list, totals:
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["level", "chunk", "counts", "lang", "n"])
 
-    return mapped(docs, COUNTED, start)
+    return mapped(docs, COUNTED, sizes, start)
 
 
-def filter_bits(counted: DataFrame, levels: tuple[int, ...], least: int) -> list[bytes]:
-    """The bits of the slots that reach `least`: SLOTS bits for each level, gathered on the driver."""
+def filter_bits(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Sizes = Sizes()) -> list[bytes]:
+    """The bits of the slots that reach `least`: a fixed number for each level, gathered on the driver."""
     rows = counted.filter("counts IS NOT NULL").select("level", "chunk", F.col("leaf"), "counts")
-    size = min(CHUNK, SLOTS)
+    size = min(sizes.chunk, sizes.slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,10 +254,10 @@ def filter_bits(counted: DataFrame, levels: tuple[int, ...], least: int) -> list
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["level", "chunk", "bits"])
 
     got = {(r["level"], r["chunk"]): r["bits"] for r in tree_sum(rows, ["level", "chunk"], 255).mapInArrow(run, "level int, chunk int, bits binary").toLocalIterator()}
-    return [b"".join(bytes(got.get((k, c), bytes(size // 8))) for c in range(SLOTS // size)) for k in levels]
+    return [b"".join(bytes(got.get((k, c), bytes(size // 8))) for c in range(sizes.slots // size)) for k in levels]
 
 
-def candidate_counts(docs: DataFrame, filters: list[bytes]) -> DataFrame:
+def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes()) -> DataFrame:
     """key (language, line feed, words with blanks), words and n: what a task counts of each candidate."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -264,7 +266,7 @@ def candidate_counts(docs: DataFrame, filters: list[bytes]) -> DataFrame:
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             for lang, w in held.items():
-                runs, names, head = Runs(w), list(w), lang.encode() + b"\n"
+                runs, names, head = Runs(w, sizes.slots), list(w), lang.encode() + b"\n"
                 ids, masks = runs.ids, runs.candidates(bits)
                 ones = np.bincount(ids[masks[0]], minlength=1)
                 some = np.flatnonzero(ones)
@@ -286,7 +288,7 @@ def candidate_counts(docs: DataFrame, filters: list[bytes]) -> DataFrame:
     def made(keys: list[bytes], k: int, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(np.full(len(keys), k, np.int32)), pa.array(n.astype(np.int64))], names=["key", "words", "n"])
 
-    return mapped(docs, "key string, words int, n long", start)
+    return mapped(docs, "key string, words int, n long", sizes, start)
 
 
 class PerfectHash:
@@ -485,7 +487,7 @@ def _part(words: Column, at: Column | int, n: Column | int) -> Column:
     return F.concat(language(F.col("key")), F.lit("\n"), F.array_join(F.slice(words, F.lit(at) if isinstance(at, int) else at, F.lit(n) if isinstance(n, int) else n), " "))
 
 
-def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, keys: int = KEYS, share: int = SHARE) -> DataFrame:
+def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, keys: int = KEYS, share: int = SHARE, sizes: Sizes = Sizes()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first `top` phrases.
 
     A null language is `und`, null and empty texts have no words; repeated rows count again; a language
@@ -495,11 +497,11 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     spark = df.sparkSession
     docs = df.select(named(lang_col).alias("lang"), named(text_col).alias("text"))
     leaf = F.spark_partition_id().alias("leaf")
-    first = materialize(slot_counts(docs, (1, 2), [], True).select("*", leaf), "slots-1-2")
-    filters = filter_bits(first, (1, 2), least)
-    second = materialize(slot_counts(docs, (3, 4), filters, False).select("*", leaf), "slots-3-4")
-    filters += filter_bits(second, (3, 4), least)
-    local = materialize(candidate_counts(docs, filters), "candidate-counts")
+    first = materialize(slot_counts(docs, (1, 2), [], True, sizes).select("*", leaf), "slots-1-2")
+    filters = filter_bits(first, (1, 2), least, sizes)
+    second = materialize(slot_counts(docs, (3, 4), filters, False, sizes).select("*", leaf), "slots-3-4")
+    filters += filter_bits(second, (3, 4), least, sizes)
+    local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts")
     known = materialize(local.select("key").distinct(), "candidates")
     shards = max(1, -(-known.count() // keys))
     made = materialize(tables(known.withColumn("shard", shard_of(F.col("key"), shards))), "phrase-tables")

@@ -91,9 +91,9 @@ class Ledger:
         todo = F.array_except(F.array(*[F.lit(r.name) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))
         return blobs.join(seen, "digest", "left").withColumn("todo", todo).drop("seen").filter(F.size("todo") > 0)
 
-    def update(self, df: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scans the unseen pairs of the versions in df (null counts as empty). Returns path, digest and n_refs
-        (how many rows have the blob) of each row of df."""
+    def update(self, df: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+        """Scans the unseen pairs of the versions in df (null counts as empty). Returns path and digest of each
+        row of df, and digest and n_refs (how many rows have it) of each blob."""
         by_name = {r.name: r for r in rules}
         table, at = located(df)
         placed = table.select(named(path_col).alias("path"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.col(at).alias("locator"))
@@ -113,7 +113,7 @@ class Ledger:
             texts = placed.select("locator", "text").join(due.hint("shuffle_hash"), "locator").select("digest", "todo", "text")
             number = self._committed()[1]
             map_columns(texts, self.schema, start).write.mode("overwrite").parquet(f"{self.path}/update={number:09d}")
-        return join_hot(refs.drop("locator"), blobs.drop("locator"), "digest", F.col("n_refs"))
+        return refs.drop("locator"), blobs.drop("locator")
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """digest, and found of all scans with the given rules, of each blob that they found something in."""
@@ -140,11 +140,10 @@ def scan(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no spans; repeated rows get a row each; a null id is a path like any other; an
     empty table scans nothing and gives no row. A blob with many spans is one row, no longer than its text.
     """
-    refs = ledger.update(df, id_col, text_col, rules)
-    blobs = materialize(refs.select("digest", "n_refs").distinct().join(ledger.findings(rules), "digest"), "blob-findings")
-    hit = join_hot(refs.drop("n_refs"), blobs, "digest", F.col("n_refs")).drop("n_refs")
-    clean = refs.drop("n_refs").join(blobs.select("digest"), "digest", "left_anti").withColumn("found", F.array().cast(FOUND))
-    return hit.unionByName(clean).withColumnRenamed("path", id_col)
+    refs, blobs = ledger.update(df, id_col, text_col, rules)
+    found = F.coalesce("found", F.array().cast(FOUND)).alias("found")
+    blobs = materialize(blobs.join(ledger.findings(rules), "digest", "left").select("digest", "n_refs", found), "blob-findings")
+    return join_hot(refs, blobs, "digest", F.col("n_refs")).select(F.col("path").alias(id_col), "digest", "found")
 
 
 def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
