@@ -14,8 +14,10 @@ and composition is associative, so chunks are run apart and put together with a
   chunks of many texts are composed at once by one scan (cumulative sums in numpy), and each text's
   count is the difference of the scan at its two ends.
 * A word of more than BLOCK letters has no such place inside. It is cut into blocks that are run from a
-  guessed entry state (warmed up on the text before them) and composed by a scan over their maps; a map
-  that is asked for another entry state is run from that as well.
+  guessed entry state (warmed up on the text before them) and composed by an up-sweep over their maps; a map
+  that is asked for another entry state is run from that as well, and passes it down. The down-sweep of
+  prefix_scan gives the state at every block. Maps are a few numbers each, so memory grows with the
+  number of blocks.
 """
 
 from __future__ import annotations
@@ -75,41 +77,65 @@ class Transducer(Machine):
         if len(letters) <= BLOCK:
             return self.run(0, letters)[1]
         cuts = range(0, len(letters), BLOCK)
-        blocks = [StateMap(self, [letters[i : i + BLOCK]], {self.run(0, letters[max(0, i - WARM_UP) : i])[0]}) for i in cuts]
-        return prefix_scan(blocks)[-1].apply(0)[1]
+        leaves = [StateMap.of(self, letters[i : i + BLOCK], {self.run(0, letters[max(0, i - WARM_UP) : i])[0]}) for i in cuts]
+        return up_sweep(leaves).apply(0)[1]
 
 
 class StateMap:
-    """What a chunk does: entry state -> (exit state, emitted); entries are added as they are asked for."""
+    """What a chunk does: entry state -> (exit state, emitted). It is a block of letters or two maps one after the
+    other; entries are added as they are asked for, and no map holds the letters of those below it."""
 
-    def __init__(self, machine: Transducer, blocks: list[str], entries: set[int] = frozenset()):
-        self.machine, self.blocks = machine, blocks
-        self.table = {e: machine.run(e, blocks[0]) for e in entries} if len(blocks) == 1 else {}
+    __slots__ = ("machine", "letters", "halves", "table")
+
+    def __init__(self, machine: Transducer, letters: str = "", halves: tuple[StateMap, StateMap] | None = None):
+        self.machine, self.letters, self.halves, self.table = machine, letters, halves, {}
+
+    @classmethod
+    def of(cls, machine: Transducer, letters: str, entries: set[int] = frozenset()) -> StateMap:
+        made = cls(machine, letters)
+        for e in entries:
+            made.apply(e)
+        return made
 
     def apply(self, entry: int) -> tuple[int, int]:
         if entry not in self.table:
-            state, total = entry, 0
-            for block in self.blocks:
-                state, n = self.machine.run(state, block)
-                total += n
-            self.table[entry] = (state, total)
+            if self.halves is None:
+                self.table[entry] = self.machine.run(entry, self.letters)
+            else:
+                middle, n = self.halves[0].apply(entry)
+                end, m = self.halves[1].apply(middle)
+                self.table[entry] = (end, n + m)
         return self.table[entry]
 
     def then(self, other: StateMap) -> StateMap:
-        both = StateMap(self.machine, self.blocks + other.blocks)
-        for entry, (middle, n) in self.table.items():
-            end, m = other.apply(middle)
-            both.table[entry] = (end, n + m)
+        both = StateMap(self.machine, halves=(self, other))
+        for entry in self.table:
+            both.apply(entry)
         return both
 
 
-def prefix_scan(maps: list[StateMap]) -> list[StateMap]:
-    """All prefixes' compositions in a logarithmic number of rounds."""
-    maps, step = list(maps), 1
-    while step < len(maps):
-        maps = [maps[i - step].then(maps[i]) if i >= step else maps[i] for i in range(len(maps))]
-        step *= 2
-    return maps
+def up_sweep(maps: list[StateMap]) -> StateMap:
+    """The composition of all maps: neighbours are composed, then their compositions, and so on; one fewer
+    compositions than maps, in a logarithmic number of rounds."""
+    while len(maps) > 1:
+        maps = [a.then(b) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1 :]
+    return maps[0]
+
+
+def prefix_scan(maps: list[StateMap], entry: int = 0) -> list[tuple[int, int]]:
+    """(state, tokens emitted) after each of the maps, from the entry state of the first: an up-sweep, and then a
+    down-sweep in which every map gets the state that it is entered in."""
+    out: list[tuple[int, int]] = []
+    open_ = [(up_sweep(maps), entry, 0)] if maps else []
+    while open_:
+        node, state, before = open_.pop()
+        if node.halves is None:
+            end, n = node.apply(state)
+            out.append((end, before + n))
+        else:
+            middle, n = node.halves[0].apply(state)
+            open_ += [(node.halves[1], middle, before + n), (node.halves[0], state, before)]
+    return out
 
 
 class TokenCounter:
