@@ -332,11 +332,10 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads stored GIFs into a frame table (timed frames with histograms; their pixels stay in the stored
-    file), and from it one row a file: digests of the samples and of the file, and the frames' colour
+    """Reads stored GIFs into a stored frame table (timed frames, with their pixels and histograms), and from it one row a file: digests of the samples and of the file, and the frames' colour
     histogram. Repeated rows get a result each; an empty table gives none; a damaged file is an error."""
     files = media.select(named(id_col).alias("id"), "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), "gif")
-    table = materialize(gif_frames(files, ["id", "n_bytes", "media_bytes", "media_sha256"], pixels=False).drop("pixels", "covered"), "gif-frames")
+    table = materialize(gif_frames(files, ["id", "n_bytes", "media_bytes", "media_sha256"]), "gif-frames", compression="zstd")
     last = table.filter("frames is not null or error is not null")
     sound = F.when(F.col("error").isNull(), F.col("frames")).otherwise(F.raise_error(F.concat(F.lit("a stored GIF is damaged: "), F.col("error"))))
     bins = F.concat_ws(",", F.transform("reds", lambda b: b.cast("string")))
