@@ -25,8 +25,6 @@ SLICE_BYTES = 8 << 20
 MEMO_BYTES, MEMO_KEY = 32 << 20, 256
 #: Rows of one key beyond which a join deals them to several tasks.
 HOT_ROWS = 1 << 18
-#: Rows of a narrow table (a digest, an id and a locator) that may be broadcast.
-SMALL_ROWS = 1 << 17
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +67,11 @@ def clear_shared(spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -147,23 +145,23 @@ class Memo(dict):
         return value
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """A written, narrow table, for joins with texts: broadcast if it has SMALL_ROWS at most (tens of MB), and
-    else merged, so that the plan goes by a count and not by an estimate."""
-    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table.hint("merge")
+def narrow(table: DataFrame) -> DataFrame:
+    """A table without texts, for joins with texts: one plan at every size. Both sides are dealt by the key, each
+    task holds its part of the narrow side, and texts are neither sorted nor held."""
+    return table.hint("shuffle_hash")
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: Column, share: int = HOT_ROWS, narrow: bool = False) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: Column, share: int = HOT_ROWS, texts: bool = False) -> DataFrame:
     """rows joined with table (one row a key, of known size: a written table) on key.
 
     weight: how many of `rows` have the table's key. The rows of a key of more than `share` are dealt to
     several tasks, each with a copy of the key's row in table; there are at most one such key for each
-    `share` rows. narrow: table has no texts, rows have.
+    `share` rows. texts: rows have texts, table has none.
     """
     salt, parts = fresh([*rows.columns, *table.columns], "_salt"), fresh([*rows.columns, *table.columns], "_parts")
     hot = materialize(table.filter(weight > share).select(named(key), F.ceil(weight / share).cast("int").alias(parts)), "hot-keys")
     if hot.isEmpty():
-        return rows.join(sized(table) if narrow else table, key)
+        return rows.join(narrow(table) if texts else table, key)
     dealt = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
     copies = table.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
     # written, so that Spark knows its size and chooses the join by it
@@ -171,9 +169,8 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: Column, share:
 
 
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows of table whose key is not in gone; gone is written first, so that a small one is broadcast and
-    the table's texts are not shuffled."""
-    return table.join(sized(materialize(gone, "gone")), key, "left_anti")
+    """The rows of table whose key is not in gone (written first, as it is narrow and costs much to find)."""
+    return table.join(narrow(materialize(gone, "gone")), key, "left_anti")
 
 
 def number_rows(df: DataFrame, order: list[str], within: str | None = None, label: str = "numbered") -> tuple[DataFrame, int]:

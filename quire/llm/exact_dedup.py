@@ -1,6 +1,6 @@
 """Exact deduplication by a stateful streaming query.
 
-Arrivals (digest, id and content locator of each row, no texts) are streamed in several micro-batches
+Arrivals (digest, id and content locator of each row, no texts) are dealt by rows and streamed in several micro-batches
 through a keyed aggregation whose state lives in RocksDB files under the shared folder and never expires. The
 state of a digest holds the id to keep, the locator of its content and the number of arrivals; each
 micro-batch combines its arrivals before they are sent to a key's state, so a digest that a third of
@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, join_hot, materialize, named, shared_path, without
+from .common import documents, fresh, join_hot, materialize, named, shared_path, shuffle_partitions, without
 
 #: State on disk; files take the space they need (no allocation ahead), and changes are logged.
 STORE = {
@@ -35,6 +35,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
+def deal_arrivals(rows: DataFrame, path: str) -> DataFrame:
+    """Writes the arrivals, dealt by rows to files of like size, whatever files they come from: so a stream over the
+    table takes at least BATCHES micro-batches, each with its share of the rows (of BATCHES rows and more)."""
+    files = max(shuffle_partitions(rows.sparkSession), 4 * BATCHES)
+    rows.repartition(files, "locator").write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def stream_state(arrivals: DataFrame, path: str, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
     """Streams the table at `path` (new files only, if `checkpoint` was used before) into the keyed state.
 
@@ -97,14 +105,13 @@ def _classes(placed: DataFrame, digest: Callable[[Column], Column], files_per_ba
     spark = placed.sparkSession
     path = shared_path(spark, "arrivals")
     digested = placed.withColumn("digest", digest(F.col("text")))
-    digested.select("id", "digest", "locator").write.parquet(path)
-    arrivals = spark.read.schema(digested.select("id", "digest", "locator").schema).parquet(path)
+    arrivals = deal_arrivals(digested.select("id", "digest", "locator"), path)
     state = stream_state(arrivals, path, shared_path(spark, "dedup-state"), files_per_batch)
     state = materialize(state.withColumnRenamed("locator", "keep_locator"), "dedup-classes")
 
     # full bytes: the content kept for each hit, and all arrivals of it
     hits = materialize(state.filter("group_size > 1").select("digest", "keep_locator", "group_size"), "hits")
-    members = materialize(join_hot(digested, hits, "digest", F.col("group_size"), narrow=True), "hit-texts")
+    members = materialize(join_hot(digested, hits, "digest", F.col("group_size"), texts=True), "hit-texts")
     contents = materialize(members.filter(F.col("locator") == F.col("keep_locator")).select("digest", F.col("text").alias("content"), "group_size"), "hit-contents")
     compared = join_hot(members.drop("group_size"), contents, "digest", F.col("group_size"))
     mixed = materialize(compared.filter(F.col("text") != F.col("content")).select("digest").distinct(), "mixed-digests")

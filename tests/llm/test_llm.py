@@ -4,6 +4,8 @@ nulls, empty and long texts, ties, repeated rows, and columns whose names clash.
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
 import zlib
 from datetime import date
 
@@ -12,6 +14,7 @@ import public_tokenizers as P
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quire.llm import exact_dedup, gif, language_id, packing, pii, sentencepiece_bpe, shards, simhash, sstable, token_counts
 
@@ -53,8 +56,31 @@ def test_state_maps_compose():
     rng = random.Random(1)
     for _ in range(50):
         s = "".join(rng.choices("ab", k=rng.randint(1, 60)))
-        maps = [token_counts.StateMap(m, [s[i : i + 7]]) for i in range(0, len(s), 7)]
-        assert token_counts.prefix_scan(maps)[-1].apply(0) == m.run(0, s)
+        maps = [token_counts.StateMap.of(m, s[i : i + 7], {0}) for i in range(0, len(s), 7)]
+        assert token_counts.prefix_scan(maps) == [m.run(0, s[: i + 7]) for i in range(0, len(s), 7)]
+
+
+def test_one_very_long_word():
+    """Compositions are one fewer than blocks, and memory does not grow with the square of a word."""
+    script = """
+import random, resource, public_tokenizers
+from quire.llm import token_counts
+made = [0]
+then = token_counts.StateMap.then
+token_counts.StateMap.then = lambda a, b: (made.__setitem__(0, made[0] + 1), then(a, b))[1]
+unit = "".join(random.Random(1).choices("etaoinshrdlu", k=400_000))
+c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+one, two = c.counts([unit * 25])[0], c.counts([unit * 50])[0]
+print(one, two, made[0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    one, two, made, peak = map(int, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout.split())
+    blocks = [-(-n * 400_000 // token_counts.BLOCK) for n in (25, 50)]
+    assert made == sum(blocks) - 2 and peak < 700
+    unit = "".join(random.Random(1).choices("etaoinshrdlu", k=400_000))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    once, twice, thrice = (len(tokenizer.encode(unit * n, add_special_tokens=False).ids) for n in (1, 2, 3))
+    assert thrice - twice == twice - once  # so each further copy adds as many tokens
+    assert (one, two) == (once + 24 * (twice - once), once + 49 * (twice - once))
 
 
 def test_sentencepiece(docs, empty):
@@ -171,6 +197,22 @@ def test_tiles_and_components(spark):
         assert {r.component for r in simhash.components(chain, few=few).collect()} == {0}
 
 
+def test_arrivals_meet_earlier_ones(spark, tmp_path):
+    """Rows of one file are dealt to several batches; groups grow over batches, in state that was filled before."""
+    rows = [(i, f"digest {i % 50}", f"at {i:04d}") for i in range(1000)]
+    arrivals = exact_dedup.deal_arrivals(spark.createDataFrame(rows, "id long, digest string, locator string").coalesce(1), f"{tmp_path}/arrivals")
+    state = exact_dedup.stream_state(arrivals, f"{tmp_path}/arrivals", f"{tmp_path}/state")
+    assert {(r.digest, r.keep_id, r.group_size) for r in state.collect()} == {(f"digest {i}", 950 + i, 20) for i in range(50)}
+    changes = spark.read.parquet(f"{tmp_path}/state/changes/batch=*").orderBy("batch").collect()
+    assert len({r.batch for r in changes}) >= exact_dedup.BATCHES
+    before, hits = {}, 0
+    for r in changes:
+        hits += r.digest in before
+        assert r.group_size > before.get(r.digest, 0)
+        before[r.digest] = r.group_size
+    assert hits > 50
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.md5(t), 1, 1)])
 def test_exact_dedup(docs, empty, digest):
     rows = docs.collect()
