@@ -2,13 +2,15 @@
 
 Three passes over the texts, none of which shuffles them:
 
-1. Words and word pairs are hashed to a fixed number of slots each; every mapper counts with numpy's bincount, counts stop
-   at 255, and the arrays are summed by a tree. A slot's count is no less than that of any phrase in it.
+1. Words and word pairs are hashed; every mapper counts its hashes with numpy (bincount, unique) and sends them,
+   packed and sorted, to the range of hashes that they lie in, where the counts of equal hashes are added up. A
+   hash's count is no less than that of any phrase that has it.
 2. Runs of three and four words whose pairs may all be frequent are counted likewise.
-3. Phrases whose slot, and the slots of all phrases inside them, reach the threshold are candidates (Apriori:
-   nothing else can be frequent). Mappers count them exactly, by bincount and unique over word numbers.
+3. Phrases whose hash, and the hashes of all phrases inside them, reach the threshold are candidates (Apriori:
+   nothing else can be frequent). Mappers count them exactly, over word numbers.
 
-The filters have a fixed size (a bit a slot: 1 MB a level), whatever the input; they spare work and decide nothing.
+What mappers are told of the passes before is a bitmap of a fixed size (8 MB a level), whatever the input: it has a
+bit for the first bits of each hash that reached the threshold. It spares work and decides nothing.
 
 Candidates are dealt to shards of about KEYS, and each shard gets a table: a minimal perfect hash, and the keys
 in the order of their slots, by which every look-up is verified. The mappers' counts go to their shard's
@@ -38,16 +40,17 @@ SHARE = 1 << 20
 
 
 class Sizes(NamedTuple):
-    """What mappers hold: slots of a filter, slots in a row of its counts, words and distinct words between two
-    rounds of counting, and the bytes that are split at a time."""
+    """What mappers hold: bits of a level's bitmap (as a power of two), words and distinct words between two rounds
+    of counting, and the bytes that are split at a time."""
 
-    slots: int = 1 << 23
-    chunk: int = 1 << 15
-    words: int = 1 << 22
+    bits: int = 26
+    words: int = 1 << 21
     distinct: int = 1 << 19
     slice: int = 4 << 20
 
 
+#: Bits of a hash that are counted; counts stop at MOST.
+KEPT, MOST = 48, (1 << 16) - 1
 #: One byte for every mark that ends a piece; A-Z in lower case; blanks alike.
 BREAK = b"."
 FORM = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"......... ")
@@ -94,15 +97,25 @@ class Words(dict):
         return n
 
 
+class Bitmap:
+    """A bit for the first `bits` bits of a hash."""
+
+    def __init__(self, data: bytes, bits: int):
+        self.data, self.shift = np.frombuffer(data, np.uint8), np.uint64(64 - bits)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1) == 1
+
+
 class Runs:
-    """The runs of 1 to 4 words of one language's numbers: slots by level, and which runs are whole."""
+    """The runs of 1 to 4 words of one language's numbers: hashes by level, and which runs are whole."""
 
-    def __init__(self, words: Words, slots: int):
+    def __init__(self, words: Words):
         self.ids = np.concatenate(words.parts)
         self.hashes = np.array(words.hashes, np.uint64)
         self.level = [self.hashes[self.ids]]
         self.whole = [self.ids != 0]
-        self.shift = np.uint64(65 - slots.bit_length())
 
     def grow(self, k: int) -> None:
         while len(self.level) < k:
@@ -110,21 +123,17 @@ class Runs:
             self.level.append(mixed(self.level[-1][:-1], self.level[0][j:]))
             self.whole.append(self.whole[-1][:-1] & self.whole[0][j:])
 
-    def slots(self, k: int, where: np.ndarray) -> np.ndarray:
-        self.grow(k)
-        return (self.level[k - 1][where] >> self.shift).astype(np.int64)
-
-    def candidates(self, filters: list[np.ndarray]) -> list[np.ndarray]:
+    def candidates(self, filters: list[Bitmap]) -> list[np.ndarray]:
         """For each level of filters the mask of runs that may be frequent."""
         self.grow(len(filters))
         masks: list[np.ndarray] = []
         for k, bits in enumerate(filters, 1):
             if k == 1:
-                mask = (bits[(self.hashes >> self.shift).astype(np.int64)])[self.ids] & self.whole[0]
+                mask = bits[self.hashes][self.ids] & self.whole[0]
             else:
                 mask = masks[-1][:-1] & masks[-1][1:] & self.whole[k - 1]
                 places = np.flatnonzero(mask)
-                mask[places] = bits[self.slots(k, places)]
+                mask[places] = bits[self.level[k - 1][places]]
             masks.append(mask)
         return masks
 
@@ -156,11 +165,10 @@ def mapped(docs: DataFrame, schema: str, sizes: Sizes, start: Callable[[], tuple
     return docs.mapInArrow(run, schema)
 
 
-def tree_sum(rows: DataFrame, keys: list[str], most: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
-    """keys and counts: arrays (uint8 up to `most`, else int64) of equal keys added up, fan_in leaves to a node in
-    each round. rows: keys, leaf (a number from 0) and counts; a written table."""
+def tree_sum(rows: DataFrame, keys: list[str], fan_in: int = FAN_IN) -> DataFrame:
+    """keys and counts: int64 arrays of equal keys added up, fan_in leaves to a node in each round.
+    rows: keys, leaf (a number from 0) and counts; a written table."""
     leaves = (rows.agg(F.max("leaf")).first()[0] or 0) + 1
-    kind = np.int64 if most is None else np.uint8
     out = ", ".join(f"{c} {t}" for c, t in rows.select(*keys, "leaf", "counts").dtypes)
     while True:
         grouped = rows.select(*keys, F.floor(F.col("leaf") / fan_in).cast(dict(rows.dtypes)["leaf"]).alias("leaf"), "counts")
@@ -170,19 +178,19 @@ def tree_sum(rows: DataFrame, keys: list[str], most: int | None = None, fan_in:
             now, total, schema = None, None, None
 
             def done() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*now, total.astype(kind).tobytes()), schema)], schema=schema)
+                return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*now, total.tobytes()), schema)], schema=schema)
 
             for batch in batches:
                 schema = batch.schema
                 *heads, counts = (c.to_pylist() for c in batch.columns)
                 for head, array in zip(zip(*heads), counts):
-                    array = np.frombuffer(array, kind).astype(np.int64)
+                    array = np.frombuffer(array, np.int64)
                     if head != now:
                         if now is not None:
                             yield done()
                         now, total = head, array
                     else:
-                        total = total + array if most is None else np.minimum(total + array, most)
+                        total = total + array
             if now is not None:
                 yield done()
 
@@ -193,68 +201,105 @@ def tree_sum(rows: DataFrame, keys: list[str], most: int | None = None, fan_in:
         rows = materialize(rows, "tree-sum")
 
 
-COUNTED = "level int, chunk int, counts binary, lang string, n long"
+def part_bits(spark: SparkSession, sizes: Sizes) -> int:
+    """Hashes go to 2 ** part_bits ranges, several for each shuffle partition."""
+    return min(sizes.bits - 3, (4 * shuffle_partitions(spark) - 1).bit_length())
+
 
+COUNTED = "level int, part int, hashes binary, counts binary, lang string, n long"
 
-def slot_counts(docs: DataFrame, levels: tuple[int, ...], filters: list, totals: bool, sizes: Sizes = Sizes()) -> DataFrame:
-    """Rows of a task's counts by level and chunk of slots, and with totals its number of words of each language."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed size
+
+def hash_counts(docs: DataFrame, levels: tuple[int, ...], filters: list[bytes], totals: bool, sizes: Sizes = Sizes()) -> DataFrame:
+    """Rows of a task's counts by level and range of hashes, and with totals its number of words of each language."""
+    spark = docs.sparkSession
+    sent, width = spark.sparkContext.broadcast(filters), part_bits(spark, sizes)  # bitmaps of a fixed size
 
     def start():
-        bits = [np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for f in sent.value]
-        arrays = {k: np.zeros(sizes.slots, np.uint8) for k in levels}
+        bits = [Bitmap(f, sizes.bits) for f in sent.value]
         words: dict[str, int] = {}
 
+        def packed(k: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            """values: rising, of KEPT bits."""
+            parts = (values >> np.uint64(KEPT - width)).astype(np.int64)
+            some, first = np.unique(parts, return_index=True)
+            ends = [*first.tolist()[1:], len(values)]
+            rows = [(values[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT // 8].tobytes(), np.minimum(counts[a:b], MOST).astype("<u2").tobytes()) for a, b in zip(first.tolist(), ends)]
+            return made([k] * len(some), some.tolist(), [r[0] for r in rows], [r[1] for r in rows], [None] * len(some), [None] * len(some))
+
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             found: dict[int, list] = {k: [] for k in levels}
             for lang, w in held.items():
-                runs = Runs(w, sizes.slots)
+                runs = Runs(w)
                 words[lang] = words.get(lang, 0) + int(np.count_nonzero(runs.ids))
                 masks = runs.candidates(bits)
                 for k in levels:
+                    if k == 1:
+                        n = np.bincount(runs.ids, minlength=len(runs.hashes))
+                        found[k].append((runs.hashes[1:] >> np.uint64(64 - KEPT), n[1:]))
+                        continue
                     runs.grow(k)
                     where = runs.whole[k - 1]
                     if masks:  # all shorter runs inside may be frequent
                         where = reduce(np.logical_and, [masks[-1][i : len(where) + i] for i in range(k - len(masks) + 1)], where)
-                    found[k].append(runs.slots(k, where))
-            for k, slots in found.items():
-                new = np.bincount(np.concatenate(slots), minlength=sizes.slots)
-                new += arrays[k]
-                arrays[k] = np.minimum(new, 255, out=new).astype(np.uint8)
-            yield from ()
+                    found[k].append(np.unique(runs.level[k - 1][where] >> np.uint64(64 - KEPT), return_counts=True))
+            for k, pairs in found.items():
+                values, counts = (np.concatenate(x) for x in zip(*pairs))
+                if len(values):
+                    order = np.argsort(values, kind="stable") if k == 1 or len(pairs) > 1 else slice(None)
+                    yield packed(k, values[order], counts[order])
 
         def last() -> Iterator[pa.RecordBatch]:
-            for k, array in arrays.items():
-                chunks = array.reshape(-1, min(sizes.chunk, sizes.slots))
-                some = np.flatnonzero(chunks.any(axis=1)).tolist()
-                for at in range(0, len(some), 64):
-                    here = some[at : at + 64]
-                    yield made([k] * len(here), here, [chunks[c].tobytes() for c in here], [None] * len(here), [None] * len(here))
             if totals and words:
                 n = len(words)
-                yield made([0] * n, [0] * n, [None] * n, list(words), list(words.values()))
+                yield made([0] * n, [0] * n, [None] * n, [None] * n, list(words), list(words.values()))
 
         return count, last
 
     def made(*columns: list) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["level", "chunk", "counts", "lang", "n"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["level", "part", "hashes", "counts", "lang", "n"])
 
     return mapped(docs, COUNTED, sizes, start)
 
 
-def filter_bits(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Sizes = Sizes()) -> list[bytes]:
-    """The bits of the slots that reach `least`: a fixed number for each level, gathered on the driver."""
-    rows = counted.filter("counts IS NOT NULL").select("level", "chunk", F.col("leaf"), "counts")
-    size = min(sizes.chunk, sizes.slots)
+def bitmaps(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Sizes = Sizes()) -> list[bytes]:
+    """A bitmap for each level, of the hashes that reach `least`. A task adds up one range of hashes at a time; the
+    driver gets the bits alone, of a fixed number."""
+    spark = counted.sparkSession
+    width = part_bits(spark, sizes)
+    size = 1 << (sizes.bits - width)
+    rows = counted.filter("hashes IS NOT NULL").select("level", "part", "hashes", "counts")
+    dealt = rows.repartition(shuffle_partitions(spark), "level", "part").sortWithinPartitions("level", "part")
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            packed = np.frombuffer(b"".join(h for h, _ in held), np.uint8).reshape(-1, KEPT // 8)
+            values = np.zeros((len(packed), 8), np.uint8)
+            values[:, : KEPT // 8] = packed
+            values, counts = values.reshape(-1).view("<u8"), np.frombuffer(b"".join(c for _, c in held), "<u2").astype(np.int64)
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            frequent = values[first][np.add.reduceat(counts[order], first) >= least]
+            bits = np.zeros(size, np.uint8)
+            bits[(frequent >> np.uint64(KEPT - sizes.bits)).astype(np.int64) - now[1] * size] = 1
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["level", "part", "bits"])
+
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(c, np.uint8) >= least).tobytes() for c in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["level", "chunk", "bits"])
+            for level, part, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (level, part) != now:
+                    if held:
+                        yield done()
+                    now, held = (level, part), []
+                held.append((hashes, counts))
+        if held:
+            yield done()
 
-    got = {(r["level"], r["chunk"]): r["bits"] for r in tree_sum(rows, ["level", "chunk"], 255).mapInArrow(run, "level int, chunk int, bits binary").toLocalIterator()}
-    return [b"".join(bytes(got.get((k, c), bytes(size // 8))) for c in range(sizes.slots // size)) for k in levels]
+    got = {(r["level"], r["part"]): bytes(r["bits"]) for r in dealt.mapInArrow(run, "level int, part int, bits binary").toLocalIterator()}
+    return [b"".join(got.get((k, p), bytes(size // 8)) for p in range(1 << width)) for k in levels]
 
 
 def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes()) -> DataFrame:
@@ -262,11 +307,11 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def start():
-        bits = [np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for f in sent.value]
+        bits = [Bitmap(f, sizes.bits) for f in sent.value]
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             for lang, w in held.items():
-                runs, names, head = Runs(w, sizes.slots), list(w), lang.encode() + b"\n"
+                runs, names, head = Runs(w), list(w), lang.encode() + b"\n"
                 ids, masks = runs.ids, runs.candidates(bits)
                 ones = np.bincount(ids[masks[0]], minlength=1)
                 some = np.flatnonzero(ones)
@@ -496,11 +541,11 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """
     spark = df.sparkSession
     docs = df.select(named(lang_col).alias("lang"), named(text_col).alias("text"))
-    leaf = F.spark_partition_id().alias("leaf")
-    first = materialize(slot_counts(docs, (1, 2), [], True, sizes).select("*", leaf), "slots-1-2")
-    filters = filter_bits(first, (1, 2), least, sizes)
-    second = materialize(slot_counts(docs, (3, 4), filters, False, sizes).select("*", leaf), "slots-3-4")
-    filters += filter_bits(second, (3, 4), least, sizes)
+    if least > MOST:
+        raise ValueError(f"counts of hashes stop at {MOST}")
+    first = materialize(hash_counts(docs, (1, 2), [], True, sizes), "hashes-1-2")
+    filters = bitmaps(first, (1, 2), least, sizes)
+    filters += bitmaps(hash_counts(docs, (3, 4), filters, False, sizes), (3, 4), least, sizes)
     local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts")
     known = materialize(local.select("key").distinct(), "candidates")
     shards = max(1, -(-known.count() // keys))

@@ -50,7 +50,7 @@ def test_op11(spark, tmp_path):
     assert {r[0] for r in got} >= {"und", "en"}
 
 
-@pytest.mark.parametrize("keys, share, sizes", [(5, 7, phrases.Sizes(64, 32, 50, 20, 16)), (40, 100, phrases.Sizes(1 << 16, 1 << 10, 300, 1000, 64))])
+@pytest.mark.parametrize("keys, share, sizes", [(5, 7, phrases.Sizes(6, 50, 20, 16)), (40, 100, phrases.Sizes(16, 300, 1000, 64))])
 def test_collocations_do_not_depend_on_sizes(spark, keys, share, sizes):
     """Full filters, many small shards dealt to many tasks, and mappers that count again and again."""
     texts, langs = prose()
@@ -98,10 +98,7 @@ def test_keys_of_one_hash(monkeypatch):
 def test_tree_sum(spark):
     rng = np.random.default_rng(1)
     arrays = [(k, leaf, rng.integers(0, 200, 16)) for k in range(3) for leaf in range(20)]
-    small = spark.createDataFrame([(k, leaf, a.astype(np.uint8).tobytes()) for k, leaf, a in arrays], "k int, leaf int, counts binary")
     large = spark.createDataFrame([(k, leaf, (a.astype(np.int64) << 50).tobytes()) for k, leaf, a in arrays], "k int, leaf int, counts binary")
-    for k, got in phrases.tree_sum(small, ["k"], 255, fan_in=3).collect():
-        assert np.frombuffer(got, np.uint8).tolist() == np.minimum(255, sum(a for j, _, a in arrays if j == k)).tolist()
     for k, got in phrases.tree_sum(large, ["k"], fan_in=3).collect():
         assert np.frombuffer(got, np.int64).tolist() == (sum(a for j, _, a in arrays if j == k) << 50).tolist()
 
