@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
+from . import folds
 
 AI_WEIGHT, CUE_WEIGHT = 0.7, 0.3
 MIN_DISTANCE, DISTANCE_SHARE, RELAX, LAST_DISTANCE = 1000, 0.3, 0.5, 500
@@ -57,32 +61,62 @@ def large_gaps(matches: DataFrame, sizes: DataFrame, expected: Column, least: in
     return found.filter(F.col("size") > 1.5 * F.col("_mean")).select("doc_id", "start", "end", "size", (F.col("size") / F.col("_mean")).alias("priority"))
 
 
-def _greedy(points: Column, k: Column, distance: Column) -> Column:
-    """Positions taken from points (in order of preference) until k, each at least `distance` from all taken."""
-    return F.aggregate(points, F.array().cast("array<long>"), lambda a, p: F.when((F.size(a) < k) & F.forall(a, lambda q: F.abs(q - p) >= distance), F.concat(a, F.array(p))).otherwise(a))
-
-
-def select_boundaries(candidates: DataFrame, sizes: DataFrame, k: Column, anchors: DataFrame | None = None) -> DataFrame:
-    """doc_id, byte_pos of the chosen boundaries, in three phases of falling distance, each from new.
+def select_boundaries(candidates: DataFrame, sizes: DataFrame, k: Column, anchors: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, byte_pos of the chosen boundaries, in three phases of falling distance, each from new; and the
+    columns `also` of the candidates and anchors.
 
     candidates: doc_id, byte_pos, combined_score; sizes: doc_id, size. The first distance is a share of
     size / k; where fewer than k fit, half of it, then a fixed one. Anchors always stay, and candidates
-    nearer to one than the first distance never do. At most max(k, anchors) boundaries come back.
+    nearer to one than the first distance never do. At most max(k, anchors) boundaries come back. Equal
+    positions are one: of an anchor the anchor, else the one with the best score.
+
+    A document's candidates are seen in the order of their scores; the fold holds their positions.
     """
-    ranked = candidates.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("combined_score")).alias("s"), F.col("byte_pos").cast("long").alias("p")))), lambda x: x["p"]).alias("pts"))
-    base = sizes.select("doc_id", "size", k.cast("long").alias("k")).join(ranked, "doc_id", "left")
-    held = anchors.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("byte_pos").cast("long"))).alias("held")) if anchors is not None else None
-    base = base.join(held, "doc_id", "left") if held is not None else base.withColumn("held", F.lit(None).cast("array<long>"))
-    none = F.array().cast("array<long>")
-    d = F.greatest(F.lit(MIN_DISTANCE).cast("long"), F.floor(F.col("size") / F.col("k") * DISTANCE_SHARE))
-    base = base.filter("k > 0").withColumns({"held": F.coalesce("held", none), "d": d})
-    free = F.filter(F.coalesce("pts", none), lambda p: F.forall("held", lambda h: F.abs(p - h) >= F.col("d")))
-    base = base.withColumn("free", free).withColumn("need", F.col("k") - F.size("held"))
-    full = lambda c: F.size(c) >= F.col("need")
-    one = base.withColumn("s1", _greedy(F.col("free"), F.col("need"), F.col("d")))
-    two = one.withColumn("s2", F.when(full("s1"), F.col("s1")).otherwise(_greedy(F.col("free"), F.col("need"), F.floor(F.col("d") * RELAX))))
-    three = two.withColumn("s3", F.when(full("s2"), F.col("s2")).otherwise(_greedy(F.col("free"), F.col("need"), F.lit(LAST_DISTANCE).cast("long"))))
-    return three.select("doc_id", F.explode(F.array_sort(F.array_union("held", "s3"))).alias("byte_pos"))
+    known = sizes.select("doc_id", F.col("size").cast("long").alias("size"), k.cast("long").alias("k")).filter("k > 0")
+    distance = F.greatest(F.lit(MIN_DISTANCE).cast("long"), F.floor(F.col("size") / F.col("k") * DISTANCE_SHARE))
+    known = known.select("doc_id", "k", distance.alias("d"))
+
+    def rows(of: DataFrame, kind: int, score: Column) -> DataFrame:
+        return of.join(known, "doc_id").select("doc_id", F.lit(kind).alias("kind"), score.cast("double").alias("score"), F.col("byte_pos").cast("long").alias("byte_pos"), "k", "d", *also)
+
+    every = rows(candidates, 1, -F.col("combined_score"))
+    if anchors is not None:
+        every = rows(anchors, 0, F.lit(0.0)).unionByName(every)
+    out = every.select("doc_id", "byte_pos", *also)
+    dealt = every.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "score", "byte_pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, points, need, near = None, {}, {}, 0, 0
+
+        def done() -> list[tuple]:
+            fixed, most = sorted(held), need - len(held)
+            free = [p for p in points if p not in held and folds.far_from_all(fixed, p, near)]
+            for d in (near, int(near * RELAX // 1), LAST_DISTANCE):
+                taken = folds.chosen(free, most, d)
+                if len(taken) >= most:
+                    break
+            return [(doc, p, *(held[p] if p in held else points[p])) for p in sorted([*fixed, *taken])]
+
+        def made(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            fields = [schema.field("doc_id"), schema.field("byte_pos"), *(schema.field(c) for c in also)]
+            columns = list(zip(*found)) if found else [[] for _ in fields]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
+
+        schema = None
+        for batch in batches:
+            schema, found = batch.schema, []
+            for head, kind, _, position, most, d, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if head != doc or not (held or points):
+                    if held or points:
+                        found += done()
+                    doc, held, points, need, near = head, {}, {}, most, d
+                (points if kind else held).setdefault(position, tuple(rest))
+            if found:
+                yield made(found, schema)
+        if held or points:
+            yield made(done(), schema)
+
+    return dealt.mapInArrow(run, out.schema)
 
 
 def topic_windows(docs: DataFrame, window: int = 2000, stride: int = 1500, most: int = 300) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import SPACE, strip
 FORBIDDEN = '\\\\/:*?"<>|'
 PATH_LETTERS, BAR, CHAPTER_BYTES = 150, 40, 7500
 PERMISSIVE = [".+", ".", ".*"]
+SCORE = r"0?\.[0-9]+|1\.0|0|1"
 NO_SCORE = 0.5
 
 
@@ -36,8 +37,9 @@ def display_title(number: Column, title: Column) -> Column:
 
 def score_of(answer: Column) -> Column:
     """The first number from 0 to 1 in a free answer; one half if there is none."""
-    found = F.nullif(F.regexp_extract(answer, r"0?\.[0-9]+|1\.0|0|1", 0), F.lit("")).cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), found)), F.lit(NO_SCORE))
+    found = F.nullif(F.regexp_extract(answer, SCORE, 0), F.lit("")).cast("double")
+    # least and greatest pass over nulls, so a missing number is told first
+    return F.when(found.isNull(), NO_SCORE).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), found)))
 
 
 def unfenced(answer: Column) -> Column:

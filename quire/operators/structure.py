@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, has_upper_only
-from .lines import with_neighbours
+from . import folds
+from .lines import explode_lines, with_neighbours, with_offsets
 
 # fixed values
 INDICATORS = ["^[第章]", r"^\s*[IVX]+\.", r"^\s*Chapter", r"^\s*Part\s+[0-9]+", r"^\s*===+", r"^\s*---+", r"^\s*\*\*\*+"]
@@ -21,35 +22,33 @@ def any_of(c: Column, patterns: list[str]) -> Column:
     return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def features(lines: DataFrame) -> DataFrame:
-    """One row for each non-blank line but the first of a document, with its 16 features."""
-    b = F.col("body")
+def _cues(b: Column) -> list[Column]:
     indicator = any_of(b, INDICATORS)
-    return (
-        with_neighbours(lines)
-        .filter((F.col("line_num") > 0) & (b != ""))
-        .select(
-            "doc_id",
-            "line_num",
-            b.alias("text"),
-            (F.length(b) < SHORT).alias("is_short"),
-            (F.length(b) < VERY_SHORT).alias("is_very_short"),
-            (F.col("blanks_before") >= 1).alias("has_blank_before"),
-            F.col("blanks_before").cast("long").alias("blank_count_before"),
-            indicator.alias("has_chapter_indicator"),
-            any_of(b, TIME_PLACE).alias("has_time_place"),
-            b.rlike("[0-9]").alias("has_number"),
-            b.rlike(r"[\[\]【】]").alias("has_brackets"),
-            b.rlike("[.!?。！？]$").alias("has_punctuation_end"),
-            has_upper_only(b).alias("is_all_caps"),
-            b.rlike(r"^\p{Lu}").alias("starts_with_caps"),
-            F.size(F.split(F.regexp_replace(b, f"[{SPACE}]+", " "), " ")).cast("long").alias("word_count"),
-            (b.rlike(f"^[{OPEN_QUOTES}].+[{CLOSE_QUOTES}]$") | b.rlike("^.{1,40}[?!？！]$")).alias("is_dialogue"),
-            (b.rlike("[.。다요죠습]$") & ~indicator).alias("is_sentence"),
-            F.coalesce((F.col("next_body") != "") & (F.length("next_body") > F.length(b) * 1.5), F.lit(False)).alias("longer_lines_after"),
-            F.coalesce(F.length("prev_body") > LONG, F.lit(False)).alias("long_line_before"),
-        )
-    )
+    return [
+        (F.length(b) < SHORT).alias("is_short"),
+        (F.length(b) < VERY_SHORT).alias("is_very_short"),
+        (F.col("blanks_before") >= 1).alias("has_blank_before"),
+        F.col("blanks_before").cast("long").alias("blank_count_before"),
+        indicator.alias("has_chapter_indicator"),
+        any_of(b, TIME_PLACE).alias("has_time_place"),
+        b.rlike("[0-9]").alias("has_number"),
+        b.rlike(r"[\[\]【】]").alias("has_brackets"),
+        b.rlike("[.!?。！？]$").alias("has_punctuation_end"),
+        has_upper_only(b).alias("is_all_caps"),
+        b.rlike(r"^\p{Lu}").alias("starts_with_caps"),
+        F.size(F.split(F.regexp_replace(b, f"[{SPACE}]+", " "), " ")).cast("long").alias("word_count"),
+        (b.rlike(f"^[{OPEN_QUOTES}].+[{CLOSE_QUOTES}]$") | b.rlike("^.{1,40}[?!？！]$")).alias("is_dialogue"),
+        (b.rlike("[.。다요죠습]$") & ~indicator).alias("is_sentence"),
+        F.coalesce((F.col("next_body") != "") & (F.length("next_body") > F.length(b) * 1.5), F.lit(False)).alias("longer_lines_after"),
+        F.coalesce(F.length("prev_body") > LONG, F.lit(False)).alias("long_line_before"),
+    ]
+
+
+def features(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each non-blank line but the first of a document, with its 16 features; and the columns `also`
+    of lines."""
+    b = F.col("body")
+    return with_neighbours(lines).filter((F.col("line_num") > 0) & (b != "")).select("doc_id", "line_num", *also, b.alias("text"), *_cues(b))
 
 
 def confidence() -> Column:
@@ -63,20 +62,31 @@ def confidence() -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
-def scored_lines(lines: DataFrame) -> DataFrame:
-    return features(lines).withColumn("confidence", confidence())
+def scored_lines(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    return features(lines, also).withColumn("confidence", confidence())
+
+
+def scored_places(docs: DataFrame) -> DataFrame:
+    """doc_id, line_num, byte_pos, text and confidence of the scored lines: one explode, and one exchange and
+    sort for offsets and features together."""
+    return scored_lines(with_offsets(explode_lines(docs)), ("byte_pos",)).select("doc_id", "line_num", "byte_pos", "text", "confidence")
+
+
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """All lines, with doc_id, line_num, line, byte_pos, char_pos, and the confidence of those that have one."""
+    b, scored = F.col("body"), (F.col("line_num") > 0) & (F.col("body") != "")
+    rows = with_neighbours(with_offsets(explode_lines(docs)))
+    return rows.select("doc_id", "line_num", "line", "byte_pos", "char_pos", scored.alias("_scored"), *_cues(b)).select("doc_id", "line_num", "line", "byte_pos", "char_pos", F.when(F.col("_scored"), confidence()).alias("confidence"))
 
 
 def spaced(rows: DataFrame, position: str, distance: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Keeps, from the left, each position at least `distance` past the last kept one (a fold, not a lag)."""
-    kept = F.aggregate(F.array_sort(F.collect_list(F.col(position).cast("long"))), F.array().cast("array<long>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= distance), F.concat(a, F.array(x))).otherwise(a))
-    return rows.groupBy(*keys).agg(kept.alias("_kept")).select(*keys, F.explode("_kept").alias(position))
+    """The rows that are, from the left, at least `distance` past the last kept one (a fold, not a lag); of rows at
+    one position the first stays."""
+    return folds.kept(rows, list(keys), [position], [position], folds.spaced(distance))
 
 
 def candidates(lines: DataFrame, most: int = 1000, threshold: float = THRESHOLD, distance: int = MIN_LINES) -> DataFrame:
     """The first `most` lines of a document above the threshold, thinned to `distance` lines apart."""
     found = scored_lines(lines).filter(F.col("confidence") > threshold)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_num"))
-    capped = found.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
-    kept = spaced(capped, "line_num", distance).withColumn("line_num", F.col("line_num").cast("int"))
-    return capped.join(kept, ["doc_id", "line_num"])
+    return spaced(found.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r"), "line_num", distance)

@@ -113,9 +113,9 @@ def prologue_segment_chapters(spark, d):
   EQ AS (SELECT doc_id FROM EC GROUP BY doc_id HAVING avg((length(body) < 100)::INT) <= 0.1::DOUBLE AND avg(length(body)) >= 500)
   SELECT doc_id, cid, title, body, length(body)::BIGINT AS length, line_num FROM EC JOIN EQ USING (doc_id)""")
 def escalated_chapters(spark, d):
-    rows = lines.with_offsets(doc_lines(spark, d))
-    size = rows.groupBy("doc_id").agg(F.max(F.col("byte_pos") + F.octet_length("line")).alias("size"))
-    return escalate.escalated(docs(spark, d), size.select("doc_id", F.floor(F.col("size") / 7500).alias("k")))
+    from .core import _sizes
+
+    return escalate.escalated(docs(spark, d), _sizes(spark, d).select("doc_id", F.floor(F.col("size") / 7500).alias("k")))
 
 
 # --- shared SQL ----------------------------------------------------------------------------------

@@ -259,7 +259,7 @@ def candidate_union(spark, d):
 _ANSWER = "CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN concat('Score: 0.', event_id % 100, '.') WHEN 3 THEN '1.0' WHEN 4 THEN '.75' WHEN 5 THEN 'it is 1' ELSE '0 of 1' END"
 
 
-@query(f"SELECT event_id, coalesce(least(1::DOUBLE, greatest(0::DOUBLE, nullif(regexp_extract({_ANSWER}, '0?\\.[0-9]+|1\\.0|0|1', 0), '')::DOUBLE)), 0.5::DOUBLE) AS score FROM events")
+@query(f"WITH A AS (SELECT event_id, nullif(regexp_extract({_ANSWER}, '0?\\.[0-9]+|1\\.0|0|1', 0), '')::DOUBLE AS n FROM events) SELECT event_id, CASE WHEN n IS NULL THEN 0.5::DOUBLE ELSE least(1::DOUBLE, greatest(0::DOUBLE, n)) END AS score FROM A")
 def score_parse(spark, d):
     return table(spark, d, "events").select("event_id", records.score_of(F.expr(_ANSWER)).alias("score"))
 

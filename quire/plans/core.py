@@ -124,7 +124,7 @@ def structural_candidates(spark, d):
 @query(f"""WITH RECURSIVE {LB}, T AS (SELECT doc_id, line_num FROM B WHERE length(body) BETWEEN 1 AND 59), {_fold('T', 10)} SELECT doc_id, line_num::BIGINT AS line_num FROM R WHERE kept""")
 def min_distance_filter(spark, d):
     short = doc_lines(spark, d).filter(F.length(strip(F.col("line"))).between(1, 59))
-    return structure.spaced(short, "line_num", 10)
+    return structure.spaced(short.select("doc_id", F.col("line_num").cast("long").alias("line_num")), "line_num", 10)
 
 
 @query(f"WITH {SCORED} SELECT doc_id, line_num, confidence, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, line_num) AS r FROM C) WHERE r <= 300")
@@ -238,8 +238,12 @@ def _anchor(distance: int, pos: str) -> str:
 
 
 def _scored_at(spark, d):
-    rows = lines.with_offsets(doc_lines(spark, d))
-    return structure.scored_lines(rows.select("doc_id", "line_num", "line")).join(rows.select("doc_id", "line_num", "byte_pos"), ["doc_id", "line_num"]).select("doc_id", "line_num", "byte_pos", "confidence")
+    return structure.scored_places(docs(spark, d)).drop("text")
+
+
+def _sizes(spark, d):
+    """doc_id and size: where the last line ends, in bytes."""
+    return docs(spark, d).filter("text <> ''").select("doc_id", F.octet_length(F.regexp_replace("text", r"\n$", "")).cast("long").alias("size"))
 
 
 @query(_anchor(20, "line_num"))
@@ -269,9 +273,8 @@ def combined_score(spark, d):
   U AS (SELECT doc_id, coalesce(max(CASE WHEN ph = 1 AND len(got) >= 5 THEN got END), max(CASE WHEN ph = 2 AND len(got) >= 5 THEN got END), max(CASE WHEN ph = 3 THEN got END)) AS got FROM T GROUP BY doc_id)
   SELECT doc_id, unnest(got) AS byte_pos FROM U""")
 def global_optimizer(spark, d):
-    rows = lines.with_offsets(doc_lines(spark, d))
     c = _scored_at(spark, d).withColumnRenamed("confidence", "combined_score")
-    return boundaries.select_boundaries(c, rows.groupBy("doc_id").agg(F.max(F.col("byte_pos") + F.octet_length("line")).alias("size")), F.lit(5))
+    return boundaries.select_boundaries(c, _sizes(spark, d), F.lit(5))
 
 
 TOPIC = "T AS (SELECT doc_id, text, greatest(1, floor((length(text) - 2000) / 1500::DOUBLE) + 1)::INT AS n FROM documents WHERE length(text) > 0), TW AS (SELECT doc_id, unnest(range(least(n, 300)))::INT AS window_no, CASE WHEN n > 300 THEN floor((length(text) - 2000) / 299::DOUBLE) ELSE 1500 END::BIGINT AS step, text FROM T)"

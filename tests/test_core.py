@@ -197,8 +197,9 @@ def test_escalated(spark):
     assert [(r.doc_id, r.cid, r.title, r.line_num) for r in got] == [(1, i, f"제{i + 1}화 만남", heads[i]) for i in range(4)]
     assert all(r.length == len(r.body) and r.body.startswith("이 문장은") for r in got)
     # three candidates only: a change of topic is the fourth, where no anchor is given
-    turns = spark.createDataFrame([(1, 7, 0.9), (1, 7, 0.9), (5, 0, 0.9)], "doc_id long, line_num int, ai_score double")
-    got = escalate.escalated(docs, expected, topics=turns).orderBy("doc_id", "cid").collect()
+    at = lines.with_offsets(lines.explode_lines(docs)).filter("doc_id = 1 AND line_num = 7").first()["byte_pos"]
+    turns = spark.createDataFrame([(1, 7, at, 0.9), (1, 7, at, 0.9), (5, 0, 0, 0.9)], "doc_id long, line_num int, byte_pos long, ai_score double")
+    got = escalate.escalated(docs, expected, changes=turns).orderBy("doc_id", "cid").collect()
     assert [(r.doc_id, r.line_num) for r in got] == [(1, 7), (1, 28), (1, 56), (1, 84)]
 
 
