@@ -83,7 +83,7 @@ def select_boundaries(candidates: DataFrame, sizes: DataFrame, k: Column, anchor
     if anchors is not None:
         every = rows(anchors, 0, F.lit(0.0)).unionByName(every)
     out = every.select("doc_id", "byte_pos", *also)
-    dealt = every.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "score", "byte_pos")
+    dealt = folds.dealt_by(every, ["doc_id"]).sortWithinPartitions("doc_id", "kind", "score", "byte_pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held, points, need, near = None, {}, {}, 0, 0

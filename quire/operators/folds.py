@@ -10,12 +10,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def dealt_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys in one partition. They are dealt by a hash of their own: an exchange by the keys
+    themselves is left out where a join below has dealt them so, and adaptive execution may then change the join."""
+    return rows.repartition(F.xxhash64(*keys))
 
 
 def kept(rows: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], start: Callable[[], Callable[..., bool]]) -> DataFrame:
     """The rows that a fold keeps: start() is called for every group, and what it returns for each row of
     it, in order, with the row's `columns`."""
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = dealt_by(rows, keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, step = None, None
