@@ -43,19 +43,26 @@ def merge_metadata(pairs: DataFrame) -> DataFrame:
     """pairs: structs base and extra (title, author, genre, tags, status, episode_range, rating,
     cover_url, platform, last_updated, official_url); all rules read the records before the merge."""
     b, e = F.col("base"), F.col("extra")
-    better = platform_priority(e["platform"]) < platform_priority(b["platform"])
     dated = lambda r: F.nullif(r["last_updated"], F.lit(""))
-    newer = dated(e).isNotNull() & F.coalesce(dated(e) > dated(b), F.lit(True))
     empty = lambda f: F.coalesce(b[f], F.lit("")) == ""
     given = lambda f: F.coalesce(e[f], F.lit("")) != ""
-    pick = lambda f, when: F.when(given(f) & when, e[f]).otherwise(b[f]).alias(f)
     number = lambda r: F.nullif(episode_range_numeric(r["episode_range"]), F.lit(0).cast("long"))
-    br, er = number(b), number(e)
-    wider = F.when(br.isNotNull() & er.isNotNull(), (er > br) | ((er == br) & newer)).otherwise(empty("episode_range") | newer)
-    genre = F.when(given("genre") & empty("genre"), e["genre"]).when(given("genre") & (b["genre"] != e["genre"]), genre_union(b["genre"], e["genre"])).otherwise(b["genre"])
-    tagged = F.coalesce(F.size(e["tags"]), F.lit(0)) > 0
+    # what several rules ask for is made once
+    union = F.when(given("genre") & empty("genre"), e["genre"]).when(given("genre") & (b["genre"] != e["genre"]), genre_union(b["genre"], e["genre"])).otherwise(b["genre"])
     every_tag = F.array_union(F.coalesce(b["tags"], F.array().cast("array<string>")), e["tags"])
-    adult = tagged & F.exists(every_tag, lambda t: t.rlike("|".join(ADULT)))
+    tagged = F.coalesce(F.size(e["tags"]), F.lit(0)) > 0
+    names = [c for c in pairs.columns if c not in ("base", "extra")]
+    pairs = pairs.withColumns({
+        "_better": platform_priority(e["platform"]) < platform_priority(b["platform"]),
+        "_newer": dated(e).isNotNull() & F.coalesce(dated(e) > dated(b), F.lit(True)),
+        "_b": number(b),
+        "_e": number(e),
+        "_genre": union,
+        "_adult": tagged & F.array_join(every_tag, "\n").rlike("|".join(ADULT)),
+    })
+    better, newer, br, er, genre, adult = (F.col(c) for c in ("_better", "_newer", "_b", "_e", "_genre", "_adult"))
+    pick = lambda f, when: F.when(given(f) & when, e[f]).otherwise(b[f]).alias(f)
+    wider = F.when(br.isNotNull() & er.isNotNull(), (er > br) | ((er == br) & newer)).otherwise(empty("episode_range") | newer)
     none = F.coalesce(genre, F.lit("")) == ""
     rated = F.when(adult & none, F.lit("성인물")).when(adult & ~F.contains(genre, F.lit("성인물")), F.concat(F.lit("성인물, "), genre)).otherwise(genre)
     done = F.lit("완결")
@@ -64,7 +71,7 @@ def merge_metadata(pairs: DataFrame) -> DataFrame:
     unrated = F.coalesce(b["rating"], F.lit(0.0)) == 0
     rating = F.when((e["rating"] > 0) & (unrated | (e["rating"] > b["rating"]) | (newer & (F.abs(e["rating"] - b["rating"]) < 0.1))), e["rating"]).otherwise(b["rating"])
     return pairs.select(
-        *[c for c in pairs.columns if c not in ("base", "extra")],
+        *names,
         pick("title", better | newer | F.coalesce(b["title"].startswith("#"), F.lit(False))),
         pick("author", empty("author") | better | newer),
         rated.alias("genre"),

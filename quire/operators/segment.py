@@ -7,24 +7,56 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .lines import by_line
+from .records import PERMISSIVE
 
 HEADING = "^.{1,29}$"
 TITLE = 100
 TAIL, SHORT = 20, 100
 PROLOGUE = "Prologue (Pre-Match)"
 # patterns that match any line, and what ends a line inside a text: fixed values
-PERMISSIVE = (".+", ".", ".*")
 LINE_ENDS = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
+GRAM, SHORT_GRAM = 8, 3
+
+
 def flagged(lines: DataFrame, pattern: str, titles: DataFrame | None = None) -> DataFrame:
-    """is_boundary: the stripped line matches, or (with `titles`, a small list) holds one of them."""
+    """is_boundary: the stripped line matches, or (with `titles`: title) holds one of them."""
     body = strip(F.col("line"))
     out = lines.withColumn("body", body).withColumn("is_boundary", (body != "") & body.rlike(pattern))
     if titles is None:
         return out
-    listed = F.broadcast(titles.select(F.collect_set("title").alias("_titles")))  # one row, a given list
-    return out.crossJoin(listed).withColumn("is_boundary", F.col("is_boundary") | ((F.col("body") != "") & F.exists("_titles", lambda t: F.contains(F.col("body"), t)))).drop("_titles")
+    held = holding(out.select("doc_id", "line_num", "body"), titles).withColumn("_held", F.lit(True))
+    return out.join(held, ["doc_id", "line_num"], "left").withColumn("is_boundary", F.col("is_boundary") | F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def grams(text: Column, n: Column | int) -> Column:
+    """The different pieces of n letters of a text, none of a shorter one."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda at: F.substr(text, at, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, line_num of the lines (doc_id, line_num, body) that hold one of the titles (title), however many.
+
+    A title is looked for by one piece of it: of its pieces of GRAM letters (SHORT_GRAM, or all of it, if it is
+    shorter) the one that the fewest lines have. Lines are exploded to their pieces of these lengths, and pieces
+    meet in an equality join, so that only lines that have a title's rarest piece are compared with it.
+    Null and empty titles are in no line.
+    """
+    n = F.length("title")
+    size = F.when(n >= GRAM, GRAM).when(n >= SHORT_GRAM, SHORT_GRAM).otherwise(n)
+    known = titles.filter("title <> ''").select("title").distinct().withColumn("_size", size)
+    lengths = [*range(1, SHORT_GRAM), SHORT_GRAM, GRAM]
+    used = {r["_size"] for r in known.select("_size").distinct().collect()}  # of four lengths
+    pieces = known.select("title", F.explode(grams(F.col("title"), F.col("_size"))).alias("piece"))
+    cut = F.flatten(F.array(*[grams(F.col("body"), k) for k in lengths if k in used])) if used else F.array().cast("array<string>")
+    have = lines.select("doc_id", "line_num", "body", F.explode(cut).alias("piece"))
+    common = have.join(pieces.select("piece").distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(common, "piece", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
+    keyed = rarest.filter("p.n > 0").select("title", F.col("p.piece").alias("piece"))
+    return have.join(keyed, "piece").filter(F.contains("body", "title")).select("doc_id", "line_num").distinct()
 
 
 def chapters(flags: DataFrame, min_body: int = 1) -> DataFrame:
