@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import SPACE, strip
 from .boundaries import drop_close
 from .lines import with_offsets
 from .titles import END_WORDS, is_end_marker
@@ -161,3 +161,51 @@ def gap_titles(scored: DataFrame, gaps: DataFrame) -> DataFrame:
     document; a document has a few gaps."""
     inside = (scored["byte_pos"] > gaps["start"]) & (scored["byte_pos"] < gaps["end"])
     return scored.join(gaps, (scored["doc_id"] == gaps["doc_id"]) & inside, "left_semi")
+
+
+# fixed values: attempts, what is looked at behind the last match, a general pattern and the share it must reach
+ATTEMPTS, BEHIND, GENERAL, GENERAL_SHARE = 10, 30_000, r"[0-9]+\s*화", 0.9
+
+
+def marks(lines: DataFrame, library: list[str] = LIBRARY) -> DataFrame:
+    """doc_id, size (bytes), general (the last match of the general pattern) and marks: (pos, mask) of the lines that
+    any pattern matches, by position; a document has one for each such line."""
+    rows = with_offsets(lines)
+    mask = reduce(lambda a, b: a + b, [F.when(F.col("line").rlike(p), 1 << i).otherwise(0) for i, p in enumerate(library)])
+    mark = F.when(F.col("mask") > 0, F.struct(F.col("byte_pos").alias("pos"), "mask"))
+    general = F.when(F.col("line").rlike(GENERAL.replace("\\s", f"[{SPACE}]")), F.col("byte_pos"))
+    seen = rows.select("doc_id", "byte_pos", (F.col("byte_pos") + F.octet_length("line")).alias("end"), mask.alias("mask"), general.alias("g"))
+    return seen.groupBy("doc_id").agg(F.max("end").alias("size"), F.coalesce(F.max("g"), F.lit(0)).alias("general"), F.array_sort(F.collect_list(mark)).alias("marks"))
+
+
+def adaptive(marked: DataFrame, start: Column, library: list[str] = LIBRARY, attempts: int = ATTEMPTS, behind: int = BEHIND, share: float = COVERED, tail: int = TAIL) -> DataFrame:
+    """doc_id, chosen (a mask), attempts, last (where the last match lies), covered, general of documents with text.
+
+    From the choice `start` (a mask, 0: none) matching goes on behind the last match: of the `behind` bytes after
+    it the pattern with the most matches (the first of equals) is added, if the last match moves on. It ends
+    when the last match lies behind `share` of the text or less than `tail` bytes before its end, or after
+    `attempts`. Where nothing was chosen and the general pattern reaches far enough, general is true.
+    """
+    bits = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(-i).alias("at")) for i in range(len(library))])
+
+    def last_of(mask: Column) -> Column:
+        return F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: F.when(m["mask"].bitwiseAND(mask) > 0, F.greatest(a, m["pos"])).otherwise(a))
+
+    def reached(last: Column) -> Column:
+        return (last > F.col("size") * share) | (F.col("size") - last < tail)
+
+    def step(a: Column, _: Column) -> Column:
+        near = F.filter("marks", lambda m: (m["pos"] > a["last"]) & (m["pos"] <= a["last"] + behind))
+        count = F.transform(bits, lambda b: F.struct(F.size(F.filter(near, lambda m: m["mask"].bitwiseAND(b["bit"]) > 0)).alias("n"), b["at"].alias("at"), b["bit"].alias("bit")))
+        best = F.array_max(count)
+        wider = F.when(best["n"] > 0, a["c"].bitwiseOR(best["bit"])).otherwise(a["c"])
+        further = last_of(wider)
+        goes_on = ~reached(a["last"])
+        takes = goes_on & (further > a["last"])
+        return F.struct(F.when(takes, wider).otherwise(a["c"]).alias("c"), F.when(takes, further).otherwise(a["last"]).alias("last"), (a["tries"] + goes_on.cast("int")).alias("tries"))
+
+    first = F.struct(start.alias("c"), last_of(start).alias("last"), F.lit(0).alias("tries"))
+    end = marked.filter("size > 0").withColumn("_end", F.aggregate(F.sequence(F.lit(1), F.lit(attempts)), first, step))
+    none = F.col("_end")["c"] == 0
+    general = none & (F.col("general") > F.col("size") * GENERAL_SHARE)
+    return end.select("doc_id", F.col("_end.c").alias("chosen"), F.col("_end.tries").alias("attempts"), F.col("_end.last").alias("last"), reached(F.col("_end.last")).alias("covered"), general.alias("general"))

@@ -139,3 +139,17 @@ def upserted(existing: DataFrame, scanned: DataFrame, key: str) -> DataFrame:
     both = old.unionByName(new).withColumn("_n", F.row_number().over(w)).withColumn("_had", F.max("_rank").over(Window.partitionBy(key)))
     change = F.when((F.col("_rank") == 0) & (F.col("_had") == 1), "updated").when(F.col("_rank") == 0, "inserted").otherwise("kept")
     return both.filter("_n = 1").withColumn("change", change).drop("_rank", "_n", "_had")
+
+
+def zipped_hints(lines: DataFrame, answers: DataFrame) -> DataFrame:
+    """doc_id, line_num, line, hint. answers: doc_id, answer: a line a hint, `number | hint` for the line of that number
+    (from 1), or without a number for the line at its own place. A numbered hint beats one by place, and of two
+    the first counts; lines without a hint have null. Repeated lines keep their own hints.
+    """
+    said = answers.select("doc_id", F.posexplode(F.split("answer", "\n")).alias("place", "said")).filter(strip(F.col("said")) != "")
+    cut = F.regexp_extract("said", f"^[{SPACE}]*([0-9]+)[{SPACE}]*[|](.*)$", 1)
+    number = F.nullif(cut, F.lit("")).try_cast("int")
+    hint = F.when(number.isNotNull(), strip(F.regexp_extract("said", "[|](.*)$", 1))).otherwise(strip(F.col("said")))
+    each = said.select("doc_id", F.coalesce(number - 1, F.col("place")).alias("line_num"), F.struct(number.isNull().alias("by_place"), F.col("place").alias("place"), hint.alias("hint")).alias("h"))
+    best = each.groupBy("doc_id", "line_num").agg(F.min("h").alias("h")).select("doc_id", "line_num", F.col("h.hint").alias("hint"))
+    return lines.join(best, ["doc_id", "line_num"], "left").select("doc_id", "line_num", "line", "hint")

@@ -307,6 +307,29 @@ def pattern_refinement(spark, d):
     return patterns.refined(_best(spark, d))
 
 
+# --- matching that goes on behind the last match: headings of one letter for each stretch of six sentences ---------
+RETRY = [f"^{chr(65 + i)}[0-9]+$" for i in range(16)]
+_RETRY_AT = f"CASE WHEN i % 6 = 3 THEN concat(chr(65 + i {{div}} 6 % (16 + doc_id % 3)), i, '{NL}') ELSE '' END"
+_RETRY_TEXT = f"""TP AS (SELECT doc_id, string_split(replace(replace(text, chr(10), ' '), '. ', concat('.', chr(10))), chr(10)) AS p FROM documents WHERE text <> ''),
+  TT AS (SELECT doc_id, array_to_string(list_transform(range(len(p)), lambda i: concat({_RETRY_AT.format(div='//').replace('chr(65 + ', 'chr((65 + ').replace(' % 3))', ' % 3))::INT)')}, p[i + 1])), chr(10)) AS text FROM TP), """ + TABLE_SQL.replace("FROM documents", "FROM TT")
+_RETRY_MASK = " + ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN {1 << i} ELSE 0 END" for i, p in enumerate(RETRY))
+_LAST = "coalesce(list_max(list_transform(list_filter(m, lambda x: (x.mask & {0}) > 0), lambda x: x.pos)), 0)::BIGINT"
+_REACHED = "(last > size * 0.99::DOUBLE OR size - last < 500)"
+
+
+@query(f"""WITH RECURSIVE {_RETRY_TEXT}, TX AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER {WB}, 0)::BIGINT AS pos, ({_RETRY_MASK})::INT AS mask FROM L),
+  TM AS (SELECT doc_id, max(pos + strlen(line)) AS size, coalesce(max(pos) FILTER (regexp_matches(line, '[0-9]+[{S}]*화')), 0) AS g, coalesce(list({{'pos': pos, 'mask': mask}} ORDER BY pos) FILTER (mask > 0), []) AS m, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS c FROM TX GROUP BY doc_id),
+  TR AS (SELECT doc_id, size, g, m, c, {_LAST.format('c')} AS last, 0 AS t, 0 AS tries FROM TM WHERE size > 0 UNION ALL
+    SELECT doc_id, size, g, m, CASE WHEN go AND further > last THEN wider ELSE c END, CASE WHEN go AND further > last THEN further ELSE last END, t + 1, tries + go::INT FROM (SELECT *, NOT {_REACHED} AS go, {_LAST.format('wider')} AS further FROM
+      (SELECT *, CASE WHEN best.n > 0 THEN c | (1 << -best.i) ELSE c END AS wider FROM (SELECT *, list_max(list_transform(range(16), lambda i: {{'n': len(list_filter(m, lambda x: x.pos > last AND x.pos <= last + 1000 AND (x.mask & (1 << i)) > 0)), 'i': -i}})) AS best FROM TR WHERE t < 10))))
+  SELECT doc_id, c::INT AS chosen, tries AS attempts, last, {_REACHED} AS covered, c = 0 AND g > size * 0.9::DOUBLE AS general FROM TR WHERE t = 10""")
+def adaptive_retry(spark, d):
+    cut = docs(spark, d).filter("text <> ''").selectExpr("doc_id", r"split(replace(replace(text, '\n', ' '), '. ', '.\n'), '\n') AS p")
+    text = cut.selectExpr("doc_id", f"array_join(transform(p, (s, i) -> concat({_RETRY_AT.format(div='div')}, s)), '\\n') AS text".replace(NL, "\\n"))
+    marked = patterns.marks(lines.explode_lines(text), RETRY)
+    return patterns.adaptive(marked, F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1), RETRY, behind=1000, tail=500)
+
+
 _AUTO = r"^[A-Z][a-z]+ \d+"
 
 

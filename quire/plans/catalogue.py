@@ -129,12 +129,21 @@ def subjects_by_book(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("book")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",").alias("subjects"))
 
 
-@query(f"WITH {L} SELECT doc_id, line_num, line, concat('hint ', line_num) AS hint FROM L WHERE line_num < 10")
+# an answer for each document: by number, by place, out of order, twice, beyond the end, and none at all
+_HINTS = "CASE line_num % 5 WHEN 0 THEN concat(line_num + 1, ' | ', left(line, 9)) WHEN 1 THEN concat('at its place ', length(line)) WHEN 2 THEN concat(line_num + 2, '|early ', length(line)) WHEN 3 THEN concat(' ', line_num * 7, ' | far ', length(line)) ELSE ' ' END"
+
+
+@query(f"""WITH {L}, HA AS (SELECT doc_id, string_agg({_HINTS}, chr(10) ORDER BY line_num) AS answer FROM L GROUP BY doc_id),
+  HS AS (SELECT doc_id, unnest(range(len(a))) AS place, unnest(a) AS said FROM (SELECT doc_id, string_split(answer, chr(10)) AS a FROM HA)),
+  HN AS (SELECT doc_id, place, said, try_cast(nullif(regexp_extract(said, '^[{S}]*([0-9]+)[{S}]*[|](.*)$', 1), '') AS INT) AS n FROM HS WHERE {STRIP.format('said')} <> ''),
+  HH AS (SELECT doc_id, coalesce(n - 1, place) AS line_num, CASE WHEN n IS NOT NULL THEN {STRIP.format("regexp_extract(said, '[|](.*)$', 1)")} ELSE {STRIP.format('said')} END AS hint, row_number() OVER (PARTITION BY doc_id, coalesce(n - 1, place) ORDER BY n IS NULL, place) AS r FROM HN)
+  SELECT L.doc_id, L.line_num, line, hint FROM L LEFT JOIN HH ON HH.doc_id = L.doc_id AND HH.line_num = L.line_num AND r = 1""")
 def hint_zip(spark, d):
-    """Two lists, put together by position."""
-    first = doc_lines(spark, d).filter("line_num < 10").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]).alias("l"))
-    hints = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.concat(F.lit("hint "), i))
-    return first.select("doc_id", F.posexplode(F.arrays_zip(F.col("l"), hints.alias("h"))).alias("line_num", "z")).select("doc_id", "line_num", F.col("z.l").alias("line"), F.col("z.h").alias("hint"))
+    """Hints of an answer, put beside the lines that they are for."""
+    rows = doc_lines(spark, d)
+    said = rows.select("doc_id", "line_num", F.expr(_HINTS.replace("left(line, 9)", "substring(line, 1, 9)")).alias("said"))
+    answers = said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "said"))), lambda x: x["said"]), "\n").alias("answer"))
+    return records.zipped_hints(rows, answers)
 
 
 _ISBN = "BK AS (SELECT o_orderkey AS book, CASE WHEN o_orderkey % 3 > 0 THEN concat('978', o_custkey) END AS isbn13, CASE WHEN o_orderkey % 2 = 0 THEN concat('X', o_custkey) END AS isbn10, CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE concat('t', o_orderkey) END AS title, CASE WHEN o_orderkey % 5 > 0 THEN concat('a', o_orderkey) END AS author FROM orders), RF AS (SELECT concat(CASE WHEN c_custkey % 2 = 0 THEN '978' ELSE 'X' END, c_custkey) AS isbn, c_name AS title, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS author, concat('/works/W', c_custkey) AS work, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS pages FROM customer)"

@@ -18,10 +18,14 @@ def head_tail_sample(spark, d):
     return docs(spark, d).select("doc_id", inputs.head_bytes(F.col("text")).alias("head"), inputs.tail_bytes(F.col("text")).alias("tail"))
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) <= 200 OR NOT contains(substr(text, 201), chr(10)) THEN '' ELSE left(substr(text, 201 + instr(substr(text, 201), chr(10))), length(text) - 200) END AS sample FROM documents")
+_RANGE = "CASE WHEN {at} > 0 AND contains(substr(text, {at}), chr(10)) THEN left(substr(text, {at} + instr(substr(text, {at}), chr(10))), {n}) ELSE '' END"
+
+
+@query(f"""WITH X AS (SELECT doc_id, text, length(text) - 200 AS n FROM documents), Y AS (SELECT *, n // 4 AS step FROM X), Z AS (SELECT doc_id, text, n, list_transform(range(4), lambda i: {_RANGE.format(at='(201 + i * step)::BIGINT', n='300')}) AS p FROM Y)
+  SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN n <= 0 THEN '' WHEN n < 2000 THEN {_RANGE.format(at='201', n='n')} ELSE array_to_string(list_concat([p[1]], list_filter(p[2:], lambda x: x <> '')), '{inputs.SKIP_MARK}') END AS sample FROM Z""")
 def range_sample(spark, d):
-    """From the 200th character on; no text of these tables reaches the size that is cut into chunks."""
-    return docs(spark, d).select("doc_id", inputs.range_sample(F.col("text"), F.lit(200)).alias("sample"))
+    """From the 200th character on: texts with fewer than 2000 behind it whole, longer ones as four pieces of 300."""
+    return docs(spark, d).select("doc_id", inputs.range_sample(F.col("text"), F.lit(200), None, 2000, 300, 4).alias("sample"))
 
 
 _MAP = "concat('==== ', s_suppkey, chr(10), chr(10), '→ lost', chr(10), ' ', s_name, '.txt ', chr(10), '→ ', s_name, '_1.txt', chr(10), 'left', chr(10), 'of ', s_name, chr(10), CASE WHEN s_suppkey % 2 = 0 THEN '→ b' ELSE '= c' END)"
