@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, byte_truncate, one_decimal, squeeze, strip
@@ -94,19 +94,22 @@ def sanitize(name: Column) -> Column:
     return F.translate(name, '<>:"/\\|?*', "_________")
 
 
-def generate_filename(name: Column, title: Column, episode_range: Column, status: Column, chapters: Column, rating: Column, genre: Column, author: Column, tags: Column, ext: Column) -> Column:
-    """title__range_status__★rating__genre__author__tags.ext; a hint in the name beats the counted
-    chapters, which beat the listed range; a difference is told in the status."""
-    hint = filename_hint(name)
-    span = F.coalesce(hint, F.when(chapters > 0, F.concat(F.lit("1~"), chapters.cast("string"), F.lit("화"))), episode_range)
-    web = F.coalesce(expected_count_loose(episode_range), F.lit(0))
-    real = F.coalesce(F.nullif(chapters.cast("long"), F.lit(0).cast("long")), expected_count_loose(hint), F.lit(0))
+def with_filename(records: DataFrame, ext: Column) -> DataFrame:
+    """records (name, title, span: the listed range, status, chapters, rating, genre, author, tags) with file_name:
+    title__range_status__★rating__genre__author__tags.ext; a hint in the name beats the counted chapters, which
+    beat the listed range; a difference is told in the status. What several parts ask for is made once."""
+    chapters, span, status = F.col("chapters"), F.col("span"), F.col("status")
+    made = records.withColumns({"_hint": filename_hint(F.col("name")), "_web": expected_count_loose(span)})
+    real = F.coalesce(F.nullif(chapters.cast("long"), F.lit(0).cast("long")), F.when(F.col("_hint").isNotNull(), expected_count_loose(F.col("_hint"))), F.lit(0))
+    shown = F.coalesce("_hint", F.when(chapters > 0, F.concat(F.lit("1~"), chapters.cast("string"), F.lit("화"))), span)
+    made = made.withColumns({"_real": real, "_shown": shown})
+    web, real = F.coalesce("_web", F.lit(0)), F.col("_real")
     part = F.concat(F.lit("부분("), real.cast("string"), F.lit("_"), web.cast("string"), F.lit("화)"))
     told = F.when((web > 0) & (real > 0) & (web != real), F.concat_ws("_", F.nullif(status, F.lit("")), part)).otherwise(status)
-    rate = F.when(rating.isNotNull(), format_rating(rating))
-    fields = F.array(normalize_title(title), format_status(span, told), rate, normalize_genre(genre), normalize_author(author), F.nullif(format_tags(tags), F.lit("")))
+    fields = F.array(normalize_title(F.col("title")), format_status(F.col("_shown"), told), F.when(F.col("rating").isNotNull(), format_rating(F.col("rating"))), normalize_genre(F.col("genre")), normalize_author(F.col("author")), F.nullif(format_tags(F.col("tags")), F.lit("")))
     kept = F.filter(fields, lambda x: x.isNotNull() & (strip(x) != "") & ~F.contains(x, F.lit("Unknown")))
-    return F.concat(byte_truncate(sanitize(F.array_join(kept, "__")), NAME_BYTES - 5), ext)
+    made = made.withColumn("_joined", sanitize(F.array_join(kept, "__")))
+    return made.withColumn("file_name", F.concat(byte_truncate(F.col("_joined"), NAME_BYTES - 5), ext)).drop("_hint", "_web", "_real", "_shown", "_joined")
 
 
 def postprocess_name(name: Column) -> Column:

@@ -441,11 +441,43 @@ def format_tags(spark, d):
     return docs(spark, d).select("doc_id", titles.format_tags(given).alias("tags"))
 
 
-@query("""WITH R AS (SELECT o_orderkey, (o_orderkey % 5000) / 1000::DOUBLE AS rating, o_custkey % 120 AS ch FROM orders) SELECT o_orderkey, concat('제목 ', o_orderkey, '__1~', CASE WHEN ch > 0 THEN ch ELSE 100 END, '화_완결', CASE WHEN ch > 0 AND ch <> 100 THEN concat('_부분(', ch, '_100화)') ELSE '' END, '__★', printf('%.1f', rating), '__판타지__작가', o_orderkey % 10, '__완결,x.txt') AS name FROM R""")
+# what a record may hold, from the columns of orders: every branch of the rule is met
+_RECORD = {
+    "name": "CASE o_orderkey % 4 WHEN 0 THEN concat('가(1~', o_orderkey % 300, ').txt') WHEN 1 THEN concat('나(', o_orderkey % 50, ').txt') ELSE '다.txt' END",
+    "title": "CASE o_orderkey % 3 WHEN 0 THEN concat('[출판] 제목 ', o_orderkey, ' (완결)') WHEN 1 THEN concat('책:  ', o_orderkey, '_12') ELSE concat(repeat('긴', 26 + o_custkey % 9), o_orderkey, ' 완결') END",
+    "span": "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '1~100화' WHEN 3 THEN concat('1~', o_custkey % 120, '화') ELSE 'Unknown' END",
+    "status": "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN '연재중' ELSE NULL END",
+    "chapters": "CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 120 END",
+    "genre": "CASE o_custkey % 5 WHEN 0 THEN 'fantasy' WHEN 1 THEN '로맨스' WHEN 2 THEN 'Unknown' WHEN 3 THEN NULL ELSE 'x y' END",
+    "author": "CASE o_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('작가: 김', o_custkey % 10) WHEN 2 THEN '' ELSE concat(repeat('저', o_custkey % 13), '/', o_custkey) END",
+}
+_FILE_TAGS = ["x,완결", "a,b,c,19금", None]
+_LOOSE = "coalesce(try_cast(nullif(regexp_extract({}, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT), 0)"
+
+
+def _cut(text: str, size: int) -> str:
+    return f"left({text}, list_max(list_filter(range({size} + 1), lambda k: strlen(left({text}, k)) <= {size})))"
+
+
+def _case(c: str, values: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {c} END"
+
+
+@query(f"""WITH A AS (SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in _RECORD.items())}, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 5000) / 1000::DOUBLE END AS rating, CASE o_orderkey % 3 WHEN 0 THEN string_split('{_FILE_TAGS[0]}', ',') WHEN 1 THEN string_split('{_FILE_TAGS[1]}', ',') END AS tags FROM orders),
+  B AS (SELECT *, CASE WHEN regexp_matches(name, '\\([0-9]+~[0-9]+\\)') THEN concat(regexp_extract(name, '\\(([0-9]+~[0-9]+)\\)', 1), '화') WHEN regexp_matches(name, '\\([0-9]+\\)') THEN concat('1~', regexp_extract(name, '\\(([0-9]+)\\)', 1), '화') END AS hint, {_LOOSE.format('span')} AS web,
+    {STRIP.format("regexp_replace(title, '\\[.*?\\]|\\(.*?\\)|【.*?】', '', 'g')")} AS t0 FROM A),
+  C AS (SELECT *, coalesce(hint, CASE WHEN chapters > 0 THEN concat('1~', chapters, '화') END, span) AS shown, coalesce(nullif(chapters, 0), CASE WHEN hint IS NOT NULL THEN {_LOOSE.format('hint')} END, 0) AS real, {STRIP.format(f"regexp_replace(regexp_replace(regexp_replace(t0, '_[0-9]+$', ''), '[{S}]+완결$', ''), '[{S}]+', ' ', 'g')")} AS t1, {STRIP.format(f"regexp_replace(author, '(?:작가|저자):[{S}]*', '', 'g')")} AS a1 FROM B),
+  D AS (SELECT *, CASE WHEN web > 0 AND real > 0 AND web <> real THEN concat_ws('_', nullif(status, ''), concat('부분(', real, '_', web, '화)')) ELSE status END AS told FROM C),
+  E AS (SELECT o_orderkey, [{_cut('t1', titles.TITLE_BYTES)}, concat_ws('_', coalesce(nullif(shown, ''), '단편'), nullif({_case('told', titles.STATUS)}, '')), CASE WHEN rating IS NOT NULL THEN concat('★', printf('%.1f', rating)) END,
+    CASE WHEN coalesce(genre, '') = '' THEN '기타' ELSE {_case('genre', titles.GENRES)} END, CASE WHEN coalesce(author, '') = '' THEN '작가미상' ELSE {_cut('a1', titles.AUTHOR_BYTES)} END,
+    nullif(array_to_string(list_concat(list_filter(tags, lambda x: x IN ('19금', '성인', '완결', '베스트')), list_filter(tags, lambda x: x NOT IN ('19금', '성인', '완결', '베스트')))[:3], ','), '')] AS f FROM D),
+  G AS (SELECT o_orderkey, translate(array_to_string(list_filter(f, lambda x: x IS NOT NULL AND {STRIP.format('x')} <> '' AND NOT contains(x, 'Unknown')), '__'), '<>:"/\\|?*', '_________') AS n FROM E)
+  SELECT o_orderkey, concat({_cut('n', titles.NAME_BYTES - 5)}, '.txt') AS name FROM G""")
 def generate_filename(spark, d):
     k = F.col("o_orderkey")
-    got = titles.generate_filename(F.lit("가.txt"), F.concat(F.lit("[출판] 제목 "), k, F.lit(" (완결)")), F.lit("1~100화"), F.lit("완결"), F.col("o_custkey") % 120, (k % 5000) / 1000.0, F.lit("fantasy"), F.concat(F.lit("작가: 작가"), k % 10), F.split(F.lit("x,완결"), ","), F.lit(".txt"))
-    return table(spark, d, "orders").select("o_orderkey", got.alias("name"))
+    tags = F.when(k % 3 == 0, F.split(F.lit(_FILE_TAGS[0]), ",")).when(k % 3 == 1, F.split(F.lit(_FILE_TAGS[1]), ","))
+    given = table(spark, d, "orders").select("o_orderkey", *[F.expr(v).alias(c) for c, v in _RECORD.items()], F.when(k % 7 > 0, (k % 5000) / 1000.0).alias("rating"), tags.alias("tags"))
+    return titles.with_filename(given, F.lit(".txt")).select("o_orderkey", F.col("file_name").alias("name"))
 
 
 @query("SELECT p_partkey, replace(replace(concat(replace(replace(p_name, ', ', '_'), ',', '_'), '_에필'), '_-_', '-'), '__', '_') AS name FROM part")
