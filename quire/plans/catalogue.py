@@ -322,10 +322,10 @@ def ignored_lines(spark, d):
     return doc_lines(spark, d).filter(~F.col("line").rlike("(?i)the|http") & (strip(F.col("line")) != "")).select("doc_id", "line_num")
 
 
-@query("SELECT pattern, pattern IN ('.+', '.', '.*') AS permissive FROM (VALUES ('.+'), ('.'), ('.*'), ('^a.*'), ('')) t(pattern)")
-def permissive_patterns(spark, d):
-    given = spark.createDataFrame([(x,) for x in (".+", ".", ".*", "^a.*", "")], "pattern string")
-    return given.select("pattern", F.col("pattern").isin(records.PERMISSIVE).alias("permissive"))
-
+# patterns of parts: their types as they are, shortened to what matches any line, or with letters around it
+_PATTERN = "CASE p_partkey % 7 WHEN 0 THEN '.+' WHEN 1 THEN '.' WHEN 2 THEN '.*' WHEN 3 THEN concat('^', p_type) WHEN 4 THEN concat('.+', p_size) WHEN 5 THEN ' .*' ELSE p_brand END"
 
 
+@query(f"SELECT p_partkey, {_PATTERN} IN ('.+', '.', '.*') AS permissive FROM part")
+def permissive_patterns(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.expr(_PATTERN).isin(records.PERMISSIVE).alias("permissive"))

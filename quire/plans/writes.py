@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_root, written
-from ..sources import versioned
+from ..sources import text_sink, versioned
 from ..streaming import incremental
-from .core import CHAP, FLAGS, _chapters, docs, flagged_files, query
+from ..operators import segment
+from .core import CHAP, FLAGS, STRIP, S, _chapters, docs, flagged_files, query
 
 _COLUMNS = ["id", "file_path", "file_name", "file_size", "file_hash", "is_duplicate", "duplicate_of"]
 
@@ -78,3 +79,31 @@ def logged_run(spark, d):
     rows.repartition(4, "doc_id").write.parquet(source)
     incremental.run_new_files(spark, source, "doc_id long, text string", lambda df: df.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), f"{out}/rows", f"{out}/checkpoint", log=f"{out}/log", failed=F.col("n") <= 200, files_per_batch=1)
     return incremental.run_counts(spark, f"{out}/log").select("total", "success", "failed")
+
+
+# --- formatted text and books as files ---------------------------------------------------------------
+# titles with a number that is set apart, and bodies with runs of blank lines
+_TITLE = "CASE WHEN cid % 3 = 0 THEN concat(title, '제목', cid, '화') WHEN cid % 3 = 1 THEN concat(' ', title, '-', cid, '화 ') ELSE title END"
+_BODY = "concat(body, repeat(chr(10), (cid % 6)::INT), 'end  ', chr(10), repeat(concat(' ', chr(10)), (doc_id % 5)::INT))"
+_BOX = f"""{CHAP}, BX AS (SELECT doc_id, cid, regexp_replace({STRIP.format(_TITLE)}, '([가-힣a-zA-Z])-?([0-9]+화)', '\\1 - \\2', 'g') AS t, string_split_regex({_BODY}, '{segment.LINE_ENDS}') AS a FROM CH),
+  BQ AS (SELECT doc_id, cid, CASE WHEN length(t) >= 60 THEN t ELSE concat(repeat(' ', (60 - length(t)) // 2), t, repeat(' ', 60 - length(t) - (60 - length(t)) // 2)) END AS t, list_transform(CASE WHEN a[len(a)] = '' THEN a[:len(a) - 1] ELSE a END, lambda x: regexp_replace(x, '[{S}]+$', '')) AS a FROM BX),
+  BZ AS (SELECT doc_id, cid, concat(repeat(chr(10), 7), repeat('━', 60), chr(10), t, chr(10), repeat('━', 60), repeat(chr(10), 3), array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT (i > 2 AND a[i] = '' AND a[i - 1] = '' AND a[i - 2] = '')), lambda i: a[i]), chr(10)), chr(10)) AS text FROM BQ)"""
+
+
+def _formatted(spark, d):
+    chapters = _chapters(spark, d)
+    title, body = (F.expr(x.replace("::INT", "").replace("chr(10)", "'\\n'").replace("(cid % 6)", "cast(cid % 6 as int)").replace("(doc_id % 5)", "cast(doc_id % 5 as int)")) for x in (_TITLE, _BODY))
+    return text_sink.formatted(chapters.select("doc_id", F.col("cid").cast("long").alias("cid"), title.alias("title"), body.alias("body")))
+
+
+@query(f"WITH {_BOX} SELECT doc_id, cid, text FROM BZ")
+def formatted_chapters(spark, d):
+    return _formatted(spark, d)
+
+
+@query(f"WITH {_BOX} SELECT doc_id AS book, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(text, '' ORDER BY cid)) AS sha256 FROM BZ GROUP BY doc_id")
+def books_as_files(spark, d):
+    """Chapters written as text files of about 4,000 bytes, and the books as they are read back."""
+    path = _place(spark, "text-books")
+    text_sink.write_books(_formatted(spark, d), path, 4000)
+    return text_sink.read_books(spark, path).select("book", "bytes", "sha256")

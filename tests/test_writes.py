@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.sources import versioned
+from quire.sources import text_sink, versioned
 from quire.streaming import incremental
 
 FILE = "id long, file_path string, file_name string, file_size long, file_hash string, is_duplicate int, duplicate_of long"
@@ -127,3 +127,33 @@ def test_counts_after_a_restart(spark, tmp_path):
     (total,) = incremental.run_counts(spark, f"{out}/log").collect()
     assert (total.total, total.success, total.failed) == (40, 30, 10)
     assert spark.read.parquet(f"{out}/rows/batch=*").count() == 40
+
+
+def beautified(title, body):
+    import re
+
+    title = re.sub(r"([가-힣a-zA-Z])[-]?(\d+화)", r"\1 - \2", title.strip())
+    lines, out, blank = body.splitlines(), [], 0
+    for line in lines:
+        blank = 0 if line.rstrip() else blank + 1
+        if blank <= 2:
+            out.append(line.rstrip())
+    return "\n" * 7 + "━" * 60 + "\n" + title.center(60) + "\n" + "━" * 60 + "\n\n\n" + "\n".join(out) + "\n"
+
+
+def test_formatted_text(spark):
+    given = [("소설15화", "a  \n\n\n\n\nb\n"), (" x-3화 ", ""), ("t" * 70, "\n\n\n\n"), ("odd", "\n\n\na\r\nb\x85c\n\n\n\n"), ("", " \t "), ("가-1화 나2화", "x")]
+    rows = [(1, i, t, b) for i, (t, b) in enumerate(given)] + [(2, 0, None, None)]
+    got = {(r.doc_id, r.cid): r.text for r in text_sink.formatted(spark.createDataFrame(rows, "doc_id long, cid int, title string, body string")).collect()}
+    assert got == {(1, i): beautified(t, b) for i, (t, b) in enumerate(given)} | {(2, 0): beautified("", "")}
+
+
+def test_books_read_back_in_order(spark, tmp_path):
+    import hashlib
+
+    rows = [(d, c, f"chapter {c} of {d}\n" * (c % 7 + 1)) for d in range(4) for c in range(60)]
+    text_sink.write_books(spark.createDataFrame(rows, "doc_id long, cid long, text string").repartition(5), f"{tmp_path}/books", 500)
+    got = {r.book: r for r in text_sink.read_books(spark, f"{tmp_path}/books").collect()}
+    for d in range(4):
+        whole = "".join(t for k, _, t in rows if k == d).encode()
+        assert (got[d].bytes, got[d].sha256) == (len(whole), hashlib.sha256(whole).hexdigest()) and got[d].files > 5
