@@ -26,3 +26,9 @@ def stage_completion(state: DataFrame, stages: list[str]) -> DataFrame:
 def missing_numbers(found: DataFrame, expected: DataFrame) -> DataFrame:
     """found: doc_id, n; expected: doc_id, upto. Numbers 1 .. upto that were not found."""
     return expected.filter("upto > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto"))).alias("n")).join(found, ["doc_id", "n"], "left_anti")
+
+
+def by_status(files: DataFrame, conditions: dict[str, str]) -> DataFrame:
+    """files with status: a row for each of the conditions that a file meets (a null condition is not met)."""
+    met = F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in conditions.items()])
+    return files.withColumn("status", F.explode(F.array_compact(met)))

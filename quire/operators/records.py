@@ -153,3 +153,9 @@ def zipped_hints(lines: DataFrame, answers: DataFrame) -> DataFrame:
     each = said.select("doc_id", F.coalesce(number - 1, F.col("place")).alias("line_num"), F.struct(number.isNull().alias("by_place"), F.col("place").alias("place"), hint.alias("hint")).alias("h"))
     best = each.groupBy("doc_id", "line_num").agg(F.min("h").alias("h")).select("doc_id", "line_num", F.col("h.hint").alias("hint"))
     return lines.join(best, ["doc_id", "line_num"], "left").select("doc_id", "line_num", "line", "hint")
+
+
+def cached(kept: DataFrame, schema: str) -> DataFrame:
+    """kept (keys, value: JSON) with the fields of schema; a damaged value, and a field that is not there, is null."""
+    got = kept.withColumn("_v", F.from_json("value", schema))
+    return got.select(*[c for c in kept.columns if c != "value"], "_v.*")

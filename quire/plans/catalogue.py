@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.text import strip
-from ..operators import boundaries, lines, records, structure
+from ..operators import boundaries, catalog, lines, records, structure
 from .core import CHAP, FILES, FLAGS, NOVELS, POS, SCORED, STATE, STRIP, L, S, _chapters, doc_lines, docs, files, flagged_files, novels, query, state, table
 from .core import TOPIC as _TOPIC
 
@@ -22,23 +23,23 @@ def files2(spark, d):
 @query(f"WITH {FILES}, {STATE}, {NOVELS} SELECT id, file_name, title, stage4 FROM FI JOIN ST ON id = file_id JOIN NV ON novel_id = novel_key WHERE stage1 = 1")
 def files_state_novels(spark, d):
     f = files(spark, d).join(state(spark, d), F.col("id") == F.col("file_id"))
-    return f.filter("stage1 = 1").join(novels(spark), F.col("novel_id") == F.col("novel_key")).select("id", "file_name", "title", "stage4")
+    return f.filter("stage1 = 1").join(novels(spark, d), F.col("novel_id") == F.col("novel_key")).select("id", "file_name", "title", "stage4")
 
 
 @query(f"WITH {FILES}, {STATE}, {NOVELS} SELECT id, title, author, stage5 FROM FI JOIN ST ON id = file_id LEFT JOIN NV ON novel_id = novel_key WHERE stage3 = 1")
 def files_state_left_novels(spark, d):
     f = files(spark, d).join(state(spark, d), F.col("id") == F.col("file_id"))
-    return f.filter("stage3 = 1").join(novels(spark), F.col("novel_id") == F.col("novel_key"), "left").select("id", "title", "author", "stage5")
+    return f.filter("stage3 = 1").join(novels(spark, d), F.col("novel_id") == F.col("novel_key"), "left").select("id", "title", "author", "stage5")
 
 
 @query(f"WITH {FILES}, {NOVELS} SELECT novel_key, title, id FROM NV JOIN FI ON novel_id = novel_key WHERE novel_key = 3")
 def files_of_novel(spark, d):
-    return novels(spark).filter("novel_key = 3").join(files(spark, d), F.col("novel_id") == F.col("novel_key")).select("novel_key", "title", "id")
+    return novels(spark, d).filter("novel_key = 3").join(files(spark, d), F.col("novel_id") == F.col("novel_key")).select("novel_key", "title", "id")
 
 
 @query(f"WITH {FILES}, {NOVELS} SELECT novel_key, title FROM NV WHERE novel_key = (SELECT novel_id FROM FI WHERE id = 17)")
 def novel_of_file(spark, d):
-    return novels(spark).join(files(spark, d).filter("id = 17").select(F.col("novel_id").alias("novel_key")), "novel_key", "left_semi").select("novel_key", "title")
+    return novels(spark, d).join(files(spark, d).filter("id = 17").select(F.col("novel_id").alias("novel_key")), "novel_key", "left_semi").select("novel_key", "title")
 
 
 @query(f"WITH {FILES} SELECT id, file_name, file_hash FROM FI WHERE id = 42")
@@ -91,7 +92,7 @@ def catalogue_upsert(spark, d):
 def novels_to_insert(spark, d):
     """Works of files that the catalogue has not: combined before the shuffle, then without those known."""
     found = files(spark, d).select(F.concat(F.lit("작품 "), "novel_id").alias("title")).distinct()
-    return found.join(novels(spark).select("title"), "title", "left_anti")
+    return found.join(novels(spark, d).select("title"), "title", "left_anti")
 
 
 @query(f"WITH {FILES}, {STATE}, DK AS (SELECT id FROM FI WHERE id % 13 > 0) SELECT FI.id, stage1, file_path FROM FI JOIN ST ON id = file_id WHERE id NOT IN (SELECT id FROM DK)")
@@ -104,7 +105,7 @@ def missing_files(spark, d):
 
 @query(f"WITH {FILES}, {STATE}, {NOVELS} SELECT id, concat(file_path, ' -> ', title, '.txt') AS plan, 1 AS stage3 FROM FI JOIN ST ON id = file_id JOIN NV ON novel_id = novel_key WHERE stage1 = 1 AND stage3 = 0")
 def rename_plan(spark, d):
-    f = files(spark, d).join(state(spark, d).filter("stage1 = 1 and stage3 = 0"), F.col("id") == F.col("file_id")).join(novels(spark), F.col("novel_id") == F.col("novel_key"))
+    f = files(spark, d).join(state(spark, d).filter("stage1 = 1 and stage3 = 0"), F.col("id") == F.col("file_id")).join(novels(spark, d), F.col("novel_id") == F.col("novel_key"))
     return f.select("id", F.concat("file_path", F.lit(" -> "), "title", F.lit(".txt")).alias("plan"), F.lit(1).alias("stage3"))
 
 
@@ -329,3 +330,34 @@ _PATTERN = "CASE p_partkey % 7 WHEN 0 THEN '.+' WHEN 1 THEN '.' WHEN 2 THEN '.*'
 @query(f"SELECT p_partkey, {_PATTERN} IN ('.+', '.', '.*') AS permissive FROM part")
 def permissive_patterns(spark, d):
     return table(spark, d, "part").select("p_partkey", F.expr(_PATTERN).isin(records.PERMISSIVE).alias("permissive"))
+
+
+# --- what is left to do, and what was done -----------------------------------------------------------
+_EXT = "CASE WHEN FX.id % 11 = 0 THEN '.epub' WHEN FX.id % 17 = 0 THEN '.zip' ELSE '.txt' END"
+
+
+@query(f"WITH {FLAGS}, {STATE}, {NOVELS} SELECT FX.id, title, author FROM FX JOIN ST ON id = file_id LEFT JOIN NV ON novel_id = novel_key WHERE stage3 = 1 AND stage5 = 0 AND is_duplicate = 0 AND {_EXT} IN ('.txt', '.epub')")
+def pending_epub(spark, d):
+    """Files that have their name, no e-book yet, are no copies, and are of a kind that can become one; by id."""
+    f = flagged_files(spark, d).withColumn("ext", F.expr(_EXT.replace("FX.", ""))).filter(F.col("ext").isin(".txt", ".epub"))
+    work = catalog.pending(f, state(spark, d), F.expr("stage3 = 1 AND stage5 = 0"), ["id", "novel_id"])
+    return work.join(novels(spark, d), F.col("novel_id") == F.col("novel_key"), "left").select("id", "title", "author")
+
+
+_STATUS = {"completed": "stage5 = 1", "incomplete": "stage5 = 0", "error": "last_error IS NOT NULL"}
+
+
+@query(f"WITH {FLAGS}, {STATE} SELECT status, count(*) AS n, min(id) AS first FROM FX LEFT JOIN ST ON id = file_id, (SELECT unnest({list(_STATUS)}) AS status) WHERE CASE status {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _STATUS.items())} END AND is_duplicate = 0 AND contains(file_name, '1') GROUP BY status")
+def catalog_status_filters(spark, d):
+    """The search's status filters, all at once: files that are no copies and whose name holds a text, by each status that they have."""
+    f = flagged_files(spark, d).join(state(spark, d), F.col("id") == F.col("file_id"), "left").filter("is_duplicate = 0").filter(F.contains("file_name", F.lit("1")))
+    return catalog.by_status(f, _STATUS).groupBy("status").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query(f"WITH {FILES}, C AS (SELECT file_hash, min(id) AS id, min(file_size) AS size FROM FI GROUP BY file_hash) SELECT file_hash, CASE WHEN id % 6 > 0 THEN id END AS episodes, CASE WHEN id % 6 > 1 THEN concat('1~', size % 300) END AS detected FROM C")
+def cached_results(spark, d):
+    """Results kept as JSON by content, read back: some are damaged, some lack a field; these are null."""
+    f = files(spark, d).groupBy("file_hash").agg(F.min("id").alias("id"), F.min("file_size").alias("size"))
+    whole = F.to_json(F.struct(F.col("id").alias("episodes"), F.concat(F.lit("1~"), F.col("size") % 300).alias("detected")))
+    kept = f.select("file_hash", F.when(F.col("id") % 6 == 0, "{\"episodes\": ").when(F.col("id") % 6 == 1, F.to_json(F.struct(F.col("id").alias("episodes")))).otherwise(whole).alias("value"))
+    return records.cached(written(kept, "cache"), "episodes long, detected string").select("file_hash", "episodes", "detected")

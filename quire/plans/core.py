@@ -312,7 +312,7 @@ def consensus_vote(spark, d):
 FILES = "FI AS (SELECT doc_id AS id, concat('#', source, '_', doc_id, '(1~', 1 + doc_id % 400, '.연재).txt') AS file_name, concat('/in/', source, '/', lpad(doc_id::VARCHAR, 9, '0'), '.txt') AS file_path, md5(coalesce(text, '')) AS file_hash, strlen(coalesce(text, '')) AS file_size, doc_id % 7 AS novel_id, lang FROM documents)"
 FLAGS = f"{FILES}, FF AS (SELECT file_hash, arg_min(id, file_path) AS first FROM FI GROUP BY file_hash), FX AS (SELECT FI.*, (id <> first)::INT AS is_duplicate, CASE WHEN id <> first THEN first END AS duplicate_of FROM FI JOIN FF USING (file_hash))"
 STATE = "ST AS (SELECT doc_id AS file_id, 1 AS stage0, (doc_id % 3 > 0)::INT AS stage1, (doc_id % 4 = 0)::INT AS stage2, (doc_id % 5 = 0)::INT AS stage3, (doc_id % 2)::INT AS stage4, (doc_id % 10 = 0)::INT AS stage5, CASE WHEN doc_id % 97 = 0 THEN 'failed' END AS last_error FROM documents)"
-NOVELS = "NV AS (SELECT k AS novel_key, concat('작품 ', k) AS title, CASE WHEN k % 2 = 0 THEN concat('작가', k) END AS author FROM range(6) t(k))"
+NOVELS = "NV AS (SELECT k AS novel_key, concat('작품 ', k) AS title, CASE WHEN k % 2 = 0 THEN concat('작가', k) END AS author FROM (SELECT DISTINCT doc_id % 7 AS k FROM documents) WHERE k < 6)"
 
 
 def files(spark, d):
@@ -336,9 +336,10 @@ def state(spark, d):
     return docs(spark, d).select(i.alias("file_id"), F.lit(1).alias("stage0"), flag(i % 3 > 0).alias("stage1"), flag(i % 4 == 0).alias("stage2"), flag(i % 5 == 0).alias("stage3"), flag(i % 2).alias("stage4"), flag(i % 10 == 0).alias("stage5"), F.when(i % 97 == 0, "failed").alias("last_error"))
 
 
-def novels(spark):
-    k = F.col("id")
-    return spark.range(6).select(k.alias("novel_key"), F.concat(F.lit("작품 "), k).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("작가"), k)).alias("author"))
+def novels(spark, d):
+    """The works that files name by novel_id, but for one that the catalogue has not."""
+    k = F.col("novel_key")
+    return docs(spark, d).select((F.col("doc_id") % 7).alias("novel_key")).distinct().filter("novel_key < 6").select(k.alias("novel_key"), F.concat(F.lit("작품 "), k).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("작가"), k)).alias("author"))
 
 
 @query(f"WITH {FILES} SELECT id, file_path, file_size FROM FI WHERE file_size >= 512")
@@ -400,7 +401,7 @@ for _name, _ready in PENDING.items():
 
 @query(f"WITH {FILES}, {STATE}, {NOVELS} SELECT id, file_name, title, author, stage5 FROM FI LEFT JOIN NV ON novel_id = novel_key LEFT JOIN ST ON id = file_id WHERE contains(file_name, 'src1') OR coalesce(contains(title, 'src1'), false) OR coalesce(contains(author, 'src1'), false) ORDER BY id DESC LIMIT 15 OFFSET 15")
 def catalog_search_page(spark, d):
-    return catalog.search(files(spark, d), novels(spark), state(spark, d), "src1", page=1).select("id", "file_name", "title", "author", "stage5")
+    return catalog.search(files(spark, d), novels(spark, d), state(spark, d), "src1", page=1).select("id", "file_name", "title", "author", "stage5")
 
 
 # --- titles and names ----------------------------------------------------------------------------
