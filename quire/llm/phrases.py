@@ -7,16 +7,18 @@ Three passes over the texts, none of which shuffles them:
    hash's count is no less than that of any phrase that has it.
 2. Runs of three and four words whose pairs may all be frequent are counted likewise.
 3. Phrases whose hash, and the hashes of all phrases inside them, reach the threshold are candidates (Apriori:
-   nothing else can be frequent). Mappers count them exactly, over word numbers.
+   nothing else can be frequent). Mappers count them exactly, over word numbers, once a task.
 
 What mappers are told of the passes before is a bitmap of a fixed size (8 MB a level), whatever the input: it has a
 bit for the first bits of each hash that reached the threshold. It spares work and decides nothing.
 
-Candidates are dealt to shards of about KEYS, and each shard gets a table: a minimal perfect hash, and the keys
-in the order of their slots, by which every look-up is verified. The mappers' counts go to their shard's
-table, and are added up in arrays by slot, several for a shard with many rows; the arrays of a shard are summed
-by a tree. Counts of the parts that a phrase can be cut into are read from the parts' shards by slot. A task
-holds one table at a time; nothing that grows with the input is broadcast.
+Candidates are dealt to shards, ranges of their 64-bit hash, several for each shuffle partition; each shard gets a
+table: a minimal perfect hash, and the keys and their hashes in the order of the slots, by which every look-up is
+verified. Two candidates of one hash would be told apart by nothing that is looked up by hash; a table that meets
+two such keys is an error, never a wrong count (`seed` gives other hashes). Mappers send hashes and counts, packed,
+to the tables, where they are added up in arrays by slot, several for a shard with many rows; the arrays of a
+shard are summed by a tree. Counts of the parts that a phrase can be cut into are read from the parts' shards by
+slot. A task holds one table at a time; nothing that grows with the input is broadcast.
 """
 
 from __future__ import annotations
@@ -35,18 +37,20 @@ from .common import documents, materialize, named, shuffle_partitions, small_bat
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 FAN_IN = 64
-KEYS = 1 << 16
-SHARE = 1 << 20
+#: Rows of a shard for one task: packed counts, and single look-ups.
+PACKED, SHARE = 1 << 10, 1 << 20
+SEED = 42
 
 
 class Sizes(NamedTuple):
     """What mappers hold: bits of a level's bitmap (as a power of two), words and distinct words between two rounds
-    of counting, and the bytes that are split at a time."""
+    of counting, the bytes that are split at a time, and the candidates that are counted before they are sent."""
 
     bits: int = 26
     words: int = 1 << 21
     distinct: int = 1 << 19
     slice: int = 4 << 20
+    phrases: int = 1 << 20
 
 
 #: Bits of a hash that are counted; counts stop at MOST.
@@ -302,12 +306,33 @@ def bitmaps(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Size
     return [b"".join(got.get((k, p), bytes(size // 8)) for p in range(1 << width)) for k in levels]
 
 
-def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes()) -> DataFrame:
-    """key (language, line feed, words with blanks), words and n: what a task counts of each candidate."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes(), seed: int = SEED) -> DataFrame:
+    """shard, hashes, counts (packed, by rising hash) and keys (language, line feed, words with blanks): what a task
+    counts of each candidate."""
+    import xxhash
+
+    spark = docs.sparkSession
+    sent, width, hashed = spark.sparkContext.broadcast(filters), part_bits(spark, sizes), xxhash.xxh64_intdigest
 
     def start():
         bits = [Bitmap(f, sizes.bits) for f in sent.value]
+        total: dict[bytes, int] = {}
+
+        def add(keys: list[bytes], n: np.ndarray) -> None:
+            for key, k in zip(keys, n.tolist()):
+                total[key] = total.get(key, 0) + k
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            keys = list(total)
+            h = np.fromiter((hashed(k, seed) for k in keys), np.uint64, len(keys))
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], np.fromiter(total.values(), np.int64, len(keys))[order]
+            total.clear()
+            shards, first = np.unique((h >> np.uint64(64 - width)).astype(np.int64), return_index=True)
+            for shard, a, b in zip(shards.tolist(), first.tolist(), [*first.tolist()[1:], len(h)]):
+                names = pa.array([keys[i] for i in order[a:b].tolist()], pa.binary()).cast(pa.string())
+                columns = [pa.array([shard], pa.int32()), pa.array([h[a:b].tobytes()]), pa.array([n[a:b].tobytes()]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "hashes", "counts", "keys"])
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             for lang, w in held.items():
@@ -315,7 +340,7 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
                 ids, masks = runs.ids, runs.candidates(bits)
                 ones = np.bincount(ids[masks[0]], minlength=1)
                 some = np.flatnonzero(ones)
-                yield made([head + names[i] for i in some.tolist()], 1, ones[some])
+                add([head + names[i] for i in some.tolist()], ones[some])
                 pair = np.full(len(ids), -1, np.int64)
                 for k in range(2, LONGEST + 1):
                     at = np.flatnonzero(masks[k - 1])
@@ -326,14 +351,13 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
                     if k == 2:
                         pair[at] = which
                     rows = ids[at[places][:, None] + np.arange(k)].tolist()
-                    yield made([head + b" ".join([names[i] for i in row]) for row in rows], k, n)
+                    add([head + b" ".join([names[i] for i in row]) for row in rows], n)
+            if len(total) > sizes.phrases:
+                yield from packed()
 
-        return count, lambda: iter(())
+        return count, lambda: packed() if total else iter(())
 
-    def made(keys: list[bytes], k: int, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(np.full(len(keys), k, np.int32)), pa.array(n.astype(np.int64))], names=["key", "words", "n"])
-
-    return mapped(docs, "key string, words int, n long", sizes, start)
+    return mapped(docs, "shard int, hashes binary, counts binary, keys array<string>", sizes, start)
 
 
 class PerfectHash:
@@ -373,127 +397,127 @@ class PerfectHash:
 
 
 class Table:
-    """A perfect hash and its keys by slot, against which every look-up is verified."""
-
-    def __init__(self, hashes: PerfectHash, keys: list[str]):
-        self.hashes, self.keys = hashes, np.array([*keys, None], object)
-        self.rest = {k: self.hashes.placed + i for i, k in enumerate(keys[self.hashes.placed :])}
-
-    @staticmethod
-    def hashed(keys: list[str]) -> np.ndarray:
-        import xxhash
+    """A perfect hash, and by slot its keys and their hashes, against which every look-up is verified."""
 
-        return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+    def __init__(self, levels: PerfectHash, hashes: np.ndarray, keys: pa.Array | list[str]):
+        self.levels, self.hashes, self.keys = levels, hashes, keys
 
     @classmethod
-    def build(cls, keys: list[str]) -> Table:
-        h = cls.hashed(keys)
-        hashes = PerfectHash.build(h)
-        slots = hashes.slots(h)
-        _, n = np.unique(h, return_counts=True)
-        if (n > 1).any():  # such keys reach no bit, or one of another key
-            values, n = np.unique(h, return_counts=True)
-            slots[np.isin(h, values[n > 1])] = -1
-        ordered = np.empty(len(keys), object)
-        alone = np.flatnonzero(slots < 0)
-        slots[alone] = hashes.placed + np.arange(len(alone))
-        ordered[slots] = keys
-        return cls(hashes, ordered.tolist())
-
-    def slots(self, keys: list[str]) -> np.ndarray:
-        """The slot of each key, -1 for what is no key."""
-        got = self.hashes.slots(self.hashed(keys))
-        wrong = np.flatnonzero(self.keys[got] != np.array([*keys, None], object)[:-1])
-        got[wrong] = [self.rest.get(keys[i], -1) for i in wrong.tolist()]
+    def build(cls, keys: list[str], hashes: np.ndarray) -> Table:
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two phrases have one hash: another seed is needed")
+        levels = PerfectHash.build(hashes)
+        slots = levels.slots(hashes)
+        ordered, at = np.empty(len(keys), object), np.empty(len(keys), np.uint64)
+        ordered[slots], at[slots] = keys, hashes
+        return cls(levels, at, ordered.tolist())
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for what is no key's."""
+        got = self.levels.slots(hashes)
+        if len(self.hashes):
+            got[self.hashes[got] != hashes] = -1
         return got
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+def hash_of(key: Column, seed: int = SEED) -> Column:
+    """The hash that mappers give a key, as a signed long (Spark's own has the seed 42)."""
+    if seed != SEED:
+        raise ValueError("look-ups by Spark's hash have its seed")
+    return F.xxhash64(key)
 
 
-TABLE = "shard int, sizes array<int>, bits array<binary>, keys array<string>"
+def shard_of(hashed: Column, width: int) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - width).cast("int") if width else F.lit(0)
+
+
+TABLE = "shard int, sizes array<int>, bits array<binary>, stored binary, keys array<string>"
 
 
 def tables(keys: DataFrame) -> DataFrame:
-    """A table for each shard. keys: shard and key, each key once."""
+    """A table for each shard. keys: shard, h and key, each key once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, hashes = None, [], []
 
         def done() -> pa.RecordBatch:
-            t = Table.build(held)
-            levels = t.hashes.levels
-            columns = [[now], [[len(b) for b in levels]], [[np.packbits(b).tobytes() for b in levels]], [t.keys[:-1].tolist()]]
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "sizes", "bits", "keys"])
+            t = Table.build(held, np.array(hashes, np.int64).view(np.uint64))
+            levels = t.levels.levels
+            columns = [[now], [[len(b) for b in levels]], [[np.packbits(b).tobytes() for b in levels]], [t.hashes.tobytes()], [t.keys]]
+            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "sizes", "bits", "stored", "keys"])
 
         for batch in batches:
-            for shard, key in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, h, key in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
                     if held:
                         yield done()
-                    now, held = shard, []
+                    now, held, hashes = shard, [], []
                 held.append(key)
+                hashes.append(h)
         if held:
             yield done()
 
-    dealt = keys.select("shard", "key").repartition(shuffle_partitions(keys.sparkSession), "shard").sortWithinPartitions("shard")
+    dealt = keys.select("shard", "h", "key").repartition(shuffle_partitions(keys.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, TABLE)
 
 
-def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, share: int = SHARE) -> DataFrame:
-    """work(table, counts, keys, values, of) for the rows (shard, key, value, of) of each table, batch by batch;
-    it gives record batches, or None, and with keys None it is the end of a table's rows.
+def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, share: int) -> DataFrame:
+    """work(head, table, counts, columns) for the rows (shard and further columns) of each table, batch by batch, with
+    the further columns by name; with None, it is the end of a table's rows. It yields record batches.
 
-    made: tables, with counts by slot or null. The rows of a shard of more than `share` are dealt to several
-    tasks, each with a copy of its table.
+    made: shard, sizes, bits, stored and counts by slot (or null). The rows of a shard of more than `share` are dealt
+    to several tasks, each with a copy of its table.
     """
     n = shuffle_partitions(rows.sparkSession)
+    table_columns, own = ["sizes", "bits", "stored", "slots"], [c for c in rows.columns if c != "shard"]
     parts = materialize(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts")), "shard-parts")
-    salted = rows.join(parts, "shard").select("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "value", "of", *[F.lit(None).cast(t).alias(c) for c, t in made.dtypes if c != "shard"])
-    copies = made.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("value"), F.lit(None).cast("string").alias("of"), *[c for c in made.columns if c != "shard"])
+    kinds = dict(made.dtypes)
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("salt")
+    salted = rows.join(parts, "shard").select("shard", salt, F.lit(1).alias("kind"), *own, *[F.lit(None).cast(kinds[c]).alias(c) for c in table_columns])
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "shard"]
+    copies = made.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), *none, *table_columns)
     both = copies.unionByName(salted).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts = head = None
         for batch in batches:
-            kinds = batch.column(2).to_numpy()
-            edges = [0, *np.flatnonzero((kinds[1:] == 0) | (kinds[:-1] == 0)) + 1, batch.num_rows] if batch.num_rows else [0]
+            kind = batch.column(2).to_numpy()
+            edges = [0, *np.flatnonzero((kind[1:] == 0) | (kind[:-1] == 0)) + 1, batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(edges, edges[1:]):
                 part = batch.slice(a, b - a)
                 got = dict(zip(part.schema.names, part.columns))
-                if kinds[a] == 0:
+                if kind[a] == 0:
                     if table is not None:
-                        yield from work(head, table, counts, None, None, None)
+                        yield from work(head, table, counts, None)
                     head = (got["shard"][0].as_py(), got["salt"][0].as_py())
                     levels = [np.unpackbits(np.frombuffer(x, np.uint8), count=s).astype(bool) for x, s in zip(got["bits"][0].as_py(), got["sizes"][0].as_py())]
-                    table, counts = Table(PerfectHash(levels), got["keys"][0].as_py()), got["counts"][0].as_py()
-                    counts = np.zeros(len(table.keys) - 1, np.int64) if counts is None else np.frombuffer(counts, np.int64)
+                    table, counts = Table(PerfectHash(levels), np.frombuffer(got["stored"][0].as_py(), np.uint64), []), got["slots"][0].as_py()
+                    counts = np.zeros(len(table.hashes), np.int64) if counts is None else np.frombuffer(counts, np.int64)
                 else:
-                    yield from work(head, table, counts, got["key"].to_pylist(), got["value"], got["of"])
+                    yield from work(head, table, counts, got)
         if table is not None:
-            yield from work(head, table, counts, None, None, None)
+            yield from work(head, table, counts, None)
 
     return both.mapInArrow(run, schema)
 
 
-def counts_by_slot(made: DataFrame, counted: DataFrame, share: int = SHARE) -> DataFrame:
-    """made with the counts of each table's slots. counted: shard, key and n."""
+def counts_by_slot(made: DataFrame, counted: DataFrame, share: int = PACKED) -> DataFrame:
+    """made with `slots`, the counts of each table's slots. counted: shard, hashes and counts, packed."""
 
-    def work(head, table, counts, keys, values, of) -> Iterator[pa.RecordBatch]:
-        if keys is not None:
-            slots = table.slots(keys)
+    def work(head, table, counts, columns) -> Iterator[pa.RecordBatch]:
+        if columns is None:
+            yield pa.RecordBatch.from_arrays([pa.array([head[0]], pa.int32()), pa.array([head[1]], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["shard", "leaf", "counts"])
+            return
+        for hashes, n in zip(columns["hashes"].to_pylist(), columns["counts"].to_pylist()):
+            slots = table.slots(np.frombuffer(hashes, np.uint64))
             if (slots < 0).any():
                 raise ValueError("a counted phrase is not among the candidates")
-            np.add.at(counts, slots, values.to_numpy())
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array([head[0]], pa.int32()), pa.array([head[1]], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["shard", "leaf", "counts"])
+            counts[slots] += np.frombuffer(n, np.int64)  # a row has each hash once
 
-    rows = counted.select("shard", "key", F.col("n").alias("value"), F.lit(None).cast("string").alias("of"))
-    arrays = materialize(at_tables(made.withColumn("counts", F.lit(None).cast("binary")), rows, "shard int, leaf int, counts binary", work, share), "slot-counts")
-    return materialize(made.join(tree_sum(arrays, ["shard"]), "shard"), "counted-tables")
+    arrays = materialize(at_tables(made.withColumn("slots", F.lit(None).cast("binary")), counted.select("shard", "hashes", "counts"), "shard int, leaf int, counts binary", work, share), "slot-counts")
+    return materialize(made.join(tree_sum(arrays, ["shard"]).withColumnRenamed("counts", "slots"), "shard"), "counted-tables")
 
 
 def frequent(counted: DataFrame, least: int) -> DataFrame:
@@ -501,23 +525,23 @@ def frequent(counted: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("keys", "counts"))):
+            for keys, counts in zip(*batch.columns):
                 n = np.frombuffer(counts.as_py(), np.int64)
                 keep = np.flatnonzero(n >= least)
                 yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(keep)), pa.array(n[keep])], names=["key", "a"])
 
-    return counted.select("keys", "counts").mapInArrow(run, "key string, a long")
+    return counted.select("keys", "slots").mapInArrow(run, "key string, a long")
 
 
 def read_counts(counted: DataFrame, asked: DataFrame, share: int = SHARE) -> DataFrame:
-    """of, value and n (the count of key, read by its slot) of the rows shard, key, value, of."""
+    """of, value and n (the count of the key with hash h, read by its slot) of the rows shard, h, value, of."""
 
-    def work(head, table, counts, keys, values, of) -> Iterator[pa.RecordBatch]:
-        if keys is not None:
-            slots = table.slots(keys)
-            yield pa.RecordBatch.from_arrays([of, values, pa.array(np.where(slots < 0, 0, counts[slots]))], names=["of", "value", "n"])
+    def work(head, table, counts, columns) -> Iterator[pa.RecordBatch]:
+        if columns is not None:
+            slots = table.slots(columns["h"].to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([columns["of"], columns["value"], pa.array(np.where(slots < 0, 0, counts[slots]))], names=["of", "value", "n"])
 
-    return at_tables(counted, asked, "of string, value long, n long", work, share)
+    return at_tables(counted.drop("keys"), asked, "of string, value long, n long", work, share)
 
 
 def language(key: Column) -> Column:
@@ -532,7 +556,7 @@ def _part(words: Column, at: Column | int, n: Column | int) -> Column:
     return F.concat(language(F.col("key")), F.lit("\n"), F.array_join(F.slice(words, F.lit(at) if isinstance(at, int) else at, F.lit(n) if isinstance(n, int) else n), " "))
 
 
-def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, keys: int = KEYS, share: int = SHARE, sizes: Sizes = Sizes()) -> DataFrame:
+def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, packed: int = PACKED, share: int = SHARE, sizes: Sizes = Sizes()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first `top` phrases.
 
     A null language is `und`, null and empty texts have no words; repeated rows count again; a language
@@ -546,18 +570,18 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     first = materialize(hash_counts(docs, (1, 2), [], True, sizes), "hashes-1-2")
     filters = bitmaps(first, (1, 2), least, sizes)
     filters += bitmaps(hash_counts(docs, (3, 4), filters, False, sizes), (3, 4), least, sizes)
+    width = part_bits(spark, sizes)
     local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts")
-    known = materialize(local.select("key").distinct(), "candidates")
-    shards = max(1, -(-known.count() // keys))
-    made = materialize(tables(known.withColumn("shard", shard_of(F.col("key"), shards))), "phrase-tables")
-    counted = counts_by_slot(made, local.withColumn("shard", shard_of(F.col("key"), shards)), share)
+    known = local.select(F.explode("keys").alias("key")).distinct().withColumn("h", hash_of(F.col("key")))
+    made = materialize(tables(known.withColumn("shard", shard_of(F.col("h"), width))), "phrase-tables")
+    counted = counts_by_slot(made, local, packed)
     found = materialize(frequent(counted, least).withColumn("words", F.split(phrase(F.col("key")), " ")), "frequent-phrases")
 
     # the two parts of each cut: value is 2 * (words before the cut) for the first part, and one more for the rest
     size, words = F.size("words"), F.col("words")
     cuts = found.filter(size > 1).select("key", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     halves = F.array(F.struct(_part(words, 1, F.col("k")).alias("part"), (2 * F.col("k")).cast("long").alias("value")), F.struct(_part(words, F.col("k") + 1, size - F.col("k")).alias("part"), (2 * F.col("k") + 1).cast("long").alias("value")))
-    asked = cuts.select(F.col("key").alias("of"), F.explode(halves).alias("h")).select("of", F.col("h.part").alias("key"), "h.value").withColumn("shard", shard_of(F.col("key"), shards))
+    asked = cuts.select(F.col("key").alias("of"), F.explode(halves).alias("h")).select("of", hash_of(F.col("h.part")).alias("h"), "h.value").withColumn("shard", shard_of(F.col("h"), width))
     read = read_counts(counted, materialize(asked, "asked-parts"), share)
     sides = read.groupBy("of", F.floor(F.col("value") / 2).alias("k")).agg(F.max(F.when(F.col("value") % 2 == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("value") % 2 == 1, F.col("n"))).alias("r"))
     scored = sides.join(found.select(F.col("key").alias("of"), "a"), "of").withColumn("score", F.expr("(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"))

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from quire.llm import phrases, prefix_trie, queries, secret_ledger
 from quire.llm.secret_ledger import Ledger, Rule
@@ -50,12 +51,12 @@ def test_op11(spark, tmp_path):
     assert {r[0] for r in got} >= {"und", "en"}
 
 
-@pytest.mark.parametrize("keys, share, sizes", [(5, 7, phrases.Sizes(6, 50, 20, 16)), (40, 100, phrases.Sizes(16, 300, 1000, 64))])
-def test_collocations_do_not_depend_on_sizes(spark, keys, share, sizes):
+@pytest.mark.parametrize("packed, share, sizes", [(1, 7, phrases.Sizes(6, 50, 20, 16, 30)), (3, 100, phrases.Sizes(16, 300, 1000, 64, 100))])
+def test_collocations_do_not_depend_on_sizes(spark, packed, share, sizes):
     """Full filters, many small shards dealt to many tasks, and mappers that count again and again."""
     texts, langs = prose()
     df = spark.createDataFrame(list(zip(langs, texts)), "lang string, text string")
-    got = {tuple(r) for r in phrases.collocations(df, least=20, keys=keys, share=share, sizes=sizes).collect()}
+    got = {tuple(r) for r in phrases.collocations(df, least=20, packed=packed, share=share, sizes=sizes).collect()}
     count, total = Counter(), Counter()
     for text, lang in zip(texts, langs):
         lang = lang or "und"
@@ -76,23 +77,29 @@ def test_collocations_do_not_depend_on_sizes(spark, keys, share, sizes):
     assert got == want and len(want) > 10
 
 
+def hashed(keys):
+    return np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
+
+
 def test_perfect_hash():
     keys = [f"key {i}" for i in range(5000)]
-    table = phrases.Table.build(keys)
-    slots = table.slots(keys)
+    table = phrases.Table.build(keys, hashed(keys))
+    slots = table.slots(hashed(keys))
     assert sorted(slots.tolist()) == list(range(5000))
     assert [table.keys[s] for s in slots] == keys
-    assert (table.slots([f"other {i}" for i in range(5000)]) == -1).all()
-    assert phrases.Table.build([]).slots(["x"]).tolist() == [-1]
+    assert (table.slots(hashed([f"other {i}" for i in range(5000)])) == -1).all()
+    assert phrases.Table.build([], hashed([])).slots(hashed(["x"])).tolist() == [-1]
+
+
+def test_two_keys_of_one_hash_are_an_error():
+    with pytest.raises(ValueError, match="one hash"):
+        phrases.Table.build(["a", "b"], hashed(["a", "a"]))
 
 
-def test_keys_of_one_hash(monkeypatch):
-    """Two different keys whose 64-bit hashes are equal keep slots of their own."""
-    plain = phrases.Table.hashed
-    monkeypatch.setattr(phrases.Table, "hashed", staticmethod(lambda keys: plain(["a" if k == "b" else k for k in keys])))
-    keys = ["a", "b", *map(str, range(50))]
-    table = phrases.Table.build(keys)
-    assert sorted(table.slots(keys).tolist()) == list(range(52)) and table.slots(["c"]).tolist() == [-1]
+def test_hash_is_that_of_spark(spark):
+    keys = ["en\nthe", "", "b\nc\nÉté 🎉 x"]
+    got = spark.createDataFrame([(k,) for k in keys], "key string").select(phrases.hash_of(phrases.F.col("key"))).collect()
+    assert [r[0] % 2**64 for r in got] == hashed(keys).tolist()
 
 
 def test_tree_sum(spark):
