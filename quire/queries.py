@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import books, catalogue, driver, inputs, writes  # noqa: F401  (they add their queries)
+from .plans import books, catalogue, driver, hybrid, inputs, writes  # noqa: F401  (they add their queries)
 from .plans.core import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "structural_candidates"

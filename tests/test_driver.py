@@ -164,3 +164,55 @@ def test_folds():
     assert folds.chosen([], 3, 1) == [] and folds.chosen([1], 0, 1) == []
     step = folds.spaced(10)()
     assert [p for p in (0, 3, 9, 10, 19, 20, 25, 30) if step(p)] == [0, 10, 20, 30]
+
+
+def test_decisions_come_back_by_place(spark, tmp_path):
+    from quire.operators import hybrid
+
+    long_, short = "Word after word. " * 20, "few"
+    rows = [(1, 0, "Same", short, 0.45), (1, 1, "Same", long_, 0.65), (1, 2, "Sure", long_, 0.8), (1, 3, "a" * 10, short, 0.4), (1, 4, "even", None, 0.4), (2, 0, "Same", short, 0.45), (2, 1, "Good", long_, 1.0)]
+    chapters = spark.createDataFrame(rows, "doc_id long, cid int, title string, body string, confidence double")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def start():
+        model = hybrid.offline()
+
+        def counted(prompts):
+            for i, p in enumerate(prompts):
+                (calls / f"{abs(hash(p))}-{i}").touch()
+            return model(prompts)
+
+        return counted
+
+    got = sorted(tuple(r) for r in hybrid.decided(chapters, scorer.Answers(spark, f"{tmp_path}/answers"), start).select("doc_id", "cid", "title", "asked").collect())
+    # document 2 is sure on the whole; of two equal titles one is rejected; what is not understood stays
+    assert got == [(1, 1, "Same", True), (1, 2, "Sure", False), (1, 3, "a" * 10, True), (2, 0, "Same", False), (2, 1, "Good", False)]
+    assert len(list(calls.iterdir())) == 4
+    assert hybrid.decided(chapters.filter("false"), scorer.Answers(spark, f"{tmp_path}/none"), start).count() == 0
+
+
+def test_hybrid_meets_both_branches(spark):
+    got = QUERIES["hybrid_chapters"](spark, "/root/testdata/sf0.01").groupBy("asked").count().collect()
+    assert len(got) == 2 and all(r["count"] > 20 for r in got)
+    assert QUERIES["hybrid_chapters"](spark, "/root/testdata/sf0.01").filter("title like 'Chapter: %'").count()
+
+
+def test_retries_are_used_up(spark):
+    got = {(r.attempts, r.covered) for r in QUERIES["adaptive_retry"](spark, "/root/testdata/sf0.01").collect()}
+    assert {(0, True), (10, True), (10, False)} <= got
+
+
+def test_titles_by_their_rarest_piece(spark):
+    import random
+
+    from quire.operators import segment
+
+    rng = random.Random(9)
+    rows = [(1, i, "".join(rng.choice("ab c가") for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    titles = ["", None, "a", "가가", "ab c", "nowhere in it", *{rows[i][2][3:14] for i in range(40)}, "ab" * 6, "ab" * 6]
+    for some in (titles, ["nowhere in it"], ["가a"]):
+        got = {r.line_num for r in segment.holding(spark.createDataFrame(rows, "doc_id long, line_num int, body string"), spark.createDataFrame([(t,) for t in some], "title string")).collect()}
+        assert got == {i for _, i, b in rows if any(t and t in b for t in some)}
+    plan = segment.holding(spark.createDataFrame(rows, "doc_id long, line_num int, body string"), spark.createDataFrame([(t,) for t in titles], "title string"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
