@@ -210,17 +210,16 @@ def part_bits(spark: SparkSession, sizes: Sizes) -> int:
     return min(sizes.bits - 3, (4 * shuffle_partitions(spark) - 1).bit_length())
 
 
-COUNTED = "level int, part int, hashes binary, counts binary, lang string, n long"
+COUNTED = "level int, part int, hashes binary, counts binary"
 
 
-def hash_counts(docs: DataFrame, levels: tuple[int, ...], filters: list[bytes], totals: bool, sizes: Sizes = Sizes()) -> DataFrame:
-    """Rows of a task's counts by level and range of hashes, and with totals its number of words of each language."""
+def hash_counts(docs: DataFrame, levels: tuple[int, ...], filters: list[bytes], sizes: Sizes = Sizes()) -> DataFrame:
+    """Rows of a task's counts by level and range of hashes."""
     spark = docs.sparkSession
     sent, width = spark.sparkContext.broadcast(filters), part_bits(spark, sizes)  # bitmaps of a fixed size
 
     def start():
         bits = [Bitmap(f, sizes.bits) for f in sent.value]
-        words: dict[str, int] = {}
 
         def packed(k: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             """values: rising, of KEPT bits."""
@@ -228,13 +227,12 @@ def hash_counts(docs: DataFrame, levels: tuple[int, ...], filters: list[bytes],
             some, first = np.unique(parts, return_index=True)
             ends = [*first.tolist()[1:], len(values)]
             rows = [(values[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT // 8].tobytes(), np.minimum(counts[a:b], MOST).astype("<u2").tobytes()) for a, b in zip(first.tolist(), ends)]
-            return made([k] * len(some), some.tolist(), [r[0] for r in rows], [r[1] for r in rows], [None] * len(some), [None] * len(some))
+            return made([k] * len(some), some.tolist(), [r[0] for r in rows], [r[1] for r in rows])
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             found: dict[int, list] = {k: [] for k in levels}
-            for lang, w in held.items():
+            for w in held.values():
                 runs = Runs(w)
-                words[lang] = words.get(lang, 0) + int(np.count_nonzero(runs.ids))
                 masks = runs.candidates(bits)
                 for k in levels:
                     if k == 1:
@@ -252,16 +250,11 @@ def hash_counts(docs: DataFrame, levels: tuple[int, ...], filters: list[bytes],
                     order = np.argsort(values, kind="stable") if k == 1 or len(pairs) > 1 else slice(None)
                     yield packed(k, values[order], counts[order])
 
-        def last() -> Iterator[pa.RecordBatch]:
-            if totals and words:
-                n = len(words)
-                yield made([0] * n, [0] * n, [None] * n, [None] * n, list(words), list(words.values()))
-
-        return count, last
+        return count, lambda: iter(())
 
     def made(*columns: list) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["level", "part", "hashes", "counts", "lang", "n"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["level", "part", "hashes", "counts"])
 
     return mapped(docs, COUNTED, sizes, start)
 
@@ -272,8 +265,7 @@ def bitmaps(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Size
     spark = counted.sparkSession
     width = part_bits(spark, sizes)
     size = 1 << (sizes.bits - width)
-    rows = counted.filter("hashes IS NOT NULL").select("level", "part", "hashes", "counts")
-    dealt = rows.repartition(shuffle_partitions(spark), "level", "part").sortWithinPartitions("level", "part")
+    dealt = counted.repartition(shuffle_partitions(spark), "level", "part").sortWithinPartitions("level", "part")
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +300,7 @@ def bitmaps(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Size
 
 def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes(), seed: int = SEED) -> DataFrame:
     """shard, hashes, counts (packed, by rising hash) and keys (language, line feed, words with blanks): what a task
-    counts of each candidate."""
+    counts of each candidate; and, with the shard -1, languages and their numbers of words."""
     import xxhash
 
     spark = docs.sparkSession
@@ -317,6 +309,7 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
     def start():
         bits = [Bitmap(f, sizes.bits) for f in sent.value]
         total: dict[bytes, int] = {}
+        words: dict[str, int] = {}
 
         def add(keys: list[bytes], n: np.ndarray) -> None:
             for key, k in zip(keys, n.tolist()):
@@ -338,6 +331,7 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
             for lang, w in held.items():
                 runs, names, head = Runs(w), list(w), lang.encode() + b"\n"
                 ids, masks = runs.ids, runs.candidates(bits)
+                words[lang] = words.get(lang, 0) + int(np.count_nonzero(ids))
                 ones = np.bincount(ids[masks[0]], minlength=1)
                 some = np.flatnonzero(ones)
                 add([head + names[i] for i in some.tolist()], ones[some])
@@ -355,14 +349,22 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
             if len(total) > sizes.phrases:
                 yield from packed()
 
-        return count, lambda: packed() if total else iter(())
+        def last() -> Iterator[pa.RecordBatch]:
+            if total:
+                yield from packed()
+            if words:
+                n = np.array(list(words.values()), np.int64)
+                columns = [pa.array([-1], pa.int32()), pa.array([b""]), pa.array([n.tobytes()]), pa.array([list(words)], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "hashes", "counts", "keys"])
+
+        return count, last
 
     return mapped(docs, "shard int, hashes binary, counts binary, keys array<string>", sizes, start)
 
 
 class PerfectHash:
     """Minimal perfect hash: bit arrays, level by level, of the places that one key alone has; a key's slot is the
-    rank of its bit. Keys of one 64-bit hash (next to impossible) get the last slots, and are found by name."""
+    rank of its bit."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels, self.ranks, self.placed = levels, [], 0
@@ -372,7 +374,11 @@ class PerfectHash:
 
     @staticmethod
     def places(h: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mixed(h, np.full(len(h), level, np.uint64)) % np.uint64(size)).astype(np.int64)
+        """Places of the hashes; two that meet on one level are independent of each other on the next."""
+        x = h ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(33))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, h: np.ndarray) -> PerfectHash:
@@ -383,6 +389,8 @@ class PerfectHash:
             bits = np.bincount(at, minlength=size) == 1
             levels.append(bits)
             h = h[~bits[at]]
+        if len(h):
+            raise ValueError("hashes that no level tells apart")
         return cls(levels)
 
     def slots(self, h: np.ndarray) -> np.ndarray:
@@ -434,34 +442,47 @@ def shard_of(hashed: Column, width: int) -> Column:
 TABLE = "shard int, sizes array<int>, bits array<binary>, stored binary, keys array<string>"
 
 
-def tables(keys: DataFrame) -> DataFrame:
-    """A table for each shard. keys: shard, h and key, each key once."""
+def tables(local: DataFrame) -> DataFrame:
+    """A table for each shard, of the keys that its packed rows (shard, hashes, keys) hold between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, hashes = None, [], []
+        now, held = None, {}
 
         def done() -> pa.RecordBatch:
-            t = Table.build(held, np.array(hashes, np.int64).view(np.uint64))
+            t = Table.build(list(held.values()), np.fromiter(held, np.uint64, len(held)))
             levels = t.levels.levels
             columns = [[now], [[len(b) for b in levels]], [[np.packbits(b).tobytes() for b in levels]], [t.hashes.tobytes()], [t.keys]]
             kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "sizes", "bits", "stored", "keys"])
 
         for batch in batches:
-            for shard, h, key in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != now:
+            for shard, hashes, keys in zip(*batch.columns):
+                if shard.as_py() != now:
                     if held:
                         yield done()
-                    now, held, hashes = shard, [], []
-                held.append(key)
-                hashes.append(h)
+                    now, held = shard.as_py(), {}
+                for h, key in zip(np.frombuffer(hashes.as_py(), np.uint64).tolist(), keys.as_py()):
+                    if held.setdefault(h, key) != key:
+                        raise ValueError("two phrases have one hash: another seed is needed")
         if held:
             yield done()
 
-    dealt = keys.select("shard", "h", "key").repartition(shuffle_partitions(keys.sparkSession), "shard").sortWithinPartitions("shard")
+    small_batches(local.sparkSession)
+    dealt = local.select("shard", "hashes", "keys").repartition(shuffle_partitions(local.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, TABLE)
 
 
+def word_totals(local: DataFrame) -> DataFrame:
+    """lang and n, the words of each language, from the rows of the shard -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts, langs in zip(*batch.columns):
+                yield pa.RecordBatch.from_arrays([langs.values, pa.array(np.frombuffer(counts.as_py(), np.int64))], names=["lang", "n"])
+
+    return local.filter("shard < 0").select("counts", "keys").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
 def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, share: int) -> DataFrame:
     """work(head, table, counts, columns) for the rows (shard and further columns) of each table, batch by batch, with
     the further columns by name; with None, it is the end of a table's rows. It yields record batches.
@@ -567,14 +588,13 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     docs = df.select(named(lang_col).alias("lang"), named(text_col).alias("text"))
     if least > MOST:
         raise ValueError(f"counts of hashes stop at {MOST}")
-    first = materialize(hash_counts(docs, (1, 2), [], True, sizes), "hashes-1-2")
-    filters = bitmaps(first, (1, 2), least, sizes)
-    filters += bitmaps(hash_counts(docs, (3, 4), filters, False, sizes), (3, 4), least, sizes)
+    filters = bitmaps(hash_counts(docs, (1, 2), [], sizes), (1, 2), least, sizes)
+    filters += bitmaps(hash_counts(docs, (3, 4), filters, sizes), (3, 4), least, sizes)
     width = part_bits(spark, sizes)
     local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts")
-    known = local.select(F.explode("keys").alias("key")).distinct().withColumn("h", hash_of(F.col("key")))
-    made = materialize(tables(known.withColumn("shard", shard_of(F.col("h"), width))), "phrase-tables")
-    counted = counts_by_slot(made, local, packed)
+    counts = local.filter("shard >= 0")
+    made = materialize(tables(counts), "phrase-tables")
+    counted = counts_by_slot(made, counts, packed)
     found = materialize(frequent(counted, least).withColumn("words", F.split(phrase(F.col("key")), " ")), "frequent-phrases")
 
     # the two parts of each cut: value is 2 * (words before the cut) for the first part, and one more for the rest
@@ -594,8 +614,7 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     named_ = kept.select(language(F.col("of")).alias("lang"), phrase(F.col("of")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = named_.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    totals = first.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(word_totals(local), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

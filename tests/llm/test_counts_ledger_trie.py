@@ -91,6 +91,13 @@ def test_perfect_hash():
     assert phrases.Table.build([], hashed([])).slots(hashed(["x"])).tolist() == [-1]
 
 
+def test_small_tables_have_a_slot_for_every_key():
+    """Many tables of few keys: keys that meet on one level part on another."""
+    for i in range(3000):
+        h = hashed([f"{i} {j}" for j in range(1 + i % 7)])
+        assert sorted(phrases.PerfectHash.build(h).slots(h).tolist()) == list(range(len(h)))
+
+
 def test_two_keys_of_one_hash_are_an_error():
     with pytest.raises(ValueError, match="one hash"):
         phrases.Table.build(["a", "b"], hashed(["a", "a"]))
