@@ -157,3 +157,13 @@ def test_books_read_back_in_order(spark, tmp_path):
     for d in range(4):
         whole = "".join(t for k, _, t in rows if k == d).encode()
         assert (got[d].bytes, got[d].sha256) == (len(whole), hashlib.sha256(whole).hexdigest()) and got[d].files > 5
+
+
+def test_books_share_folders_and_are_listed(spark, tmp_path):
+    rows = [(d, c, "x" * 40 + "\n") for d in range(600) for c in range(2)]
+    text_sink.write_books(spark.createDataFrame(rows, "doc_id long, cid long, text string"), f"{tmp_path}/books", 30)
+    folders = [p for p in (tmp_path / "books").iterdir() if p.is_dir() and p.name != "files"]
+    assert len(folders) <= text_sink.SHELVES  # a folder a book and one a part made 1,800
+    listed = spark.read.parquet(f"{tmp_path}/books/files").collect()
+    assert len(listed) == 1200 and all((tmp_path / "books" / r.file).stat().st_size == r.bytes == 41 for r in listed)
+    assert {(r.files, r.bytes) for r in text_sink.read_books(spark, f"{tmp_path}/books").collect()} == {(2, 82)}
