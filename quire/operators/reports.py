@@ -38,7 +38,7 @@ def summary_reports(chapters: DataFrame, summaries: DataFrame) -> DataFrame:
     summaries (doc_id, cid, summary)."""
     rows = chapters.join(summaries, ["doc_id", "cid"], "left").withColumn("summary", F.coalesce("summary", F.lit(NO_SUMMARY)))
     item = F.struct("cid", "title", "length", "summary")
-    got = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    got = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
 
     def joined(start: str, each) -> Column:
         return F.array_join(F.concat(F.array(F.lit(start)), F.transform("c", each)), "\n")
@@ -56,16 +56,17 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-def book_cards(books: DataFrame) -> DataFrame:
-    """books: id, title, author -> id, html. One card a book; the page is the cards in one gallery."""
+def book_cards(books: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """books: id, title, author -> id, html, and the columns `also`. One card a book; the page is the cards in one
+    gallery."""
     key = escape_html(F.col("id").cast("string"))
-    return books.select("id", F.format_string(CARD, key, escape_html(F.col("title")), F.coalesce(escape_html(F.col("author")), F.lit("Unknown Author"))).alias("html"))
+    return books.select("id", *also, F.format_string(CARD, key, escape_html(F.col("title")), F.coalesce(escape_html(F.col("author")), F.lit("Unknown Author"))).alias("html"))
 
 
 def library_pages(books: DataFrame, shelf: str) -> DataFrame:
-    """shelf, html: the gallery of each shelf's books by id; a shelf whose rows have no id is empty."""
-    cards = book_cards(books.filter("id is not null"))
-    by_id = books.filter("id is not null").select("id", shelf).join(cards, "id").groupBy(shelf).agg(F.array_sort(F.collect_list(F.struct("id", "html"))).alias("c"))
+    """shelf, html: the gallery of each shelf's books by id, one card a row (an id may stand on several); a shelf
+    whose rows have no id is empty."""
+    by_id = book_cards(books.filter("id is not null"), (shelf,)).groupBy(shelf).agg(F.sort_array(F.collect_list(F.struct("id", "html"))).alias("c"))
     rows = books.select(shelf).distinct().join(by_id, shelf, "left")
     body = F.coalesce(F.array_join(F.transform("c", lambda x: x["html"]), ""), F.lit(NO_BOOKS))
     return rows.select(shelf, F.concat(F.lit('<main><div id="gallery">'), body, F.lit("</div></main>")).alias("html"))

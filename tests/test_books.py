@@ -94,3 +94,9 @@ def test_empty_shelf(spark):
     rows = spark.createDataFrame([(1, "<a> & 'b'", None, "x"), (None, None, None, "y")], "id long, title string, author string, shelf string")
     got = {r.shelf: r.html for r in reports.library_pages(rows, "shelf").collect()}
     assert "&lt;a&gt; &amp; &#x27;b&#x27;" in got["x"] and "Unknown Author" in got["x"] and "No books yet" in got["y"]
+
+
+def test_shelf_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, f"t{i}", None, "x") for i in range(30)] + [(2, "u", "v", "y")], "id long, title string, author string, shelf string")
+    got = {r.shelf: r.html for r in reports.library_pages(rows, "shelf").collect()}
+    assert got["x"].count("book-card") == 30 and got["y"].count("book-card") == 1  # a join by id gave 900
