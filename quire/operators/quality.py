@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, SPACE, count_matches
+from ..functions.text import CJK, SPACE, count_letters, count_matches
 
 CJK_MARKS = "，。！？；：、“”‘’（）《》【】—…"
 
@@ -13,10 +13,10 @@ CJK_MARKS = "，。！？；：、“”‘’（）《》【】—…"
 def char_counts(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     bare = F.regexp_replace(text, f"[{SPACE}]+", "")
     return df.withColumns({
-        f"{prefix}cjk": count_matches(bare, f"[{CJK}]").cast("long"),
-        f"{prefix}latin": count_matches(bare, "[a-zA-Z0-9]").cast("long"),
-        f"{prefix}cjk_marks": count_matches(bare, f"[{CJK_MARKS}]").cast("long"),
-        f"{prefix}ascii_marks": count_matches(bare, r"[!-/:-@\[-`{-~]").cast("long"),
+        f"{prefix}cjk": count_letters(bare, f"[{CJK}]").cast("long"),
+        f"{prefix}latin": count_letters(bare, "[a-zA-Z0-9]").cast("long"),
+        f"{prefix}cjk_marks": count_letters(bare, f"[{CJK_MARKS}]").cast("long"),
+        f"{prefix}ascii_marks": count_letters(bare, r"[!-/:-@\[-`{-~]").cast("long"),
         f"{prefix}total": F.length(bare).cast("long"),
         f"{prefix}original": F.length(text).cast("long"),
     })
@@ -27,8 +27,8 @@ def language_by_share(cjk: Column, latin: Column) -> Column:
 
 
 def language_by_cues(text: Column) -> Column:
-    cjk, latin = count_matches(text, f"[{CJK}]"), count_matches(text, "[a-zA-Z]")
-    zh, en = count_matches(text, "[章节卷回部篇]"), count_matches(F.lower(text), "chapter|section|part|volume")
+    cjk, latin = count_letters(text, f"[{CJK}]"), count_letters(text, "[a-zA-Z]")
+    zh, en = count_letters(text, "[章节卷回部篇]"), count_matches(F.lower(text), "chapter|section|part|volume")
     return F.when((F.coalesce(text, F.lit("")) == "") | (cjk > latin * 0.5) | (zh > en), "chinese").otherwise("english")
 
 

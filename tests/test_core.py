@@ -206,3 +206,15 @@ def test_escalated(spark):
 def test_escalation_meets_its_case(spark):
     got = QUERIES["escalated_chapters"](spark, FOLDER).groupBy("doc_id").count().collect()
     assert got and max(r["count"] for r in got) > 1
+
+
+def test_letters_are_counted_without_their_matches(spark):
+    from quire.functions.text import count_letters, strip
+    from quire.operators import quality
+
+    text = "a1 b 첫 章😀,，.\n"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    got = df.select(count_letters(F.col("t"), "[a-zA-Z0-9]").alias("n"), count_letters(F.col("t"), "[一-鿿]").alias("z"), strip(F.concat(F.lit("　 "), "t")).alias("s")).collect()
+    assert [(r.n, r.z, r.s) for r in got] == [(3, 1, text[:-1]), (0, 0, ""), (None, None, None)]
+    plan = quality.char_counts(df, F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan  # one array element a letter before
