@@ -216,3 +216,28 @@ def test_titles_by_their_rarest_piece(spark):
         assert got == {i for _, i, b in rows if any(t and t in b for t in some)}
     plan = segment.holding(spark.createDataFrame(rows, "doc_id long, line_num int, body string"), spark.createDataFrame([(t,) for t in titles], "title string"))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_change_of_topic_needs_no_other_row(spark):
+    from quire.operators import topics
+
+    given = [(1, 1, "the sea the hill", "The SEA a b"), (1, 2, "", ""), (1, 3, None, "x"), (1, 4, "a b", "c"), (2, 1, "x y", "y x")]
+    df = topics.with_change(spark.createDataFrame(given, "doc_id long, window_no int, before string, text string"))
+    plan = plan_of(df)
+    assert "Exchange" not in plan and "Aggregate" not in plan and "Join" not in plan  # words were exploded, counted and joined
+    got = {(r.doc_id, r.window_no): r.change for r in df.collect()}
+    norm = (6 * 4) ** 0.5  # the 2, sea 1, hill 1; the 1, sea 1, a 1, b 1
+    assert got[(1, 1)] == 1.0 - 3 / norm and got[(1, 2)] == got[(1, 3)] == got[(1, 4)] == 1.0 and abs(got[(2, 1)]) < 1e-12
+
+
+def test_prompts_shuffle_lines_once(spark):
+    rows = lines.explode_lines(spark.createDataFrame([(1, "a\n\nb\nc\nd\ne\nf\ng"), (2, "x")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, 2, "b", 0.5), (2, 0, "x", 0.4), (2, 7, "no line", 0.4)], "doc_id long, line_num int, text string, confidence double")
+    df = scorer.with_prompts(asked, rows)
+    assert "Join" not in plan_of(df)  # all lines' neighbours were joined to the candidates
+    got = {(r.doc_id, r.line_num): (r.confidence, r.prompt.partition("[before]")[2]) for r in df.collect()}
+    assert got == {(1, 2): (0.5, "\na\n[line]\nb\n[after]\nc\nd\ne\nf\ng"), (2, 0): (0.4, "\n\n[line]\nx\n[after]\n")}
