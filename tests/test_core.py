@@ -218,3 +218,21 @@ def test_letters_are_counted_without_their_matches(spark):
     assert [(r.n, r.z, r.s) for r in got] == [(3, 1, text[:-1]), (0, 0, ""), (None, None, None)]
     plan = quality.char_counts(df, F.col("t"))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "regexp_count" not in plan  # one array element a letter before
+
+
+def test_titles_are_found_without_shuffled_pieces(spark):
+    rng = random.Random(5)
+    bodies = ["".join(rng.choice("ab 가😀") for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", "가"]
+    titles = sorted({b[i : i + n] for b in bodies if b and len(b) > 20 for i, n in ((rng.randint(0, 8), rng.randint(1, 14)),)})[::4] + ["never there at all", "", None]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string").select("doc_id", F.lit(3).alias("line_num"), "body")
+    df = segment.holding(rows, spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()  # a row for each piece of each line before
+    assert sorted(r.doc_id for r in df.collect()) == [i for i, b in enumerate(bodies) if b and any(t and t in b for t in titles)]
+    assert segment.holding(rows, spark.createDataFrame([], "title string")).count() == 0
+
+
+def test_long_texts_are_cut_with_overlap():
+    texts = ["", "abc", "x" * 5 + "needle78" + "y" * 30, "z"]
+    cut = list(segment.slices(texts, 9))
+    assert max(len(t) for _, some in cut for t in some) <= 9 + segment.GRAM - 1 and {i for n, _ in cut for i in n} == {0, 1, 2, 3}
+    assert any("needle78" in t for n, some in cut for i, t in zip(n, some) if i == 2)
