@@ -75,11 +75,11 @@ def hierarchy(docs: DataFrame) -> DataFrame:
     per_section = rows.groupBy("doc_id", "volume_no", "chapter_no", "section_no").agg(
         F.first("language").alias("language"), F.first("volume_title").alias("volume_title"), F.first("has_chapters").alias("has_chapters"), F.first("has_volumes").alias("has_volumes"), F.max("_form").alias("_form"),
         F.max(F.when(F.col("is_chapter"), form_title(F.col("line"), lang, "chapter"))).alias("raw_title"), F.max("_sec_title").alias("section_title"),
-        F.array_sort(F.collect_list(F.when(~head, F.struct("line_num", "line", (~F.col("_sec")).alias("plain"))))).alias("lines"),
+        F.sort_array(F.collect_list(F.when(~head, F.struct("line_num", "line", (~F.col("_sec")).alias("plain"))))).alias("lines"),
     )
     per_chapter = per_section.groupBy("doc_id", "volume_no", "chapter_no").agg(
         *[F.first(c).alias(c) for c in ("language", "volume_title", "has_chapters", "has_volumes", "_form")], F.max("raw_title").alias("raw_title"),
-        F.array_sort(F.collect_list(F.struct("section_no", "section_title", "lines"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("section_no", "section_title", "lines"))).alias("parts"),
     )
     whole = _edges(_joined(F.flatten(F.col("parts")["lines"])))
     per_chapter = per_chapter.withColumn("whole", whole).withColumn("first_volume", F.min("volume_no").over(Window.partitionBy("doc_id", "volume_title")))

@@ -58,7 +58,7 @@ def mapping_pairs(lines: DataFrame) -> DataFrame:
 
 def mapping_text(pairs: DataFrame, key: str) -> DataFrame:
     """key and text: the two-line records of each key's pairs (old, new), by old."""
-    rows = F.array_sort(F.collect_list(F.struct("old", "new")))
+    rows = F.sort_array(F.collect_list(F.struct("old", "new")))
     return pairs.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: F.concat(r["old"], F.lit("\n→ "), r["new"], F.lit("\n"))), "\n").alias("text"))
 
 
