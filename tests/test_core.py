@@ -236,3 +236,14 @@ def test_long_texts_are_cut_with_overlap():
     cut = list(segment.slices(texts, 9))
     assert max(len(t) for _, some in cut for t in some) <= 9 + segment.GRAM - 1 and {i for n, _ in cut for i in n} == {0, 1, 2, 3}
     assert any("needle78" in t for n, some in cut for i, t in zip(n, some) if i == 2)
+
+
+def test_near_anchors_in_one_order(spark):
+    rng = random.Random(3)
+    rows = [(d, p, rng.random() < 0.2) for d in range(20) for p in rng.sample(range(300), 40)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, anchor boolean")
+    got = boundaries.without_near_marked(df, F.col("anchor"), "pos", 10)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.pos) for r in got.collect()} == {(d, p) for d, p, a in rows if not a and not any(b and e == d and abs(p - q) < 10 for e, q, b in rows)}
+    plan = QUERIES["anchor_antijoin_lines"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") <= 2  # lines were made, scored and dealt twice, and joined
