@@ -76,8 +76,10 @@ def logged_run(spark, d):
     """A run over new files in several batches, with its counts by batch."""
     source, out = _place(spark, "run-source"), _place(spark, "run")
     rows = docs(spark, d).select("doc_id", "text")
-    rows.repartition(4, "doc_id").write.parquet(source)
-    incremental.run_new_files(spark, source, "doc_id long, text string", lambda df: df.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), f"{out}/rows", f"{out}/checkpoint", log=f"{out}/log", failed=F.col("n") <= 200, files_per_batch=1)
+    # four batches at least, of files whose number grows with the table
+    each = max(1, -(-max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))) // 4))
+    rows.repartition(4 * each, "doc_id").write.parquet(source)
+    incremental.run_new_files(spark, source, "doc_id long, text string", lambda df: df.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), f"{out}/rows", f"{out}/checkpoint", log=f"{out}/log", failed=F.col("n") <= 200, files_per_batch=each)
     return incremental.run_counts(spark, f"{out}/log").select("total", "success", "failed")
 
 

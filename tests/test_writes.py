@@ -167,3 +167,23 @@ def test_books_share_folders_and_are_listed(spark, tmp_path):
     listed = spark.read.parquet(f"{tmp_path}/books/files").collect()
     assert len(listed) == 1200 and all((tmp_path / "books" / r.file).stat().st_size == r.bytes == 41 for r in listed)
     assert {(r.files, r.bytes) for r in text_sink.read_books(spark, f"{tmp_path}/books").collect()} == {(2, 82)}
+
+
+def test_logged_run_deals_more_files_than_batches(spark, monkeypatch):
+    from quire.plans import writes
+
+    seen = {}
+    run = incremental.run_new_files
+
+    def kept(session, source, *args, **options):
+        seen.update(files=len(session.read.parquet(source).inputFiles()), each=options["files_per_batch"])
+        return run(session, source, *args, **options)
+
+    monkeypatch.setattr(writes.incremental, "run_new_files", kept)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        (r,) = writes.logged_run(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert r.total == r.success + r.failed == 200 and seen == {"files": 12, "each": 3}  # four files, whatever the size
