@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, squeeze, strip
+from ..functions.text import SPACE, let, squeeze, strip
 
 # fixed values
 _ZH_NUMBER = "[一二三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟萬]+|[0-9]{1,3}"
@@ -99,33 +99,37 @@ def _before_last(text: Column, mark: str) -> Column:
 
 def found_title(content: Column, language: Column, most: int = 20) -> Column:
     """A title taken from the content: its first fitting sentence, or else its beginning; '' if it has neither."""
-    body = strip(F.coalesce(content, F.lit("")))
-    zh = F.regexp_replace(body, ZH_OPENERS, "")
+    return let(strip(F.coalesce(content, F.lit(""))), lambda body: _found_title(body, language, most))
 
+
+def _found_title(body: Column, language: Column, most: int) -> Column:
     def first(text: Column, marks: str, least: int, words: str) -> Column:
         found = F.filter(F.transform(F.split(text, marks), lambda s: strip(s)), lambda s: F.length(s).between(least, 2 * most) & s.rlike(words))
         return F.get(found, F.lit(0))
 
-    sentence = first(zh, "[。！？；]", 5, "[的之在了是]")
-    head, cut = F.substring(sentence, 1, most), None
-    for mark in ZH_BREAKS:
-        has = F.contains(head, F.lit(mark))
-        cut = F.when(has, _before_last(head, mark)) if cut is None else cut.when(has, _before_last(head, mark))
-    start = F.substring(zh, 1, most)
-    whole = F.coalesce(F.nullif(F.regexp_extract(start, "(?s)^(.+)[ ，。！？；：]", 1), F.lit("")), start)
-    chinese = F.when(sentence.isNotNull(), F.when(F.length(sentence) > most, F.coalesce(cut, head)).otherwise(sentence)).when(F.length(zh) >= 5, F.when(F.length(zh) > most, whole).otherwise(zh))
+    def chinese(zh: Column, sentence: Column) -> Column:
+        head, cut = F.substring(sentence, 1, most), None
+        for mark in ZH_BREAKS:
+            has = F.contains(head, F.lit(mark))
+            cut = F.when(has, _before_last(head, mark)) if cut is None else cut.when(has, _before_last(head, mark))
+        start = F.substring(zh, 1, most)
+        whole = F.coalesce(F.nullif(F.regexp_extract(start, "(?s)^(.+)[ ，。！？；：]", 1), F.lit("")), start)
+        return F.when(sentence.isNotNull(), F.when(F.length(sentence) > most, F.coalesce(cut, head)).otherwise(sentence)).when(F.length(zh) >= 5, F.when(F.length(zh) > most, whole).otherwise(zh))
+
+    def english(sentence: Column) -> Column:
+        start = squeeze(strip(F.substring(body, 1, most)))
+        return F.when(sentence.isNotNull(), squeeze(strip(F.substring(sentence, 1, most)))).when(F.length(body) >= 10, F.regexp_replace(start, " [^ ]*$", ""))
 
-    sentence = first(body, "[.!?;]", 10, EN_LINKS)
-    start = squeeze(strip(F.substring(body, 1, most)))
-    english = F.when(sentence.isNotNull(), squeeze(strip(F.substring(sentence, 1, most)))).when(F.length(body) >= 10, F.regexp_replace(start, " [^ ]*$", ""))
-    return strip(F.coalesce(by_language(language, chinese, english), F.lit("")))
+    of_zh = let(F.regexp_replace(body, ZH_OPENERS, ""), lambda zh: let(first(zh, "[。！？；]", 5, "[的之在了是]"), lambda s: chinese(zh, s)))
+    of_en = let(first(body, "[.!?;]", 10, EN_LINKS), english)
+    return strip(F.coalesce(by_language(language, of_zh, of_en), F.lit("")))
 
 
 def enhanced(title: Column, content: Column, language: Column) -> Column:
     """A bare number with a title found in the content; other titles stay."""
     label = F.coalesce(F.nullif(by_language(language, F.regexp_extract(title, ZH_LABEL, 1), F.regexp_extract(title, EN_LABEL, 1)), F.lit("")), title)
-    more = found_title(content, language)
-    return F.when(is_bare(title, language) & (more != ""), F.concat(label, by_language(language, F.lit(" "), F.lit(": ")), more)).otherwise(title)
+    named = let(found_title(content, language), lambda more: F.when(more != "", F.concat(label, by_language(language, F.lit(" "), F.lit(": ")), more)).otherwise(title))
+    return F.when(is_bare(title, language), named).otherwise(title)
 
 
 def chapter_confidence(title: Column, content: Column, language: Column) -> Column:
