@@ -6,9 +6,12 @@ order by document and line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.text import SPACE, strip
 from .headings import TOC_WORDS, by_language, is_form
 from .lines import before, by_line
@@ -17,15 +20,22 @@ FRAME, STEP, SCANNED, THRESHOLD, LONGEST = 20, 3, 500, 30.0, 300
 DECORATION = f"[—\\-=_*#【】\\[\\]《》<>「」『』（）(){SPACE}]"
 
 
+def _decorated(words: list[str]) -> Column:
+    """Whether body is one of the words but for decoration. It is taken off only lines with all letters that the
+    words share."""
+    shared = sorted(set.intersection(*map(set, words)))
+    return reduce(Column.__and__, [F.contains("body", F.lit(x)) for x in shared] + [F.regexp_replace("body", DECORATION, "").isin(words)])
+
+
 def toc_lines(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, language. Every line (a last line end opens one more) with its cues."""
     rows = docs.select("doc_id", "language", F.posexplode(F.split("text", "\n")).alias("line_num", "line"))
     body = strip(F.col("line"))
     out = rows.withColumn("body", body).withColumn("size", F.length("body"))
     lang = F.col("language")
-    words = by_language(lang, *(F.lower("body").isin([w.lower() for w in TOC_WORDS[k]]) | F.regexp_replace("body", DECORATION, "").isin(TOC_WORDS[k]) for k in ("chinese", "english")))
+    words = by_language(lang, *(((F.length("body") <= max(map(len, TOC_WORDS[k]))) & F.lower("body").isin([w.lower() for w in TOC_WORDS[k]])) | _decorated(TOC_WORDS[k]) for k in ("chinese", "english")))
     chapter = is_form(F.col("body"), lang, "chapter") | is_form(F.col("body"), lang, "volume")
-    return out.select("doc_id", "line_num", "body", "size", words.alias("is_word"), chapter.alias("is_chapter"), (chapter & (F.col("size") < 80)).alias("is_entry"))
+    return out.select("doc_id", "line_num", "body", "size", words.alias("is_word"), chapter.alias("is_chapter"), (chapter & (F.col("size") < 80)).alias("is_entry"), F.right("body", F.lit(1)).isin(*"0123456789").alias("has_page"))
 
 
 def window_scores(lines: DataFrame) -> DataFrame:
@@ -38,7 +48,7 @@ def window_scores(lines: DataFrame) -> DataFrame:
         "longest_run": F.array_max(F.transform(F.split(runs, "0+"), lambda x: F.length(x))),
         "chars": F.sum("size").over(w),
         "short_share": F.sum(short).over(w) / F.count("*").over(w),
-        "has_pages": F.max(F.col("body").rlike("[0-9]$")).over(w),
+        "has_pages": F.max("has_page").over(w),
     })
     density = F.when(F.col("chars") > 100, F.col("entries") * 1000 / F.col("chars")).otherwise(0.0)
     score = F.when(density > 100, density * 0.5).otherwise(0.0) + F.when(F.col("entries") >= 5, F.col("entries") * 2.0).otherwise(0.0) + F.when(F.col("longest_run") >= 3, F.col("longest_run") * 10.0).otherwise(0.0)
@@ -54,6 +64,7 @@ def chapter_runs(lines: DataFrame) -> DataFrame:
 
 def toc_regions(lines: DataFrame) -> DataFrame:
     """doc_id, toc_start, toc_end (both inside) of the documents that have one."""
+    lines = written(lines.drop("body"), "toc-lines")  # read three times; cues of texts are made once
     named = lines.filter("is_word").groupBy("doc_id").agg(F.min("line_num").alias("named"))
     dense = window_scores(lines).filter(F.col("score") > THRESHOLD).groupBy("doc_id").agg((-F.max(F.struct("score", (-F.col("line_num")).alias("n")))["n"]).alias("dense"))
     starts = named.join(dense, "doc_id", "full").select("doc_id", F.coalesce("named", "dense").alias("toc_start"))

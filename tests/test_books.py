@@ -100,3 +100,13 @@ def test_shelf_with_repeated_ids(spark):
     rows = spark.createDataFrame([(1, f"t{i}", None, "x") for i in range(30)] + [(2, "u", "v", "y")], "id long, title string, author string, shelf string")
     got = {r.shelf: r.html for r in reports.library_pages(rows, "shelf").collect()}
     assert got["x"].count("book-card") == 30 and got["y"].count("book-card") == 1  # a join by id gave 900
+
+
+def test_contents_are_searched_in_a_table_of_lines(spark):
+    text = "\n".join(["【目 录】", *[f"第{i}章 山路" for i in range(1, 9)], "", "长" * 120, "页 7"])
+    docs = spark.createDataFrame([(1, text, "chinese"), (2, "-- Contents --\nChapter 1\nChapter 2\n\n" + "x" * 120, "english")], "doc_id long, text string, language string")
+    rows = {(r.doc_id, r.line_num): r for r in toc.toc_lines(docs).collect()}
+    assert rows[1, 0].is_word and rows[2, 0].is_word and not rows[1, 1].is_word and rows[1, 11].has_page and not rows[1, 10].has_page
+    found = toc.without_toc(docs)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()  # lines are made once, before
+    assert {r.doc_id: (r.toc_start, r.toc_end) for r in found.collect()} == {1: (0, 9), 2: (0, 3)}
