@@ -110,3 +110,13 @@ def test_contents_are_searched_in_a_table_of_lines(spark):
     found = toc.without_toc(docs)
     assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()  # lines are made once, before
     assert {r.doc_id: (r.toc_start, r.toc_end) for r in found.collect()} == {1: (0, 9), 2: (0, 3)}
+
+
+def test_a_step_of_the_retry_names_the_marks_a_few_times(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["A1", "x" * 40, "B2", "x" * 40] * 200))], "doc_id long, text string")
+    library = ["^A[0-9]+$", "^B[0-9]+$", "^(C)\\1$"]
+    for some in (library, library[:2]):
+        found = patterns.adaptive(patterns.marks(lines.explode_lines(docs), some), F.lit(0), some, behind=500, tail=10)
+        plan = found.select("chosen")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("marks#") < 12
+        assert [(r.chosen, r.covered) for r in found.collect()] == [(2, True)]
