@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import driver, folds, lines, scorer, structure, topics
+from quire.operators import driver, folds, lines, scorer, segment, structure, topics
 from quire.plans.driver import LIBRARY
 from quire.queries import QUERIES
 
@@ -241,3 +241,31 @@ def test_prompts_shuffle_lines_once(spark):
     assert "Join" not in plan_of(df)  # all lines' neighbours were joined to the candidates
     got = {(r.doc_id, r.line_num): (r.confidence, r.prompt.partition("[before]")[2]) for r in df.collect()}
     assert got == {(1, 2): (0.5, "\na\n[line]\nb\n[after]\nc\nd\ne\nf\ng"), (2, 0): (0.4, "\n\n[line]\nx\n[after]\n")}
+
+
+def test_windows_are_made_once_and_lines_are_not_joined_back(spark):
+    text = "\n".join(["The red boat sailed over the sea."] * 80 + ["", "Numbers of taxes and law courts grow."] * 80)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = structure.marked_lines(docs)
+    near = spark.createDataFrame([(1, 1500), (1, 1500)], "doc_id long, char_pos long")
+    expected = spark.createDataFrame([(1, 3)], "doc_id long, k long")
+    found = topics.topic_changes(docs, expected, rows, near)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(filter(") == plan.count("Generate explode(") == 1
+    assert {r.window_no for r in topics.windows(docs, expected, near).collect()} == {w.window_no for w in topics.windows(docs, expected).collect() if abs(w.char_pos - 1500) >= topics.NEAR}
+
+
+def test_bodies_lose_matching_pieces_inside_lines_and_tails(spark):
+    text = ["Chapter 1", "a\rChapter 9\rb", "Chapter 2 Chapter 4 opens a tail of a heading", "text " * 30, "Chapter 3", "end"]
+    docs = spark.createDataFrame([(1, "\n".join(text))], "doc_id long, text string")
+    made = segment.chapters_by_rules(structure.explode_lines(docs), "^Chapter [0-9]+").orderBy("cid").collect()
+    assert [r.body for r in made] == ["a\nb", ("text " * 30).strip(), "end"]
+
+
+def test_words_are_counted_only_where_a_score_needs_them(spark):
+    docs = spark.createDataFrame([(1, "x\nTHIS IS ALL IN CAPITALS NOW\nthis is not in capitals at all")], "doc_id long, text string")
+    marked = structure.marked_lines(docs)
+    few, every = (structure.features(structure.explode_lines(docs), (), all_words=x).orderBy("line_num").collect() for x in (False, True))
+    assert [r.word_count for r in few] == [6, None] and [r.word_count for r in every] == [6, 7]
+    whole = {r.line_num: r.confidence for r in structure.scored_lines(structure.explode_lines(docs)).collect()}
+    assert {r.line_num: r.confidence for r in marked.collect() if r.confidence is not None} == whole
