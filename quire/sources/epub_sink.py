@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+SLICE_BYTES = 8 << 20  # of finished files in a batch
 
 
 def build_epub(title: str, author: str, chapters: list[tuple[str, str]]) -> bytes:
@@ -35,11 +40,23 @@ def build_epub(title: str, author: str, chapters: list[tuple[str, str]]) -> byte
 
 
 def epubs(chapters: DataFrame) -> DataFrame:
-    """doc_id, title and epub (bytes) of each document's chapters (doc_id, cid, title, body)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid")
-        title = f"document {pdf.doc_id.iloc[0]}"
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "title": [title], "chapters": [len(pdf)], "epub": [build_epub(title, "", list(zip(pdf.title, pdf.body)))]})
-
-    return chapters.select("doc_id", "cid", "title", "body").groupBy("doc_id").applyInPandas(one, "doc_id long, title string, chapters long, epub binary")
+    """doc_id, title, chapters (their number) and epub (bytes) of each document's chapters (doc_id, cid, title, body)."""
+    # a document's chapters come as one row, in their order, and a task builds rows one after another
+    rows = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cid", "title", "body"))).alias("c"))
+    schema = pa.schema([("doc_id", pa.int64()), ("title", pa.string()), ("chapters", pa.int64()), ("epub", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, size = [], 0
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                heads, bodies = (found.values.field(n).to_pylist() for n in ("title", "body"))
+                title = f"document {'nan' if doc is None else doc}"
+                done.append((doc, title, len(heads), build_epub(title, "", list(zip(heads, bodies)))))
+                size += len(done[-1][3])
+                if size > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+                    done, size = [], 0
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, title string, chapters long, epub binary")

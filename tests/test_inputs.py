@@ -93,3 +93,11 @@ def test_incremental_runs(spark, tmp_path):
     for f in (tmp_path / "state" / "commits").glob("*1*"):
         f.unlink()
     assert run() == [1, 2, 3]
+
+
+def test_books_are_built_in_a_stream_of_rows(spark):
+    rows = [(d, c, f"t{c}", None if c == 1 else f"body {c}\n<{d}>") for d in (1, 2, None) for c in (2, 0, 1)]
+    made = epub_sink.epubs(spark.createDataFrame(rows, "doc_id long, cid int, title string, body string"))
+    want = {d: epub_sink.build_epub(f"document {'nan' if d is None else d}", "", [(f"t{c}", "" if c == 1 else f"body {c}\n<{d}>") for c in range(3)]) for d in (1, 2, None)}
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: bytes(r.epub) for r in made.collect()} == want and {r.chapters for r in made.collect()} == {3}
