@@ -346,4 +346,4 @@ def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every
     document: stored, read back and decoded; nulls, repeats and empty tables as in store."""
-    return payload_features(materialize(store(documents(spark, sf_dir)), "gifs"))
+    return payload_features(materialize(store(documents(spark, sf_dir)), "gifs", compression="zstd"))
