@@ -26,6 +26,7 @@ from .common import SLICE_BYTES, documents, map_columns, materialize, named
 CLEAR, END, TOP = 256, 257, 4096
 WIDTH, MOST_ROWS = 64, 65_535
 BINS = 8
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "4", "parquet.page.size": str(4 << 20)}
 
 
 def _widths(n: int, code_size: int, clear: int) -> np.ndarray:
@@ -335,7 +336,7 @@ def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads stored GIFs into a stored frame table (timed frames, with their pixels and histograms), and from it one row a file: digests of the samples and of the file, and the frames' colour
     histogram. Repeated rows get a result each; an empty table gives none; a damaged file is an error."""
     files = media.select(named(id_col).alias("id"), "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), "gif")
-    table = materialize(gif_frames(files, ["id", "n_bytes", "media_bytes", "media_sha256"]), "gif-frames", compression="zstd")
+    table = materialize(gif_frames(files, ["id", "n_bytes", "media_bytes", "media_sha256"]), "gif-frames", **STORED)
     last = table.filter("frames is not null or error is not null")
     sound = F.when(F.col("error").isNull(), F.col("frames")).otherwise(F.raise_error(F.concat(F.lit("a stored GIF is damaged: "), F.col("error"))))
     bins = F.concat_ws(",", F.transform("reds", lambda b: b.cast("string")))
@@ -346,4 +347,4 @@ def payload_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every
     document: stored, read back and decoded; nulls, repeats and empty tables as in store."""
-    return payload_features(materialize(store(documents(spark, sf_dir)), "gifs", compression="zstd"))
+    return payload_features(materialize(store(documents(spark, sf_dir)), "gifs", **STORED))
