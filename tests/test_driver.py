@@ -269,3 +269,15 @@ def test_words_are_counted_only_where_a_score_needs_them(spark):
     assert [r.word_count for r in few] == [6, None] and [r.word_count for r in every] == [6, 7]
     whole = {r.line_num: r.confidence for r in structure.scored_lines(structure.explode_lines(docs)).collect()}
     assert {r.line_num: r.confidence for r in marked.collect() if r.confidence is not None} == whole
+
+
+def test_words_of_windows_are_counted_once(spark):
+    """A filter on the change made the counts of words twice, in nested arrays of rows."""
+    texts = [("a b a", "A, b; c"), ("", "x"), (None, "x"), ("1 2 3", "..."), ("배 가 배", "배"), ("x " * 600, "x " * 600), ("İi ß", "i̇i ß")]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(texts)], "doc_id long, window_no int, before string, text string").repartition(1)
+    found = topics.with_change(rows)
+    plan = found.filter("change >= 0.6").select("doc_id", "change")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2 and "aggregate(" not in plan
+    got = {r.window_no: r.change for r in found.collect()}
+    assert got == {0: 1.0 - 3 / math.sqrt(5 * 3), 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0 - 2 / math.sqrt(5 * 1), 5: 0.0, 6: got[6]}
+    assert topics.with_change(rows.limit(0)).collect() == [] and found.columns == [*rows.columns, "change"]
