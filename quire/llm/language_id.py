@@ -24,14 +24,15 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, map_columns, named, small_batches
+from .common import documents, fresh, named, small_batches
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 400
@@ -39,24 +40,31 @@ SAMPLE_CHARS = 60_000
 FULL_LANGUAGES = 64
 MIN_DOCS, MIN_CHARS = 16, 400  # a language, however many there are
 FEW = 8  # so few texts are parsed one by one, more of them side by side
-GROUP_LETTERS = 2 << 20  # texts held as letters at a time, unless a single one has more
+GROUP_LETTERS = 4 << 20  # texts held as letters at a time, unless a single one has more
 STRANGE, FEWEST = 2.5, 100
 
 
-def _numerals() -> str:
-    """A character class's inside: numerals that are not decimal digits, which are word characters but no letters."""
+def _letters(below: int) -> re.Pattern:
+    """Runs of letters, as a class of ranges: one look-up for a character, where a class that names what it leaves out
+    tries each part."""
     found, start = [], None
-    for c in range(0x110001):
-        here = c <= 0x10FFFF and unicodedata.category(chr(c)) in ("Nl", "No")
+    for c in range(below + 1):
+        here = c < below and chr(c).isalpha()
         if here and start is None:
             start = c
         elif not here and start is not None:
             found.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
-    return "".join(found)
+    return re.compile(f"[{''.join(found)}]+")
 
 
-WORDS = re.compile(rf"[^\W\d_{_numerals()}]+")
+WORDS, SHORT_WORDS = _letters(0x110000), _letters(0x10000)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; the look-up of all letters is slow, and only texts with characters past 16 bits need it."""
+    wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return (WORDS if wide else SHORT_WORDS).findall(text)
 
 
 class SuffixAutomaton:
@@ -121,8 +129,8 @@ class SideBySide:
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         code, width = {c: k for k, c in enumerate(letters, 1)}, len(letters) + 1
         self.first = np.cumsum([0] + [len(a.moves) for a in automata])
-        self.roots = self.first[:-1].astype(np.int32)
-        base = np.zeros(self.first[-1], np.int32)
+        self.roots = self.first[:-1].astype(np.int64)
+        base = np.zeros(self.first[-1], np.int64)  # places are of 64 bits, which numpy takes as they are
         moves = [(int(f) + s, sorted((code[c], int(f) + t) for c, t in m.items())) for a, f in zip(automata, self.first) for s, m in enumerate(a.moves) if m]
         moves.sort(key=lambda m: -len(m[1]))
         used = bytearray(2 * sum(len(m) for _, m in moves) + 3 * width)
@@ -154,6 +162,8 @@ class SideBySide:
         for k, a in enumerate(automata):
             for c, t in a.moves[0].items():
                 self.starts[code[c], k] = self.first[k] + t
+        self.nowhere = self.starts == self.roots
+        self.lacking = self.nowhere.any(1)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """A row for each text with its number of phrases in each language."""
@@ -162,22 +172,37 @@ class SideBySide:
         found = np.zeros((len(texts), len(self.automata)), np.int64)
         at, count = 0, np.zeros_like(found)
         state = np.tile(self.roots, (len(texts), 1))
+        final, misses = state.copy(), np.zeros(state.shape, np.int32)
         if len(texts) > FEW:
             flat = self.code[np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
             begin = np.cumsum(sizes) - sizes
             active = np.searchsorted(-sizes, -np.arange(int(sizes[FEW])), side="left")  # texts longer than each place
+            base, owner, to, starts = self.base, self.owner, self.to, self.starts
             for at, k in enumerate(active.tolist()):
-                letter, s = flat[begin[:k] + at], state[:k]
-                i = self.base[s] + letter[:, None]
-                missed = self.owner[i] != s
-                start = self.starts[letter]
-                count[:k] += missed & (s != self.roots)
-                count[:k] += missed & (start == self.roots)
-                state[:k] = np.where(missed, start, self.to[i])
+                if k < len(state):  # texts that end here keep their states
+                    final[k : len(state)], count[k : len(state)] = state[k:], misses[k:]
+                    state, misses, begin = state[:k], misses[:k], begin[:k]
+                letter = flat.take(begin + at)
+                i = base.take(state)
+                i += letter[:, None]
+                missed = owner.take(i) != state
+                misses += missed
+                state = np.where(missed, starts.take(letter, 0), to.take(i))
+            final[: len(state)], count[: len(state)] = state, misses
+            # a letter that is nowhere is a phrase, and ends the one before it, unless that is another such letter
+            alone = np.flatnonzero(self.lacking.take(flat))
+            ends_at = np.cumsum(sizes)
+            row = np.searchsorted(ends_at, alone, side="right")
+            place = alone - (ends_at - sizes)[row]
+            inside = (place > 0) & (place < len(active))
+            ends = self.nowhere[flat[alone[inside]]] & ~self.nowhere[flat[alone[inside] - 1]]
+            rows, first = np.unique(row[inside], return_index=True)
+            if len(rows):
+                count[rows] += np.add.reduceat(ends, first, axis=0, dtype=np.int64)
             at = len(active)
         for row, i in enumerate(order):
             for k, a in enumerate(self.automata):
-                open_state = int(state[row, k] - self.first[k])
+                open_state = int(final[row, k] - self.first[k])
                 rest = a.phrases(texts[i][at:], open_state) if sizes[row] > at else open_state != 0
                 found[i, k] = count[row, k] + rest
         return found
@@ -218,7 +243,7 @@ class CrossParser:
             return found
         held, size = [], 0
         for i, text in enumerate(texts):
-            words = WORDS.findall(text) if text else []
+            words = words_of(text) if text else []
             if words:
                 held.append((i, joined(words)))
                 size += len(held[-1][1])
@@ -258,7 +283,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     samples = {}
     for lang, found in got.items():
         kept, n = [], 0
-        for w in (w for _, _, t in sorted(found)[:docs] for w in WORDS.findall(t)):
+        for w in (w for _, _, t in sorted(found)[:docs] for w in words_of(t)):
             if n > chars:
                 break
             kept.append(w)
@@ -276,16 +301,31 @@ def with_language(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", te
     inputs = df.select(*[named(c).alias(f"k{i}") for i, c in enumerate(columns)], named(text_col).alias("text"))
     kinds = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
 
-    def start():
-        model = shared.value.load()
+    small_batches(df.sparkSession)
+    out = df.sparkSession.createDataFrame([], f"{kinds}, lang_pred string, score double").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        def each(*values):
-            got = model.predict(values[-1])
-            return [*values[:-1], [g[0] for g in got], [g[1] for g in got]]
+        arrow, model, held, size = to_arrow_schema(out), None, [], 0
 
-        return each
+        def done() -> pa.RecordBatch:
+            got = model.predict([t for b in held for t in b.column(b.num_columns - 1).to_pylist()])
+            own = [pa.concat_arrays([b.column(i) for b in held]) for i in range(len(columns))]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array([g[i] for g in got], arrow.field(len(columns) + i).type) for i in (0, 1))], schema=arrow)
+
+        # many texts side by side cost little more than few
+        for batch in batches:
+            model = model or shared.value.load()
+            held.append(batch)
+            size += batch.column(batch.num_columns - 1).nbytes
+            if size > GROUP_LETTERS:
+                yield done()
+                held, size = [], 0
+        if held:
+            yield done()
 
-    return map_columns(inputs, f"{kinds}, lang_pred string, score double", start).toDF(*columns, "lang_pred", "score")
+    return inputs.mapInArrow(run, out).toDF(*columns, "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

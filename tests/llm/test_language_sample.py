@@ -54,3 +54,21 @@ def test_texts_in_no_language_go(spark):
     with_letters = {r.doc_id: r for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert rows.keys() == with_letters.keys() and got.columns == docs.columns
     assert sum(rows[i].lang == r.lang for i, r in with_letters.items()) > 0.99 * len(rows)
+
+
+def test_texts_side_by_side_equal_one_by_one():
+    """Misses are counted in a step, letters that are nowhere beside it; places are of the kind that numpy takes as it is."""
+    import random
+
+    rng = random.Random(5)
+    automata = [language_id.SuffixAutomaton(t) for t in (" abc ab cab", " αβγ βα", " b")]
+    model = language_id.SideBySide(automata)
+    assert model.base.dtype == model.starts.dtype == model.roots.dtype == "int64"
+    texts = ["", "日", "日日a", "a日b", "x" * 50] + ["".join(rng.choice(" abcαβγ日x") for _ in range(rng.randrange(40))) for _ in range(200)]
+    assert model.phrases(texts).tolist() == [[a.phrases(t) for a in automata] for t in texts]
+
+
+def test_words_by_letters():
+    text = "Straße_1a²b ½ Ⅷx 日本語٣ ñ\U0001f600o\U00010400\U00010401 \ud800z"
+    plain = "".join(c if c.isalpha() else " " for c in text).split()
+    assert language_id.words_of(text) == plain and language_id.words_of("aé_b") == ["aé", "b"]
