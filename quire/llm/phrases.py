@@ -40,6 +40,8 @@ FAN_IN = 64
 #: Rows of a shard for one task: packed counts, and single look-ups.
 PACKED, SHARE = 1 << 10, 1 << 20
 SEED = 42
+#: How tables with phrases are written.
+STORED = {"compression": "zstd"}
 
 
 class Sizes(NamedTuple):
@@ -299,8 +301,9 @@ def bitmaps(counted: DataFrame, levels: tuple[int, ...], least: int, sizes: Size
 
 
 def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes(), seed: int = SEED) -> DataFrame:
-    """shard, hashes, counts (packed, by rising hash) and keys (language, line feed, words with blanks): what a task
-    counts of each candidate; and, with the shard -1, languages and their numbers of words."""
+    """shard, counts (packed, by rising hash) and keys (language, line feed, words with blanks): what a task counts of
+    each candidate; and, with the shard -1, languages and their numbers of words. Hashes are not stored: they
+    do not compress, and are made again from the keys."""
     import xxhash
 
     spark = docs.sparkSession
@@ -324,8 +327,8 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
             shards, first = np.unique((h >> np.uint64(64 - width)).astype(np.int64), return_index=True)
             for shard, a, b in zip(shards.tolist(), first.tolist(), [*first.tolist()[1:], len(h)]):
                 names = pa.array([keys[i] for i in order[a:b].tolist()], pa.binary()).cast(pa.string())
-                columns = [pa.array([shard], pa.int32()), pa.array([h[a:b].tobytes()]), pa.array([n[a:b].tobytes()]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), names)]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "hashes", "counts", "keys"])
+                columns = [pa.array([shard], pa.int32()), pa.array([n[a:b].tobytes()]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "counts", "keys"])
 
         def count(held: dict[str, Words]) -> Iterator[pa.RecordBatch]:
             for lang, w in held.items():
@@ -354,12 +357,31 @@ def candidate_counts(docs: DataFrame, filters: list[bytes], sizes: Sizes = Sizes
                 yield from packed()
             if words:
                 n = np.array(list(words.values()), np.int64)
-                columns = [pa.array([-1], pa.int32()), pa.array([b""]), pa.array([n.tobytes()]), pa.array([list(words)], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "hashes", "counts", "keys"])
+                columns = [pa.array([-1], pa.int32()), pa.array([n.tobytes()]), pa.array([list(words)], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "counts", "keys"])
 
         return count, last
 
-    return mapped(docs, "shard int, hashes binary, counts binary, keys array<string>", sizes, start)
+    return mapped(docs, "shard int, counts binary, keys array<string>", sizes, start)
+
+
+def hashes_of(keys: pa.Array, seed: int = SEED) -> np.ndarray:
+    """The hashes of keys, as mappers make them."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(k, seed) for k in keys.cast(pa.binary()).to_pylist()), np.uint64, len(keys))
+
+
+def with_hashes(counts: DataFrame, seed: int = SEED) -> DataFrame:
+    """shard, hashes and counts of the rows of candidate_counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = pa.array([hashes_of(k.values, seed).tobytes() for k in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, batch.column(1)], names=["shard", "hashes", "counts"])
+
+    small_batches(counts.sparkSession)
+    return counts.select("shard", "counts", "keys").mapInArrow(run, "shard int, hashes binary, counts binary")
 
 
 class PerfectHash:
@@ -442,8 +464,8 @@ def shard_of(hashed: Column, width: int) -> Column:
 TABLE = "shard int, sizes array<int>, bits array<binary>, stored binary, keys array<string>"
 
 
-def tables(local: DataFrame) -> DataFrame:
-    """A table for each shard, of the keys that its packed rows (shard, hashes, keys) hold between them."""
+def tables(local: DataFrame, seed: int = SEED) -> DataFrame:
+    """A table for each shard, of the keys that its packed rows (shard, keys) hold between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -456,19 +478,19 @@ def tables(local: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "sizes", "bits", "stored", "keys"])
 
         for batch in batches:
-            for shard, hashes, keys in zip(*batch.columns):
+            for shard, keys in zip(*batch.columns):
                 if shard.as_py() != now:
                     if held:
                         yield done()
                     now, held = shard.as_py(), {}
-                for h, key in zip(np.frombuffer(hashes.as_py(), np.uint64).tolist(), keys.as_py()):
+                for h, key in zip(hashes_of(keys.values, seed).tolist(), keys.as_py()):
                     if held.setdefault(h, key) != key:
                         raise ValueError("two phrases have one hash: another seed is needed")
         if held:
             yield done()
 
     small_batches(local.sparkSession)
-    dealt = local.select("shard", "hashes", "keys").repartition(shuffle_partitions(local.sparkSession), "shard").sortWithinPartitions("shard")
+    dealt = local.select("shard", "keys").repartition(shuffle_partitions(local.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, TABLE)
 
 
@@ -483,16 +505,16 @@ def word_totals(local: DataFrame) -> DataFrame:
     return local.filter("shard < 0").select("counts", "keys").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, share: int) -> DataFrame:
+def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, share: int, shards: DataFrame | None = None) -> DataFrame:
     """work(head, table, counts, columns) for the rows (shard and further columns) of each table, batch by batch, with
     the further columns by name; with None, it is the end of a table's rows. It yields record batches.
 
     made: shard, sizes, bits, stored and counts by slot (or null). The rows of a shard of more than `share` are dealt
-    to several tasks, each with a copy of its table.
+    to several tasks, each with a copy of its table. shards: the shards of rows, where rows cost much to make.
     """
     n = shuffle_partitions(rows.sparkSession)
     table_columns, own = ["sizes", "bits", "stored", "slots"], [c for c in rows.columns if c != "shard"]
-    parts = materialize(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts")), "shard-parts")
+    parts = materialize((rows if shards is None else shards).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts")), "shard-parts")
     kinds = dict(made.dtypes)
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int").alias("salt")
     salted = rows.join(parts, "shard").select("shard", salt, F.lit(1).alias("kind"), *own, *[F.lit(None).cast(kinds[c]).alias(c) for c in table_columns])
@@ -525,7 +547,7 @@ def at_tables(made: DataFrame, rows: DataFrame, schema: str, work: Callable, sha
 
 
 def counts_by_slot(made: DataFrame, counted: DataFrame, share: int = PACKED) -> DataFrame:
-    """made with `slots`, the counts of each table's slots. counted: shard, hashes and counts, packed."""
+    """made with `slots`, the counts of each table's slots. counted: rows of candidate_counts."""
 
     def work(head, table, counts, columns) -> Iterator[pa.RecordBatch]:
         if columns is None:
@@ -537,8 +559,8 @@ def counts_by_slot(made: DataFrame, counted: DataFrame, share: int = PACKED) ->
                 raise ValueError("a counted phrase is not among the candidates")
             counts[slots] += np.frombuffer(n, np.int64)  # a row has each hash once
 
-    arrays = materialize(at_tables(made.withColumn("slots", F.lit(None).cast("binary")), counted.select("shard", "hashes", "counts"), "shard int, leaf int, counts binary", work, share), "slot-counts")
-    return materialize(made.join(tree_sum(arrays, ["shard"]).withColumnRenamed("counts", "slots"), "shard"), "counted-tables")
+    arrays = materialize(at_tables(made.withColumn("slots", F.lit(None).cast("binary")), with_hashes(counted), "shard int, leaf int, counts binary", work, share, counted.select("shard")), "slot-counts")
+    return materialize(made.join(tree_sum(arrays, ["shard"]).withColumnRenamed("counts", "slots"), "shard"), "counted-tables", **STORED)
 
 
 def frequent(counted: DataFrame, least: int) -> DataFrame:
@@ -591,9 +613,9 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     filters = bitmaps(hash_counts(docs, (1, 2), [], sizes), (1, 2), least, sizes)
     filters += bitmaps(hash_counts(docs, (3, 4), filters, sizes), (3, 4), least, sizes)
     width = part_bits(spark, sizes)
-    local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts")
+    local = materialize(candidate_counts(docs, filters, sizes), "candidate-counts", **STORED)
     counts = local.filter("shard >= 0")
-    made = materialize(tables(counts), "phrase-tables")
+    made = materialize(tables(counts), "phrase-tables", **STORED)
     counted = counts_by_slot(made, counts, packed)
     found = materialize(frequent(counted, least).withColumn("words", F.split(phrase(F.col("key")), " ")), "frequent-phrases")
 

@@ -237,3 +237,18 @@ def test_ends_in_several_pieces(spark):
     df = spark.range(-500, 3000).selectExpr("CAST('n' AS BINARY) AS node", "id AS conv_id")
     got = prefix_trie.ends_digests(df, piece_bytes=100).collect()
     assert [r["ends_sha256"] for r in got] == [hashlib.sha256(",".join(map(str, range(-500, 3000))).encode()).hexdigest()]
+
+
+def test_candidates_are_stored_without_hashes(spark):
+    """Hashes, which do not compress, were stored and shuffled beside the keys that they are made of."""
+    df = spark.createDataFrame([("en", "a b c. a b c"), (None, "ä b ä b")], "lang string, text string")
+    sizes = phrases.Sizes(10)
+    every = [b"\xff" * (1 << 7)] * 4
+    local = phrases.candidate_counts(df, every, sizes)
+    assert local.columns == ["shard", "counts", "keys"]
+    counts = local.filter("shard >= 0")
+    got = [h for r in phrases.with_hashes(counts).collect() for h in phrases.np.frombuffer(r.hashes, phrases.np.int64).tolist()]
+    keys = counts.select(phrases.F.explode("keys").alias("key"))
+    assert len(got) == 13 and sorted(got) == sorted(r[0] for r in keys.select(phrases.hash_of(phrases.F.col("key"))).collect())
+    for r in phrases.with_hashes(counts).collect():
+        assert (phrases.np.diff(phrases.np.frombuffer(r.hashes, phrases.np.uint64).astype(object)) > 0).all()
