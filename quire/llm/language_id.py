@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,7 @@ SAMPLE_CHARS = 60_000
 FULL_LANGUAGES = 64
 MIN_DOCS, MIN_CHARS = 16, 400  # a language, however many there are
 FEW = 8  # so few texts are parsed one by one, more of them side by side
+PIECE = 1 << 16  # letters of a text that is parsed alone, looked up at a time
 GROUP_LETTERS = 4 << 20  # texts held as letters at a time, unless a single one has more
 STRANGE, FEWEST = 2.5, 100
 
@@ -120,62 +121,103 @@ class SideBySide:
 
     The automata's transitions lie in one double array: state s goes by letter code c to to[i], with
     i = base[s] + c, if owner[i] is s. A step moves all texts' states of all languages by one letter.
+
+    automata: read one by one and not kept, so that a worker holds the states of one as objects at a time.
     """
 
-    def __init__(self, automata: list[SuffixAutomaton]):
-        self.automata = automata
-        letters = sorted({c for a in automata for m in a.moves for c in m})
+    def __init__(self, automata: Iterable[SuffixAutomaton]):
         self.code = np.zeros(0x110000, np.int32)  # 0: a letter that is nowhere
-        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        code, width = {c: k for k, c in enumerate(letters, 1)}, len(letters) + 1
-        self.first = np.cumsum([0] + [len(a.moves) for a in automata])
-        self.roots = self.first[:-1].astype(np.int64)
-        base = np.zeros(self.first[-1], np.int64)  # places are of 64 bits, which numpy takes as they are
-        moves = [(int(f) + s, sorted((code[c], int(f) + t) for c, t in m.items())) for a, f in zip(automata, self.first) for s, m in enumerate(a.moves) if m]
-        moves.sort(key=lambda m: -len(m[1]))
-        used = bytearray(2 * sum(len(m) for _, m in moves) + 3 * width)
+        code: dict[str, int] = {}
+        first, bases, starts = [0], [], []
+        used = bytearray(1 << 16)
         owner, to = np.full(len(used), -1, np.int32), np.zeros(len(used), np.int32)
-        free, single, size = width, False, 0
-        for s, out in moves:
-            if len(out) == 1 and not single:
-                free, single = width, True  # states of one transition fill the gaps
-            at, tries = used.find(0, free), 0
-            shifts = [c - out[0][0] for c, _ in out[1:]]
-            while True:
-                if at < 0 or at + 2 * width >= len(used):
-                    owner, to = np.append(owner, np.full(len(used), -1, np.int32)), np.append(to, np.zeros(len(used), np.int32))
-                    used.extend(bytes(len(used)))
-                    at = used.find(0, free) if at < 0 else at
-                if not any(used[at + d] for d in shifts):
-                    break
-                at, tries = used.find(0, at + 1), tries + 1
-            if tries > 16 or single:
-                free = at
-            base[s] = at - out[0][0]
-            for c, t in out:
-                i = at - out[0][0] + c
-                used[i], owner[i], to[i], size = 1, s, t, max(size, i)
-        del moves
+        free, gap, size = 0, 0, 0  # where places for many transitions are looked for, and for one
+        for automaton in automata:
+            moves = automaton.moves
+            for c in sorted(set(moves[0]) - set(code)):  # the root has all letters
+                code[c] = len(code) + 1
+            width, own = len(code) + 1, first[-1]
+            starts.append({code[c]: own + t for c, t in moves[0].items()})
+            many = np.fromiter(map(len, moves), np.int32, len(moves))
+            letters = np.fromiter((code[c] for m in moves for c in m), np.int32, int(many.sum()))
+            target = np.fromiter((t for m in moves for t in m.values()), np.int32, len(letters))
+            del moves, automaton
+            order = np.lexsort((letters, np.repeat(np.arange(len(many), dtype=np.int32), many)))
+            letters, target = letters[order], target[order] + np.int32(own)
+            del order
+            ends = np.cumsum(many)
+            base = np.zeros(len(many), np.int64)  # places are of 64 bits, which numpy takes as they are
+            free, gap = max(free, width), max(gap, width)
+            for s in np.argsort(-many, kind="stable").tolist():
+                b, a = int(ends[s]), int(ends[s] - many[s])
+                if a == b:
+                    break  # states without a transition come last
+                out = letters[a:b].tolist()
+                single = len(out) == 1  # states of one transition fill the gaps
+                at, tries = used.find(0, gap if single else free), 0
+                shifts = [c - out[0] for c in out[1:]]
+                while True:
+                    while at < 0 or at + 2 * width >= len(used):
+                        owner, to = np.append(owner, np.full(len(used), -1, np.int32)), np.append(to, np.zeros(len(used), np.int32))
+                        used.extend(bytes(len(used)))
+                        at = used.find(0, gap if single else free) if at < 0 else at
+                    if not any(used[at + d] for d in shifts):
+                        break
+                    at, tries = used.find(0, at + 1), tries + 1
+                if single:
+                    gap = at
+                elif tries > 16:
+                    free = at
+                base[s] = at - out[0]
+                for c, t in zip(out, target[a:b].tolist()):
+                    i = at - out[0] + c
+                    used[i], owner[i], to[i], size = 1, own + s, t, max(size, i)
+            bases.append(base)
+            first.append(own + len(many))
+        self.code[[ord(c) for c in code]] = np.fromiter(code.values(), np.int32, len(code))
+        width = len(code) + 1
         size += width + 1
-        self.base, self.owner, self.to = base, owner[:size].copy(), to[:size].copy()
+        if size > len(owner):
+            owner, to = np.append(owner, np.full(size - len(owner), -1, np.int32)), np.append(to, np.zeros(size - len(to), np.int32))
+        self.roots = np.array(first[:-1], np.int64)
+        self.base, self.owner, self.to = np.concatenate([np.zeros(0, np.int64), *bases]), owner[:size].copy(), to[:size].copy()
         self.starts = np.tile(self.roots, (width, 1))  # where a letter leads from each root; the root: nowhere
-        for k, a in enumerate(automata):
-            for c, t in a.moves[0].items():
-                self.starts[code[c], k] = self.first[k] + t
+        for k, known in enumerate(starts):
+            self.starts[list(known), k] = list(known.values())
         self.nowhere = self.starts == self.roots
         self.lacking = self.nowhere.any(1)
 
+    def codes(self, text: str) -> np.ndarray:
+        return self.code.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+
+    def rest(self, text: str, at: int, k: int, state: int) -> int:
+        """Phrases of text from `at` on in language k, from a state as SuffixAutomaton.phrases has it."""
+        base, owner, to, starts = map(memoryview, (self.base, self.owner, self.to, np.ascontiguousarray(self.starts[:, k])))
+        root, n = int(self.roots[k]), 0
+        for a in range(at, len(text), PIECE):
+            for c in self.codes(text[a : a + PIECE]).tolist():
+                i = base[state] + c
+                if owner[i] == state:
+                    state = to[i]
+                    continue
+                n += state != root
+                state = starts[c]
+                n += state == root
+        return n + (state != root)
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """A row for each text with its number of phrases in each language."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         sizes = np.array([len(texts[i]) for i in order], np.int64)
-        found = np.zeros((len(texts), len(self.automata)), np.int64)
+        found = np.zeros((len(texts), len(self.roots)), np.int64)
         at, count = 0, np.zeros_like(found)
         state = np.tile(self.roots, (len(texts), 1))
         final, misses = state.copy(), np.zeros(state.shape, np.int32)
         if len(texts) > FEW:
-            flat = self.code[np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
             begin = np.cumsum(sizes) - sizes
+            flat = np.empty(int(sizes.sum()), np.int32)
+            for i, a, n in zip(order, begin.tolist(), sizes.tolist()):
+                flat[a : a + n] = self.codes(texts[i])
             active = np.searchsorted(-sizes, -np.arange(int(sizes[FEW])), side="left")  # texts longer than each place
             base, owner, to, starts = self.base, self.owner, self.to, self.starts
             for at, k in enumerate(active.tolist()):
@@ -201,10 +243,8 @@ class SideBySide:
                 count[rows] += np.add.reduceat(ends, first, axis=0, dtype=np.int64)
             at = len(active)
         for row, i in enumerate(order):
-            for k, a in enumerate(self.automata):
-                open_state = int(final[row, k] - self.first[k])
-                rest = a.phrases(texts[i][at:], open_state) if sizes[row] > at else open_state != 0
-                found[i, k] = count[row, k] + rest
+            for k, state in enumerate(final[row].tolist()):
+                found[i, k] = count[row, k] + self.rest(texts[i], at, k, state)
         return found
 
 
@@ -231,7 +271,7 @@ class CrossParser:
 
     def load(self) -> CrossParser:
         if self.automata is None:
-            self.automata = SideBySide([SuffixAutomaton(t) for t in self.samples.values()])
+            self.automata = SideBySide(SuffixAutomaton(t) for t in self.samples.values())
         return self
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:

@@ -2,6 +2,9 @@
 
 import random
 import re
+import weakref
+
+import numpy as np
 
 from quire.llm import language_id
 
@@ -72,3 +75,23 @@ def test_words_by_letters():
     text = "Straße_1a²b ½ Ⅷx 日本語٣ ñ\U0001f600o\U00010400\U00010401 \ud800z"
     plain = "".join(c if c.isalpha() else " " for c in text).split()
     assert language_id.words_of(text) == plain and language_id.words_of("aé_b") == ["aé", "b"]
+
+
+def test_one_automaton_is_held_at_a_time(monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    rng = np.random.default_rng(3)
+    samples = ["".join(rng.choice(list(letters), 3000)) for letters in (" abcde", " cdefgh\u0431", " \u0430\u0431\u0432")]
+    made = []
+
+    def automaton(sample):
+        assert not any(r() for r in made)
+        new = language_id.SuffixAutomaton(sample)
+        made.append(weakref.ref(new))
+        return new
+
+    model = language_id.SideBySide(automaton(s) for s in samples)
+    assert len(made) == 3 and not any(r() for r in made)
+    texts = ["", " ", *("".join(rng.choice(list(" abcdefgh\u0430\u0431\u0432x"), n)) for n in (1, 6, 7, 8, 40, 300, 90, 15, 2, 33, 70, 1000))]
+    whole = [[language_id.SuffixAutomaton(s).phrases(t) for s in samples] for t in texts]
+    assert model.phrases(texts).tolist() == whole and model.phrases(texts[-3:]).tolist() == whole[-3:]
+    assert language_id.SideBySide([]).phrases(["a"]).shape == (1, 0)
