@@ -19,6 +19,10 @@ two such keys is an error, never a wrong count (`seed` gives other hashes). Mapp
 to the tables, where they are added up in arrays by slot, several for a shard with many rows; the arrays of a
 shard are summed by a tree. Counts of the parts that a phrase can be cut into are read from the parts' shards by
 slot. A task holds one table at a time; nothing that grows with the input is broadcast.
+
+Nearly every mapper has nearly every candidate, so what they send grows with both. It is compressed row by row:
+keys in the order of their letters, hashes as differences, byte plane by byte plane. After the tables, phrases go
+by their hashes, which no two candidates share, and by their words only where the result needs them.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -384,6 +389,59 @@ def with_hashes(counts: DataFrame, seed: int = SEED) -> DataFrame:
     return counts.select("shard", "counts", "keys").mapInArrow(run, "shard int, hashes binary, counts binary")
 
 
+def packed_keys(keys: pa.Array) -> tuple[int, int, bytes]:
+    """Their number, and their lengths and letters, in the order of their letters: bytes, and compressed."""
+    keys = keys.take(pc.sort_indices(keys))
+    ends = np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1)
+    plain = np.diff(ends).astype("<u4").tobytes() + keys.buffers()[2].to_pybytes()[: ends[-1]]
+    return len(keys), len(plain), pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def unpacked_keys(n: int, size: int, packed: bytes) -> pa.Array:
+    plain = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(plain, "<u4", n)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(plain[4 * n :]))
+
+
+def packed_counts(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising hashes as differences, and counts, compressed byte plane by byte plane."""
+    apart = np.diff(hashes, prepend=np.zeros(1, np.uint64))
+    planes = [x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (apart, np.ascontiguousarray(counts, np.int64))]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked_counts(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    plain = np.frombuffer(pa.decompress(packed, decompressed_size=16 * n, codec="zstd", asbytes=True), np.uint8)
+    apart, counts = (np.ascontiguousarray(x.reshape(8, n).T).reshape(-1) for x in (plain[: 8 * n], plain[8 * n :]))
+    return np.cumsum(apart.view("<u8"), dtype=np.uint64), counts.view("<i8")
+
+
+def sent_keys(local: DataFrame) -> DataFrame:
+    """The keys of the rows of candidate_counts, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [packed_keys(k.values) for k in batch.column(1)]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["shard", "n", "size", "packed"])
+
+    small_batches(local.sparkSession)
+    return local.select("shard", "keys").mapInArrow(run, "shard int, n int, size long, packed binary")
+
+
+def sent_counts(counted: DataFrame, seed: int = SEED) -> DataFrame:
+    """The hashes and counts of the rows of candidate_counts, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(k) for k in batch.column(2)], pa.int32())
+            rows = [packed_counts(hashes_of(k.values, seed), np.frombuffer(c.as_py(), np.int64)) for c, k in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(rows, pa.binary())], names=["shard", "n", "packed"])
+
+    small_batches(counted.sparkSession)
+    return counted.select("shard", "counts", "keys").mapInArrow(run, "shard int, n int, packed binary")
+
+
 class PerfectHash:
     """Minimal perfect hash: bit arrays, level by level, of the places that one key alone has; a key's slot is the
     rank of its bit."""
@@ -478,19 +536,20 @@ def tables(local: DataFrame, seed: int = SEED) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "sizes", "bits", "stored", "keys"])
 
         for batch in batches:
-            for shard, keys in zip(*batch.columns):
-                if shard.as_py() != now:
+            for shard, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
                     if held:
                         yield done()
-                    now, held = shard.as_py(), {}
-                for h, key in zip(hashes_of(keys.values, seed).tolist(), keys.as_py()):
+                    now, held = shard, {}
+                keys = unpacked_keys(*packed)
+                for h, key in zip(hashes_of(keys, seed).tolist(), keys.to_pylist()):
                     if held.setdefault(h, key) != key:
                         raise ValueError("two phrases have one hash: another seed is needed")
         if held:
             yield done()
 
     small_batches(local.sparkSession)
-    dealt = local.select("shard", "keys").repartition(shuffle_partitions(local.sparkSession), "shard").sortWithinPartitions("shard")
+    dealt = sent_keys(local).repartition(shuffle_partitions(local.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, TABLE)
 
 
@@ -553,13 +612,14 @@ def counts_by_slot(made: DataFrame, counted: DataFrame, share: int = PACKED) ->
         if columns is None:
             yield pa.RecordBatch.from_arrays([pa.array([head[0]], pa.int32()), pa.array([head[1]], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["shard", "leaf", "counts"])
             return
-        for hashes, n in zip(columns["hashes"].to_pylist(), columns["counts"].to_pylist()):
-            slots = table.slots(np.frombuffer(hashes, np.uint64))
+        for row in zip(columns["n"].to_pylist(), columns["packed"].to_pylist()):
+            hashes, n = unpacked_counts(*row)
+            slots = table.slots(hashes)
             if (slots < 0).any():
                 raise ValueError("a counted phrase is not among the candidates")
-            counts[slots] += np.frombuffer(n, np.int64)  # a row has each hash once
+            counts[slots] += n  # a row has each hash once
 
-    arrays = materialize(at_tables(made.withColumn("slots", F.lit(None).cast("binary")), with_hashes(counted), "shard int, leaf int, counts binary", work, share, counted.select("shard")), "slot-counts")
+    arrays = materialize(at_tables(made.withColumn("slots", F.lit(None).cast("binary")), sent_counts(counted), "shard int, leaf int, counts binary", work, share, counted.select("shard")), "slot-counts")
     return materialize(made.join(tree_sum(arrays, ["shard"]).withColumnRenamed("counts", "slots"), "shard"), "counted-tables", **STORED)
 
 
@@ -584,7 +644,7 @@ def read_counts(counted: DataFrame, asked: DataFrame, share: int = SHARE) -> Dat
             slots = table.slots(columns["h"].to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([columns["of"], columns["value"], pa.array(np.where(slots < 0, 0, counts[slots]))], names=["of", "value", "n"])
 
-    return at_tables(counted.drop("keys"), asked, "of string, value long, n long", work, share)
+    return at_tables(counted.drop("keys"), asked, "of long, value long, n long", work, share)
 
 
 def language(key: Column) -> Column:
@@ -617,23 +677,23 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     counts = local.filter("shard >= 0")
     made = materialize(tables(counts), "phrase-tables", **STORED)
     counted = counts_by_slot(made, counts, packed)
-    found = materialize(frequent(counted, least).withColumn("words", F.split(phrase(F.col("key")), " ")), "frequent-phrases")
+    found = materialize(frequent(counted, least).withColumn("of", hash_of(F.col("key"))).withColumn("words", F.split(phrase(F.col("key")), " ")), "frequent-phrases")
 
     # the two parts of each cut: value is 2 * (words before the cut) for the first part, and one more for the rest
     size, words = F.size("words"), F.col("words")
-    cuts = found.filter(size > 1).select("key", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    cuts = found.filter(size > 1).select("of", "key", "words", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     halves = F.array(F.struct(_part(words, 1, F.col("k")).alias("part"), (2 * F.col("k")).cast("long").alias("value")), F.struct(_part(words, F.col("k") + 1, size - F.col("k")).alias("part"), (2 * F.col("k") + 1).cast("long").alias("value")))
-    asked = cuts.select(F.col("key").alias("of"), F.explode(halves).alias("h")).select("of", hash_of(F.col("h.part")).alias("h"), "h.value").withColumn("shard", shard_of(F.col("h"), width))
+    asked = cuts.select("of", F.explode(halves).alias("h")).select("of", hash_of(F.col("h.part")).alias("h"), "h.value").withColumn("shard", shard_of(F.col("h"), width))
     read = read_counts(counted, materialize(asked, "asked-parts"), share)
-    sides = read.groupBy("of", F.floor(F.col("value") / 2).alias("k")).agg(F.max(F.when(F.col("value") % 2 == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("value") % 2 == 1, F.col("n"))).alias("r"))
-    scored = sides.join(found.select(F.col("key").alias("of"), "a"), "of").withColumn("score", F.expr("(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"))
-    best = scored.groupBy("of", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    sides = read.repartition("of").groupBy("of", F.floor(F.col("value") / 2).alias("k")).agg(F.max(F.when(F.col("value") % 2 == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("value") % 2 == 1, F.col("n"))).alias("r"))
+    scored = sides.join(found.select("of", "key", "a"), "of").withColumn("score", F.expr("(CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"))
+    best = scored.groupBy("of", "key", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     # the most frequent longer candidate around each phrase
     inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: _part(words, at, n))))
-    around = found.filter(size > 2).select(F.explode(inner).alias("of"), "a").groupBy("of").agg(F.max("a").alias("outer"))
+    around = found.filter(size > 2).select(F.explode(inner).alias("part"), "a").groupBy(hash_of(F.col("part")).alias("of")).agg(F.max("a").alias("outer"))
     kept = best.join(around, "of", "left").filter("outer IS NULL OR CAST(100 AS DECIMAL(3,0)) * outer < CAST(80 AS DECIMAL(2,0)) * a")
-    named_ = kept.select(language(F.col("of")).alias("lang"), phrase(F.col("of")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+    named_ = kept.select(language(F.col("key")).alias("lang"), phrase(F.col("key")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = named_.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(word_totals(local), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

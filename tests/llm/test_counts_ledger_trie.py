@@ -252,3 +252,23 @@ def test_candidates_are_stored_without_hashes(spark):
     assert len(got) == 13 and sorted(got) == sorted(r[0] for r in keys.select(phrases.hash_of(phrases.F.col("key"))).collect())
     for r in phrases.with_hashes(counts).collect():
         assert (phrases.np.diff(phrases.np.frombuffer(r.hashes, phrases.np.uint64).astype(object)) > 0).all()
+
+
+def test_what_mappers_send_is_compressed():
+    """Every mapper sends nearly every candidate, twice; hashes and words were sent as they are."""
+    import pyarrow as pa
+    import xxhash
+
+    words = [f"w{i:x}" for i in range(60)]
+    keys = pa.array([f"en\n{a} {b}" for a in words for b in words] + ["", "a\nb\nü", "en\n日本"])[5:]
+    n, size, packed = phrases.packed_keys(keys)
+    assert phrases.unpacked_keys(n, size, packed).to_pylist() == sorted(keys.to_pylist(), key=str.encode)
+    assert 3 * len(packed) < sum(len(k.encode()) for k in keys.to_pylist())
+    assert phrases.unpacked_keys(*phrases.packed_keys(pa.array([], pa.string()))).to_pylist() == []
+    shard = phrases.np.sort(phrases.np.array([xxhash.xxh64_intdigest(k, 42) for k in keys.to_pylist()], phrases.np.uint64) >> phrases.np.uint64(8))
+    counts = phrases.np.arange(len(shard)) % 100 + 1
+    counts[0] = 1 << 40
+    packed = phrases.packed_counts(shard, counts)
+    hashes, got = phrases.unpacked_counts(len(shard), packed)
+    assert (hashes == shard).all() and (got == counts).all() and len(packed) < 8 * len(shard)
+    assert [len(x) for x in phrases.unpacked_counts(0, phrases.packed_counts(shard[:0], counts[:0]))] == [0, 0]
