@@ -6,6 +6,8 @@ language take a column that holds 'chinese' or 'english'.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,12 +57,20 @@ def by_language(language: Column, chinese: Column, english: Column) -> Column:
     return F.when(language == "chinese", chinese).otherwise(english)
 
 
+def _folded(pattern: str) -> str:
+    """A form whose letters have any case. Long s and the Kelvin sign are an s and a k, as in the SQL; Java's (?i) folds
+    ASCII alone, and with (?iu) a dotless i would be an i too."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    return re.sub("[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0].lower()], pattern, flags=re.IGNORECASE)
+
+
 def is_form(line: Column, language: Column, form: str) -> Column:
-    return by_language(language, line.rlike(FORMS["chinese"][form]), line.rlike(FORMS["english"][form]))
+    return by_language(language, *(line.rlike(_folded(FORMS[k][form])) for k in ("chinese", "english")))
 
 
 def form_title(line: Column, language: Column, form: str) -> Column:
-    return strip(by_language(language, *(F.regexp_extract(line, FORMS[k][form], 1) for k in ("chinese", "english"))))
+    return strip(by_language(language, *(F.regexp_extract(line, _folded(FORMS[k][form]), 1) for k in ("chinese", "english"))))
 
 
 def name(language: Column, key: str) -> Column:

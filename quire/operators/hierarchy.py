@@ -17,7 +17,7 @@ from .lines import by_line, with_offsets
 def volume_lines(docs: DataFrame) -> DataFrame:
     """Lines with char_pos, volume_no (0 before the first), is_volume, and from / upto: the characters of
     the volume's content."""
-    cut = F.split(F.regexp_replace("text", r"\n$", ""), "\n")
+    cut = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
     exploded = docs.filter("text is not null and text <> ''").select("doc_id", "language", F.posexplode(cut).alias("line_num", "line"))
     rows = with_offsets(exploded).drop("byte_pos")
     flagged = rows.withColumn("is_volume", is_form(F.col("line"), F.col("language"), "volume"))
@@ -44,7 +44,7 @@ def _joined(parts, keep=None):
 
 
 def _edges(c):
-    return F.regexp_replace(c, "^[\n\r]+|[\n\r]+$", "")
+    return F.regexp_replace(c, "^[\n\r]+|[\n\r]+\\z", "")
 
 
 def hierarchy(docs: DataFrame) -> DataFrame:

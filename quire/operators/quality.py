@@ -28,7 +28,8 @@ def language_by_share(cjk: Column, latin: Column) -> Column:
 
 def language_by_cues(text: Column) -> Column:
     cjk, latin = count_letters(text, f"[{CJK}]"), count_letters(text, "[a-zA-Z]")
-    zh, en = count_letters(text, "[章节卷回部篇]"), count_matches(F.lower(text), "chapter|section|part|volume")
+    low = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))  # a dotted I is an i; Java's lower makes two characters of it
+    zh, en = count_letters(text, "[章节卷回部篇]"), count_matches(low, "chapter|section|part|volume")
     return F.when((F.coalesce(text, F.lit("")) == "") | (cjk > latin * 0.5) | (zh > en), "chinese").otherwise("english")
 
 

@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import headings, hierarchy, lines, patterns, reports, toc
+from quire.queries import ORACLE_SQL, QUERIES
 
 BOOK = "Words before.\n\nPart I: Dawn\n\nChapter 1\n\nThe sun is up. It was warm.\n\nChapter 2: Noon\n\nSection 1\nfirst\nSection 2\nsecond\nSection 1\nagain\n\nPart II\nplain text of the part\n\nPart I: Dawn\n\nChapter 9\nlost\n"
 
@@ -120,3 +122,15 @@ def test_a_step_of_the_retry_names_the_marks_a_few_times(spark):
         plan = found.select("chosen")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("marks#") < 12
         assert [(r.chosen, r.covered) for r in found.collect()] == [(2, True)]
+
+
+@pytest.mark.parametrize("name", ["heading_forms", "lines_explode", "blank_line_squeeze"])
+def test_ends_of_texts_and_folded_letters(spark, tmp_path, name):
+    # the list of contents before an empty text ends in two line ends, of which one ends the last line
+    texts = ["", None, "\n", "a\n\n", "a\n\n\n", "a. \r", "a.\n\r", "a\n\u2028", "b. \u017fection 1. Boo\u212a I. Part \u017fix. Sect\u0131on 1", "\u7ae0 SECT\u0130ON"]
+    rows = [(6 * i + j, t) for i, t in enumerate(texts) for j in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, got.collect())) == sorted(want.project(", ".join(got.columns)).fetchall())
