@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.text import strip
 from quire.operators import driver, folds, lines, scorer, segment, structure, topics
 from quire.plans.driver import LIBRARY
 from quire.queries import QUERIES
@@ -281,3 +282,40 @@ def test_words_of_windows_are_counted_once(spark):
     got = {r.window_no: r.change for r in found.collect()}
     assert got == {0: 1.0 - 3 / math.sqrt(5 * 3), 1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0 - 2 / math.sqrt(5 * 1), 5: 0.0, 6: got[6]}
     assert topics.with_change(rows.limit(0)).collect() == [] and found.columns == [*rows.columns, "change"]
+
+
+def test_a_wave_is_dealt_evenly_to_as_many_tasks_as_run(spark, tmp_path):
+    """The rate holds for a task, so a wave takes as long as its largest part (one task had all of these before)."""
+    at = tmp_path / "tasks"
+    at.mkdir()
+
+    def start():
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+
+        def model(batch):
+            with (at / f"{task.stageId()}-{task.partitionId()}").open("a") as f:
+                f.write("x" * len(batch))
+            return ["0.5"] * len(batch)
+
+        return model
+
+    store = scorer.Answers(spark, f"{tmp_path}/answers")
+    assert store.ask(prompts(spark, [f"p{i % 4000}" for i in range(4100)]), start, waves=2).count() == 4000
+    waves = collections.defaultdict(list)
+    for f in at.iterdir():
+        waves[f.name.split("-")[0]].append(f.stat().st_size)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(waves) == 2 and sum(map(sum, waves.values())) == 4000
+    assert all(len(n) == cores and max(n) < 1.3 * sum(n) / cores for n in waves.values())
+
+
+def test_prompts_in_place(spark):
+    text = "\n".join(["first", "", "A title", " ", "　two ", *[f"line {i}" for i in range(20)], "", "last"])
+    rows = lines.explode_lines(spark.createDataFrame([(1, text), (2, "one"), (3, "\n"), (4, None)], "doc_id long, text string"))
+    some = F.length("line") > 4
+    found = rows.filter(some).select("doc_id", "line_num", strip(F.col("line")).alias("text"))
+    want, got = (sorted(map(tuple, df.collect())) for df in (scorer.with_prompts(found, rows), scorer.in_place(rows, F.nullif(some, F.lit(False)))))
+    assert got == want and len(got) == 23
+    assert scorer.in_place(rows, some)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
